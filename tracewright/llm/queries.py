@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, lines, toxicity
+from . import bpe, decontam, jaccard, lines, toxicity
 from .common import table
 
 
@@ -13,6 +14,20 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("th")
+
+
+def bpe_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
+    coded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), vocabulary).drop("text"), vocabulary)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op7_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.classify(docs, table(spark, sf_dir, "labels"))
@@ -24,5 +39,15 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op8_toxicity, op10_ngram_jaccard_join)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_decontamination, op7_bpe_encoding, op8_toxicity, op10_ngram_jaccard_join)}
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontamination": r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\pL\pN]+'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\pL\pN]+'), lambda w: w <> '') AS w FROM benchmark WHERE text IS NOT NULL),
+ds AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k+4], ' '))) AS s FROM d WHERE len(w) >= 5)),
+si AS (SELECT DISTINCT item_id, s FROM (SELECT item_id, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k+4], ' '))) AS s FROM i WHERE len(w) >= 5)),
+q AS (SELECT item_id, count(*) AS q FROM si GROUP BY item_id)
+SELECT doc_id, item_id, count(*) AS shared, q AS item_shingles
+FROM ds JOIN si USING (s) JOIN q USING (item_id) GROUP BY doc_id, item_id, q HAVING 100 * count(*) >= 80 * q
+""",
+}
