@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, jaccard, lines, toxicity
+from . import bpe, decontam, hosts, jaccard, lines, sharding, toxicity, vectors
 from .common import table
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -18,6 +22,16 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("th")
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's labelled outcome is the quality that labels has under its id: 0 is bad."""
+    outcomes = table(spark, sf_dir, "labels").where("quality IN (0, 1)").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
+    return hosts.judge(table(spark, sf_dir, "pages"), outcomes)
+
+
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def bpe_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     coded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), vocabulary).drop("text"), vocabulary)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
@@ -39,7 +53,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_decontamination, op7_bpe_encoding, op8_toxicity, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_line_dedup, op4_decontamination, op5_url_filters, op6_embedding_near_dedup, op7_bpe_encoding, op8_toxicity, op10_ngram_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {
     "op4_decontamination": r"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\pL\pN]+'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL),
