@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, hosts, jaccard, lines, sharding, toxicity, vectors
+from . import bpe, decontam, hosts, jaccard, lines, pii, sharding, toxicity, vectors
 from .common import table
 
 
@@ -14,6 +14,13 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    base = F.sha2(pii.joined_spans(tuple(pii.PATTERNS)), 256)
+    return found.select("doc_id", *counts, base.alias("base_sha256"), pii.joined_spans(pii.KINDS).alias("spans"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -53,7 +60,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_line_dedup, op4_decontamination, op5_url_filters, op6_embedding_near_dedup, op7_bpe_encoding, op8_toxicity, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_pii, op3_line_dedup, op4_decontamination, op5_url_filters, op6_embedding_near_dedup, op7_bpe_encoding, op8_toxicity, op10_ngram_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {
     "op4_decontamination": r"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\pL\pN]+'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL),
