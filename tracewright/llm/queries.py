@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, hosts, jaccard, lines, pii, sharding, toxicity, vectors
-from .common import table
+from . import bpe, decontam, grammar, hosts, jaccard, lines, pii, sharding, toxicity, vectors
+from .common import cut, table
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,11 +56,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"), F.when(F.col("toxicity") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = cut(grammar.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")), "shards")
+    return grammar.digests(grammar.decode(shards))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_pii, op3_line_dedup, op4_decontamination, op5_url_filters, op6_embedding_near_dedup, op7_bpe_encoding, op8_toxicity, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_pii, op3_line_dedup, op4_decontamination, op5_url_filters, op6_embedding_near_dedup, op7_bpe_encoding, op8_toxicity, op9_token_files, op10_ngram_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {
     "op4_decontamination": r"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\pL\pN]+'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL),
