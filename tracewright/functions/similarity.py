@@ -31,8 +31,10 @@ def partial(a: str, b: str) -> float:
         a, b = b, a
     if not a:
         return 0.0 if b else 1.0
-    windows = {b[max(0, i) : i + len(a)] for i in range(1 - len(a), len(b))}
-    return max(indel(a, w) for w in windows if w)
+    best = max(indel(a, w) for w in {b[max(0, i) : i + len(a)] for i in range(1 - len(a), len(b))})
+    if len(a) == len(b):  # neither is the shorter one
+        best = max(best, *(indel(b, w) for w in {a[max(0, i) : i + len(b)] for i in range(1 - len(b), len(a))}))
+    return best
 
 
 def _token_sets(a: str, b: str) -> tuple[str, str, str]:

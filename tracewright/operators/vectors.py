@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,10 +49,8 @@ def vectorise(df: DataFrame, text: Column, vector: str = "vector", missing_only:
     todo = lacks if missing_only else F.lit(True)
     if limit is not None:
         keys = [c for c in df.columns if c != vector]
-        chosen = df.where(todo).select(*keys).orderBy(*keys).limit(limit).withColumn("_todo", F.lit(True))
-        on = None
-        for k in keys:
-            on = df[k].eqNullSafe(chosen[k]) if on is None else on & df[k].eqNullSafe(chosen[k])
-        df = df.join(F.broadcast(chosen), on, "left").select(*(df[c] for c in df.columns), "_todo")
+        chosen = df.where(todo).select(*keys).orderBy(*keys).limit(limit).select(*(F.col(k).alias(f"_{k}") for k in keys), F.lit(True).alias("_todo"))
+        on = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+        df = df.join(F.broadcast(chosen), on, "left").drop(*(f"_{k}" for k in keys))  # at most `limit` rows
         todo = F.coalesce("_todo", F.lit(False))
     return df.withColumn(vector, F.when(todo, hashed_embedding(text)).otherwise(F.col(vector))).drop("_todo")
