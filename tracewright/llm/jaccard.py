@@ -10,7 +10,7 @@ Documents link if 100 * |A & B| >= 80 * |A | B| for their sets of 5-word shingle
 3. Light sets, up to a size taken from the cost of both ways, enumerate their subsets of the size that two linked
    sets must share; an equal subset is a link.
 4. Heavy sets scan inverted lists of the rare ends of the sets (prefix filter: rarest shared shingles first), against
-   light and heavy ones. Each list pairs its members with a few leaders instead of all with all; the pairs are verified
+   light and heavy ones. Each list pairs its members with its leader instead of all with all; the pairs are verified
    on the whole sets. Only pairs of a list that are not yet in one component are formed in a second pass.
 5. Connected components give the class of each document.
 """
@@ -34,7 +34,7 @@ WORDS, PERCENT = 5, 80
 LEAST = 32
 #: Light sets have at most so many shingles, whatever the cost.
 LIGHT_MOST = 16
-#: Leaders that the members of an inverted list are first compared with (each by its own order of documents).
+#: Orders of documents by which the leaders of different inverted lists are chosen where several are equally good.
 LEADERS = 4
 CACHE = 1 << 18
 _WORD = re.compile(r"[^ \t\n\x0b\f\r]+")
@@ -153,13 +153,14 @@ def linked_sets(sets: DataFrame) -> DataFrame:
     links = cut(_light_links(small, light), "light") if light else None
 
     alone = (F.col("n") - F.size("shared")).alias("alone")
-    lists = kept.select("doc", "n", alone, F.posexplode("ends").alias("at", "e")).select("doc", "n", "e.h", (F.col("alone") + F.col("at")).alias("place"))
+    lists = kept.select("doc", "n", alone, F.posexplode("ends").alias("at", "e")).select("doc", "n", "alone", "e.h", (F.col("alone") + F.col("at")).alias("place"))
     lists = cut(lists, "lists")
     sized = f"100 * least(n_u, n_v) >= {PERCENT} * greatest(n_u, n_v) AND greatest(n_u, n_v) > {light}"
     # What follows the two places bounds the overlap, for the first shingle that both prefixes hold.
     sized += f" AND least(n_u - p_u, n_v - p_v) >= {PERCENT} * (n_u + n_v) / {100 + PERCENT}.0 - 1e-9"
-    member = lists.select("h", F.pmod(F.xxhash64("h"), F.lit(LEADERS)).alias("turn"), "doc", "n", "place")
-    lead = member.groupBy("h").agg(F.min(F.struct(F.xxhash64("doc", "turn").alias("o"), "doc", "n", "place")).alias("lead"), F.count("*").alias("c")).where("c > 1").select("h", "lead")
+    # The member with the fewest shingles of its own lies nearest to all others: copies of one text link to it if to any.
+    member = lists.select("h", F.pmod(F.xxhash64("h"), F.lit(LEADERS)).alias("turn"), "doc", "n", "alone", "place")
+    lead = member.groupBy("h").agg(F.min(F.struct("alone", F.xxhash64("doc", "turn").alias("o"), "doc", "n", "place")).alias("lead"), F.count("*").alias("c")).where("c > 1").select("h", "lead")
     pairs = member.join(lead, "h").where("doc <> lead.doc").select(F.least("doc", "lead.doc").alias("u"), F.greatest("doc", "lead.doc").alias("v"), F.col("n").alias("n_u"), F.col("lead.n").alias("n_v"), F.col("place").alias("p_u"), F.col("lead.place").alias("p_v"))
     first = cut(_verified(pairs.where(sized).select("u", "v").distinct(), kept), "links")
     links = links.union(first) if links is not None else first
