@@ -75,5 +75,39 @@ si AS (SELECT DISTINCT item_id, s FROM (SELECT item_id, unnest(list_transform(ra
 q AS (SELECT item_id, count(*) AS q FROM si GROUP BY item_id)
 SELECT doc_id, item_id, count(*) AS shared, q AS item_shingles
 FROM ds JOIN si USING (s) JOIN q USING (item_id) GROUP BY doc_id, item_id, q HAVING 100 * count(*) >= 80 * q
+""",
+    "op5_url_filters": rf"""
+WITH p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(coalesce(r, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(r, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+rules AS (SELECT * FROM (VALUES {", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in hosts.RULES)}) v(verdict, rule, rh, rp)),
+o AS (SELECT doc_id AS page_id, max(1 - quality) AS bad FROM labels WHERE quality IN (0, 1) GROUP BY doc_id),
+u AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS k, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix FROM h LEFT JOIN o USING (page_id) GROUP BY host),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM u GROUP BY domain, suffix),
+s AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY suffix),
+m0 AS (SELECT (sum(k) + {hosts.MOST_BAD / 2}) / (sum(n) + 1.0) AS m FROM s),
+s1 AS (SELECT s.*, m AS prior FROM s, m0),
+s2 AS (SELECT suffix, (prior * z + k) / (z + n) AS m FROM s1, (SELECT (1 - rho) / rho AS z FROM (SELECT greatest({hosts.LEAST_RHO}, least({hosts.MOST_RHO}, coalesce(sum(CASE WHEN n > 0 THEN n * (k / n - prior) ** 2 - prior * (1 - prior) ELSE 0 END) / nullif(sum(CASE WHEN n > 0 THEN prior * (1 - prior) * (n - 1) ELSE 0 END), 0), {hosts.LEAST_RHO}))) AS rho FROM s1))),
+d1 AS (SELECT d.*, m AS prior FROM d JOIN s2 USING (suffix)),
+d2 AS (SELECT domain, (prior * z + k) / (z + n) AS m FROM d1, (SELECT (1 - rho) / rho AS z FROM (SELECT greatest({hosts.LEAST_RHO}, least({hosts.MOST_RHO}, coalesce(sum(CASE WHEN n > 0 THEN n * (k / n - prior) ** 2 - prior * (1 - prior) ELSE 0 END) / nullif(sum(CASE WHEN n > 0 THEN prior * (1 - prior) * (n - 1) ELSE 0 END), 0), {hosts.LEAST_RHO}))) AS rho FROM d1))),
+u1 AS (SELECT u.*, m AS prior FROM u JOIN d2 USING (domain)),
+u2 AS (SELECT host, n, k, prior * z + k AS a, (1 - prior) * z + n - k AS b FROM u1, (SELECT (1 - rho) / rho AS z FROM (SELECT greatest({hosts.LEAST_RHO}, least({hosts.MOST_RHO}, coalesce(sum(CASE WHEN n > 0 THEN n * (k / n - prior) ** 2 - prior * (1 - prior) ELSE 0 END) / nullif(sum(CASE WHEN n > 0 THEN prior * (1 - prior) * (n - 1) ELSE 0 END), 0), {hosts.LEAST_RHO}))) AS rho FROM u1)))
+SELECT page_id, host, path, (SELECT rule FROM rules WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) ORDER BY length(rule) DESC LIMIT 1) AS rule,
+  coalesce((SELECT verdict FROM rules WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) ORDER BY length(rule) DESC LIMIT 1), CASE WHEN a / (a + b) - {hosts.Z} * sqrt(a * b / ((a + b) ** 2 * (a + b + 1))) > {hosts.MOST_BAD} THEN 'block' ELSE 'allow' END) AS verdict, n AS n_labelled, k AS n_bad
+FROM h JOIN u2 USING (host)
+""",
+    "op6_embedding_near_dedup": """
+WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND len(list_filter(embedding, lambda v: v <> 0)) > 0),
+l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM e a JOIN e b ON a.label = b.label AND len(a.x) = len(b.x) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
+c AS (SELECT vec_id AS u, vec_id AS v FROM embeddings UNION SELECT c.u, l.v FROM c JOIN l ON c.v = l.u)
+SELECT u AS vec_id, (SELECT count(*) FROM l WHERE l.u = c.u) AS n_links, min(v) AS component_id, u = min(v) AS kept FROM c GROUP BY u
+""",
+    "op10_ngram_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS o FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * o >= 80 * (a.n + b.n - o)),
+c AS (SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT c.u, l.v FROM c JOIN l ON c.v = l.u)
+SELECT c.u AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c.v) AS component_id FROM c LEFT JOIN n ON n.doc_id = c.u GROUP BY c.u
 """,
 }
