@@ -157,7 +157,7 @@ def test_grammar_expands_and_gives_random_access():
     r = np.random.default_rng(1)
     for ids in (r.integers(0, 50, 60_000), np.zeros(1000, int), r.integers(0, 9, 3), np.empty(0, int), np.tile([1, 2, 3, 4], 5000)):
         s, left, right, length = grammar.compress(ids.astype(np.uint32), 100)
-        assert (grammar.expand(s, 100, left, right) == ids).all() and len(s) <= len(ids)
+        assert (grammar.expand(s, 100, left, right, length) == ids).all() and len(s) <= len(ids)
         for a, b in ((0, len(ids)), (len(ids) // 3, len(ids) // 2), (5, 6)):
             if b <= len(ids):
                 assert (grammar.read_ids(s, 100, left, right, length, a, b) == ids[a:b]).all()

@@ -17,69 +17,86 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from tokenizers import Tokenizer
 
+from .bpe import Recent, byte_letters
+
 #: Id appended to every document.
 END = 1
 #: Ids of a shard, about: a document is never cut. Bounds the memory of a task.
 SHARD_IDS = 1 << 20
 #: Rounds of replacement, pairs replaced in a round, and occurrences that a pair needs.
-ROUNDS, PAIRS, LEAST_COUNT = 6, 1024, 24
+ROUNDS, PAIRS, LEAST_COUNT = 4, 4096, 24
 BITS = 18
 #: Words remembered by a worker; then only those used since are kept.
 CACHE = 1 << 19
 #: Characters on which str.split cuts but the tokenizer doesn't.
 _OWN_SPACE = re.compile("[\x1c-\x1f]")
+#: Fixed by the vocabulary: the pattern that its pre-tokenizer finds parts of words with, after lower-casing.
+_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _LOADED: dict[str, WordCoder] = {}
 
 
 class WordCoder:
-    """The tokenizers library, asked once for each different word: the vocabulary drops white space, so no token spans it."""
+    """The tokenizers library, asked once for each different part of a word.
+
+    The vocabulary drops white space and no token spans two parts, so a text's ids are those of its words' parts. Parts go
+    straight to the library's model; a text in which a word could come out otherwise alone goes to the library whole.
+    """
 
     def __init__(self, spec: str):
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        added = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.mark_id, self.mark = max(added.items())
-        self.added = tuple(added.values())
+        self.model = self.tokenizer.model
+        self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.from_byte = dict(enumerate(byte_letters()))
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.parts = Recent(CACHE)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        """Encodes many words in one call, a special token between them."""
-        for k in range(0, len(words), 4096):
-            some = words[k : k + 4096]
-            ids = np.array(self.tokenizer.encode(self.mark.join(some), add_special_tokens=False).ids, "<u4")
-            at = np.flatnonzero(ids == self.mark_id)
-            raw, cuts = ids.tobytes(), [-1, *at.tolist(), len(ids)]
-            for w, i, j in zip(some, cuts[:-1], cuts[1:], strict=True):
-                self.new[w] = raw[4 * (i + 1) : 4 * j]
+    def _word(self, word: str) -> bytes:
+        if not word.isascii():
+            word = unicodedata.normalize("NFC", word)
+        lower = word.lower() if "\u03a3" not in word else "".join(c.lower() for c in word)
+        out = []
+        for part in _PARTS.findall(lower):
+            ids = self.parts.new.get(part)
+            if ids is None:
+                ids = self.parts.get(part)
+                if ids is None:
+                    letters = part if part.isascii() else part.encode().decode("latin-1").translate(self.from_byte)
+                    ids = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+                    self.parts.put(part, ids)
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         plain = [t is not None and not any(a in t for a in self.added) and not _OWN_SPACE.search(t) for t in texts]
         words = [t.split() if p else [] for t, p in zip(texts, plain, strict=True)]
         if len(self.new) > CACHE // 2:
             self.old, self.new = self.new, {}
-        missing = set().union(*words).difference(self.new)
-        for w in [w for w in missing if w in self.old]:
-            self.new[w] = self.old[w]
-            missing.discard(w)
-        self._learn(list(missing))
-        get = self.new.__getitem__
+        new, old = self.new, self.old
+        for w in set().union(*words).difference(new):
+            ids = old.get(w)
+            new[w] = self._word(w) if ids is None else ids
+        get = new.__getitem__
         return [b"".join(map(get, w)) if p else self._whole(t or "") for t, w, p in zip(texts, words, plain, strict=True)]
 
 
@@ -103,14 +120,20 @@ def compress(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.nd
         held = np.bincount(bucket, minlength=1 << BITS)
         bar = max(LEAST_COUNT, int(np.partition(held, -2 * PAIRS)[-2 * PAIRS]))
         at = np.flatnonzero((held >= bar)[bucket])
-        pairs, which, n = np.unique(s[at].astype(np.uint64) << np.uint64(32) | s[at + 1], return_inverse=True, return_counts=True)
+        # Each full bucket stands for one of its pairs, whose occurrences are then counted exactly.
+        mine, pair = bucket[at], s[at].astype(np.uint64) << np.uint64(32) | s[at + 1]
+        stands = np.zeros(1 << BITS, np.uint64)
+        stands[mine] = pair
+        same = stands[mine] == pair
+        at, mine = at[same], mine[same]
+        n = np.bincount(mine, minlength=1 << BITS)
         chosen = np.argsort(-n, kind="stable")[:PAIRS]
         chosen = chosen[n[chosen] >= LEAST_COUNT]
         if not len(chosen):
             break
-        number = np.full(len(pairs), -1, np.int64)
+        number = np.full(1 << BITS, -1, np.int32)
         number[chosen] = np.arange(len(chosen))
-        hit = number[which]
+        hit = number[mine]
         at, hit = at[hit >= 0], hit[hit >= 0]
         # Of matches that overlap (neighbours), every second one from the start of the run is replaced.
         starts = np.append(True, np.diff(at) != 1)
@@ -122,7 +145,7 @@ def compress(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.nd
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
         s = s[keep]
-        a, b = (pairs[chosen] >> np.uint64(32)).astype(np.uint32), (pairs[chosen] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        a, b = (stands[chosen] >> np.uint64(32)).astype(np.uint32), (stands[chosen] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         sized = np.concatenate([np.ones(first, np.int64), length])
         length = np.append(length, sized[a] + sized[b])
         left.append(a)
@@ -131,8 +154,8 @@ def compress(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return s, np.concatenate(left), np.concatenate(right), length.astype(np.uint32)
 
 
-def expand(symbols: np.ndarray, first: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The ids of a sequence of symbols."""
+def _unrolled(symbols: np.ndarray, first: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The ids of a few symbols, rule by rule, level by level."""
     s = symbols
     while len(s) and s.max() >= first:
         at = s >= first
@@ -145,13 +168,25 @@ def expand(symbols: np.ndarray, first: int, left: np.ndarray, right: np.ndarray)
     return s
 
 
+def expand(symbols: np.ndarray, first: int, left: np.ndarray, right: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The ids of a sequence of symbols: each rule is unrolled once, the sequence then gathered from all rules' ids."""
+    if not len(length):
+        return symbols
+    table = np.concatenate([np.arange(first, dtype=np.uint32), _unrolled(np.arange(first, first + len(length), dtype=np.uint32), first, left, right)])
+    size = np.concatenate([np.ones(first, np.int64), length.astype(np.int64)])
+    begin = np.cumsum(size) - size
+    n = size[symbols]
+    end = np.cumsum(n)
+    return table[np.repeat(begin[symbols] - end + n, n) + np.arange(end[-1] if len(end) else 0)]
+
+
 def read_ids(symbols: np.ndarray, first: int, left: np.ndarray, right: np.ndarray, length: np.ndarray, start: int, stop: int) -> np.ndarray:
     """Ids start to stop of a shard: only the symbols that cover them are expanded."""
     size = np.where(symbols >= first, length[np.maximum(symbols, first) - np.uint32(first)] if len(length) else 1, 1).astype(np.int64)
     end = np.cumsum(size)
     i, j = np.searchsorted(end, start, "right"), np.searchsorted(end, stop, "left") + 1
     base = end[i] - size[i] if i < len(end) else start
-    return expand(symbols[i:j], first, left, right)[start - base : stop - base]
+    return expand(symbols[i:j], first, left, right, length)[start - base : stop - base]
 
 
 _FORMAT = "part int, shard int, n_ids long, doc_ids array<long>, ends array<long>, first int, left binary, right binary, length binary, symbols binary"
@@ -211,8 +246,8 @@ def decode(shards: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                left, right, symbols = (np.frombuffer(r[k], "<u4") for k in ("left", "right", "symbols"))
-                ids, ends = expand(symbols, r["first"], left, right), np.array(r["ends"], np.int64)
+                left, right, length, symbols = (np.frombuffer(r[k], "<u4") for k in ("left", "right", "length", "symbols"))
+                ids, ends = expand(symbols, r["first"], left, right, length), np.array(r["ends"], np.int64)
                 starts = np.append(0, ends[:-1])
                 for k in range(0, len(ends), 1000):
                     e, s = ends[k : k + 1000], starts[k : k + 1000]
