@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions.similarity import name_similarity, types_compatible
+from ..sources.tables import cut
 
 THRESHOLD, SAMPLE, MATCH = 0.8, 25, 0.8
 _KEY = ("schema_name", "table_name", "column_name")
@@ -59,6 +60,7 @@ def verify(found: DataFrame, tables: dict[str, DataFrame], sample: int = SAMPLE,
     The sample are the smallest different values, so that it is the same each time. One plan serves all candidates; the
     list of columns in question is metadata and is read on the driver.
     """
+    found = cut(found, "candidates")  # as many rows as column pairs
     names = [tuple(r) for r in found.select("from_table_name", "from_column_name").distinct().collect()]
     targets = [tuple(r) for r in found.select("to_table_name", "to_column_name").distinct().collect()]
     scalar = lambda t, c: not isinstance(tables[t].schema[c].dataType, (T.ArrayType, T.MapType, T.StructType))
