@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tracewright import fixtures as X
 from tracewright.functions import similarity as S
 from tracewright.functions import text as N
-from tracewright.operators import batching, glossary, graph, reports, schema, trees, vectors
+from tracewright.operators import batching, glossary, graph, reports, schema, search, trees, vectors
 from tracewright.plans import ddl, detect, lineage, providers
 
 ANY = st.text(alphabet="ab _c", max_size=8)
@@ -211,3 +211,12 @@ def test_stories_and_reports(spark):
     assert reports.markdown(nested).first().text == "## Unit\ndoes\n### US-1\n- As clerk, I want see, so that sell\n#### AC-1 t\n- Given g\n- When w\n- Then n"
     usage = reports.table_usage(spark.createDataFrame([("u", "t<", "r", 1, "c")], "unit string, table_name string, operation string, line int, context string"))
     assert "<td>t&lt;</td>" in reports.html(usage).first().html
+
+
+def test_search_hints(spark):
+    message = 'column "region" does not exist. Perhaps you meant to reference the column "t"."area".'
+    assert spark.range(1).select(search.error_hints(F.lit(message)).alias("x")).first().x == ["region", "t.area"]
+    values = spark.createDataFrame([("Seoul",), ("Busan",), (None,)], "v string")
+    assert [tuple(r) for r in search.by_prefix(values, "seoulxyz", "v").collect()] == [("Seoul", "seoul")] and search.by_prefix(values, "zz", "v").count() == 0
+    terms = spark.createDataFrame([("SEOUL",), ("Buzan",), ("x",)], "term string")
+    assert {tuple(r) for r in search.map_values(terms, values.select(F.col("v").alias("value"))).collect()} == {("SEOUL", "Seoul", "EXACT"), ("Buzan", "Busan", "SIMILAR")}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import fixtures as X
 from .functions import similarity as S
 from .functions import text as N
-from .operators import batching, glossary, graph, reports, schema, trees, vectors
+from .operators import batching, glossary, graph, reports, schema, search, trees, vectors
 from .plans import catalog, ddl, detect, fk, lineage, providers
 from .sources.tables import shared_dir
 from .streaming import events
@@ -431,6 +431,31 @@ def semantic_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.search_text(part, first.description if first else "", 5)
 
 
+@query
+def prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.by_prefix(_t(spark, sf_dir, "nation"), "nation_1x9", "n_name")
+
+
+@query
+def ranked_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _keys(spark).select(F.col("from_table").alias("table_name")).union(spark.createDataFrame([("alone",)], "table_name string")).distinct()
+    out = search.ranked(names.withColumn("similarity", F.length("table_name") / 10), graph.importance(_keys(spark)))
+    return out.select("table_name", F.round("score", 4).alias("score"))
+
+
+@query
+def past_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _t(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") / 50).alias("similarity"), (F.col("p_partkey") % 11 / 10).alias("success_rate"), (F.col("p_partkey") % 3 / 2).alias("usage"))
+    return search.past_questions(c.orderBy("p_partkey").limit(50)).select("p_partkey", F.round("final_score", 4).alias("final_score"), "action")
+
+
+@query
+def mapped_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = _t(spark, sf_dir, "part").select(F.when(F.col("p_partkey") % 2 == 0, F.upper("p_type")).otherwise(F.concat("p_type", F.lit("x"))).alias("term")).distinct()
+    values = _t(spark, sf_dir, "part").select(F.col("p_type").alias("value"))
+    return search.map_values(terms, values, S.levenshtein_similarity(F.col("term"), F.col("value")))
+
+
 # Glossary, stars, reports, events
 
 
