@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Character n-grams of these lengths are hashed into BUCKETS features; a feature is present in a text or it isn't.
 ORDERS = (3, 4, 5)
 BUCKETS = 1 << 20
@@ -18,7 +20,7 @@ TRAIN_ROWS_PER_CLASS = 3000
 #: A feature enters the model if so many sample texts hold it and its log-count ratio is at least so far from 0.
 MIN_TEXTS, MIN_RATIO = 5, 1.5
 #: Characters that are turned into features at a time; bounds memory, not the text.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 @dataclass
@@ -75,15 +77,16 @@ def fit(texts: list[str], labels: list[int], rounds: int = 300) -> Model:
     if not len(y) or y.min() == y.max():
         none.bias = 0.0 if not len(y) else float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
         return none
-    keys = [start * BUCKETS + k for start, k in features(texts)]
-    keys = np.concatenate(keys)
-    row, bucket = keys >> 20, (keys & (BUCKETS - 1)).astype(np.int64)
-    pos = np.bincount(bucket, y[row], BUCKETS)
-    neg = np.bincount(bucket, 1 - y[row], BUCKETS)
+    # Two passes over the texts: the first keeps counts alone, the second the few features that the model may use.
+    pos, neg = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32)
+    for start, keys in features(texts):
+        one = y[start + (keys >> 20)] > 0
+        np.add.at(pos, keys[one] & (BUCKETS - 1), 1)
+        np.add.at(neg, keys[~one] & (BUCKETS - 1), 1)
     ratio = np.log(((pos + 1) / (y.sum() + 2)) / ((neg + 1) / ((1 - y).sum() + 2)))
     chosen = (pos + neg >= MIN_TEXTS) & (np.abs(ratio) >= MIN_RATIO)
-    at = chosen[bucket]
-    row, bucket = row[at], bucket[at]
+    keys = np.concatenate([start * BUCKETS + k for start, k in features(texts, chosen)] or [np.empty(0, np.int64)])
+    row, bucket = keys >> 20, keys & (BUCKETS - 1)
     names, col = np.unique(bucket, return_inverse=True)
     value = ratio[bucket]
     w, bias, n = np.zeros(len(names)), 0.0, len(y)
@@ -151,7 +154,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         weights, keep = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, bool)
         weights[at], keep[at] = values, True
         m = Model(weights, bias)
-        for b in batches:
+        for b in slices(batches):
             texts = b.column("text").to_pylist()
             margin = np.zeros(len(texts))
             for start, keys in features(texts, keep):
