@@ -22,12 +22,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType
 
+from .common import slices
+
 #: Fixed by the vocabulary format: how its byte-level pre-tokenizer splits a text into words.
 WORD = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: A space that isn't the start of a word. Without one, a text can be cut before each space.
 ODD_SPACE = re.compile(r" (?=\s|\Z)")
 #: Entries of each cache of words; then only those used since are kept.
-CACHE = 1 << 18
+CACHE = 1 << 17
 #: Tables by vocabulary, kept in the Python worker from task to task.
 _LOADED: dict[str, Codec] = {}
 
@@ -72,27 +74,33 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in data.get("added_tokens", [])}
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         size = max([*vocab.values(), *self.special.values()]) + 1
+        self.vocab, self.merges, self.automaton = vocab, merges, None
+        raw, to_byte = [b""] * size, {c: i for i, c in enumerate(self.letters)}
+        for token, i in vocab.items():
+            raw[i] = bytes(to_byte[c] for c in token)
+        for token, i in self.special.items():
+            raw[i] = token.encode()
+        self.offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+        self.blob = np.frombuffer(b"".join(raw), np.uint8)
+
+    def _prepare(self) -> None:
+        """The encoder's tables; a worker that only decodes doesn't need them."""
+        size = len(self.offsets) - 1
         self.left, self.right = list(range(size)), list(range(size))
         self.pair: dict[tuple[int, int], int] = {}
-        for i, (a, b) in enumerate(merges):
-            self.left[256 + i], self.right[256 + i] = vocab[a], vocab[b]
-            self.pair[vocab[a], vocab[b]] = 256 + i
-        self.automaton = ahocorasick.Automaton()
-        self.length, self.shorter, raw = [0] * size, [-1] * size, [b""] * size
-        to_byte = {c: i for i, c in enumerate(self.letters)}
-        for token, i in vocab.items():
+        for i, (a, b) in enumerate(self.merges):
+            self.left[256 + i], self.right[256 + i] = self.vocab[a], self.vocab[b]
+            self.pair[self.vocab[a], self.vocab[b]] = 256 + i
+        self.automaton, self.length, self.shorter = ahocorasick.Automaton(), [0] * size, [-1] * size
+        for token, i in self.vocab.items():
             self.automaton.add_word(token, i)
             self.length[i] = len(token)
-            raw[i] = bytes(to_byte[c] for c in token)
             for k in range(len(token) - 1, 0, -1):
-                if (p := vocab.get(token[:k])) is not None:
+                if (p := self.vocab.get(token[:k])) is not None:
                     self.shorter[i] = p
                     break
         self.automaton.make_automaton()
-        for token, i in self.special.items():
-            raw[i] = token.encode()
-        self.offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
-        self.blob = np.frombuffer(b"".join(raw), np.uint8)
+        self.vocab, self.merges = {}, []
         self.compatible: dict[tuple[int, int], bool] = {}
         self.words, self.pieces = Recent(2 * CACHE), Recent(CACHE)
 
@@ -100,7 +108,7 @@ class Codec:
         """Whether the merges leave a and b as neighbours: no earlier merge joins the tokens that meet at their border."""
         got = self.compatible.get((a, b))
         if got is None:
-            if len(self.compatible) > 4 * CACHE:
+            if len(self.compatible) > 2 * CACHE:
                 self.compatible.clear()
             got = self.compatible[a, b] = self._fits(a, b)
         return got
@@ -188,6 +196,8 @@ class Codec:
         return self._piece(first) + b"".join(found)
 
     def encode(self, text: str) -> np.ndarray:
+        if self.automaton is None:
+            self._prepare()
         if self.split_special is None or not any(s in text for s in self.special):
             return np.frombuffer(self._plain(text), "<i4")
         parts = self.split_special.split(text)
@@ -213,12 +223,6 @@ def _joined(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *arrays]), pa.int32()))
 
 
-def _batches(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
-
-
 def encode(docs: DataFrame, vocabulary: str | Path, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with the token ids of a column of texts; null counts as empty and has no ids.
 
@@ -231,7 +235,7 @@ def encode(docs: DataFrame, vocabulary: str | Path, text: str = "text", ids: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(spec.value)
-        for b in _batches(batches):
+        for b in slices(batches):
             rows = [c.encode(t or "") for t in b.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), _joined(rows)], names=[*kept, ids])
 
@@ -246,7 +250,7 @@ def decode(encoded: DataFrame, vocabulary: str | Path, ids: str = "ids", text: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(spec.value)
-        for b in _batches(batches):
+        for b in slices(batches):
             column = b.column(ids)
             flat, ends = np.asarray(column.flatten()), np.cumsum(np.asarray(column.value_lengths().fill_null(0)))
             rows = [c.decode(flat[i:j]) for i, j in zip(np.append(0, ends[:-1]), ends, strict=True)] if len(ends) else []

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, slices
 
 WORDS, PERCENT = 5, 80
 LEAST = 32
@@ -36,7 +36,7 @@ LEAST = 32
 LIGHT_MOST = 16
 #: Orders of documents by which the leaders of different inverted lists are chosen where several are equally good.
 LEADERS = 4
-CACHE = 1 << 18
+CACHE = 1 << 17
 _WORD = re.compile(r"[^ \t\n\x0b\f\r]+")
 _UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -79,7 +79,7 @@ def needed(a: int, b: int, percent: int = PERCENT) -> int:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[str, int] = {}
-    for b in batches:
+    for b in slices(batches):
         rows = [shingles(t, known) for t in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [b.column("doc_id"), pa.array([len(x) for x in rows], pa.int64()), pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in rows], pa.binary()), pa.array([x[:LEAST] for x in rows], pa.list_(pa.int64()))],
@@ -89,7 +89,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[str, int] = {}
-    for b in batches:
+    for b in slices(batches):
         rows = [shingles(t, known) for t in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in rows], pa.int64()), pa.array(rows, pa.list_(pa.int64()))], names=["doc", "n", "shingles"])
 
