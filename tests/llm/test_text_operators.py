@@ -88,6 +88,50 @@ def test_line_dedup_matches_brute_force(spark):
     assert got[6] == "" and "end" in got[3] and got[4] == docs[4][1] and got[9] == docs[9][1]
 
 
+def all_runs_cut(docs: list[tuple], n: int) -> dict:
+    """The texts without any run of lines of n words or more that equals an earlier one: every diagonal of every two texts."""
+    split = {i: [(k, x.lower(), len(x.split())) for k, x in enumerate(t.split("\n")) if x.split()] for i, t in docs}
+    gone = {i: set() for i in split}
+    for b, later in split.items():
+        for a in (a for a in split if a <= b):
+            for diag in range(1 if a == b else 1 - len(split[a]), len(later)):
+                run = []
+                for p in range(max(0, diag), min(len(later), len(split[a]) + diag) + 1):
+                    if p < min(len(later), len(split[a]) + diag) and later[p][1] == split[a][p - diag][1]:
+                        run.append(later[p])
+                        continue
+                    if sum(w for _, _, w in run) >= n:
+                        gone[b] |= set(range(run[0][0], run[-1][0] + 1))
+                    run = []
+    return {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in docs}
+
+
+def test_line_dedup_finds_runs_whose_lines_stood_elsewhere_first(spark):
+    r = random.Random(8)
+    line = lambda n: " ".join(r.choice(WORDS) + str(r.randrange(9)) for _ in range(n))
+    parts = [line(n) for n in (44, 10, 8, 20, 30)]
+    # each line's first place is a text of its own; the run of 112 words stands in 10 first
+    docs = [(i, f"{x}\n{line(9)}") for i, x in enumerate(parts)] + [(10, "\n".join(parts)), (11, "\n".join([line(3), *parts, line(4)]))]
+    got = {x.doc_id: x.text for x in lines.dedup_lines(rows(spark, docs)).collect()}
+    assert len(got[11].split("\n")) == 2 and got[10] == docs[5][1] and got == all_runs_cut(docs, 50)
+    # a short line that ends a run, first met after a long line that had another one after it
+    long, end = line(60), line(5)
+    docs = [(1, f"{long}\n{line(6)}"), (2, f"{long}\n\n{end}"), (3, f"{long}\n\n{end}\nrest")]
+    assert {x.doc_id: x.text for x in lines.dedup_lines(rows(spark, docs)).collect()} == all_runs_cut(docs, 50) == dict(docs) | {2: f"\n{end}", 3: "rest"}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_line_dedup_matches_all_equal_runs(spark, seed):
+    r = random.Random(seed)
+    pool = [" ".join(f"a{i}x{j}" for j in range(r.choice((2, 3, 5, 9, 13)))) for i in range(r.choice((2, 4, 12)))] + ["", " "]
+    docs = [(i, "\n".join(r.choice(pool) for _ in range(r.randrange(1, 16)))) for i in range(40)]
+    for i in range(40, 80):  # copies of parts, some edited
+        x, y = (r.choice(docs)[1].split("\n") for _ in range(2))
+        docs.append((i, "\n".join(x[r.randrange(len(x)) :] + y[: r.randrange(len(y) + 1)] + [r.choice(pool)])))
+    want = all_runs_cut(docs, 12)
+    assert {x.doc_id: x.text for x in lines.dedup_lines(rows(spark, docs), 12).collect()} == want and want != dict(docs)
+
+
 def test_line_dedup_edge_rows(spark):
     long = " ".join(f"k{i}" for i in range(70))
     df = rows(spark, [(None, long), (1, None), (2, ""), (3, long), (3, long), (4, "one line")]).withColumn("n_lines", F.lit("clash"))

@@ -1,11 +1,13 @@
-"""Line dedup: winnowing over line hashes (Schleimer et al., 2003), with DataFrame functions only.
+"""Line dedup: equal windows of whole lines, with DataFrame functions only.
 
 1. Each non-blank line gets a hash of its lower-cased text with white space folded, and its number of words.
-2. Windows: from each line, the fewest lines that reach MIN_WORDS words. The least hash of each window is a fingerprint,
-   so two equal runs of that many words share one for certain.
-3. Fingerprints are joined with the first place (document, line) that has them.
-4. Each pair of places is extended line by line both ways along its diagonal; runs of at least MIN_WORDS words go.
+2. Windows: each line that has MIN_WORDS words alone; from each line on, the fewest lines, two or more, that reach
+   MIN_WORDS words; and the same backwards from each line. A window's key is a hash of its whole sequence of lines.
+3. A window goes if one of the same key stands earlier; the lines between its first and its last one go with it.
 
+This is all of every run of MIN_WORDS words or more that equals an earlier one: any two neighbours in such a run lie in a
+window inside it, the first line's forward window, their own, or the last line's backward one, and whatever the place
+where that window stood first, it stood earlier. No pairs of places are made: the work is linear in lines.
 Every line's first place stays, since a line is only deleted where an equal one stands earlier.
 """
 
@@ -29,48 +31,41 @@ _LINES = """
     x -> x.w > 0)
 """
 
-#: Walks down the diagonal: (first line of the open run, its words, closed runs).
-_RUNS = """
-  aggregate(
-    sequence(greatest(0, diag), least(size(later.h), size(first.h) + diag) - 1),
-    struct(0 AS s, 0L AS w, cast(array() AS array<struct<s:int,e:int>>) AS runs),
-    (acc, p) -> if(get(later.h, p) = get(first.h, p - diag),
-      struct(if(acc.w = 0, p, acc.s) AS s, acc.w + get(later.w, p) AS w, acc.runs AS runs),
-      struct(0 AS s, 0L AS w, if(acc.w >= {n}, array_append(acc.runs, struct(acc.s AS s, p - 1 AS e)), acc.runs) AS runs)),
-    acc -> if(acc.w >= {n}, array_append(acc.runs, struct(acc.s AS s, least(size(later.h), size(first.h) + diag) - 1 AS e)), acc.runs))
-"""
-
-
 def line_table(docs: DataFrame) -> DataFrame:
     """(doc_id, th, lines): one row per different (doc_id, text); lines are non-blank: hash h, words w, place i in the text."""
     return docs.select("doc_id", F.xxhash64("text").alias("th"), F.expr(_LINES).alias("lines")).where("size(lines) > 0").dropDuplicates(["doc_id", "th"])
 
 
-def fingerprints(lines: DataFrame, min_words: int) -> DataFrame:
-    """(h, doc_id, th, p): the chosen minimum of every window that reaches min_words; p counts non-blank lines."""
-    each = lines.select("doc_id", "th", F.posexplode("lines").alias("p", "x")).select("doc_id", "th", "p", "x.h", F.col("x.w").cast("long").alias("w"))
+def windows(lines: DataFrame, min_words: int) -> DataFrame:
+    """(k, h, doc_id, th, s, e): every window of the texts with its key, the hashes of its lines and of its first one; s and e are its first and last place."""
+    each = lines.select("doc_id", "th", F.posexplode("lines").alias("p", "x")).select("doc_id", "th", "p", "x.h", F.col("x.w").cast("long").alias("w"), "x.i")
     doc = W.partitionBy("doc_id", "th")
-    each = each.withColumn("before", F.sum("w").over(doc.orderBy("p")) - F.col("w"))
-    window = doc.orderBy("before").rangeBetween(0, min_words - 1)
-    least = each.select("doc_id", "th", F.min(F.struct("h", "p")).over(window).alias("least"), F.sum("w").over(window).alias("words"))
-    return least.where(F.col("words") >= min_words).select("least.h", "doc_id", "th", "least.p").distinct()
+    each = each.withColumn("upto", F.sum("w").over(doc.orderBy("p"))).withColumn("before", F.col("upto") - F.col("w"))
+    order = doc.orderBy("before")
+    ahead, back = order.rangeBetween(0, min_words - 1), doc.orderBy("upto").rangeBetween(1 - min_words, 0)
+    following = {"hs": F.collect_list("h").over(ahead), "last": F.max("i").over(ahead), "words": F.sum("w").over(ahead), "next_h": F.lead("h").over(order), "next_i": F.lead("i").over(order)}
+    each = each.withColumns(following).withColumns({"back_hs": F.collect_list("h").over(back), "first": F.min("i").over(back), "back_words": F.sum("w").over(back)})
+    window = lambda hs, s, e: F.struct(F.xxhash64(hs).alias("k"), F.get(hs, F.lit(0)).alias("h"), F.col(s).alias("s"), F.col(e).alias("e"))
+    long = F.col("w") >= min_words
+    alone = F.when(long, window(F.array("h"), "i", "i"))
+    forward = F.when(long & F.col("next_i").isNotNull(), window(F.array("h", "next_h"), "i", "next_i")).when(~long & (F.col("words") >= min_words), window(F.col("hs"), "i", "last"))
+    # where the lines before the last one don't reach min_words, or it does alone, the window is its first line's forward one
+    backward = F.when(~long & (F.col("back_words") - F.col("w") >= min_words), window(F.col("back_hs"), "first", "i"))
+    found = each.select("doc_id", "th", F.explode(F.filter(F.array(alone, forward, backward), lambda x: x.isNotNull())).alias("x"))
+    return found.select("x.k", "x.h", "doc_id", "th", "x.s", "x.e")
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, th, runs): for texts with runs to delete, runs as struct(s, e), first and last place among the text's lines."""
-    lines = cut(line_table(docs), "lines")
-    found = cut(fingerprints(lines, min_words), "fingerprints")
-    first = found.groupBy("h").agg(F.min(F.struct("doc_id", "th", "p")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("fh"), "first")
-    match = found.join(first, found.h == first.fh).where("NOT (doc_id <=> first.doc_id AND th = first.th AND p = first.p)")
-    match = match.select("doc_id", "th", F.col("first.doc_id").alias("first_id"), F.col("first.th").alias("first_th"), (F.col("p") - F.col("first.p")).alias("diag")).distinct()
-    arrays = lines.select("doc_id", "th", F.struct(F.col("lines.h").alias("h"), F.col("lines.w").alias("w"), F.col("lines.i").alias("i")).alias("x"))
-    later = arrays.select(F.col("doc_id").alias("b"), F.col("th").alias("bh"), F.col("x").alias("later"))
-    early = arrays.select(F.col("doc_id").alias("a"), F.col("th").alias("ah"), F.col("x").alias("first"))
-    pairs = match.join(later, match.doc_id.eqNullSafe(later.b) & (match.th == later.bh))
-    pairs = pairs.join(early, pairs.first_id.eqNullSafe(early.a) & (pairs.first_th == early.ah))
-    runs = pairs.select("doc_id", "th", "later", F.expr(_RUNS.format(n=min_words)).alias("runs")).where("size(runs) > 0")
-    runs = runs.select("doc_id", "th", F.expr("transform(runs, r -> struct(later.i[r.s] AS s, later.i[r.e] AS e))").alias("runs"))
-    return runs.groupBy("doc_id", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("runs")))).alias("runs"))
+    found = cut(windows(line_table(docs), min_words), "windows")
+    first = found.groupBy("k", "h").agg(F.min(F.struct("doc_id", "th", "s")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("k").alias("fk"), F.col("h").alias("fh"), "first")
+    gone = found.join(first, (found.k == first.fk) & (found.h == first.fh)).where("NOT (doc_id <=> first.doc_id AND th = first.th AND s = first.s)").select("doc_id", "th", "s", "e")
+    doc = W.partitionBy("doc_id", "th").orderBy("s")
+    # windows that overlap are merged into runs
+    opens = F.coalesce(F.col("s") > F.max("e").over(doc.rowsBetween(W.unboundedPreceding, -1)), F.lit(True))
+    runs = gone.withColumn("opens", opens.cast("int")).withColumn("run", F.sum("opens").over(doc.rowsBetween(W.unboundedPreceding, 0)))
+    runs = runs.groupBy("doc_id", "th", "run").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    return runs.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("runs"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
