@@ -1,5 +1,8 @@
+import random
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tracewright import fixtures as X
@@ -55,6 +58,39 @@ def test_batches_match_the_plain_fold(spark, groups):
         assert all(len(b) == 1 or sum(r.tokens for r in b) <= batching.BATCH and not any(r.alone for r in b) for b in sums.values())
 
 
+def test_threads_tell_the_fold_from_every_open_batch():
+    r = random.Random(4)
+    for _ in range(300):
+        limit = r.choice((3, 10, 30))
+        xs = [(r.random() < r.choice((0, 0.1)), None if r.random() < 0.02 else r.randrange(r.choice((2, 5, limit + 5)))) for _ in range(r.randrange(1, 40))]
+        threads = batching._Threads(limit)
+        for a, x in xs:
+            threads.add(a, x)
+        made = threads.made()
+        m = Row(**made | {k: made[k] and Row(**made[k]) for k in ("rest", "none")})
+        assert len(m.bounds) <= limit + 2
+        for t in (None, *range(limit + 4)):
+            b, u = 7, t
+            for a, x in xs:
+                b, u = batching._step(b, u, a, x, limit)
+            assert batching._after(m, 7, t, limit) == (b, u)
+
+
+def test_a_group_of_all_rows_is_batched_by_many_tasks(spark):
+    r = random.Random(6)
+    for top in (1, 3, 700):
+        rows = [("g", i, r.randint(0, top), r.random() < 0.01) for i in range(4000)] + [("h", 0, 5, False), (None, 0, 5, False)]
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            df = batching.greedy(spark.createDataFrame(rows, "g string, i int, tokens int, alone boolean"), ["g"], ["i"], "tokens", "alone")
+            got = df.withColumn("task", F.spark_partition_id()).orderBy("i").collect()
+        finally:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        one = [x for x in got if x.g == "g"]
+        assert [x.batch for x in one] == greedy([x[2] for x in rows[:4000]], [x[3] for x in rows[:4000]], batching.BATCH)
+        assert len({x.task for x in one}) > 2 and [x.batch for x in got if x.g != "g"] == [1, 1]
+
+
 def test_batch_example(spark):
     rows = [(1, 400, False), (2, 500, False), (3, 300, False), (4, 900, True), (5, 50, False)]
     got = batching.greedy(spark.createDataFrame([("f", *r) for r in rows], "f string, i int, tokens int, alone boolean"), ["f"], ["i"], "tokens", "alone")
