@@ -256,3 +256,19 @@ def test_search_hints(spark):
     assert [tuple(r) for r in search.by_prefix(values, "seoulxyz", "v").collect()] == [("Seoul", "seoul")] and search.by_prefix(values, "zz", "v").count() == 0
     terms = spark.createDataFrame([("SEOUL",), ("Buzan",), ("x",)], "term string")
     assert {tuple(r) for r in search.map_values(terms, values.select(F.col("v").alias("value"))).collect()} == {("SEOUL", "Seoul", "EXACT"), ("Buzan", "Busan", "SIMILAR")}
+
+
+def test_values_are_mapped_whatever_their_first_letter(spark):
+    values = ["standard anodized tin", "small plated brass", "Xenon", "orders", "total_amount", "amount_total", "b", None]
+    terms = ["xstandard anodized tin", "mall plated brass", "xtandard anodized tin", "rders", "Zenon", "amount total", "b", "c", ""]
+    v, t = spark.createDataFrame([(x,) for x in values], "value string"), spark.createDataFrame([(x,) for x in terms], "term string")
+    got = {tuple(r) for r in search.map_values(t, v, S.levenshtein_similarity(F.col("term"), F.col("value"))).collect()}
+    similar = {("xstandard anodized tin", "standard anodized tin"), ("xtandard anodized tin", "standard anodized tin"), ("mall plated brass", "small plated brass"), ("rders", "orders"), ("Zenon", "Xenon"), ("amount total", "amount_total")}
+    assert got == {(*x, "SIMILAR") for x in similar} | {("b", "b", "EXACT")}
+    # the other similarity against every pair
+    want = {}
+    for x in terms:
+        s = [(0.5 * S.indel(x.lower(), y.lower()) + 0.5 * S.weighted(x.lower(), y.lower()), y) for y in values if y]
+        if x != "b" and max(s)[0] >= search.VALUE:
+            want[x] = max(s)[1]
+    assert {(r.term, r.value) for r in search.map_values(t, v).where("kind = 'SIMILAR'").collect()} == set(want.items()) >= similar - {("Zenon", "Xenon")}

@@ -52,11 +52,21 @@ def error_hints(message: Column) -> Column:
 
 
 def map_values(terms: DataFrame, values: DataFrame, similarity: Column | None = None, least: float = VALUE) -> DataFrame:
-    """(term, value, kind): each term's stored value: an equal one (case ignored), else the most similar that starts alike."""
+    """(term, value, kind): each term's stored value: an equal one (case ignored), else the most similar of all.
+
+    Half of name_similarity is at most 0.5 and its other half the insert-delete similarity, so that one is 2 * least - 1 or
+    more; this bounds the shorter length, and levenshtein_similarity is bounded closer. Terms meet the values whose lengths
+    are within the bound, no others; least must be over 0.5. Work grows with the pairs of distinct terms and values of like length.
+    """
+    if least <= 0.5:
+        raise ValueError("least must be over 0.5")
     v = values.select("value").where(F.col("value").isNotNull()).distinct()
     exact = terms.join(v, F.lower("term") == F.lower("value")).groupBy("term").agg(F.min("value").alias("value")).withColumn("kind", F.lit("EXACT"))
     rest = terms.select("term").distinct().join(exact, "term", "left_anti")
-    near = rest.join(v, F.lower(F.substring("term", 1, 1)) == F.lower(F.substring("value", 1, 1)))
+    share = (2 * least - 1) / (3 - 2 * least)  # of the longer length
+    n = F.length(F.lower("term"))
+    near = rest.withColumn("n", F.explode(F.sequence(F.floor(n * share - 1e-9), F.ceil(n / share + 1e-9))))
+    near = near.join(v.withColumn("size", F.length(F.lower("value"))), F.col("n") == F.col("size"))
     score = similarity if similarity is not None else name_similarity("term", "value")
     near = near.withColumn("s", score).where(F.col("s") >= least).groupBy("term").agg(F.max(F.struct("s", "value")).alias("b")).select("term", F.col("b.value").alias("value"), F.lit("SIMILAR").alias("kind"))
     return exact.unionByName(near)
