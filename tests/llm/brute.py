@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 
+import regex
+
 
 def find(parent: dict, x):
     while parent[x] != x:
@@ -77,3 +80,39 @@ def cut_runs(docs: list[tuple], key, n: int = 50) -> dict:
                         gone[b] |= set(range(lines[b][run[0]][2], lines[b][run[-1]][2] + 1))
                     run = []
     return {i: (t if i not in gone else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i])) for i, t in docs}
+
+
+def disclosed_terms(docs: list[tuple], base) -> set[str]:
+    """The terms over the thresholds of docs (doc_id, text). base: text -> base spans (kind, start, end)."""
+    from tracewright.llm import pii
+
+    letters = lambda t: set(regex.findall(r"[\p{L}\p{M}]+", (t or "").lower()))
+    docs = set(docs)
+    held = {d: letters(d[1]) for d in docs}
+    both, contexts, having = defaultdict(set), defaultdict(set), defaultdict(set)
+    for d in docs:
+        t, spans = d[1] or "", base(d[1])
+        for kind, s, e in spans:
+            # contexts reach from one match of the kind to the next, whether the matches count or not
+            edges = [(m.start(), m.end()) for m in re.finditer(pii_patterns()[kind], t)]
+            before, after = t[max((y for _, y in edges if y <= s), default=0) : s], t[e : min((x for x, _ in edges if x >= e), default=len(t))]
+            if len(before) > pii.NEAR:
+                before = regex.sub(r"^[\p{L}\p{M}]+", "", before[-pii.NEAR :])
+            if len(after) > pii.NEAR:
+                after = regex.sub(r"[\p{L}\p{M}]+$", "", after[: pii.NEAR])
+            near, entity = before.split("\n")[-1] + " " + after.split("\n")[0], (kind, t[s:e].lower())
+            having[entity].add(d)
+            for w in letters(near):
+                both[w, entity].add(d)
+                contexts[w, entity].add(near)
+    out = set()
+    for (w, entity), x in both.items():
+        n = sum(w in h for h in held.values())
+        if len(contexts[w, entity]) >= pii.LEAST_CONTEXTS and len(x) >= pii.LEAST_SHARE * n and math.log2(len(x) * len(docs) / (n * len(having[entity]))) >= pii.LEAST_BITS:
+            out.add(w)
+    return out
+
+
+def pii_patterns() -> dict[str, str]:
+    """The base patterns as they are given."""
+    return {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}

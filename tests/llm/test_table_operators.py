@@ -5,10 +5,12 @@ import re
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from tests.llm import brute
 from tracewright.llm import hosts, pii, sharding, vectors
+from tracewright.llm.common import cut
 
 DOC = "doc_id long, text string"
 
@@ -47,7 +49,7 @@ def test_packing_prefers_what_is_left():
     assert a[0] != a[1] and a[2] != a[3]
 
 
-BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+BASE = brute.pii_patterns()
 
 
 def luhn(d: str) -> bool:
@@ -88,6 +90,43 @@ def test_terms_that_disclose_are_spans(spark):
     assert pii.find(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_terms_match_brute_force(spark, seed):
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("aeioulmnrst") for _ in range(r.choice((1, 2, 3, 6))))
+    people = [(f"p{i}@x{i}.org", f"Näme{chr(97 + i)}", f"{i + 1}.2.3.4") for i in range(24)]
+    docs = []
+    for i in range(300):
+        t = [word() for _ in range(r.randint(3, 60))]
+        for _ in range(r.choice((0, 0, 1, 2))):
+            mail, name, ip = r.choice(people)
+            k = r.randrange(len(t))
+            t[k:k] = r.choice(([name, mail], [mail, word(), name, "\n" if r.random() < 0.3 else word()], [name] * 2, [mail, "999.1.1.1", ip, word(), name], ["王" if mail[1] in "01" else "李李", mail]))
+        docs.append((i if r.random() < 0.95 else None, " ".join(t)))
+    docs += [docs[3]] * 40 + [docs[7]] * 3 + [(None, None)] * 2 + [(400, "")]
+    want = brute.disclosed_terms(docs, base_spans)
+    df = spark.createDataFrame(docs, DOC)
+    assert {x.term for x in pii.disclosing_terms(cut(pii.base_spans(df), "spans")).collect()} == want and want
+    for x in pii.find(df).collect():
+        base = base_spans(x.text)
+        mine = [(m.start(), m.end()) for m in regex.finditer(r"[\p{L}\p{M}]+", x.text or "") if m.group().lower() in want]
+        assert [(m.s, m.e) for m in x.term] == [(s, e) for s, e in mine if not any(a <= s and e <= b for _, a, b in base)]
+
+
+def test_rows_given_more_than_once_change_nothing(spark):
+    r = random.Random(7)
+    fill = lambda: " ".join("".join(r.choice("aeioulmnrst") for _ in range(6)) for _ in range(8))
+    data = [(i, f"{fill()} Zebulon {fill()} joe@x.com {fill()}") for i in range(5)] + [(10 + i, fill()) for i in range(120)]
+    df = spark.createDataFrame(data, DOC)
+    assert {x.v for row in pii.find(df.union(df).union(df)).collect() for x in row.term} == {"Zebulon"} == {x.v for row in pii.find(df).collect() for x in row.term}
+
+
+def test_a_text_with_very_many_values(spark):
+    text = " ".join(f"u{i}@h.org {i}" for i in range(30_000))
+    (x,) = pii.base_spans(spark.createDataFrame([(1, text)], DOC)).collect()
+    assert len(x.email) == 30_000 and all(text[m.s : m.e] == m.v == f"u{i}@h.org" for i, m in enumerate(x.email)) and x.email[5].near == " 4   5 "
+
+
 def test_query_digest_of_spans(spark):
     df = pii.find(spark.createDataFrame([(1, "1.2.3.4 a@b.co")], DOC)).select(F.sha2(pii.joined_spans(tuple(pii.PATTERNS)), 256).alias("h"))
     assert df.first().h == hashlib.sha256(b"ip:0:7,email:8:14").hexdigest()

@@ -15,10 +15,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find(table(spark, sf_dir, "documents"))
+    """n_term counts the spans that the method adds to the base ones; clean_sha256 is the digest of the sanitised text."""
+    found = pii.sanitise(pii.find(table(spark, sf_dir, "documents")))
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS]
     base = F.sha2(pii.joined_spans(tuple(pii.PATTERNS)), 256)
-    return found.select("doc_id", *counts, base.alias("base_sha256"), pii.joined_spans(pii.KINDS).alias("spans"))
+    return found.select("doc_id", *counts, base.alias("base_sha256"), pii.joined_spans(pii.KINDS).alias("spans"), F.sha2("clean", 256).alias("clean_sha256"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
