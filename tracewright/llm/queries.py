@@ -59,7 +59,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = cut(grammar.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")), "shards")
-    return grammar.digests(grammar.decode(shards))
+    return grammar.digests(shards)
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
