@@ -50,35 +50,25 @@ def contained(docs: list[tuple], items: list[tuple]) -> set[tuple]:
     return out
 
 
-def cut_runs(docs: list[tuple], key, n: int = 50) -> dict:
-    """The texts without repeated runs. key: hash of a line as the operator has it; docs come in their order."""
-    lines = {}
-    for i, t in docs:
-        raw = (t or "").split("\n")
-        lines[i] = [(key(x), len(re.findall(r"\S+", x)), k) for k, x in enumerate(raw) if re.search(r"\S", x)]
-    marks = defaultdict(list)
-    for i, _ in docs:
-        x = lines[i]
-        for p in range(len(x)):
-            words, best, q = 0, None, p
-            while q < len(x) and words < n:
-                best = min(best, (x[q][0], q)) if best else (x[q][0], q)
-                words += x[q][1]
-                q += 1
-            if words >= n:
-                marks[best[0]].append((i, best[1]))
+def cut_runs(docs: list[tuple], n: int = 50) -> dict:
+    """The texts without any run of lines of n words or more that equals an earlier one: every diagonal of every two texts."""
+    words = lambda x: re.findall(r"[^ \t\x0b\f\r]+", x.lower())
+    split = {i: [(k, words(x), len(words(x))) for k, x in enumerate((t or "").split("\n")) if words(x)] for i, t in docs}
+    at = defaultdict(list)
+    for i, x in split.items():
+        for p, (_, line, _) in enumerate(x):
+            at[tuple(line)].append((i, p))
     gone = defaultdict(set)
-    for places in marks.values():
-        a, i = min(places)
-        for b, j in set(places) - {(a, i)}:
-            diag, run = j - i, []
-            for p in range(max(0, diag), min(len(lines[b]), len(lines[a]) + diag) + 1):
-                if p < min(len(lines[b]), len(lines[a]) + diag) and lines[b][p][0] == lines[a][p - diag][0]:
-                    run.append(p)
-                else:
-                    if sum(lines[b][q][1] for q in run) >= n:
-                        gone[b] |= set(range(lines[b][run[0]][2], lines[b][run[-1]][2] + 1))
-                    run = []
+    for places in at.values():
+        for b, j in places:
+            for a, i in places:
+                # each run is taken up where it begins
+                if (a, i) < (b, j) and not (i and j and split[a][i - 1][1] == split[b][j - 1][1]):
+                    m = 0
+                    while i + m < len(split[a]) and j + m < len(split[b]) and split[a][i + m][1] == split[b][j + m][1]:
+                        m += 1
+                    if sum(w for _, _, w in split[b][j : j + m]) >= n:
+                        gone[b] |= set(range(split[b][j][0], split[b][j + m - 1][0] + 1))
     return {i: (t if i not in gone else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i])) for i, t in docs}
 
 

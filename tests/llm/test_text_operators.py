@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -81,10 +82,8 @@ def line_docs() -> list[tuple]:
 
 def test_line_dedup_matches_brute_force(spark):
     docs = line_docs()
-    keys = spark.createDataFrame([(x,) for _, t in docs for x in (t or "").split("\n")], "x string").distinct()
-    known = {r.x: r.h for r in keys.select("x", F.expr("xxhash64(lower(trim(regexp_replace(x, '\\\\s+', ' ')))) AS h")).collect()}
     got = {r.doc_id: r.text for r in lines.dedup_lines(rows(spark, docs)).collect()}
-    assert got == brute.cut_runs(docs, known.__getitem__)
+    assert got == brute.cut_runs(docs) == all_runs_cut(docs, 50)
     assert got[6] == "" and "end" in got[3] and got[4] == docs[4][1] and got[9] == docs[9][1]
 
 
@@ -132,6 +131,31 @@ def test_line_dedup_matches_all_equal_runs(spark, seed):
     assert {x.doc_id: x.text for x in lines.dedup_lines(rows(spark, docs), 12).collect()} == want and want != dict(docs)
 
 
+def test_line_dedup_finds_runs_that_overlap_others(spark):
+    r = random.Random(11)
+    line = lambda n: " ".join(r.choice(WORDS) + str(r.randrange(99)) for _ in range(n))
+    docs = []
+    for i in range(30):  # the first holds X, the second X and Y, the third X and Y: all of the third's copy goes
+        x, y = [line(10) for _ in range(10)], [line(10) for _ in range(10)]
+        docs += [(3 * i, "\n".join([*x, line(5)])), (3 * i + 1, "\n".join([line(6), *x, *y])), (3 * i + 2, "\n".join([*x, *y, f"end {i}"]))]
+    got = {x.doc_id: x.text for x in lines.dedup_lines(rows(spark, docs)).collect()}
+    assert got == brute.cut_runs(docs) and all(got[3 * i + 2] == f"end {i}" for i in range(30))
+
+
+def test_line_dedup_of_a_very_repetitive_text(spark):
+    same, short = " ".join(f"k{i}" for i in range(55)), "\n".join(["one two"] * 20_000)
+    got = {x.doc_id: (x.text, x.n_deleted) for x in lines.dedup_lines(rows(spark, [(1, "\n".join([same] * 20_000)), (2, short)])).collect()}
+    assert got[1] == (same, 19_999) and got[2] == ("one two", 19_999)
+
+
+def test_line_dedup_beside_columns_of_any_name(spark):
+    long = " ".join(f"k{i}" for i in range(70))
+    names = ["run_list", "run_id", "run_th", "_t", "_left", "row", "left", "n", "th", "a.b", "N_Lines"]
+    df = rows(spark, [(1, long), (2, long)]).select("*", *(F.lit("clash").alias(x) for x in names))
+    got = lines.dedup_lines(df)
+    assert got.columns == ["doc_id", "text", *names[:-1], "n_lines", "n_deleted"] and {(x.doc_id, x.text, x["a.b"], x.n_deleted) for x in got.collect()} == {(1, long, "clash", 0), (2, "", "clash", 1)}
+
+
 def test_line_dedup_edge_rows(spark):
     long = " ".join(f"k{i}" for i in range(70))
     df = rows(spark, [(None, long), (1, None), (2, ""), (3, long), (3, long), (4, "one line")]).withColumn("n_lines", F.lit("clash"))
@@ -179,32 +203,66 @@ def test_bpe_is_the_library(spark):
     assert bpe.decode(bpe.encode(rows(spark, []), path), path).count() == 0
 
 
-def test_token_files_round_trip(spark):
-    path = public_tokenizers.path("word_bpe_49k.json")
-    t = Tokenizer.from_file(path)
+def token_rows(spark) -> tuple[list, list]:
+    """Odd and plain rows, and the same in the order of the files: doc_id (null first), then a hash of the text."""
     texts = ODD + [" ".join(random.Random(i).choices(WORDS, k=i)) for i in range(60)]
-    data = [*enumerate(texts), (5, "again"), (None, "no id"), (7777, None)]
-    shards = cut(grammar.encode(rows(spark, data), path), "shards")
+    data = [*enumerate(texts), (5, "again"), (None, "no id"), (None, None), (7777, None)]
+    return data, [(r.doc_id, r.text) for r in rows(spark, data).orderBy("doc_id", F.xxhash64("text")).collect()]
+
+
+@pytest.mark.parametrize("vocabulary", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_token_files_round_trip(spark, vocabulary):
+    path = public_tokenizers.path(vocabulary)
+    t = Tokenizer.from_file(path)
+    data, ordered = token_rows(spark)
+    shards = cut(grammar.encode(rows(spark, data).withColumn("ids", F.lit("clash")), path), "shards")
     got = [(x.doc_id, x.start, x.ids) for x in grammar.decode(shards).orderBy("start").collect()]
     want, at = [], 0
-    for i, x in sorted(data, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    for i, x in ordered:
         ids = [*t.encode(x or "", add_special_tokens=False).ids, grammar.END]
         want.append((i, at, ids))
         at += len(ids)
     assert got == want
-    crc = {(x.doc_id, x.start): x.ids_crc32 for x in grammar.digests(grammar.decode(shards)).collect()}
-    assert crc == {(i, s): zlib.crc32(np.array(ids, "<u4").tobytes()) for i, s, ids in want}
-    assert grammar.digests(grammar.decode(cut(grammar.encode(rows(spark, []), path), "shards"))).count() == 0
+    crc = {(x.doc_id, x.start): (x.n_tokens, x.ids_crc32) for x in grammar.digests(shards).collect()}
+    assert crc == {(i, s): (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, s, ids in want}
+    assert grammar.digests(cut(grammar.encode(rows(spark, []), path), "shards")).count() == 0
+
+
+def test_words_come_out_as_the_library_has_them():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, c = Tokenizer.from_file(path), grammar.coder(open(path).read())
+    r = random.Random(4)
+    texts = ODD + [None, "<|endoftext|>", " ", "\u03a3 ΑΣ", "a\u0301b ﬁ ½x"] + ["".join(r.choice("ab ctehr'sΣéñ\u0301\n\t !1.\x1c,王") for _ in range(40)) for _ in range(400)]
+    for some in (texts, texts[:1], texts[-3:], [], [None], ["\x1c"]):
+        assert [x.tolist() for x in c.encode(pa.array(some, pa.string()))] == [t.encode(x or "", add_special_tokens=False).ids for x in some]
+
+
+def repeats(s) -> int:
+    """The most often that a pair stands in s, not overlapping."""
+    n, last = {}, {}
+    for i, p in enumerate(zip(s, s[1:], strict=False)):
+        if last.get(p) != i - 1:
+            n[p], last[p] = n.get(p, 0) + 1, i
+    return max(n.values(), default=0)
 
 
 def test_grammar_expands_and_gives_random_access():
     r = np.random.default_rng(1)
-    for ids in (r.integers(0, 50, 60_000), np.zeros(1000, int), r.integers(0, 9, 3), np.empty(0, int), np.tile([1, 2, 3, 4], 5000)):
+    passage = r.integers(0, 90, 700)
+    for ids in (r.integers(0, 50, 60_000), np.zeros(1000, int), r.integers(0, 9, 3), np.empty(0, int), np.tile([1, 2, 3, 4], 5000), np.concatenate([np.append(passage, r.integers(0, 90, 5)) for _ in range(40)])):
         s, left, right, length = grammar.compress(ids.astype(np.uint32), 100)
         assert (grammar.expand(s, 100, left, right, length) == ids).all() and len(s) <= len(ids)
+        assert repeats(s.tolist()) < grammar.LEAST_COUNT
         for a, b in ((0, len(ids)), (len(ids) // 3, len(ids) // 2), (5, 6)):
             if b <= len(ids):
                 assert (grammar.read_ids(s, 100, left, right, length, a, b) == ids[a:b]).all()
+        assert (grammar.compress(ids.astype(np.uint32), 1 << 30)[0] < 1 << 30).sum() == (s < 100).sum()
+
+
+def test_repetitions_shrink_to_a_few_symbols():
+    for ids in (np.zeros(65_536, np.uint32), np.tile(np.arange(8, dtype=np.uint32), 8192)):
+        s, left, *_ = grammar.compress(ids, 100)
+        assert len(s) <= 8 and len(left) <= 20
 
 
 def test_toxicity_on_held_out_rows(spark):

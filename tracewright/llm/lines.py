@@ -1,13 +1,17 @@
-"""Line dedup: equal windows of whole lines, with DataFrame functions only.
+"""Line dedup by winnowing over line hashes, with DataFrame functions only.
 
 1. Each non-blank line gets a hash of its lower-cased text with white space folded, and its number of words.
 2. Windows: each line that has MIN_WORDS words alone; from each line on, the fewest lines, two or more, that reach
-   MIN_WORDS words; and the same backwards from each line. A window's key is a hash of its whole sequence of lines.
-3. A window goes if one of the same key stands earlier; the lines between its first and its last one go with it.
+   MIN_WORDS words; and the same backwards from each line. A window's minimum, its least line hash, is its fingerprint:
+   two equal windows have the same one for certain.
+3. Positions of a fingerprint are joined with its first one. A frequent line is the minimum of many different windows,
+   and pairs of all its places would be their square, while its first place alone may lie in another context. So the
+   fingerprint goes with a hash of the window's whole sequence, and only equal windows meet.
+4. Matches are extended both ways by merging: windows that match and overlap are one run, which is deleted.
 
 This is all of every run of MIN_WORDS words or more that equals an earlier one: any two neighbours in such a run lie in a
 window inside it, the first line's forward window, their own, or the last line's backward one, and whatever the place
-where that window stood first, it stood earlier. No pairs of places are made: the work is linear in lines.
+where that window stood first, it stood earlier. The work is linear in lines.
 Every line's first place stays, since a line is only deleted where an equal one stands earlier.
 """
 
@@ -37,7 +41,7 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 
 def windows(lines: DataFrame, min_words: int) -> DataFrame:
-    """(k, h, doc_id, th, s, e): every window of the texts with its key, the hashes of its lines and of its first one; s and e are its first and last place."""
+    """(k, m, doc_id, th, s, e): every window of the texts, the hash of its sequence and its least line hash; s and e are its first and last place."""
     each = lines.select("doc_id", "th", F.posexplode("lines").alias("p", "x")).select("doc_id", "th", "p", "x.h", F.col("x.w").cast("long").alias("w"), "x.i")
     doc = W.partitionBy("doc_id", "th")
     each = each.withColumn("upto", F.sum("w").over(doc.orderBy("p"))).withColumn("before", F.col("upto") - F.col("w"))
@@ -45,21 +49,21 @@ def windows(lines: DataFrame, min_words: int) -> DataFrame:
     ahead, back = order.rangeBetween(0, min_words - 1), doc.orderBy("upto").rangeBetween(1 - min_words, 0)
     following = {"hs": F.collect_list("h").over(ahead), "last": F.max("i").over(ahead), "words": F.sum("w").over(ahead), "next_h": F.lead("h").over(order), "next_i": F.lead("i").over(order)}
     each = each.withColumns(following).withColumns({"back_hs": F.collect_list("h").over(back), "first": F.min("i").over(back), "back_words": F.sum("w").over(back)})
-    window = lambda hs, s, e: F.struct(F.xxhash64(hs).alias("k"), F.get(hs, F.lit(0)).alias("h"), F.col(s).alias("s"), F.col(e).alias("e"))
+    window = lambda hs, s, e: F.struct(F.xxhash64(hs).alias("k"), F.array_min(hs).alias("m"), F.col(s).alias("s"), F.col(e).alias("e"))
     long = F.col("w") >= min_words
     alone = F.when(long, window(F.array("h"), "i", "i"))
     forward = F.when(long & F.col("next_i").isNotNull(), window(F.array("h", "next_h"), "i", "next_i")).when(~long & (F.col("words") >= min_words), window(F.col("hs"), "i", "last"))
     # where the lines before the last one don't reach min_words, or it does alone, the window is its first line's forward one
     backward = F.when(~long & (F.col("back_words") - F.col("w") >= min_words), window(F.col("back_hs"), "first", "i"))
     found = each.select("doc_id", "th", F.explode(F.filter(F.array(alone, forward, backward), lambda x: x.isNotNull())).alias("x"))
-    return found.select("x.k", "x.h", "doc_id", "th", "x.s", "x.e")
+    return found.select("x.k", "x.m", "doc_id", "th", "x.s", "x.e")
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, th, runs): for texts with runs to delete, runs as struct(s, e), first and last place among the text's lines."""
     found = cut(windows(line_table(docs), min_words), "windows")
-    first = found.groupBy("k", "h").agg(F.min(F.struct("doc_id", "th", "s")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("k").alias("fk"), F.col("h").alias("fh"), "first")
-    gone = found.join(first, (found.k == first.fk) & (found.h == first.fh)).where("NOT (doc_id <=> first.doc_id AND th = first.th AND s = first.s)").select("doc_id", "th", "s", "e")
+    first = found.groupBy("k", "m").agg(F.min(F.struct("doc_id", "th", "s")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("k").alias("fk"), F.col("m").alias("fm"), "first")
+    gone = found.join(first, (found.k == first.fk) & (found.m == first.fm)).where("NOT (doc_id <=> first.doc_id AND th = first.th AND s = first.s)").select("doc_id", "th", "s", "e")
     doc = W.partitionBy("doc_id", "th").orderBy("s")
     # windows that overlap are merged into runs
     opens = F.coalesce(F.col("s") > F.max("e").over(doc.rowsBetween(W.unboundedPreceding, -1)), F.lit(True))
@@ -77,12 +81,10 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     with it. Lines compare without regard to case and white space.
     """
     runs = repeated_runs(docs, min_words).select(F.col("doc_id").alias("run_id"), F.col("th").alias("run_th"), F.col("runs").alias("run_list"))
-    kept = [F.col(c) for c in docs.columns if c.lower() not in ("text", "n_lines", "n_deleted")]
-    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_deleted")]
-    joined = docs.join(runs, docs.doc_id.eqNullSafe(runs.run_id) & (F.xxhash64("text") == runs.run_th), "left")
-    left = F.expr("filter(split(text, '\n'), (x, i) -> NOT exists(run_list, r -> i BETWEEN r.s AND r.e))")
-    n = F.size(F.split(F.coalesce("text", F.lit("")), "\n"))
-    out = joined.select(*kept, F.col("text").alias("_t"), "run_list", left.alias("_left"), n.alias("n_lines"))
-    out = out.withColumn("n_deleted", F.when(F.col("run_list").isNull(), 0).otherwise(F.col("n_lines") - F.size("_left")))
-    out = out.withColumn("text", F.when(F.col("run_list").isNull(), F.col("_t")).otherwise(F.array_join("_left", "\n")))
-    return out.select(*names, "n_lines", "n_deleted")
+    row = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"))  # whatever its columns are called
+    joined = row.join(runs, F.col("row.doc_id").eqNullSafe(F.col("run_id")) & (F.xxhash64("row.text") == F.col("run_th")), "left")
+    left = F.expr("CASE WHEN run_list IS NOT NULL THEN filter(split(row.text, '\n'), (x, i) -> NOT exists(run_list, r -> i BETWEEN r.s AND r.e)) END")
+    n = F.size(F.split(F.coalesce("row.text", F.lit("")), "\n"))
+    out = joined.select("row", left.alias("left"), n.alias("n"))
+    kept = [F.coalesce(F.array_join("left", "\n"), "row.text").alias("text") if c.lower() == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c.lower() not in ("n_lines", "n_deleted")]
+    return out.select(*kept, F.col("n").alias("n_lines"), F.coalesce(F.col("n") - F.size("left"), F.lit(0)).alias("n_deleted"))
