@@ -8,7 +8,7 @@ def test_a_whole_analysis(spark, tmp_path):
     trees = spark.createDataFrame([("d", "f.sql", X.TREE)], "directory string, file string, content string")
     a = analyse(files(X.DDL), trees, files(X.SQL))
     n = {r.name: r.n for r in a.statistics().collect()}
-    assert n == {"tables": 3, "columns": 6, "foreign_keys": 2, "nodes": 5, "tree": 5, "batches": 2, "uses": 1, "calls": 0, "summaries": 1, "lineage": 4}
+    assert n == {"tables": 3, "columns": 6, "foreign_keys": 2, "nodes": 5, "tree": 5, "batches": 2, "uses": 1, "calls": 0, "summaries": 2, "unit_summaries": 1, "stories": 1, "temporary": 0, "lineage": 4}
     nodes, edges = a.graph()
     store.write_graph(nodes, edges, str(tmp_path / "g"))
     nodes, edges = store.read_graph(spark, str(tmp_path / "g"))

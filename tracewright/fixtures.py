@@ -66,6 +66,22 @@ TREE = """{"type":"FILE","startLine":1,"endLine":9,"code":"","children":[
   {"type":"IF","startLine":4,"endLine":8,"code":"4: IF v>0 THEN\\r\\n5: INSERT INTO T\\r\\n8: END IF;","children":[
    {"type":"INSERT","startLine":5,"endLine":6,"code":"5: INSERT INTO T","children":[]}]}]}]}"""
 
+CLASSES = """{"type":"FILE","startLine":1,"endLine":30,"code":"","children":[
+ {"type":"CLASS","name":"OrderService","startLine":1,"endLine":12,"extendsType":"BaseService","code":"1: public class OrderService extends BaseService implements Auditable, Closeable {\\n2:   private OrderStore store = new OrderStore();\\n3:   private List<Customer> customers;\\n4:   private int count;\\n5:   public Invoice bill(Customer who, int n) {\\n6:     store.save(n);\\n7:     customers.clear();\\n8:     return null;\\n9:   }\\n10: }","children":[
+  {"type":"FIELD","name":"store","startLine":2,"endLine":2,"code":"2:   private OrderStore store = new OrderStore();","children":[]},
+  {"type":"METHOD","name":"bill","startLine":5,"endLine":9,"code":"5:   public Invoice bill(Customer who, int n) {\\n6:     store.save(n);\\n9:   }","children":[]}]},
+ {"type":"CLASS","name":"BaseService","startLine":13,"endLine":14,"code":"13: public class BaseService {\\n14: }","children":[]},
+ {"type":"CLASS","name":"OrderStore","startLine":15,"endLine":18,"code":"15: class OrderStore {\\n16:   void save(int n) {\\n17:   }\\n18: }","children":[]},
+ {"type":"INTERFACE","name":"Auditable","startLine":19,"endLine":20,"code":"19: public interface Auditable {\\n20: }","children":[]},
+ {"type":"CLASS","name":"Customer","startLine":21,"endLine":22,"code":"21: class Customer {\\n22: }","children":[]},
+ {"type":"CLASS","name":"Invoice","startLine":23,"endLine":24,"code":"23: class Invoice {\\n24: }","children":[]}]}"""
+#: Relations that the classes above have: (from, to, type, detail).
+RELATIONS = [
+    ("OrderService", "BaseService", "EXTENDS", ""), ("OrderService", "Auditable", "IMPLEMENTS", ""), ("OrderService", "OrderStore", "COMPOSITION", "store 1"), ("OrderService", "Customer", "ASSOCIATION", "customers *"),
+    ("OrderService", "Invoice", "DEPENDENCY", "return"), ("OrderService", "OrderStore", "CALLS", "save"), ("OrderService", "Customer", "CALLS", "clear"),
+]
+TEMPORARY = [("t1", "CREATE_TEMP_TABLE", "1: create global temporary table WORK.TMP_A (x int);"), ("t2", "CREATE_TEMP_TABLE", "CREATE TEMP TABLE IF NOT EXISTS b AS SELECT 1"), ("t3", "INSERT", "create temp table c (x int)"), ("t4", "CREATE_TEMP_TABLE", "-- CREATE TEMP TABLE d")]
+
 
 def literal(x: object) -> str:
     """A value as SQL."""

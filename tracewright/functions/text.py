@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -104,6 +107,30 @@ def token_estimate(c: Column) -> Column:
     return F.when(F.coalesce(c, F.lit("")) == "", 0).otherwise(F.greatest(F.lit(1), F.regexp_count(c, F.lit(r"[A-Za-z]{1,6}|[0-9]{1,3}|[^\sA-Za-z0-9]"))))
 
 
+def token_counter(vocabulary: str) -> Callable[[Column], Column]:
+    """A function from a column of texts to their tokens by a tokenizer file; null and empty texts have none.
+
+    Texts go to the library in Arrow batches; each Python worker loads the file once.
+    """
+
+    @F.pandas_udf("int")
+    def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(vocabulary)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        for part in texts:
+            yield pd.Series([len(x.ids) for x in tokenizer.encode_batch(part.fillna("").tolist(), add_special_tokens=False)], dtype="int32")
+
+    return count
+
+
+def parse_maybe(c: Column) -> Column:
+    """A text as JSON (a variant) if it is JSON, else as a text."""
+    return F.coalesce(F.try_parse_json(c), F.variant_get(F.to_variant_object(F.array(c)), "$[0]", "variant"))
+
+
 def access_modes(mode: Column) -> Column:
     """The edge types of an access mode: r reads (FROM), w writes (WRITES), both have both."""
     m = F.lower(F.coalesce(mode, F.lit("")))

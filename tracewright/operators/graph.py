@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..sources.tables import cut
+from ..sources.tables import cut, drop
 
 
 def node_id(label: str, *key: str) -> Column:
@@ -75,38 +75,73 @@ def is_unique(df: DataFrame, keys: list[str]) -> bool:
     return df.groupBy(*keys).count().where("count > 1").isEmpty()
 
 
-def closure(edges: DataFrame, cycles: bool = False, most: int = 1000) -> DataFrame:
-    """(src, dst, distance) of all paths, the shortest distance each. edges: src, dst.
+def closure(edges: DataFrame, cycles: bool = False) -> DataFrame:
+    """(src, dst, distance) of all pairs that a path links, with the shortest distance. edges: src, dst.
 
-    Each round joins the newest pairs with the edges. Without cycles (a tree) every pair is new; with cycles pairs known
-    before are dropped, so the rounds end. Rounds are written to the shared folder and don't grow the lineage.
+    Distances double: a pair at 2^k + d steps is one at 2^k and one at d of 2^k steps or fewer, so the rounds grow with the
+    logarithm of the longest path. Rounds are written to the shared folder and don't grow the lineage. Without cycles
+    (said of the edges) a pair of a node with itself is an error, since it would go on for ever in a tree's rounds.
     """
     step = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
-    step = cut(step, "edges")
-    new = step.withColumn("distance", F.lit(1))
-    every = [new]
-    for d in range(2, most + 1):
-        far = new.select("src", F.col("dst").alias("_via")).join(step.select(F.col("src").alias("_via"), "dst"), "_via").select("src", "dst").distinct()
-        if cycles:
-            far = far.join(reduce(DataFrame.unionByName, every).select("src", "dst"), ["src", "dst"], "left_anti")
-        new = cut(far.withColumn("distance", F.lit(d)), "closure")
-        if new.isEmpty():
-            break
+    every, span = [cut(step.withColumn("distance", F.lit(1)), "closure")], 1
+    while True:
+        known = reduce(DataFrame.unionByName, every)
+        far = every[-1].where(F.col("distance") == span).select("src", F.col("dst").alias("_via"))
+        far = far.join(known.select(F.col("src").alias("_via"), "dst", (F.col("distance") + span).alias("distance")), "_via")
+        far = far.groupBy("src", "dst").agg(F.min("distance").alias("distance")).join(known.select("src", "dst"), ["src", "dst"], "left_anti")
+        new = cut(far, "closure")
+        n, loops = new.agg(F.count("*"), F.count_if(F.col("src") == F.col("dst"))).first()
+        if loops and not cycles:
+            raise ValueError("the edges have a cycle")
+        if not n:
+            drop(new)
+            return known
         every.append(new)
-    out = reduce(DataFrame.unionByName, every)
-    return out if not cycles else out.groupBy("src", "dst").agg(F.min("distance").alias("distance"))
+        span *= 2
+
+
+def _jumps(edges: DataFrame, child: str = "dst", parent: str = "src") -> DataFrame:
+    return edges.select(F.col(child).alias("node"), F.col(parent).alias("up")).where("node IS NOT NULL AND up IS NOT NULL AND node <> up").distinct()
 
 
 def depths(nodes: DataFrame, edges: DataFrame, key: str = "node_id") -> DataFrame:
-    """nodes with depth: the number of ancestors of each in a tree of edges (src parent, dst child)."""
-    up = closure(edges).groupBy("dst").agg(F.max("distance").alias("_d"))
-    return nodes.join(up, F.col(key) == F.col("dst"), "left").withColumn("depth", F.coalesce("_d", F.lit(0))).drop("dst", "_d")
+    """nodes with depth: the number of ancestors of each in a tree of edges (src parent, dst child).
+
+    Each node points to its parent, then to its parent's parent, and so on, twice as far each round; there are as many
+    rows as nodes, never pairs. Of several parents the least counts; a node in or below a cycle is an error.
+    """
+    at = cut(_jumps(edges).groupBy("node").agg(F.min("up").alias("up")).withColumn("d", F.lit(1)), "depth")
+    rounds = max(at.count(), 1).bit_length() + 1
+    while not at.where("up IS NOT NULL").isEmpty():
+        if not rounds:
+            raise ValueError("the edges have a cycle")
+        above = at.select(F.col("node").alias("_n"), F.col("up").alias("_u"), F.col("d").alias("_d"))
+        at = cut(at.join(above, F.col("up") == F.col("_n"), "left").select("node", F.col("_u").alias("up"), (F.col("d") + F.coalesce("_d", F.lit(0))).alias("d")), "depth", after=at)
+        rounds -= 1
+    return nodes.join(at.select(F.col("node").alias("_n"), F.col("d").alias("_d")), F.col(key) == F.col("_n"), "left").withColumn("depth", F.coalesce("_d", F.lit(0))).drop("_n", "_d")
+
+
+def gather_up(facts: DataFrame, edges: DataFrame, key: str = "node_id") -> DataFrame:
+    """The different facts (key and other columns) of each node and of all nodes below it. edges: src (above), dst (below).
+
+    Facts climb one step, then two more, then four: those gathered so far are joined each round with a table of who stands
+    so far above whom. Nodes may have several parents; in a cycle all have the facts of all.
+    """
+    held, jump = cut(facts.distinct(), "facts"), cut(_jumps(edges), "jump")
+    rounds = max(jump.count(), 1).bit_length()
+    while rounds and not jump.isEmpty():
+        up = held.join(jump, held[key] == jump.node).select(*(F.col("up").alias(key) if c == key else held[c] for c in facts.columns))
+        held = cut(held.union(up).distinct(), "facts", after=held)
+        twice = jump.select("node", F.col("up").alias("_m")).join(jump.select(F.col("node").alias("_m"), "up"), "_m").select("node", "up").distinct()
+        jump = cut(twice, "jump", after=jump)
+        rounds -= 1
+    return held
 
 
 def all_descendants_ok(nodes: DataFrame, edges: DataFrame, key: str = "node_id") -> DataFrame:
-    """nodes (with ok) with subtree_ok: false as soon as the node or anything below it failed."""
-    failed = nodes.where(~F.coalesce("ok", F.lit(False))).select(F.col(key).alias("dst"))
-    bad = closure(edges).join(failed, "dst").select(F.col("src").alias("_bad")).union(failed.select("dst")).distinct()
+    """nodes (with ok) with subtree_ok: false as soon as the node or anything below it failed; a null ok has failed."""
+    failed = nodes.where(~F.coalesce("ok", F.lit(False))).select(F.col(key).alias("_bad")).where("_bad IS NOT NULL")
+    bad = gather_up(failed, edges, "_bad")
     return nodes.join(bad, F.col(key) == F.col("_bad"), "left").withColumn("subtree_ok", F.col("_bad").isNull()).drop("_bad")
 
 

@@ -26,9 +26,15 @@ def list_tables(tables: DataFrame, columns: DataFrame, search: str | None = None
     return at.join(counts, ["schema_name", "table_name"], "left").select("schema_name", "table_name", "description", F.coalesce("n", F.lit(0)).alias("column_count")).orderBy("table_name", "schema_name").limit(limit)
 
 
+def is_named(name: str, table: str = "table_name", schema: str = "schema_name") -> Column:
+    """Whether a table is called so: by its name, or its schema.table ends with the text as it is typed (case ignored there)."""
+    return F.coalesce((F.col(table) == name) | F.lower(F.concat_ws(".", schema, table)).endswith(name.lower()), F.lit(False))
+
+
 def list_columns(columns: DataFrame, table: str, schema: str | None = None) -> DataFrame:
-    at = columns.where(F.col("table_name") == table)
-    return (at.where(F.col("schema_name") == schema) if schema else at).orderBy("ordinal", "column_name")
+    """The columns of a table; without a schema, of all tables that the text names (is_named)."""
+    at = columns.where((F.col("table_name") == table) & (F.col("schema_name") == schema) if schema else is_named(table))
+    return at.orderBy("ordinal", "column_name")
 
 
 def list_relationships(fks: DataFrame, table: str | None = None) -> DataFrame:
@@ -122,6 +128,18 @@ def table_uses(dml: DataFrame, known: DataFrame, default: str = "public") -> Dat
     return out.select("src", F.coalesce("k.schema_name", "s").alias("schema_name"), F.coalesce("k.table_name", "t.table").alias("table_name"), F.col("t.db_link").alias("db_link"), F.when(F.col("t.db_link").isNotNull(), "DB_LINK").otherwise(F.col("type")).alias("type")).distinct()
 
 
+def column_uses(uses: DataFrame, known: DataFrame) -> DataFrame:
+    """uses (schema_name, table_name, column_name, ...) with columns named as the definitions write them.
+
+    The same spelling comes first, then one that differs in case only (the least of several); an unknown column keeps its name.
+    """
+    names = known.select(F.lower("schema_name").alias("_s"), F.lower("table_name").alias("_t"), F.lower("column_name").alias("_c"), F.col("column_name").alias("_name")).distinct()
+    found = names.groupBy("_s", "_t", "_c").agg(F.array_sort(F.collect_set("_name")).alias("_names"))
+    at = uses.join(found, (F.lower("schema_name") == F.col("_s")) & (F.lower("table_name") == F.col("_t")) & (F.lower("column_name") == F.col("_c")), "left")
+    name = F.when(F.array_contains("_names", F.col("column_name")), F.col("column_name")).otherwise(F.coalesce(F.get("_names", F.lit(0)), F.col("column_name")))
+    return at.withColumn("column_name", name).drop("_s", "_t", "_c", "_names")
+
+
 def summarise_uses(rows: DataFrame) -> DataFrame:
     """Per column what its uses say: descriptions (a set), first type, last nullability, up to five examples.
 

@@ -34,13 +34,13 @@ def ranked(tables: DataFrame, importance: DataFrame) -> DataFrame:
     return tables.join(importance.select("table_name", "importance"), "table_name", "left").withColumn("score", score).orderBy(F.desc("score"), "table_name")
 
 
-def past_questions(found: DataFrame) -> DataFrame:
-    """found (similarity, success_rate, usage) with final_score, rank and what to do with the best."""
+def past_questions(found: DataFrame, key: str, limit: int = 50) -> DataFrame:
+    """The most similar of found (key, similarity, success_rate, usage), by the least key among equals, with final_score, rank and what to do with the best."""
     a, b, c = WEIGHTS
     score = a * F.col("similarity") + b * F.col("success_rate") + c * F.col("usage")
-    out = found.withColumn("final_score", score)
+    out = found.orderBy(F.desc("similarity"), key).limit(limit).withColumn("final_score", score)
     action = F.when(F.col("final_score") > REUSE, "IMMEDIATE_TEMPLATE_REUSE").when(F.col("final_score") > ADAPT, "ADAPT_TEMPLATE").otherwise("GENERATE_NEW")
-    return out.withColumns({"rank": F.rank().over(W.orderBy(F.desc("final_score"))), "action": action})  # the few that a search returned
+    return out.withColumns({"rank": F.rank().over(W.orderBy(F.desc("final_score"))), "action": action})  # over the few that are left
 
 
 def error_hints(message: Column) -> Column:

@@ -6,6 +6,7 @@ from functools import reduce
 
 from . import fixtures as X
 from .functions import fixed
+from .plans import detect
 from .plans import patterns as P
 
 V = X.values
@@ -34,6 +35,10 @@ def _lev(tables: str, where: str, threshold: float) -> str:
 _KEY_COLUMNS = [("region", "r_regionkey"), ("nation", "n_nationkey"), ("nation", "n_regionkey"), ("customer", "c_custkey"), ("customer", "c_nationkey"), ("supplier", "s_suppkey"), ("supplier", "s_nationkey"), ("part", "p_partkey"), ("orders", "o_orderkey"), ("orders", "o_custkey"), ("lineitem", "l_orderkey"), ("lineitem", "l_partkey"), ("lineitem", "l_suppkey"), ("documents", "doc_id"), ("labels", "doc_id")]
 _MELT = " UNION ALL ".join(f"SELECT DISTINCT '{t}' AS t, '{c}' AS c, CAST({c} AS DOUBLE) AS v FROM {t} WHERE {c} IS NOT NULL" for t, c in _KEY_COLUMNS)
 
+_VERIFIED = f"""WITH k AS (SELECT * FROM ({_COLUMNS.format("('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'documents', 'labels')")}) WHERE c LIKE '%key' OR c = 'doc_id'),
+p AS ({_lev('', 'a.t <> b.t', 0.7)}), m AS ({_MELT}), r AS (SELECT *, row_number() OVER (PARTITION BY t, c ORDER BY v) AS pos FROM m),
+x AS (SELECT p.*, r.v, EXISTS (SELECT 1 FROM m WHERE m.t = p.to_table_name AND m.c = p.to_column_name AND m.v = r.v) AS hit FROM p JOIN r ON r.t = p.from_table_name AND r.c = p.from_column_name WHERE r.pos <= 25)"""
+
 _EDGES = "e AS (SELECT 'R' || n_regionkey AS src, 'N' || n_nationkey AS dst FROM nation UNION SELECT 'N' || s_nationkey, 'S' || s_suppkey FROM supplier)"
 _CHAIN = "n AS (SELECT *, conv_id || ':' || turn AS node_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM conversations)"
 
@@ -47,6 +52,13 @@ def _score(name: str) -> str:
     return f"(SELECT CASE WHEN n = 0 THEN 0.0 ELSE least(1.0, (w / n) * least(1.0, n / 3)) END FROM (SELECT {n} AS n, {w} AS w))"
 
 
+def _words(name: str) -> str:
+    ps = P.TYPES[name]
+    flags = "m" if name == "xml" else "im"
+    each = ", ".join(f"CASE WHEN regexp_matches(content, {X.literal('(?' + flags + ')' + p)}) THEN {X.literal(detect.describe(p))} END" for p, _ in ps)
+    return f"array_to_string(list_filter([{each}], lambda x: x IS NOT NULL)[1:5], ', ')"
+
+
 def _signs(signs: tuple[str, ...], flags: str) -> str:
     return " + ".join(f"CAST(regexp_matches(content, {X.literal('(?' + flags + ')' + p)}) AS INT)" for p in signs)
 
@@ -59,7 +71,7 @@ _SQLS = ("oracle_sp", "oracle_ddl", "postgresql_sp", "postgresql_ddl")
 _FILES = f"files AS (SELECT 'doc' || doc_id || '.txt' AS file, coalesce(text, '') AS content FROM documents UNION ALL SELECT 'page' || page_id || '.xml', coalesce(html, '') FROM pages UNION ALL SELECT file, content FROM {V(X.FILES, 'file', 'content')})"
 _MORE = lambda t, up: f"CASE WHEN {up} THEN least(1.0, {t} + b) ELSE greatest(0.0, {t} - b) END"
 _DETECT = f"""WITH {_FILES},
-s0 AS (SELECT file, content, CASE WHEN contains(file, '.') THEN lower(regexp_extract(file, '[^.]*$')) ELSE '' END AS ext, {', '.join(f'{_score(t)} AS {t}' for t in P.TYPES)},
+s0 AS (SELECT file, content, CASE WHEN contains(file, '.') THEN lower(regexp_extract(file, '[^.]*$')) ELSE '' END AS ext, {', '.join(f'{_score(t)} AS {t}' for t in P.TYPES)}, {', '.join(f'{_words(t)} AS words_{t}' for t in P.TYPES)},
   {_signs(P.ORACLE_SIGNS, 'i')} AS n_oracle, {_signs(P.POSTGRESQL_SIGNS, 'i')} AS n_pg, {_signs(P.SP_SIGNS, 'im')} AS n_sp, {_signs(P.DDL_SIGNS, 'im')} AS n_ddl, regexp_matches(content, {X.literal('(?i)' + P.BLOCK)}) AS block FROM files),
 s1 AS (SELECT * REPLACE (CASE WHEN ext = 'java' THEN least(1.0, java + 0.3) ELSE java END AS java, CASE WHEN ext = 'py' THEN least(1.0, python + 0.3) ELSE python END AS python, CASE WHEN ext = 'xml' THEN least(1.0, xml + 0.3) ELSE xml END AS xml,
   {', '.join(f"CASE WHEN ext IN {_ends('ext', P.SQL_BONUS)} THEN least(1.0, {t} + 0.1) ELSE {t} END AS {t}" for t in _SQLS)}), least(1.0, greatest(n_oracle, n_pg) / 5) * 0.2 AS b FROM s0),
@@ -69,7 +81,8 @@ s4 AS (SELECT *, least(1.0, CASE WHEN kind = 'ddl' THEN n_ddl / 3 ELSE n_sp / 4
 s5 AS (SELECT * REPLACE ({', '.join(f"CASE WHEN kind = 'unknown' THEN {t} ELSE {_MORE(t, 'kind = ' + X.literal(t.split('_')[1]))} END AS {t}" for t in _SQLS)}) FROM s4),
 s6 AS (SELECT *, greatest({', '.join(P.TYPES)}) AS best, CASE {' '.join(f"WHEN {t} = greatest({', '.join(P.TYPES)}) THEN '{t}'" for t in P.TYPES)} END AS chosen, trim(content, E' \\t\\r\\n\\x0b\\x0c') = '' AS empty FROM s5),
 d AS (SELECT file, CASE WHEN empty THEN 'unknown' WHEN best < 0.3 AND ext IN {_ends('ext', P.SQL_GENERIC)} THEN 'sql_generic' WHEN best < 0.3 THEN 'unknown' ELSE chosen END AS file_type,
-  CASE WHEN empty THEN 0.0 WHEN best < 0.3 AND ext IN {_ends('ext', P.SQL_GENERIC)} THEN 0.5 ELSE best END AS confidence FROM s6),
+  CASE WHEN empty THEN 0.0 WHEN best < 0.3 AND ext IN {_ends('ext', P.SQL_GENERIC)} THEN 0.5 ELSE best END AS confidence,
+  CASE WHEN empty THEN 'empty file' WHEN best < 0.3 AND ext IN {_ends('ext', P.SQL_GENERIC)} THEN 'SQL of unknown dialect' WHEN best < 0.3 THEN 'no sure pattern, best ' || chosen ELSE CASE chosen {' '.join(f"WHEN '{t}' THEN words_{t}" for t in P.TYPES)} END END AS details FROM s6),
 m AS (SELECT * FROM (VALUES {', '.join(f"('{t}', '{a}', '{b}')" for t, (a, b) in P.SUGGESTED.items())}) AS v(file_type, suggested_strategy, suggested_target))
 """
 
@@ -103,16 +116,13 @@ def _linked(kind: str) -> str:
 
 ORACLE_SQL: dict[str, str] = {
     "fk_candidates_levenshtein": f"WITH k AS ({_COLUMNS.format(_STAR)}) SELECT * EXCLUDE (s), round(s, 4) AS similarity FROM ({_lev('', 'a.t < b.t', 0.8)})",
-    "fk_verify_ratio": f"""WITH k AS (SELECT * FROM ({_COLUMNS.format("('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'documents', 'labels')")}) WHERE c LIKE '%key' OR c = 'doc_id'),
-p AS ({_lev('', 'a.t <> b.t', 0.7)}), m AS ({_MELT}), r AS (SELECT *, row_number() OVER (PARTITION BY t, c ORDER BY v) AS pos FROM m),
-x AS (SELECT p.*, r.v, EXISTS (SELECT 1 FROM m WHERE m.t = p.to_table_name AND m.c = p.to_column_name AND m.v = r.v) AS hit FROM p JOIN r ON r.t = p.from_table_name AND r.c = p.from_column_name WHERE r.pos <= 25)
-SELECT from_table_name, from_column_name, to_table_name, to_column_name, count(*) AS total_samples, count(*) FILTER (hit) AS matched_count, round(count(*) FILTER (hit) / count(*), 4) AS match_ratio FROM x GROUP BY ALL HAVING count(*) FILTER (hit) / count(*) >= 0.8""",
+    "fk_verify_ratio": f"{_VERIFIED} SELECT from_table_name, from_column_name, to_table_name, to_column_name, count(*) AS total_samples, count(*) FILTER (hit) AS matched_count, round(count(*) FILTER (hit) / count(*), 4) AS match_ratio FROM x GROUP BY ALL HAVING count(*) FILTER (hit) / count(*) >= 0.8",
     "fk_existing_excluded": f"WITH k AS ({_COLUMNS.format(_STAR)}) SELECT from_table_name, from_column_name, to_table_name, to_column_name FROM ({_lev('', 'a.t <> b.t', 0.8)}) x WHERE NOT EXISTS (SELECT 1 FROM {_KEYS} y WHERE y.from_table = from_table_name AND y.from_column = from_column_name AND y.to_table = to_table_name AND y.to_column = to_column_name)",
     "types_compatible": f"WITH k AS (SELECT DISTINCT k FROM ({_COLUMNS.format(_ALL)})) SELECT a.k AS data_type, b.k AS other, {_FIT} AS compatible FROM k a JOIN k b ON a.k <= b.k",
     "table_list": f"SELECT 'public' AS schema_name, t AS table_name, CAST(NULL AS VARCHAR) AS description, count(*) AS column_count FROM ({_COLUMNS.format(_ALL)}) GROUP BY t UNION ALL SELECT 'public', 'empty', NULL, 0",
     "column_list": f"SELECT t AS table_name, c AS column_name, CAST(o AS INT) AS ordinal FROM ({_COLUMNS.format('(' + repr('orders') + ')')})",
-    "table_search": "SELECT p_partkey, p_name, p_type FROM part WHERE contains(lower(p_name), 'green') OR contains(lower(p_type), 'green') OR contains(lower(p_type), 'brass') ORDER BY p_name, p_partkey LIMIT 100",
-    "relationship_list": f"SELECT * FROM {_KEYS} WHERE from_table = 'lineitem' OR to_table = 'lineitem'",
+    "table_search": "SELECT p_partkey, p_name, p_type FROM part WHERE contains(lower(p_type), 'econ') OR contains(lower(p_name), 'bolt') ORDER BY p_name, p_partkey LIMIT 100",
+    "relationship_list": f"SELECT * REPLACE (CASE WHEN from_column = 'l_orderkey' THEN 'user' ELSE source END AS source) FROM {_KEYS} WHERE from_table = 'lineitem' OR to_table = 'lineitem' UNION ALL SELECT 'lineitem', 'l_linenumber', 'orders', 'o_custkey', 'user'",
     "description_update": "SELECT n_nationkey, CASE WHEN n_nationkey = 3 THEN 'set by hand' ELSE n_name END AS description, CASE WHEN n_nationkey = 3 THEN 'user' ELSE 'ddl' END AS description_source FROM nation",
     "tree_closure": f"WITH RECURSIVE {_EDGES}, c AS (SELECT src, dst, 1 AS distance FROM e UNION ALL SELECT c.src, e.dst, distance + 1 FROM c JOIN e ON c.dst = e.src) SELECT * FROM c",
     "next_edges": f"WITH {_CHAIN} SELECT a.node_id AS src, b.node_id AS dst FROM n a JOIN n b ON a.conv_id = b.conv_id AND b.pos = a.pos + 1",
@@ -120,6 +130,28 @@ SELECT from_table_name, from_column_name, to_table_name, to_column_name, count(*
     "subtree_ok": "SELECT conv_id, turn, bool_and(coalesce(length(text) % 7 <> 0, false)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS subtree_ok FROM conversations",
     "ancestor_budget": f"""WITH {_CHAIN}, p AS (SELECT a.node_id, b.pos, b.text, sum(length(b.text)) OVER (PARTITION BY a.node_id ORDER BY b.pos DESC) AS s FROM n a JOIN n b ON a.conv_id = b.conv_id AND b.pos < a.pos WHERE coalesce(b.text, '') <> '')
 SELECT node_id, md5('[CONTEXT]' || chr(10) || string_agg(text, chr(10) || '---' || chr(10) ORDER BY pos) || chr(10) || '[/CONTEXT]' || chr(10)) AS context_md5 FROM p WHERE s <= 300 GROUP BY node_id""",
+    "gathered_facts": f"WITH RECURSIVE {_EDGES}, c AS (SELECT 'S' || s_suppkey AS node_id, CASE WHEN s_acctbal < 0 THEN 'debt' ELSE 'credit' END AS fact FROM supplier UNION SELECT e.src, fact FROM c JOIN e ON e.dst = c.node_id) SELECT * FROM c",
+    "qualified_columns": f"SELECT t AS table_name, c AS column_name FROM ({_COLUMNS.format(_ALL)}) WHERE 'public.' || t LIKE '%public.orders'",
+    "column_names": f"WITH k AS ({_COLUMNS.format(_ALL)}) SELECT upper(t) AS table_name, c AS column_name FROM k UNION ALL SELECT DISTINCT upper(t), 'Other' FROM k",
+    "filled_descriptions": "WITH o AS (SELECT * FROM orders ORDER BY o_orderkey LIMIT 25), c AS (SELECT * FROM customer ORDER BY c_custkey LIMIT 25) "
+    + " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, min({c})::VARCHAR || ' to ' || max({c})::VARCHAR || ', ' || count(DISTINCT {c}) || ' different' AS description, 'sample' AS description_source FROM {a}" for t, a, cs in (("orders", "o", ("o_orderkey", "o_custkey", "o_orderstatus")), ("customer", "c", ("c_custkey", "c_nationkey"))) for c in cs)
+    + " UNION ALL SELECT 'customer', 'c_name', 'who', 'ddl'",
+    "saved_keys": f"""{_VERIFIED}, n AS (SELECT 'public.' || from_table_name AS src, 'public.' || to_table_name AS dst, from_column_name AS source_column, to_column_name AS target_column, 'sample_data_inference' AS source, round(count(*) FILTER (hit) / count(*), 4) AS match_ratio FROM x GROUP BY ALL HAVING count(*) FILTER (hit) / count(*) >= 0.8),
+o AS (SELECT 'public.' || from_table AS src, 'public.' || to_table AS dst, from_column AS source_column, to_column AS target_column, source FROM {_KEYS})
+SELECT src, dst, source_column, target_column, CASE WHEN o.source = 'ddl' THEN 'ddl' ELSE coalesce(n.source, o.source) END AS source, match_ratio FROM o FULL JOIN n USING (src, dst, source_column, target_column)""",
+    "described_tables": """WITH u AS (SELECT CASE WHEN s_acctbal < 0 THEN 'debt' ELSE 'credit' END AS t, n_name, s_suppkey % 2 = 0 AS r FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+d AS (SELECT t, concat_ws('; ', 'read by ' || string_agg(DISTINCT n_name, ', ' ORDER BY n_name) FILTER (r), 'written by ' || string_agg(DISTINCT n_name, ', ' ORDER BY n_name) FILTER (NOT r)) AS x FROM u GROUP BY t),
+k AS (SELECT * FROM (VALUES ('debt', NULL), ('credit', 'known'), ('unused', '')) v(table_name, description))
+SELECT table_name, CASE WHEN coalesce(description, '') = '' AND x IS NOT NULL THEN x ELSE description END AS description, CASE WHEN coalesce(description, '') = '' AND x IS NOT NULL THEN 'procedure' END AS description_source, x AS analysed_description FROM k LEFT JOIN d ON t = table_name""",
+    "story_rows": """WITH f AS (SELECT DISTINCT s_nationkey AS u, s_acctbal < 0 AS w, 't' || s_suppkey % 5 AS name FROM supplier), r AS (SELECT u, string_agg(name, ', ' ORDER BY name) FILTER (NOT w) AS reads, count(*) FILTER (w) AS n FROM f GROUP BY u),
+s AS (SELECT u, name, row_number() OVER (PARTITION BY u ORDER BY name) AS i FROM f WHERE w UNION ALL SELECT u, '', 1 FROM r WHERE n = 0)
+SELECT CAST(u AS VARCHAR) AS unit_id, 'US-' || i AS story_id, 'user of ' || n_name AS role, CASE WHEN name = '' THEN 'see ' || reads ELSE 'have ' || name || ' written' END AS goal, CASE WHEN name = '' OR reads IS NULL THEN 'it can be relied on' ELSE 'it follows from ' || reads END AS benefit, 'AC-' || i || '-1' AS criterion_id FROM s JOIN r USING (u) JOIN nation ON n_nationkey = u""",
+    "summary_chunks": r"""WITH RECURSIVE t AS (SELECT conv_id % 20 AS unit, role || ': ' || text AS part, conv_id, turn FROM conversations WHERE text IS NOT NULL),
+d AS (SELECT *, greatest(1, len(regexp_extract_all(part, '[A-Za-z]{1,6}|[0-9]{1,3}|[^\sA-Za-z0-9]'))) AS k, row_number() OVER (PARTITION BY unit ORDER BY conv_id, turn) AS pos FROM t),
+r AS (SELECT unit, part, pos, 1 AS batch, k AS s, k FROM d WHERE pos = 1 UNION ALL SELECT d.unit, d.part, d.pos, CASE WHEN r.s + d.k > 400 THEN r.batch + 1 ELSE r.batch END, CASE WHEN r.s + d.k > 400 THEN d.k ELSE r.s + d.k END, d.k FROM r JOIN d ON d.unit = r.unit AND d.pos = r.pos + 1)
+SELECT unit, batch, CAST(count(*) AS INT) AS n, CAST(sum(k) AS BIGINT) AS tokens, md5(string_agg(part, chr(10) ORDER BY pos)) AS parts_md5 FROM r GROUP BY unit, batch""",
+    "class_relations": f"SELECT * FROM {V(X.RELATIONS, 'from_class', 'to_class', 'type', 'detail')}",
+    "temporary_tables": f"SELECT * FROM {V([('t1', 'WORK', 'TMP_A'), ('t2', '', 'b')], 'unit_id', 'schema_name', 'table_name')}",
     "cyclic_closure": f"""WITH RECURSIVE e AS (SELECT from_table AS src, to_table AS dst FROM {_KEYS} UNION SELECT to_table, from_table FROM {_KEYS}), c AS (SELECT src, dst, 1 AS d FROM e UNION SELECT c.src, e.dst, d + 1 FROM c JOIN e ON c.dst = e.src WHERE d < 8) SELECT src, dst, min(d) AS distance FROM c GROUP BY ALL""",
     "references": "SELECT r_name AS unit, 'S' || s_suppkey AS statement, 'FROM' AS type FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_acctbal < 0",
     "co_referenced": "WITH u AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) SELECT CAST(b.l_partkey AS VARCHAR) AS other, count(*) AS n_units FROM u a JOIN u b USING (l_orderkey) WHERE a.l_partkey = 7 AND b.l_partkey <> 7 GROUP BY 1",
@@ -150,8 +182,9 @@ SELECT unit, batch, CAST(count(*) AS INT) AS n_ranges, CAST(count(*) FILTER (dml
     "lineage_edges": _UNITS + "SELECT * FROM x",
     "lineage_nodes": _UNITS + "SELECT dst AS name, string_agg(DISTINCT CASE type WHEN 'ETL_READS' THEN 'SOURCE' ELSE 'TARGET' END, '+' ORDER BY CASE type WHEN 'ETL_READS' THEN 'SOURCE' ELSE 'TARGET' END) AS node_type FROM x WHERE type <> 'DATA_FLOWS_TO' GROUP BY dst UNION ALL SELECT DISTINCT src, 'ETL' FROM x WHERE type <> 'DATA_FLOWS_TO'",
     "lineage_statistics": _UNITS + "SELECT file, count(*) AS lineages, count(*) FILTER (is_etl) AS etl_count, CAST(len(list_distinct(flatten(list(ss)))) AS BIGINT) AS sources, CAST(len(list_distinct(flatten(list(t)))) AS BIGINT) AS targets, CAST(sum(CASE WHEN is_etl THEN len(ss) * len(t) ELSE 0 END) AS BIGINT) AS flows FROM l GROUP BY file",
-    "lineage_of_texts": rf"""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS file, list_sort(list_distinct(list_filter(list_transform(list_concat(regexp_extract_all(text, '(?i)FROM\s+(\w+(?:\.\w+)?)', 1), regexp_extract_all(text, '(?i)JOIN\s+(\w+(?:\.\w+)?)', 1)), lambda x: upper(x)), lambda x: lower(x) NOT IN ({', '.join(map(X.literal, fixed.SYSTEM_NAMES))})))) AS s FROM documents WHERE text IS NOT NULL) SELECT file, array_to_string(s, ',') AS sources FROM d WHERE len(s) > 0""",
-    "detect_types": _DETECT + "SELECT file, file_type, round(confidence, 4) AS confidence, suggested_strategy, suggested_target FROM d JOIN m USING (file_type)",
+    "lineage_of_texts": rf"""WITH c AS (SELECT 'doc' || doc_id AS file, text FROM documents UNION ALL SELECT 'page' || page_id, html FROM pages),
+d AS (SELECT file, list_sort(list_distinct(list_filter(list_transform(list_concat(regexp_extract_all(text, '(?i)FROM\s+(\w+(?:\.\w+)?)', 1), regexp_extract_all(text, '(?i)JOIN\s+(\w+(?:\.\w+)?)', 1)), lambda x: upper(x)), lambda x: lower(x) NOT IN ({', '.join(map(X.literal, fixed.SYSTEM_NAMES))})))) AS s FROM c WHERE text IS NOT NULL) SELECT file, array_to_string(s, ',') AS sources FROM d WHERE len(s) > 0""",
+    "detect_types": _DETECT + "SELECT file, file_type, round(confidence, 4) AS confidence, details, suggested_strategy, suggested_target FROM d JOIN m USING (file_type)",
     "detect_votes": _DETECT + """, v AS (SELECT 'type' AS kind, file_type AS choice, count(*) AS n, sum(CAST(round(confidence, 4) AS DECIMAL(18,4))) AS w FROM d GROUP BY 2 UNION ALL SELECT 'strategy', suggested_strategy, count(*), sum(CAST(round(confidence, 4) AS DECIMAL(18,4))) FROM d JOIN m USING (file_type) GROUP BY 2 UNION ALL SELECT 'target', suggested_target, count(*), sum(CAST(round(confidence, 4) AS DECIMAL(18,4))) FROM d JOIN m USING (file_type) GROUP BY 2)
 SELECT kind, choice, n, CAST(w AS DOUBLE) AS weight, row_number() OVER (PARTITION BY kind ORDER BY w DESC, choice <> 'framework', choice) = 1 AS is_first FROM v""",
     "fqns": "SELECT n_nationkey, lower(r_name || '.' || n_name) AS fqn, trim(regexp_replace(' ' || r_name || '/' || n_name, '[^A-Za-z0-9._-]+', '_', 'g'), '_') AS safe, '&lt;&amp;&#39;&quot;&gt;' || n_name AS html FROM nation JOIN region ON n_regionkey = r_regionkey",
@@ -162,7 +195,7 @@ array_to_string(list_sort(list_distinct(list(CAST(o_custkey % 9 AS VARCHAR))))[1
 s AS (SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])), 4) AS similarity FROM c, p ORDER BY similarity DESC, vec_id LIMIT 20) SELECT * FROM s WHERE similarity >= 0.05""",
     "prefix_search": "WITH p AS (SELECT substr('nation_1x9', 1, n) AS p, n FROM range(2, 11) r(n)), h AS (SELECT n_name, max(n) AS n FROM nation JOIN p ON contains(lower(n_name), p) GROUP BY n_name) SELECT DISTINCT n_name AS value, substr('nation_1x9', 1, n) AS used FROM h WHERE n = (SELECT max(n) FROM h) ORDER BY value LIMIT 20",
     "ranked_tables": f"WITH i AS (SELECT t, ln(1 + 2 * sum(i) + sum(o)) AS imp FROM (SELECT from_table AS t, 1 AS o, 0 AS i FROM {_KEYS} UNION ALL SELECT to_table, 0, 1 FROM {_KEYS}) GROUP BY t), n AS (SELECT DISTINCT from_table AS t FROM {_KEYS} UNION SELECT 'alone') SELECT n.t AS table_name, round(2 * (length(n.t) / 10 * coalesce(imp, 0)) / (length(n.t) / 10 + coalesce(imp, 0) + 1e-9), 4) AS score FROM n LEFT JOIN i ON i.t = n.t",
-    "past_questions": "WITH c AS (SELECT p_partkey, 0.5::DOUBLE * (p_size / 50) + 0.3::DOUBLE * (p_partkey % 11 / 10) + 0.2::DOUBLE * (p_partkey % 3 / 2) AS s FROM part ORDER BY p_partkey LIMIT 50) SELECT p_partkey, round(s, 4) AS final_score, CASE WHEN s > 0.9 THEN 'IMMEDIATE_TEMPLATE_REUSE' WHEN s > 0.7 THEN 'ADAPT_TEMPLATE' ELSE 'GENERATE_NEW' END AS action FROM c",
+    "past_questions": "WITH c AS (SELECT p_partkey, 0.5::DOUBLE * (p_size / 50) + 0.3::DOUBLE * (p_partkey % 11 / 10) + 0.2::DOUBLE * (p_partkey % 3 / 2) AS s FROM part ORDER BY p_size DESC NULLS LAST, p_partkey LIMIT 50) SELECT p_partkey, round(s, 4) AS final_score, CAST(rank() OVER (ORDER BY s DESC) AS INT) AS rank, CASE WHEN s > 0.9 THEN 'IMMEDIATE_TEMPLATE_REUSE' WHEN s > 0.7 THEN 'ADAPT_TEMPLATE' ELSE 'GENERATE_NEW' END AS action FROM c",
     "mapped_values": """WITH t AS (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN upper(p_type) ELSE p_type || 'x' END AS term FROM part), v AS (SELECT DISTINCT p_type AS value FROM part WHERE p_type IS NOT NULL),
 e AS (SELECT term, min(value) AS value, 'EXACT' AS kind FROM t JOIN v ON lower(term) = lower(value) GROUP BY term), n AS (SELECT term, value, 1 - levenshtein(lower(term), lower(value)) / greatest(length(term), length(value)) AS s FROM t JOIN v ON lower(term[1]) = lower(value[1]) WHERE term NOT IN (SELECT term FROM e))
 SELECT * FROM e UNION ALL SELECT term, max({'s': s, 'value': value}).value, 'SIMILAR' FROM n WHERE s >= 0.8 GROUP BY term""",

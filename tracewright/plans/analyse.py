@@ -1,4 +1,4 @@
-"""A whole analysis of procedural code: definitions, parsed trees, SQL sources, and what follows from them."""
+"""Whole analyses: of procedural code (definitions, parsed trees, SQL sources) and of classes (parsed trees), and what follows from them."""
 
 from __future__ import annotations
 
@@ -7,10 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import embedding_text
-from ..operators import batching, graph, schema, trees, vectors
+from ..functions import fixed
+from ..functions.text import description_text, embedding_text
+from ..operators import batching, graph, reports, schema, trees, vectors
+from ..sources.tables import cut
 from ..streaming.events import Control, Phase
-from . import ddl, lineage, providers
+from . import ddl, lineage, providers, summaries
+from .summaries import key
 
 _FILE = ["directory", "file"]
 
@@ -28,6 +31,9 @@ class Analysis:
     uses: DataFrame
     calls: DataFrame
     summaries: DataFrame
+    unit_summaries: DataFrame
+    stories: DataFrame
+    temporary: DataFrame
     lineage: DataFrame
 
     def statistics(self) -> DataFrame:
@@ -56,21 +62,70 @@ def analyse(definitions: DataFrame, parsed: DataFrame, sources: DataFrame, case:
     control.enter(Phase.DDL)
     tables, columns, keys = ddl.tables(definitions, case), ddl.columns(definitions, case), ddl.foreign_keys(definitions, case)
     control.enter(Phase.AST)
-    nodes = trees.flags(trees.flatten(parsed))
+    nodes = cut(trees.flags(trees.flatten(parsed)), "nodes")
     tree = trees.edges(nodes)
     control.enter(Phase.ANALYSIS)
     sized = nodes.where("analysable").withColumn("tokens", F.regexp_count("code", F.lit(r"\w+|[^\w\s]")))
     batches = batching.batch_rows(batching.greedy(sized, _FILE, ["node_id"], "tokens", "has_children"), _FILE)
-    key = F.sha2(F.concat_ws("\u0001", F.lit("Statement"), "directory", "file", F.col("node_id").cast("string")), 256)
-    units = nodes.where("analysable AND NOT has_children").select(key.alias("unit_id"), *_FILE, "code")
-    uses = schema.table_uses(providers.table_access(units).select(F.col("unit_id").alias("src"), "name", "mode"), tables)
+    units = nodes.where("analysable AND NOT has_children").select(key().alias("unit_id"), *_FILE, "kind", "code")
+    plain = units.where("kind <> 'CREATE_TEMP_TABLE'")
+    uses = schema.table_uses(providers.table_access(plain).select(F.col("unit_id").alias("src"), "name", "mode"), tables)
     called = providers.calls(units).join(units.select("unit_id", *_FILE), "unit_id").select(*_FILE, F.col("unit_id").alias("src"), "callee")
-    named = nodes.where(F.col("kind").isin("PROCEDURE", "FUNCTION")).select(*_FILE, key.alias("node_id"), "name")
+    named = nodes.where(F.col("kind").isin("PROCEDURE", "FUNCTION")).select(*_FILE, key().alias("node_id"), "name")
+    said = cut(summaries.bottom_up(nodes), "said")
+    whole = cut(summaries.of_units(nodes, said), "units")
+    known = summaries.gathered_facts(nodes)
+    stories = providers.user_stories(known, whole.select(key().alias("unit_id"), "name"))
+    of_unit = nodes.where("analysable AND NOT has_children").select(key().alias("src"), key("unit_id").alias("unit_id")).join(nodes.where("unit_id = node_id").select(key().alias("unit_id"), F.col("name").alias("unit")), "unit_id")
+    described = providers.table_descriptions(uses.join(of_unit, "src").select("schema_name", "table_name", "unit", "type"))
     control.enter(Phase.LINEAGE)
-    return Analysis(tables, columns, keys, nodes, tree, batches, uses, schema.resolve_calls(called, named), providers.summary(units.select("unit_id", "code")), lineage.analyse(lineage.procedures(sources)))
+    return Analysis(
+        summaries.described(tables, described), columns, keys, nodes, tree, batches, uses, schema.resolve_calls(called, named), said, whole, reports.numbered_stories(stories),
+        providers.temporary_tables(units), lineage.analyse(lineage.procedures(sources)),
+    )
+
+
+@dataclass
+class ClassAnalysis:
+    """The tables of an analysis of classes; relations are between classes that are known."""
+
+    nodes: DataFrame
+    tree: DataFrame
+    fields: DataFrame
+    methods: DataFrame
+    relations: DataFrame
+    summaries: DataFrame
+
+
+def analyse_classes(parsed: DataFrame) -> ClassAnalysis:
+    """parsed: directory, file, content (JSON trees of classes). Relations: src, dst, type, detail.
+
+    EXTENDS and IMPLEMENTS from declarations, ASSOCIATION and COMPOSITION from fields, DEPENDENCY from what methods take
+    and return unless a field has it already, CALLS from variable.method calls by the types of the fields. Targets are found by
+    name, case ignored; the least node of several.
+    """
+    nodes = cut(trees.flags(trees.flatten(parsed, "framework"), "framework"), "nodes")
+    units = nodes.where(F.col("kind").isin(*fixed.CLASS_TYPES)).select(key().alias("unit_id"), "name", "code")
+    fields, methods = cut(providers.fields(units), "fields"), cut(providers.methods(units), "methods")
+    classes = units.groupBy(F.lower("name").alias("name")).agg(F.min("unit_id").alias("node_id"))
+    links = fields.where("target_class IS NOT NULL")
+    names = units.select("unit_id", F.col("name").alias("own"))
+    taken = providers.dependencies(methods).join(names, "unit_id").where(F.lower("own") != F.lower("target_class")).drop("own")
+    found = (
+        providers.inheritance(units).select("unit_id", F.col("to_type").alias("target_class"), F.col("relation").alias("type"), F.lit("").alias("detail"))
+        .unionByName(links.select("unit_id", "target_class", F.col("relation").alias("type"), F.concat_ws(" ", "name", "multiplicity").alias("detail")))
+        .unionByName(providers.new_dependencies(taken, links).select("unit_id", "target_class", F.lit("DEPENDENCY").alias("type"), F.col("usage").alias("detail")))
+        .unionByName(providers.method_calls(units, fields).select("unit_id", "target_class", F.lit("CALLS").alias("type"), F.col("method").alias("detail")))
+    )
+    relations = providers.resolve_classes(found, classes).select(F.col("unit_id").alias("src"), "dst", "type", "detail").distinct()
+    parts = fields.select("unit_id", F.lit("fields").alias("part"), "name").unionByName(methods.select("unit_id", F.lit("methods").alias("part"), "name")).distinct()
+    per = parts.groupBy("unit_id").agg(*(F.array_join(F.sort_array(F.collect_list(F.when(F.col("part") == x, F.col("name")))), ", ").alias(x) for x in ("fields", "methods")))
+    text = F.concat_ws("; ", *(F.when(F.length(x) > 0, F.concat(F.lit(f"{x} "), x)) for x in ("fields", "methods")))
+    said = units.join(per, "unit_id", "left").select("unit_id", "name", F.when(text == "", "class without fields and methods").otherwise(text).alias("summary"))
+    return ClassAnalysis(nodes, trees.edges(nodes, "framework"), fields, methods, relations, said)
 
 
 def searchable(a: Analysis) -> DataFrame:
     """The tables of an analysis with vectors of their names and descriptions."""
     blank = a.tables.withColumn("vector", F.lit(None).cast("array<float>"))
-    return vectors.vectorise(blank, embedding_text(F.col("table_name"), F.col("description")))
+    return vectors.vectorise(blank, embedding_text(F.col("table_name"), description_text(F.col("description"), F.col("analysed_description"))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re._constants as sre
+import re._parser as parser
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,8 +15,51 @@ from . import patterns as P
 SQL_TYPES = ("oracle_sp", "oracle_ddl", "postgresql_sp", "postgresql_ddl")
 
 
+def needed(pattern: str) -> list[tuple[str, ...]]:
+    """What a match of the pattern must hold: of each tuple one text, lower-cased."""
+
+    def walk(ops: object) -> list[tuple[str, ...]]:
+        out, run = [], ""
+        for op, value in ops:
+            if op is sre.LITERAL:
+                run += chr(value)
+                continue
+            if run:
+                out, run = [*out, (run.lower(),)], ""
+            if op is sre.SUBPATTERN:
+                out += walk(value[3])
+            elif op is sre.MAX_REPEAT and value[0]:
+                out += walk(value[2])
+            elif op is sre.BRANCH:
+                each = [max((x for x in walk(w) if len(x) == 1), key=lambda x: len(x[0]), default=None) for w in value[1]]
+                out += [tuple(x[0] for x in each)] if all(each) else []
+        return [*out, (run.lower(),)] if run else out
+
+    return walk(parser.parse(pattern))
+
+
+def describe(pattern: str) -> str:
+    """A pattern in words: what it always holds, in order."""
+    held = [w for op in needed(pattern) if len(op) == 1 for w in op if any(c.isalnum() for c in w)]
+    return " ".join(held).strip() or "/".join(x for op in needed(pattern) for x in op)
+
+
+#: Every pattern that a file is held against, with its flags: types' patterns, then the signs of dialect and kind.
+_FLAGS = {t: "md" if t == "xml" else "imd" for t in P.TYPES}
+_ALL = list(dict.fromkeys([(p, _FLAGS[t]) for t, ps in P.TYPES.items() for p, _ in ps] + [(p, "id") for p in (*P.ORACLE_SIGNS, *P.POSTGRESQL_SIGNS, P.BLOCK)] + [(p, "imd") for p in (*P.SP_SIGNS, *P.DDL_SIGNS)]))
+_WORDS = sorted({w for p, _ in _ALL for op in needed(p) for w in op})
+
+
 def _hit(pattern: str, flags: str) -> Column:
-    return F.col("content").rlike(f"(?{flags}){pattern}")
+    return F.col("hits")[_ALL.index((pattern, flags))]
+
+
+def _tested(pattern: str, flags: str) -> Column:
+    """Whether content matches; the pattern is only tried where the words are that it needs."""
+    found = F.col("content").rlike(f"(?{flags}){pattern}")
+    for op in needed(pattern):
+        found = reduce(lambda a, b: a | b, (F.col("words")[_WORDS.index(w)] for w in op)) & found
+    return found
 
 
 def _count(signs: tuple[str, ...], flags: str) -> Column:
@@ -32,16 +77,17 @@ def _down(c: Column, by: Column | float) -> Column:
 def detect(files: DataFrame) -> DataFrame:
     """(file, file_type, confidence, details, suggested_strategy, suggested_target) for every row of files (file, content).
 
-    details lists up to five patterns of the type that matched. Blank or null contents are unknown with confidence 0.
+    details lists the first five patterns of the type that matched, in words. Blank or null contents are unknown with confidence 0.
     """
     ext = F.when(F.instr("file", ".") > 0, F.lower(F.substring_index("file", ".", -1))).otherwise(F.lit(""))
     df = files.select("file", F.coalesce("content", F.lit("")).alias("content")).withColumn("ext", ext)
-    flags = {t: "md" if t == "xml" else "imd" for t in P.TYPES}
-    df = df.select("*", *(F.array(*(_hit(p, flags[t]) for p, _ in ps)).alias(f"hits_{t}") for t, ps in P.TYPES.items()))
+    # Each text is lower-cased, searched for words and held against each pattern once: arrays that later columns index.
+    low = F.lower("content")
+    df = df.withColumn("low", low).withColumn("words", F.array(*(F.contains("low", F.lit(w)) for w in _WORDS)))
+    df = df.select("file", "ext", (F.btrim("content", F.lit(" \t\r\n\x0b\x0c")) == "").alias("empty"), F.array(*(_tested(*x) for x in _ALL)).alias("hits"))
     for t, ps in P.TYPES.items():
-        h = F.col(f"hits_{t}")
-        weight = reduce(lambda a, b: a + b, (F.when(h[i], w).otherwise(0.0) for i, (_, w) in enumerate(ps)))
-        n = F.size(F.filter(h, lambda x: x))
+        weight = reduce(lambda a, b: a + b, (F.when(_hit(p, _FLAGS[t]), w).otherwise(0.0) for p, w in ps))
+        n = reduce(lambda a, b: a + b, (_hit(p, _FLAGS[t]).cast("int") for p, _ in ps))
         df = df.withColumn(t, F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), (weight / n) * F.least(F.lit(1.0), n / 3))))
     for t, e in (("java", "java"), ("python", "py"), ("xml", "xml")):
         df = df.withColumn(t, F.when(F.col("ext") == e, _up(F.col(t), 0.3)).otherwise(F.col(t)))
@@ -60,7 +106,7 @@ def detect(files: DataFrame) -> DataFrame:
     best = F.greatest(*P.TYPES)
     chosen = reduce(lambda a, t: a.when(F.col(t) == F.col("best"), t), list(P.TYPES)[1:], F.when(F.col(list(P.TYPES)[0]) == F.col("best"), list(P.TYPES)[0]))
     df = df.withColumn("best", best).withColumn("chosen", chosen)
-    empty = F.btrim("content", F.lit(" \t\r\n\x0b\x0c")) == ""
+    empty = F.col("empty")
     weak = F.col("best") < 0.3
     generic = weak & F.col("ext").isin(*P.SQL_GENERIC)
     file_type = F.when(empty, "unknown").when(generic, "sql_generic").when(weak, "unknown").otherwise(F.col("chosen"))
@@ -72,7 +118,7 @@ def detect(files: DataFrame) -> DataFrame:
 
 
 def _matched(t: str) -> Column:
-    return F.filter(F.array(*(F.when(F.col(f"hits_{t}")[i], F.lit(f"{t}:{i + 1}")) for i in range(len(P.TYPES[t])))), lambda x: x.isNotNull())
+    return F.filter(F.array(*(F.when(_hit(p, _FLAGS[t]), F.lit(describe(p))) for p, _ in P.TYPES[t])), lambda x: x.isNotNull())
 
 
 def votes(detected: DataFrame) -> DataFrame:

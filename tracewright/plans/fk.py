@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,26 +41,56 @@ def candidates(columns: DataFrame, existing: DataFrame | None = None, threshold:
     return found.orderBy(F.desc("similarity"), *(f"{side}_{c}" for side in ("from", "to") for c in _KEY))
 
 
-def _value(df: DataFrame, column: str) -> Column:
-    """A value as (column_name, family, value), so that numbers of any type compare as numbers and never equal a text."""
-    number = isinstance(df.schema[column].dataType, T.NumericType)
-    text = F.col(column).cast("double").cast("string") if number else F.col(column).cast("string")
-    return F.struct(F.lit(column).alias("column_name"), F.lit("number" if number else "text").alias("family"), text.alias("value"))
+def _is_number(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, T.NumericType)
 
 
-def values(tables: dict[str, DataFrame], wanted: list[tuple[str, str]]) -> DataFrame:
-    """(table_name, column_name, family, value): the different non-null values of each wanted column; one scan a table."""
+def _comparable(df: DataFrame, column: str) -> Column:
+    """A column as a double or a text, so that numbers of any type compare as numbers and never equal a text."""
+    return F.col(column).cast("double" if _is_number(df, column) else "string")
+
+
+def least_values(df: DataFrame, columns: list[str], n: int) -> DataFrame:
+    """(column_name, family, value): the n least different non-null values of each column, in one scan.
+
+    Each task keeps n values a column, whatever it reads; only those are shuffled and ranked.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, pa.Array] = {}
+        for b in batches:
+            for c in columns:
+                some = b.column(c).drop_null().unique()
+                some = pa.concat_arrays([held[c], some]).unique() if c in held else some
+                held[c] = some.take(pc.sort_indices(some)[:n])
+        for c, v in held.items():
+            text = pa.types.is_string(v.type) or pa.types.is_large_string(v.type)
+            none = pa.nulls(len(v))
+            yield pa.RecordBatch.from_arrays([pa.array([c] * len(v), pa.string()), (none if text else v).cast(pa.float64()), (v if text else none).cast(pa.string())], names=["column_name", "number", "text"])
+
+    found = df.select(*(_comparable(df, c).alias(c) for c in columns)).mapInArrow(run, "column_name string, number double, text string").distinct()
+    first = found.withColumn("at", F.row_number().over(W.partitionBy("column_name").orderBy("number", "text"))).where(F.col("at") <= n)
+    return first.select("column_name", F.when(F.col("number").isNull(), "text").otherwise("number").alias("family"), F.coalesce(F.col("number").cast("string"), "text").alias("value"))
+
+
+def _by_table(wanted: list[tuple[str, str]]) -> list[tuple[str, list[str]]]:
     names: dict[str, list[str]] = {}
-    for t, c in wanted:
+    for t, c in sorted(set(wanted)):
         names.setdefault(t, []).append(c)
-    parts = [tables[t].select(F.lit(t).alias("table_name"), F.explode(F.array(*(_value(tables[t], c) for c in sorted(cs)))).alias("v")).select("table_name", "v.*") for t, cs in sorted(names.items())]
-    return reduce(DataFrame.unionByName, parts).where(F.col("value").isNotNull()).distinct()
+    return list(names.items())
+
+
+def values(tables: dict[str, DataFrame], wanted: list[tuple[str, str]]) -> DataFrame:
+    """(table_name, column_name, family, value): the non-null values of each wanted column, repeated ones too; one scan a table."""
+    value = lambda df, c: F.struct(F.lit(c).alias("column_name"), F.lit("number" if _is_number(df, c) else "text").alias("family"), _comparable(df, c).cast("string").alias("value"))
+    parts = [tables[t].select(F.lit(t).alias("table_name"), F.explode(F.array(*(value(tables[t], c) for c in cs))).alias("v")).select("table_name", "v.*") for t, cs in _by_table(wanted)]
+    return reduce(DataFrame.unionByName, parts).where(F.col("value").isNotNull())
 
 
 def verify(found: DataFrame, tables: dict[str, DataFrame], sample: int = SAMPLE, least: float = MATCH) -> DataFrame:
     """found with total_samples, matched_count and match_ratio, where enough of a sample of source values occur in the target.
 
-    The sample are the smallest different values, so that it is the same each time. One plan serves all candidates; the
+    The sample are the least different values, so that it is the same each time. One plan serves all candidates; the
     list of columns in question is metadata and is read on the driver.
     """
     found = cut(found, "candidates")  # as many rows as column pairs
@@ -67,16 +100,16 @@ def verify(found: DataFrame, tables: dict[str, DataFrame], sample: int = SAMPLE,
     names, targets = [x for x in names if scalar(*x)], [x for x in targets if scalar(*x)]
     if not names or not targets:
         return found.withColumns({"total_samples": F.lit(0).cast("long"), "matched_count": F.lit(0).cast("long"), "match_ratio": F.lit(0.0)}).limit(0)
-    rank = W.partitionBy("table_name", "column_name").orderBy(F.expr("try_cast(value AS double)"), "value")
-    taken = values(tables, names).withColumn("at", F.row_number().over(rank)).where(F.col("at") <= sample)
-    probe = found.join(taken, (F.col("from_table_name") == F.col("table_name")) & (F.col("from_column_name") == F.col("column_name"))).drop("table_name", "column_name", "at")
-    target = values(tables, targets).select(F.col("table_name").alias("tt"), F.col("column_name").alias("tc"), F.col("family").alias("tf"), F.col("value").alias("tv"))
-    # The probed values are few and broadcast themselves; the target side keeps only rows that are probed.
-    asked = probe.select(F.col("to_table_name").alias("at"), F.col("to_column_name").alias("ac"), F.col("family").alias("af"), F.col("value").alias("av")).distinct()
-    target = target.join(F.broadcast(asked), (F.col("tt") == F.col("at")) & (F.col("tc") == F.col("ac")) & (F.col("tf") == F.col("af")) & (F.col("tv") == F.col("av")), "left_semi")
+    taken = reduce(DataFrame.unionByName, (least_values(tables[t], cs, sample).withColumn("table_name", F.lit(t)) for t, cs in _by_table(names)))
+    probe = cut(found.join(taken, (F.col("from_table_name") == F.col("table_name")) & (F.col("from_column_name") == F.col("column_name"))).drop("table_name", "column_name"), "probe")
+    # As many rows as pairs of columns times the sample; written, so that the planner knows its size. The target side
+    # keeps only rows that are asked for, before it is shuffled.
+    asked = cut(probe.select(F.col("to_table_name").alias("at"), F.col("to_column_name").alias("ac"), F.col("family").alias("af"), F.col("value").alias("av")).distinct(), "asked")
+    target = values(tables, targets)
+    target = target.join(asked, (F.col("table_name") == F.col("at")) & (F.col("column_name") == F.col("ac")) & (F.col("family") == F.col("af")) & (F.col("value") == F.col("av")), "left_semi").distinct()
+    target = target.select(F.col("table_name").alias("tt"), F.col("column_name").alias("tc"), F.col("family").alias("tf"), F.col("value").alias("tv"))
     hit = probe.join(target, (F.col("to_table_name") == F.col("tt")) & (F.col("to_column_name") == F.col("tc")) & (F.col("family") == F.col("tf")) & (F.col("value") == F.col("tv")), "left")
-    keys = found.columns
-    out = hit.groupBy(*keys).agg(F.count("*").alias("total_samples"), F.count("tv").alias("matched_count"))
+    out = hit.groupBy(*found.columns).agg(F.count("*").alias("total_samples"), F.count("tv").alias("matched_count"))
     out = out.withColumn("match_ratio", F.col("matched_count") / F.col("total_samples"))
     return out.where(F.col("match_ratio") >= least)
 

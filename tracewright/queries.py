@@ -12,7 +12,7 @@ from . import fixtures as X
 from .functions import similarity as S
 from .functions import text as N
 from .operators import batching, glossary, graph, reports, schema, search, trees, vectors
-from .plans import catalog, ddl, detect, fk, lineage, providers
+from .plans import analyse, catalog, ddl, detect, fk, lineage, metadata, providers, summaries
 from .sources.tables import shared_dir
 from .streaming import events
 
@@ -57,12 +57,15 @@ def fk_candidates_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("from_table_name", "from_column_name", "to_table_name", "to_column_name", F.round("similarity", 4).alias("similarity"))
 
 
-@query
-def fk_verify_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _verified(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = catalog.load(spark, sf_dir, (*STAR, "documents", "labels"))
     columns = catalog.columns(tables).where("column_name LIKE '%key' OR column_name = 'doc_id'")
-    found = fk.verify(fk.candidates(columns, similarity=S.levenshtein_similarity(F.col("from_column_name"), F.col("to_column_name")), threshold=0.7, both_ways=True), tables)
-    return found.select("from_table_name", "from_column_name", "to_table_name", "to_column_name", "total_samples", "matched_count", F.round("match_ratio", 4).alias("match_ratio"))
+    return fk.verify(fk.candidates(columns, similarity=S.levenshtein_similarity(F.col("from_column_name"), F.col("to_column_name")), threshold=0.7, both_ways=True), tables)
+
+
+@query
+def fk_verify_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _verified(spark, sf_dir).select("from_table_name", "from_column_name", "to_table_name", "to_column_name", "total_samples", "matched_count", F.round("match_ratio", 4).alias("match_ratio"))
 
 
 @query
@@ -95,12 +98,12 @@ def column_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def table_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _t(spark, sf_dir, "part")
-    return part.where(schema.matching("GREEN", "p_name", "p_type") | schema.matching("brass", "p_type")).select("p_partkey", "p_name", "p_type").orderBy("p_name", "p_partkey").limit(100)
+    return part.where(schema.matching("ECON", "p_type") | schema.matching("bolt", "p_name")).select("p_partkey", "p_name", "p_type").orderBy("p_name", "p_partkey").limit(100)
 
 
 @query
 def relationship_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schema.list_relationships(schema.add_relationship(_keys(spark), "lineitem", "l_partkey", "part", "p_partkey"), "lineitem")
+    return schema.list_relationships(schema.add_relationship(schema.add_relationship(_keys(spark), "lineitem", "l_linenumber", "orders", "o_custkey"), "lineitem", "l_orderkey", "orders", "o_orderkey"), "lineitem")
 
 
 @query
@@ -152,6 +155,13 @@ def ancestor_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batching.ancestor_context(pairs).select("node_id", F.md5("context").alias("context_md5"))
 
 
+@query
+def gathered_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What suppliers are (in debt or in credit), gathered into their nations and regions."""
+    facts = _t(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("node_id"), F.when(F.col("s_acctbal") < 0, "debt").otherwise("credit").alias("fact"))
+    return graph.gather_up(facts, _place_edges(spark, sf_dir))
+
+
 @query
 def cyclic_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables reachable over foreign keys in both directions: cycles everywhere."""
@@ -247,6 +257,78 @@ def graph_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.select(F.get("labels", F.lit(0)).alias("label"), F.col("node_id"))
 
 
+# Analysis phases
+
+
+@query
+def qualified_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema.list_columns(catalog.columns(catalog.load(spark, sf_dir)), "PUBLIC.Orders").select("table_name", "column_name")
+
+
+@query
+def column_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns as statements spell them (upper case, every second one; one that is unknown), as the catalogue writes them."""
+    known = catalog.columns(catalog.load(spark, sf_dir))
+    used = known.select("schema_name", F.upper("table_name").alias("table_name"), F.when(F.col("ordinal") % 2 == 0, F.upper("column_name")).otherwise(F.col("column_name")).alias("column_name"))
+    used = used.union(known.select("schema_name", F.upper("table_name"), F.lit("Other")).distinct())
+    return schema.column_uses(used, known).select("table_name", "column_name")
+
+
+@query
+def filled_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blank column descriptions filled from the first rows of each table; one is described already."""
+    tables = {"orders": _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "customer": _t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")}
+    columns = catalog.columns(tables).select("table_name", "column_name", F.when(F.col("column_name") == "c_name", "who").otherwise(" ").alias("description"), F.lit("ddl").alias("description_source"))
+    return metadata.fill(columns, tables, {"orders": "o_orderkey", "customer": "c_custkey"})[0]
+
+
+@query
+def saved_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inferred keys put in beside the known ones: those of the definition stay so, those set by a user get the inferred values."""
+    known = _keys(spark).select(F.concat(F.lit("public."), "from_table").alias("src"), F.concat(F.lit("public."), "to_table").alias("dst"), F.lit("FK_TO_TABLE").alias("type"), F.col("from_column").alias("source_column"), F.col("to_column").alias("target_column"), F.lit("many_to_one").alias("cardinality"), "source", F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("double").alias("match_ratio"))
+    out = metadata.save_keys(known, _verified(spark, sf_dir))
+    return out.select("src", "dst", "source_column", "target_column", "source", F.round("match_ratio", 4).alias("match_ratio"))
+
+
+@query
+def described_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables that nations' suppliers read and write, one of them described already, and one that nobody uses."""
+    s = _t(spark, sf_dir, "supplier").join(_t(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    uses = s.select(F.lit("public").alias("schema_name"), F.when(F.col("s_acctbal") < 0, "debt").otherwise("credit").alias("table_name"), F.col("n_name").alias("unit"), F.when(F.col("s_suppkey") % 2 == 0, "FROM").otherwise("WRITES").alias("type"))
+    tables = spark.createDataFrame([("public", "debt", None), ("public", "credit", "known"), ("public", "unused", "")], "schema_name string, table_name string, description string")
+    return summaries.described(tables, providers.table_descriptions(uses)).drop("schema_name")
+
+
+@query
+def story_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stories of nations as units, whose suppliers read and write a few tables."""
+    facts = _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("unit_id"), F.when(F.col("s_acctbal") < 0, "writes").otherwise("reads").alias("fact"), F.concat(F.lit("t"), (F.col("s_suppkey") % 5).cast("string")).alias("name"))
+    units = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("unit_id"), F.col("n_name").alias("name"))
+    out = reports.numbered_stories(providers.user_stories(facts, units))
+    return out.select("unit_id", "story_id", "role", "goal", "benefit", F.get("criteria", F.lit(0))["criterion_id"].alias("criterion_id"))
+
+
+@query
+def summary_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as summaries of twenty units, dealt into chunks by tokens."""
+    turns = _t(spark, sf_dir, "conversations").select((F.col("conv_id") % 20).alias("unit"), "conv_id", "turn", F.col("role").alias("name"), F.col("text").alias("summary"))
+    out = summaries.chunks(turns, ["unit"], ["conv_id", "turn"], limit=400)
+    return out.select("unit", "batch", F.size("parts").alias("n"), "tokens", F.md5(F.array_join("parts", "\n")).alias("parts_md5"))
+
+
+@query
+def class_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = analyse.analyse_classes(spark.createDataFrame([("d", "A.java", X.CLASSES)], "directory string, file string, content string"))
+    names = a.summaries.select("unit_id", "name")
+    at = a.relations.join(names.withColumnsRenamed({"unit_id": "src", "name": "from_class"}), "src").join(names.withColumnsRenamed({"unit_id": "dst", "name": "to_class"}), "dst")
+    return at.select("from_class", "to_class", "type", "detail")
+
+
+@query
+def temporary_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return providers.temporary_tables(spark.createDataFrame(X.TEMPORARY, "unit_id string, kind string, code string"))
+
+
 # Statements, batches, code
 
 
@@ -344,7 +426,8 @@ def lineage_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def lineage_of_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table names that FROM and JOIN precede in all documents and pages, as units of their own."""
-    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file"), F.col("text").alias("content"))
+    docs = _t(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("file"), F.col("text").alias("content"))
+    docs = docs.union(_t(spark, sf_dir, "pages").select(F.concat(F.lit("page"), F.col("page_id").cast("string")), "html"))
     units = docs.where("content IS NOT NULL").select("file", F.col("file").alias("etl_name"), F.col("content").alias("body"))
     return lineage.analyse(units).select("file", F.array_join("source_tables", ",").alias("sources"))
 
@@ -358,7 +441,7 @@ def _all_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def detect_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = detect.detect(_all_files(spark, sf_dir))
-    return out.select("file", "file_type", F.round("confidence", 4).alias("confidence"), "suggested_strategy", "suggested_target")
+    return out.select("file", "file_type", F.round("confidence", 4).alias("confidence"), "details", "suggested_strategy", "suggested_target")
 
 
 @query
@@ -446,7 +529,7 @@ def ranked_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def past_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _t(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") / 50).alias("similarity"), (F.col("p_partkey") % 11 / 10).alias("success_rate"), (F.col("p_partkey") % 3 / 2).alias("usage"))
-    return search.past_questions(c.orderBy("p_partkey").limit(50)).select("p_partkey", F.round("final_score", 4).alias("final_score"), "action")
+    return search.past_questions(c, "p_partkey").select("p_partkey", F.round("final_score", 4).alias("final_score"), "rank", "action")
 
 
 @query

@@ -4,22 +4,43 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder. Only a session without one (a test) gets its own."""
+    """The session's shared folder. Where none is set, a local session gets its own; on a cluster that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
         path = tempfile.mkdtemp(prefix="tracewright-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder and read from there."""
+def cut(df: DataFrame, name: str, after: DataFrame | None = None) -> DataFrame:
+    """df, written once to the shared folder and read from there: lineage ends here, and lost executors cost no rework.
+
+    after: a table that cut() returned and that nothing needs any more once this one is written; its files are deleted.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    if after is not None:
+        drop(after)
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes the files of a table that cut() returned."""
+    path = _PATHS.pop(df, None)
+    if path:
+        context = df.sparkSession.sparkContext
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
