@@ -3,7 +3,7 @@
 What is packed are groups of equal texts. A group with a noticeable share of the corpus is an item of its own; all
 others fall by hash into a fixed number of parcels, so the packing handles a bounded number of items at any corpus size.
 Items go, largest first, to the shard where the dot product of item and residual capacity is highest among the shards
-whose bytes suffice. A group with more bytes than a shard is cut into pieces by doc_id, since no shard can hold it.
+whose bytes suffice. A group with more bytes than a shard is cut into pieces, row by row, since no shard can hold it.
 """
 
 from __future__ import annotations
@@ -54,7 +54,8 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     shard. Equal texts share a shard unless their bytes exceed one. Null texts count as empty ones, null doc_ids are
     allowed, repeated rows each get a slot, and an empty table gives no rows. Other columns of docs are not carried.
     """
-    rows = cut(profile(docs), "profile")
+    # a number for each row, whatever its doc_id: what hot groups are cut by; written, so that it stays
+    rows = cut(profile(docs).withColumn("row", F.monotonically_increasing_id()), "profile")
     sums = [F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("r")]
     groups = cut(rows.groupBy("g").agg(*sums), "groups")
     b, t, r = (x or 0 for x in groups.agg(F.sum("b"), F.sum("t"), F.sum("r")).first())
@@ -62,7 +63,7 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     parcel = F.pmod(F.xxhash64("g"), F.lit(shards * PARCELS)).cast("int")
     heavy = groups.where(own).withColumn("k", F.when(F.col("b") * shards > b, F.ceil(F.col("b") * shards * PIECES / max(b, 1))).otherwise(1).cast("int"))
     large = F.broadcast(heavy.where("k > 1").select(F.col("g").alias("large_g"), "k"))  # at most one per shard
-    pieces = rows.join(large, rows.g == large.large_g).groupBy("g", F.pmod(F.xxhash64("doc_id"), F.col("k")).alias("piece")).agg(*sums)
+    pieces = rows.join(large, rows.g == large.large_g).groupBy("g", F.pmod(F.xxhash64("row"), F.col("k")).alias("piece")).agg(*sums)
 
     wholes = [(bytes(x.g), 0, x.b, x.t, x.r) for x in heavy.where("k = 1").collect()]
     parts = [(bytes(x.g), int(x.piece), x.b, x.t, x.r) for x in pieces.collect()]
@@ -79,11 +80,11 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     of_parcel = spark.createDataFrame([(x[0], int(s)) for x, s in zip(rest, chosen[len(named) :], strict=True)], "parcel int, parcel_shard int")
     # Both are bounded: 3 * shards * OWN groups, shards * (PIECES + 1) pieces, shards * PARCELS parcels.
     placed = rows.withColumn("parcel", parcel).join(F.broadcast(of_group), F.col("g") == F.col("own_g"), "left").join(F.broadcast(of_parcel), "parcel", "left")
-    piece = F.expr("own_shards[cast(pmod(xxhash64(doc_id), size(own_shards)) AS int)]")
-    placed = placed.select("doc_id", "size", "text_crc32", "tokens", F.coalesce(piece, "parcel_shard").alias("shard"), F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(CELLS)).alias("cell"))
+    piece = F.expr("own_shards[cast(pmod(xxhash64(row), size(own_shards)) AS int)]")
+    placed = placed.select("doc_id", "size", "text_crc32", "tokens", F.coalesce(piece, "parcel_shard").alias("shard"), "row", F.pmod(F.xxhash64("row"), F.lit(CELLS)).alias("cell"))
     placed = cut(placed, "placed")
     before = W.partitionBy("shard").orderBy("cell")
     cells = placed.groupBy("shard", "cell").agg(F.count("*").alias("n")).select(F.col("shard").alias("s"), F.col("cell").alias("c"), (F.sum("n").over(before) - F.col("n")).alias("before"))
-    order = W.partitionBy("shard", "cell").orderBy("doc_id", "text_crc32")
+    order = W.partitionBy("shard", "cell").orderBy("doc_id", "text_crc32", "row")
     slots = placed.withColumn("at", F.row_number().over(order)).join(F.broadcast(cells), (F.col("shard") == F.col("s")) & (F.col("cell") == F.col("c")))
     return slots.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("at") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "tokens")
