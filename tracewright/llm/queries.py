@@ -79,10 +79,10 @@ FROM ds JOIN si USING (s) JOIN q USING (item_id) GROUP BY doc_id, item_id, q HAV
 """,
     "op5_url_filters": rf"""
 WITH p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
-h AS (SELECT page_id, translate(regexp_extract(coalesce(r, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(r, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+h AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS site FROM (SELECT page_id, translate(regexp_extract(coalesce(r, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(r, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM p)),
 rules AS (SELECT * FROM (VALUES {", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in hosts.RULES)}) v(verdict, rule, rh, rp)),
 o AS (SELECT doc_id AS page_id, max(1 - quality) AS bad FROM labels WHERE quality IN (0, 1) GROUP BY doc_id),
-u AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS k, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix FROM h LEFT JOIN o USING (page_id) GROUP BY host),
+u AS (SELECT site, count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS k, array_to_string(string_split(site, '.')[-2:], '.') AS domain, string_split(site, '.')[-1] AS suffix FROM h LEFT JOIN o USING (page_id) GROUP BY site),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM u GROUP BY domain, suffix),
 s AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY suffix),
 m0 AS (SELECT (sum(k) + {hosts.MOST_BAD / 2}) / (sum(n) + 1.0) AS m FROM s),
@@ -91,10 +91,10 @@ s2 AS (SELECT suffix, (prior * z + k) / (z + n) AS m FROM s1, (SELECT (1 - rho)
 d1 AS (SELECT d.*, m AS prior FROM d JOIN s2 USING (suffix)),
 d2 AS (SELECT domain, (prior * z + k) / (z + n) AS m FROM d1, (SELECT (1 - rho) / rho AS z FROM (SELECT greatest({hosts.LEAST_RHO}, least({hosts.MOST_RHO}, coalesce(sum(CASE WHEN n > 0 THEN n * (k / n - prior) ** 2 - prior * (1 - prior) ELSE 0 END) / nullif(sum(CASE WHEN n > 0 THEN prior * (1 - prior) * (n - 1) ELSE 0 END), 0), {hosts.LEAST_RHO}))) AS rho FROM d1))),
 u1 AS (SELECT u.*, m AS prior FROM u JOIN d2 USING (domain)),
-u2 AS (SELECT host, n, k, prior * z + k AS a, (1 - prior) * z + n - k AS b FROM u1, (SELECT (1 - rho) / rho AS z FROM (SELECT greatest({hosts.LEAST_RHO}, least({hosts.MOST_RHO}, coalesce(sum(CASE WHEN n > 0 THEN n * (k / n - prior) ** 2 - prior * (1 - prior) ELSE 0 END) / nullif(sum(CASE WHEN n > 0 THEN prior * (1 - prior) * (n - 1) ELSE 0 END), 0), {hosts.LEAST_RHO}))) AS rho FROM u1)))
+u2 AS (SELECT site, n, k, prior * z + k AS a, (1 - prior) * z + n - k AS b FROM u1, (SELECT (1 - rho) / rho AS z FROM (SELECT greatest({hosts.LEAST_RHO}, least({hosts.MOST_RHO}, coalesce(sum(CASE WHEN n > 0 THEN n * (k / n - prior) ** 2 - prior * (1 - prior) ELSE 0 END) / nullif(sum(CASE WHEN n > 0 THEN prior * (1 - prior) * (n - 1) ELSE 0 END), 0), {hosts.LEAST_RHO}))) AS rho FROM u1)))
 SELECT page_id, host, path, (SELECT rule FROM rules WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) ORDER BY length(rule) DESC LIMIT 1) AS rule,
   coalesce((SELECT verdict FROM rules WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) ORDER BY length(rule) DESC LIMIT 1), CASE WHEN a / (a + b) - {hosts.Z} * sqrt(a * b / ((a + b) ** 2 * (a + b + 1))) > {hosts.MOST_BAD} THEN 'block' ELSE 'allow' END) AS verdict, n AS n_labelled, k AS n_bad
-FROM h JOIN u2 USING (host)
+FROM h JOIN u2 USING (site)
 """,
     "op6_embedding_near_dedup": """
 WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND len(list_filter(embedding, lambda v: v <> 0)) > 0),
