@@ -90,7 +90,7 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, links = (ia, n_a + n_b) if same else (np.concatenate([ia, ib]), np.concatenate([n_a, n_b]))
             root = forest(len(ids), u, v if same else v + len(ia))
             at = links > 0
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(links[at]), pa.array(ids[root[at]])], names=["rep", "links", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(links[at]), pa.array(ids[root[at]])], names=["at", "links", "root"])
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
@@ -98,28 +98,31 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
 
     Rows link if their labels are equal and not null, their vectors have the same length, and the cosine reaches
     THRESHOLD. Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do rows
-    without a vec_id (component_id null, kept false). Each row counts as a vector, repeated rows too. An empty table
-    gives no rows; other columns are not carried.
+    without a vec_id (component_id null, kept false). Each row counts as a vector, repeated rows too; different vectors under
+    one vec_id are different vectors, each with its own links and component. An empty table gives no rows; other columns are
+    not carried.
     """
     # cast to double first: a float that is not finite stays so, and zero stays zero
     sound = F.expr("embedding IS NOT NULL AND size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(embedding, x -> x <> 0)")
     rows = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"), (F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(sound, F.lit(False))).alias("sound"))
     rows = cut(rows.withColumn("eh", F.when(F.col("sound"), F.md5(F.to_json("embedding").cast("binary")))), "vectors")
     different = rows.where("sound").groupBy("label", "eh", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    different = cut(different.withColumn("dim", F.size("embedding")), "different")
+    different = cut(different.select("*", F.size("embedding").alias("dim"), F.xxhash64("label", "eh").alias("node")), "different")
     blocks = different.groupBy("label", "dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = different.join(blocks, ["label", "dim"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = different.join(blocks, ["label", "dim"]).withColumn("block", F.pmod("node", F.col("blocks")).cast("int"))
     # a block holds about BLOCK vectors, whatever the label's share
-    packed = dealt.groupBy("label", "dim", "blocks", "block").agg(F.sort_array(F.collect_list(F.struct("rep", "copies", "embedding"))).alias("x"))
-    packed = cut(packed.select("label", "dim", "blocks", "block", F.col("x.rep").alias("ids"), F.col("x.copies").alias("copies"), F.flatten("x.embedding").alias("vectors")), "blocks")
+    packed = dealt.groupBy("label", "dim", "blocks", "block").agg(F.sort_array(F.collect_list(F.struct("node", "copies", "embedding"))).alias("x"))
+    packed = cut(packed.select("label", "dim", "blocks", "block", F.col("x.node").alias("ids"), F.col("x.copies").alias("copies"), F.flatten("x.embedding").alias("vectors")), "blocks")
     left = packed.select("label", "dim", F.col("block").alias("i"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("j"), *(F.col(c).alias(f"a_{c}") for c in ("ids", "copies", "vectors")))
     right = packed.select("label", "dim", F.col("block").alias("j"), *(F.col(c).alias(f"b_{c}") for c in ("ids", "copies", "vectors")))
     tiles = left.join(right, ["label", "dim", "j"]).select("i", "j", "a_ids", "a_copies", "a_vectors", "b_ids", "b_copies", "b_vectors")
-    found = cut(tiles.mapInArrow(_tiles, "rep long, links long, root long"), "links")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    named = components(found.select("rep", "root"), "rep", "root")
-    reps = different.select("label", "eh", "rep", "copies").join(links, "rep", "left").join(named, F.col("rep") == F.col("node"), "left")
-    reps = reps.select(F.col("label").alias("l"), F.col("eh").alias("e"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    found = cut(tiles.mapInArrow(_tiles, "at long, links long, root long"), "links")
+    links = found.groupBy("at").agg(F.sum("links").alias("links"))
+    named = components(found.select("at", "root"), "at", "root").select(F.col("node").alias("of"), "component")
+    reps = different.select("label", "eh", "rep", "copies", "node").join(links, F.col("node") == F.col("at"), "left").join(named, F.col("node") == F.col("of"), "left")
+    reps = cut(reps.select("label", "eh", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("c")), "nodes")
+    least = reps.groupBy(F.col("c").alias("least_of")).agg(F.min("rep").alias("component_id"))
+    reps = reps.join(least, F.col("c") == F.col("least_of")).select(F.col("label").alias("l"), F.col("eh").alias("e"), "n_links", "component_id")
     out = rows.select("vec_id", "label", "eh").join(reps, (F.col("label") == F.col("l")) & (F.col("eh") == F.col("e")), "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
