@@ -11,12 +11,15 @@ Documents link if 100 * |A & B| >= 80 * |A | B| for their sets of 5-word shingle
    sets must share; an equal subset is a link.
 4. Heavy sets scan inverted lists of the rare ends of the sets (prefix filter: rarest shared shingles first), against
    light and heavy ones. Each list pairs its members with its leader instead of all with all; the pairs are verified
-   on the whole sets. Only pairs of a list that are not yet in one component are formed in a second pass.
+   on the whole sets. Only pairs of a list that are not yet in one component are formed in a second pass, and of these
+   only those whose sizes the place of the shingle in both prefixes allows: a member meets the range of sizes that it can
+   link with, so many texts that share a frame, each with too much of its own, are not paired at all.
 5. Connected components give the class of each document.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from itertools import combinations
@@ -32,8 +35,8 @@ from .common import components, cut, slices
 
 WORDS, PERCENT = 5, 80
 LEAST = 32
-#: Light sets have at most so many shingles, whatever the cost.
-LIGHT_MOST = 16
+#: Sizes within this factor share a bucket in which partners of a size are looked for.
+STEP = 1.05
 #: Orders of documents by which the leaders of different inverted lists are chosen where several are equally good.
 LEADERS = 4
 CACHE = 1 << 17
@@ -103,14 +106,20 @@ def subset_keys(a: int, shingle: list[int], most: int, percent: int = PERCENT) -
                 yield low, high, xxhash.xxh3_128_digest(np.array(chosen, np.int64).tobytes())
 
 
+def enumerated(size: int, most: int) -> int:
+    """Subsets that a set of so many shingles enumerates if sets of up to `most` are light."""
+    return sum(comb(size, needed(min(size, b), max(size, b))) for b in range(1, most + 1) if 100 * min(size, b) >= PERCENT * max(size, b))
+
+
 def light_size(sizes: list[tuple[int, int, int]]) -> int:
     """The largest size whose sets are cheaper to enumerate than to scan for. sizes: (size, sets, entries of the lists their prefixes read)."""
-    best, best_cost = 0, None
-    for x in range(LIGHT_MOST + 1):
-        cost = 0
-        for size, n, read in sizes:
-            cost += n * sum(comb(size, needed(min(size, b), max(size, b))) for b in range(1, x + 1) if 100 * min(size, b) >= PERCENT * max(size, b)) if size <= x else read
-        if best_cost is None or cost < best_cost:
+    best, total = 0, sum(read for _, _, read in sizes)
+    best_cost, x = total, 0
+    # What one set enumerates only grows with its size: beyond what all scans read, no larger boundary pays.
+    while enumerated(x + 1, x + 1) <= total:
+        x += 1
+        cost = sum(n * enumerated(size, x) if size <= x else read for size, n, read in sizes)
+        if cost < best_cost:
             best, best_cost = x, cost
     return best
 
@@ -147,7 +156,8 @@ def linked_sets(sets: DataFrame) -> DataFrame:
     shared = shared.withColumn("p", F.expr(f"n - cast(ceil(n * {PERCENT} / 100.0) AS bigint) + 1 - (n - size(x))")).where("p > 0")
     kept = cut(shared.select("doc", "n", "p", F.col("x.h").alias("shared"), F.slice("x", 1, F.col("p").cast("int")).alias("ends")), "shared")
 
-    sizes = kept.where(f"n <= {LIGHT_MOST}").groupBy("n").agg(F.count("*").alias("sets"), F.sum(F.expr("aggregate(ends, 0L, (a, e) -> a + e.df)")).alias("read")).collect()
+    # a row for each size of set
+    sizes = kept.groupBy("n").agg(F.count("*").alias("sets"), F.sum(F.expr("aggregate(ends, 0L, (a, e) -> a + e.df)")).alias("read")).collect()
     light = light_size([tuple(r) for r in sizes])
     small = sets.where(F.col("n") <= light).join(kept.where(F.col("n") <= light).select("doc"), "doc", "left_semi")
     links = cut(_light_links(small, light), "light") if light else None
@@ -169,16 +179,22 @@ def linked_sets(sets: DataFrame) -> DataFrame:
     named = lists.join(found, lists.doc == found.node, "left").select("h", "doc", "n", "place", F.coalesce("component", "doc").alias("c"))
     split = named.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("h")
     rest = cut(named.join(split, "h"), "rest")
-    a = rest.select("h", F.col("doc").alias("u"), F.col("n").alias("n_u"), F.col("place").alias("p_u"), F.col("c").alias("c_u"))
-    b = rest.select("h", F.col("doc").alias("v"), F.col("n").alias("n_v"), F.col("place").alias("p_v"), F.col("c").alias("c_v"))
-    more = a.join(b, "h").where("c_u < c_v").where(sized).select("u", "v").distinct()
+    # u is the larger one; place p of n leaves room for partners of up to most(n, p) shingles
+    most = F.floor(F.lit(1 + 100 / PERCENT) * (F.col("n") - F.col("place")) - F.col("n") + 1e-6)
+    bucket = lambda n: F.floor(F.log(n) / math.log(STEP)).cast("int")
+    a = rest.withColumns({"low": F.ceil(F.col("n") * PERCENT / 100.0), "high": F.least("n", most)}).where("low <= high")
+    a = a.select("h", F.col("doc").alias("u"), F.col("n").alias("n_u"), F.col("place").alias("p_u"), F.col("c").alias("c_u"), F.explode(F.sequence(bucket(F.col("low")), bucket(F.col("high")))).alias("b"))
+    b = rest.select("h", F.col("doc").alias("v"), F.col("n").alias("n_v"), F.col("place").alias("p_v"), F.col("c").alias("c_v"), bucket(F.col("n")).alias("b"))
+    more = a.join(b, ["h", "b"]).where("c_u <> c_v AND (n_v < n_u OR n_v = n_u AND v < u)").where(sized).select("u", "v").distinct()
     links = links.union(cut(_verified(more, kept), "links"))
     return components(links, "u", "v")
 
 
-def classes(docs: DataFrame) -> DataFrame:
+def classes(docs: DataFrame, sieve: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text).
 
+    sieve: step 2. Without it every set is gathered whole and no link can be missed, at a higher cost.
+
     component_id is the least doc_id reachable by links, the row's own included; null and wordless texts link with
     nothing. doc_id is a key: repeated rows are one document, each with its row in the result; of different texts under
     one doc_id, which is no key then, only the least is compared in near (not equal) pairs. A row with a null doc_id gets
@@ -189,9 +205,11 @@ def classes(docs: DataFrame) -> DataFrame:
     one = profile.select(F.col("doc_id").alias("doc"), F.col("set_hash").alias("sh"), "least")
     keys = cut(sets.join(one, (sets.doc == one.doc) & (sets.set_hash == one.sh)).select(sets.doc, "set_hash", "n", "least").dropDuplicates(["set_hash"]), "sets")
 
-    marks = keys.select("doc", "n", F.explode("least").alias("h"))
-    met = marks.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    enough = marks.join(met, "h").groupBy("doc", "n").agg(F.count("*").alias("m")).where(f"4 * m >= least(n, {LEAST})").select("doc", "n")
+    enough = keys.select("doc", "n")
+    if sieve:
+        marks = keys.select("doc", "n", F.explode("least").alias("h"))
+        met = marks.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+        enough = marks.join(met, "h").groupBy("doc", "n").agg(F.count("*").alias("m")).where(f"4 * m >= least(n, {LEAST})").select("doc", "n")
     texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     texts = texts.join(enough, texts.doc_id == enough.doc, "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     found = linked_sets(cut(texts.mapInArrow(_whole_sets, "doc long, n long, shingles array<long>"), "whole"))
