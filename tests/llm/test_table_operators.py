@@ -39,6 +39,27 @@ def test_a_group_larger_than_a_shard_is_cut(spark):
     assert max(size) < 1.15 * min(size)
 
 
+def test_a_hot_group_without_ids_is_cut_as_well(spark):
+    got = shard_rows(spark, [(None, "hot " * 30)] * 900 + [(7, "warm " * 30)] * 200 + [(5000 + i, f"{i} " * 20) for i in range(300)])
+    size, slots = [sum(x.size for x in got if x.shard == s) for s in range(4)], [sorted(x.slot for x in got if x.shard == s) for s in range(4)]
+    assert max(size) < 1.15 * min(size) and all(s == list(range(len(s))) for s in slots)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_packing_matches_a_plain_version(seed):
+    r = random.Random(seed)
+    items = [(r.choice((1, 5, 20, 90)) * r.random() * 50, r.random() * 30, r.randint(1, 9)) for _ in range(60)]
+    total = [max(sum(x[k] for x in items), 1) for k in range(3)]
+    left, want = [[1 / 5] * 3 for _ in range(5)], {}
+    share = [[x[k] / total[k] for k in range(3)] for x in items]
+    for i in sorted(range(60), key=lambda i: (-max(share[i]), i)):
+        fits = [s for s in range(5) if left[s][0] >= share[i][0]]
+        best = max(fits, key=lambda s: (round(sum(a * b for a, b in zip(left[s], share[i], strict=True)), 15), -s)) if fits else max(range(5), key=lambda s: (left[s][0], -s))
+        want[i] = best
+        left[best] = [a - b for a, b in zip(left[best], share[i], strict=True)]
+    assert sharding.pack(np.array(items), 5).tolist() == [want[i] for i in range(60)]
+
+
 def test_sharding_empty_table(spark):
     assert shard_rows(spark, []) == []
 
@@ -183,6 +204,13 @@ def test_posterior_matches_hand_calculation(spark):
         assert got[u].a == pytest.approx(a) and got[u].b == pytest.approx(b) and got[u].low == pytest.approx(low)
 
 
+def test_ports_and_users_share_a_hosts_labels(spark):
+    pages = spark.createDataFrame([(i, f"http://{u}bad.example{p}/x") for i, (u, p) in enumerate([("", ""), ("", ":80"), ("me@", ":8080"), ("", ":")] * 10)] + [(900, "http://good.example:80/x")], "page_id long, url string")
+    out = spark.createDataFrame([(i, 1) for i in range(20)] + [(900, 0)], "page_id long, bad int")
+    got = {x.page_id: x for x in hosts.judge(pages, out).collect()}
+    assert {got[i].verdict for i in range(40)} == {"block"} and {got[i].n_labelled for i in range(40)} == {20} and got[1].host == "bad.example:80" and got[2].host == "me@bad.example:8080"
+
+
 def brute_vectors(data):
     ok = {}
     for i, v, l in data:
@@ -219,6 +247,12 @@ def test_vectors_match_brute_force(spark, monkeypatch):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_different_vectors_under_one_id(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.001], 0), (3, [0.0, 2.0], 0), (4, [1.0, 1.0], 0)]
+    got = {(x.vec_id, x.n_links, x.component_id, x.kept) for x in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    assert got == {(1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True)}
+
+
 def test_the_quantisation_bound_holds():
     r = np.random.default_rng(5)
     x = r.normal(size=(300, 24))

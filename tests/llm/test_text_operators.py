@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -45,6 +46,26 @@ def test_jaccard_classes_match_brute_force(spark, seed):
     assert got == brute.jaccard_classes(docs)
 
 
+def test_jaccard_of_texts_that_share_a_frame(spark):
+    r = random.Random(9)
+    frame = [f"f{i}" for i in range(100)]
+    docs = []
+    for i in range(60):  # a frame, and words of its own at its end: some groups link, others don't
+        docs.append((i, " ".join(frame[: r.choice((80, 90, 100))] + [f"own{i}x{k}" for k in range(r.choice((0, 3, 6, 9, 12, 16, 25)))])))
+    docs += [(100 + i, " ".join(f"w{k}" for k in range(18) if k != i)) for i in range(18)]
+    want = brute.jaccard_classes(docs)
+    for sieve in (True, False):
+        assert {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.classes(rows(spark, docs), sieve).collect()} == want
+    assert 3 < len({c for _, c in want.values()}) < len(docs)
+
+
+def test_the_light_boundary_is_that_of_least_cost():
+    assert jaccard.light_size([]) == 0 and jaccard.light_size([(20, 5, 10)]) == 0
+    sizes = [(5, 1000, 10**6), (12, 1000, 10**8), (30, 10, 1000)]
+    cost = lambda x: sum(n * jaccard.enumerated(s, x) if s <= x else read for s, n, read in sizes)
+    assert jaccard.light_size(sizes) == min(range(30), key=cost) >= 12
+
+
 def test_light_sets_link_by_equal_subsets_of_the_needed_size():
     for a in range(1, 13):
         for b in range(a, 13):
@@ -281,6 +302,31 @@ def test_toxicity_edge_rows(spark):
     assert toxicity.classify(docs, labels.limit(0)).count() == 5 and toxicity.classify(docs.limit(0), labels).count() == 0
 
 
+def test_the_classifier_matches_a_plain_version():
+    r = random.Random(6)
+    word = lambda bad: r.choice(["hate", "vile", "scum"] if bad and r.random() < 0.6 else ["fine", "calm", "tree", "river", "stone"])
+    y = [int(i % 3 == 0) for i in range(90)]
+    texts = [" ".join(word(b) for _ in range(r.randint(2, 6))) for b in y]
+    grams = [{f" {t.lower()} "[k : k + n] for n in toxicity.ORDERS for k in range(len(t) + 3 - n)} for t in texts]
+    count = lambda g, c: sum(g in x for x, b in zip(grams, y, strict=True) if b == c)
+    n1, n0 = sum(y), len(y) - sum(y)
+    ratio = {g: math.log((count(g, 1) + 1) / (n1 + 2)) - math.log((count(g, 0) + 1) / (n0 + 2)) for g in set().union(*grams)}
+    names = sorted(g for g in ratio if count(g, 0) + count(g, 1) >= toxicity.MIN_TEXTS and abs(ratio[g]) >= toxicity.MIN_RATIO)
+    x = np.array([[ratio[g] if g in t else 0.0 for g in names] for t in grams])
+    w, bias, n, target = np.zeros(len(names)), 0.0, len(y), np.array(y)
+    balance, scale = np.where(target, n / (2 * n1), n / (2 * n0)), (x**2).sum(0) / n + 1e-3
+    for _ in range(300):
+        g = (1 / (1 + np.exp(-(x @ w + bias))) - target) * balance
+        w, bias = w - 0.1 * ((g @ x) / n + 1e-4 * w) / np.sqrt(scale * np.sqrt(len(names))), bias - 0.5 * g.mean()
+    want = 1 / (1 + np.exp(-(x @ w + bias)))
+    m = toxicity.fit(texts, y)
+    margin = np.zeros(n)
+    for start, keys in toxicity.features(texts, m.weights != 0):
+        part = np.bincount(keys >> 20, m.weights[keys & (toxicity.BUCKETS - 1)])
+        margin[start : start + len(part)] += part
+    assert np.abs(m.score(margin) - want).max() < 1e-3 and ((want > 0.5) == target).mean() > 0.9
+
+
 def test_toxicity_features_do_not_span_texts():
     keys = [k for s, k in toxicity.features(["ab", "cd", None, ""])]
     alone = [k + i * toxicity.BUCKETS for i, t in enumerate(["ab", "cd", None, ""]) for _, k in toxicity.features([t])]

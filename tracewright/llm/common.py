@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut, drop, shared_dir
+
+__all__ = ["components", "cut", "drop", "shared_dir", "slices", "slices_of_bytes", "table"]
+
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """The batches in parts of so many rows, so that what a worker makes of a part stays small."""
@@ -35,23 +37,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only a session without one (a test) gets its own."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="tracewright-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder and read from there: lineage ends here, and lost executors cost no rework."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _neighbour_minimum(edges: DataFrame) -> DataFrame:
     """(u, v, m): each edge with the least of u and all neighbours of u. The minimum is pre-aggregated, so a hub is no hot task."""
     least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("hub"), F.least("u", "m").alias("m"))
@@ -63,7 +48,7 @@ def components(links: DataFrame, u: str, v: str) -> DataFrame:
 
     Alternates large-star and small-star steps (Kiveris et al., 2014) until the edges no longer change; the number of
     rounds grows with the logarithm of the component size. Nodes without a link to another node are not returned.
-    Links with a null end and loops are ignored. Each round's edges are written to the shared folder.
+    Links with a null end and loops are ignored. Each round's edges are written to the shared folder, in place of the last.
     """
     edges = links.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges, before = cut(edges, "edges"), None
@@ -77,5 +62,5 @@ def components(links: DataFrame, u: str, v: str) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least.withColumnRenamed("u", "hub"), F.col("u") == F.col("hub")).drop("hub")
         step = small.select("v", "m").union(least.select(F.col("u").alias("v"), "m"))
-        edges = cut(step.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        edges = cut(step.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges", after=edges)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
