@@ -39,6 +39,8 @@ _VERIFIED = f"""WITH k AS (SELECT * FROM ({_COLUMNS.format("('region', 'nation',
 p AS ({_lev('', 'a.t <> b.t', 0.7)}), m AS ({_MELT}), r AS (SELECT *, row_number() OVER (PARTITION BY t, c ORDER BY v) AS pos FROM m),
 x AS (SELECT p.*, r.v, EXISTS (SELECT 1 FROM m WHERE m.t = p.to_table_name AND m.c = p.to_column_name AND m.v = r.v) AS hit FROM p JOIN r ON r.t = p.from_table_name AND r.c = p.from_column_name WHERE r.pos <= 25)"""
 
+_TREES = "t AS (SELECT l_orderkey || '.sql' AS file, CAST(count(*) AS INT) AS m FROM lineitem GROUP BY l_orderkey), c AS (SELECT file, m, CAST(unnest(range(1, m + 1)) AS INT) AS i FROM t)"
+
 _EDGES = "e AS (SELECT 'R' || n_regionkey AS src, 'N' || n_nationkey AS dst FROM nation UNION SELECT 'N' || s_nationkey, 'S' || s_suppkey FROM supplier)"
 _CHAIN = "n AS (SELECT *, conv_id || ':' || turn AS node_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM conversations)"
 
@@ -207,16 +209,36 @@ SELECT * FROM e UNION ALL SELECT term, max({'s': s, 'value': value}).value, 'SIM
     "progress": "SELECT user_id, event_id, CAST(least(99, floor(50 + 50 * row_number() OVER (PARTITION BY user_id ORDER BY event_id) / count(*) OVER (PARTITION BY user_id))) AS INT) AS progress FROM events",
     "event_ndjson": """SELECT event_id AS seq, '{"type":"message","content":"' || event_type || '"' || CASE WHEN event_id % 2 = 0 THEN ',"line_number":' || user_id ELSE '' END || '}' AS value FROM events""",
     "event_stream": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
-    "ddl_tables": f"SELECT schema_name, table_name, description, table_type, s = 1 AS is_stub FROM {V([('SALES', 'ORDERS', 'what was ordered', 'BASE TABLE', 0), ('public', 'items', '', 'BASE TABLE', 0), ('SALES', 'CUSTOMERS', '', 'BASE TABLE', 1)], 'schema_name', 'table_name', 'description', 'table_type', 's')}",
-    "ddl_columns": f"""SELECT schema_name, table_name, column_name, dtype, nullable = 1 AS nullable, description, pk_constraint, lower(schema_name || '.' || table_name || '.' || column_name) AS fqn FROM {V([('SALES', 'ORDERS', 'ID', 'NUMBER(10,2)', 0, "the id's key", 'ORDERS_pkey'), ('SALES', 'ORDERS', 'CUST_ID', 'INTEGER', 1, '', None), ('SALES', 'ORDERS', 'NOTE', 'VARCHAR(20)', 1, '', None), ('public', 'items', 'order_id', 'integer', 0, '', 'items_pkey'), ('public', 'items', 'line_no', 'int', 0, '', 'items_pkey'), ('public', 'items', 'amount', 'numeric(12,2)', 1, '', None)], 'schema_name', 'table_name', 'column_name', 'dtype', 'nullable', 'description', 'pk_constraint')}""",
-    "ddl_foreign_keys": f"SELECT * FROM {V([('SALES', 'ORDERS', 'CUST_ID', 'SALES', 'CUSTOMERS', 'ID'), ('public', 'items', 'order_id', 'SALES', 'ORDERS', 'ID')], 'schema_name', 'table_name', 'column_name', 'to_schema', 'to_table', 'to_column')}",
-    "ddl_primary_keys": f"SELECT * FROM {V([('SALES', 'ORDERS', 'ID', 0), ('public', 'items', 'order_id', 0), ('public', 'items', 'line_no', 1)], 'schema_name', 'table_name', 'column_name', 'ordinal')}",
-    "ddl_statistics": f"SELECT CAST(files AS BIGINT) AS files, CAST(tables AS BIGINT) AS tables, CAST(columns AS BIGINT) AS columns, CAST(foreign_keys AS BIGINT) AS foreign_keys FROM {V([(2, 2, 6, 2)], 'files', 'tables', 'columns', 'foreign_keys')}",
-    "tree_edges": f"SELECT * FROM {V([(5, 4, 'CONTAINS'), (4, 1, 'PARENT_OF'), (4, 3, 'PARENT_OF'), (3, 2, 'PARENT_OF'), (1, 3, 'NEXT')], 'src', 'dst', 'type')}",
-    "tree_nodes": f"SELECT node_id, parent_id, kind, unit_id, depth, a = 1 AS analysable, d = 1 AS is_dml, n = 1 AS needs_context FROM {V([(1, 4, 'DECLARE', 4, 2, 0, 0, 0), (2, 3, 'INSERT', 4, 3, 1, 1, 0), (3, 4, 'IF', 4, 2, 1, 0, 1), (4, 5, 'PROCEDURE', 4, 1, 0, 0, 0), (5, None, 'FILE', None, 0, 0, 0, 0)], 'node_id', 'parent_id', 'kind', 'unit_id', 'depth', 'a', 'd', 'n')}",
-    "identifiers": f"""SELECT i, coalesce(s, '') AS schema_name, coalesce(t, '') AS table_name, l AS db_link FROM {V([(0, 'RWIS', 'T', 'L1'), (1, 'a', 'b.c', None), (2, '', 'plain', None), (3, 'dbo', 't', None), (4, 's', 't', None), (5, 'S', 'T', None), (6, '', 'q', None), (7, '', 'x', 'l'), (8, '', '', None), (9, '', '', None)], 'i', 's', 't', 'l')}""",
-    "default_schemas": f"SELECT * FROM {V([(0, 'Sales'), (1, 'public'), (2, 'y'), (3, 'DW'), (4, 'public'), (5, 'public')], 'i', 'schema_name')}",
-    "procedure_names": f"SELECT * FROM {V([(0, 's', 'pkg.p'), (1, None, 'f'), (2, 'A b', 'c'), (3, None, 't1'), (4, None, None)], 'i', 'schema_name', 'name')}",
-    "table_uses": f"SELECT * FROM {V([('s1', 'SALES', 'ORDERS', None, 'FROM'), ('s1', 'public', 'items', None, 'FROM'), ('s1', 'public', 'items', None, 'WRITES'), ('s2', 'x', 'y', 'link', 'DB_LINK'), ('s3', 'public', 'unknown', None, 'FROM')], 'src', 'schema_name', 'table_name', 'db_link', 'type')}",
-    "provider_access": f"SELECT * FROM {V([('load.sql', 'dw.fact_sales', 'w'), ('load.sql', 'stg.orders', 'r'), ('load.sql', 'stg.items', 'r'), ('load.sql', 'stg.tmp', 'w'), ('load.sql', 'dw.dim_customer', 'w'), ('load.sql', 'stg.customers', 'r'), ('single.sql', 't', 'w'), ('two.sql', 'a', 'w'), ('two.sql', 'b', 'w'), ('two.sql', 'c', 'w')], 'unit_id', 'name', 'mode')}",
+    "ddl_tables": f"SELECT schema_name, table_name, description, table_type, s = 1 AS is_stub FROM {V([('SALES', 'ORDERS', 'what was ordered', 'BASE TABLE', 0), ('public', 'items', '', 'BASE TABLE', 0), ('SALES', 'CUSTOMERS', '', 'BASE TABLE', 1)], 'schema_name', 'table_name', 'description', 'table_type', 's')}"
+    + """ UNION ALL SELECT 'N' || s_nationkey, 'S' || s_suppkey, 'it''s ' || s_name, 'BASE TABLE', false FROM supplier UNION ALL SELECT DISTINCT 'N' || s_nationkey, 'OTHER' || s_nationkey, '', 'BASE TABLE', true FROM supplier WHERE s_suppkey % 3 = 0""",
+    "ddl_columns": f"""SELECT schema_name, table_name, column_name, dtype, nullable = 1 AS nullable, description, pk_constraint, lower(schema_name || '.' || table_name || '.' || column_name) AS fqn FROM {V([('SALES', 'ORDERS', 'ID', 'NUMBER(10,2)', 0, "the id's key", 'ORDERS_pkey'), ('SALES', 'ORDERS', 'CUST_ID', 'INTEGER', 1, '', None), ('SALES', 'ORDERS', 'NOTE', 'VARCHAR(20)', 1, '', None), ('public', 'items', 'order_id', 'integer', 0, '', 'items_pkey'), ('public', 'items', 'line_no', 'int', 0, '', 'items_pkey'), ('public', 'items', 'amount', 'numeric(12,2)', 1, '', None)], 'schema_name', 'table_name', 'column_name', 'dtype', 'nullable', 'description', 'pk_constraint')}"""
+    + """ UNION ALL SELECT 'N' || s_nationkey, 'S' || s_suppkey, c, CASE c WHEN 'AMOUNT' THEN 'NUMBER(10,' || s_suppkey % 5 || ')' ELSE 'INTEGER' END, c <> 'ID', CASE c WHEN 'AMOUNT' THEN 'amount ' || s_suppkey ELSE '' END, CASE c WHEN 'ID' THEN 'S' || s_suppkey || '_pkey' END, lower('N' || s_nationkey || '.S' || s_suppkey || '.' || c) FROM supplier, (VALUES ('ID'), ('AMOUNT'), ('REF_ID')) v(c)""",
+    "ddl_foreign_keys": f"SELECT * FROM {V([('SALES', 'ORDERS', 'CUST_ID', 'SALES', 'CUSTOMERS', 'ID'), ('public', 'items', 'order_id', 'SALES', 'ORDERS', 'ID')], 'schema_name', 'table_name', 'column_name', 'to_schema', 'to_table', 'to_column')}"
+    + """ UNION ALL SELECT 'N' || s_nationkey, 'S' || s_suppkey, 'REF_ID', 'N' || s_nationkey, CASE WHEN s_suppkey % 3 = 0 THEN 'OTHER' || s_nationkey ELSE 'S' || s_suppkey END, 'ID' FROM supplier""",
+    "ddl_primary_keys": f"SELECT * FROM {V([('SALES', 'ORDERS', 'ID', 0), ('public', 'items', 'order_id', 0), ('public', 'items', 'line_no', 1)], 'schema_name', 'table_name', 'column_name', 'ordinal')}"
+    + """ UNION ALL SELECT 'N' || s_nationkey, 'S' || s_suppkey, 'ID', 0 FROM supplier""",
+    "ddl_statistics": "SELECT 2 + count(*) AS files, 2 + count(*) AS tables, 6 + 3 * count(*) AS columns, 2 + count(*) AS foreign_keys FROM supplier",
+    "tree_edges": f"""WITH {_TREES} SELECT 'f.sql' AS file, * FROM {V([(5, 4, 'CONTAINS'), (4, 1, 'PARENT_OF'), (4, 3, 'PARENT_OF'), (3, 2, 'PARENT_OF'), (1, 3, 'NEXT')], 'src', 'dst', 'type')}
+UNION ALL SELECT file, m + 2, m + 1, 'CONTAINS' FROM t UNION ALL SELECT file, m + 1, i, 'PARENT_OF' FROM c UNION ALL SELECT file, i, i + 1, 'NEXT' FROM c WHERE i < m""",
+    "tree_nodes": f"""WITH {_TREES} SELECT 'f.sql' AS file, node_id, parent_id, kind, unit_id, depth, a = 1 AS analysable, d = 1 AS is_dml, n = 1 AS needs_context FROM {V([(1, 4, 'DECLARE', 4, 2, 0, 0, 0), (2, 3, 'INSERT', 4, 3, 1, 1, 0), (3, 4, 'IF', 4, 2, 1, 0, 1), (4, 5, 'PROCEDURE', 4, 1, 0, 0, 0), (5, None, 'FILE', None, 0, 0, 0, 0)], 'node_id', 'parent_id', 'kind', 'unit_id', 'depth', 'a', 'd', 'n')}
+UNION ALL SELECT file, i, m + 1, CASE WHEN i % 2 = 0 THEN 'IF' ELSE 'UPDATE' END, m + 1, 2, true, i % 2 = 1, false FROM c UNION ALL SELECT file, m + 1, m + 2, 'PROCEDURE', m + 1, 1, false, false, false FROM t UNION ALL SELECT file, m + 2, NULL, 'FILE', NULL, 0, false, false, false FROM t""",
+    "tree_code": f"""WITH {_TREES}, x AS (SELECT * FROM {V([
+        ('skeleton', 1, '2: v INT;'), ('skeleton', 2, '5: INSERT INTO T'), ('skeleton', 3, '4: IF v>0 THEN|    ....|8: END IF;'), ('skeleton', 4, '1: CREATE PROCEDURE P_LOAD|    ....|9: END;'),
+        ('placeholder', 1, '2: v INT;'), ('placeholder', 2, '5: INSERT INTO T'), ('placeholder', 3, '4: IF v>0 THEN|5: ...code...|8: END IF;'), ('placeholder', 4, '1: CREATE PROCEDURE P_LOAD|2: ...code...|4: ...code...|9: END;'),
+        ('compact', 1, '2: v INT;'), ('compact', 2, '5: INSERT INTO T'), ('compact', 3, '4: IF v>0 THEN|5: INSERT INTO T|8: END IF;'), ('compact', 4, '1: CREATE PROCEDURE P_LOAD|2: IS v INT;|3: BEGIN|4~8: does 3|9: END;')], 'style', 'node_id', 'code')}),
+y AS (SELECT unnest(['skeleton', 'placeholder', 'compact']) AS style)
+SELECT style, 'f.sql' AS file, node_id, replace(code, '|', chr(10)) AS code FROM x
+UNION ALL SELECT style, file, i, 2 * i || ': UPDATE T' || i || chr(10) || (2 * i + 1) || ': SET x' FROM c, y
+UNION ALL SELECT style, file, m + 1, '1: CREATE PROCEDURE P' || chr(10) || CASE style WHEN 'skeleton' THEN '    ....' WHEN 'placeholder' THEN (SELECT string_agg(2 * i || ': ...code...', chr(10) ORDER BY i) FROM range(1, m + 1) r(i))
+  ELSE (SELECT string_agg(CASE WHEN i % 3 = 0 THEN 2 * i || '~' || (2 * i + 1) || ': does ' || i ELSE 2 * i || ': UPDATE T' || i || chr(10) || (2 * i + 1) || ': SET x' END, chr(10) ORDER BY i) FROM range(1, m + 1) r(i)) END || chr(10) || (2 * m + 2) || ': END;' FROM t, y""",
+    "identifiers": f"""SELECT i, coalesce(s, '') AS schema_name, coalesce(t, '') AS table_name, l AS db_link FROM {V([(0, 'RWIS', 'T', 'L1'), (1, 'a', 'b.c', None), (2, '', 'plain', None), (3, 'dbo', 't', None), (4, 's', 't', None), (5, 'S', 'T', None), (6, '', 'q', None), (7, '', 'x', 'l'), (8, '', '', None), (9, '', '', None)], 'i', 's', 't', 'l')}"""
+    + """ UNION ALL SELECT c_custkey + 100, CASE c_custkey % 6 WHEN 1 THEN 'n' || c_nationkey WHEN 5 THEN '' ELSE 'N' || c_nationkey END, CASE c_custkey % 6 WHEN 1 THEN 'c' || c_custkey || '.x' ELSE 'C' || c_custkey END, CASE c_custkey % 6 WHEN 0 THEN 'L' || c_nationkey WHEN 5 THEN 'l' END FROM customer""",
+    "default_schemas": f"SELECT * FROM {V([(0, 'Sales'), (1, 'public'), (2, 'y'), (3, 'DW'), (4, 'public'), (5, 'public')], 'i', 'schema_name')}"
+    + """ UNION ALL SELECT c_custkey + 100, CASE c_custkey % 4 WHEN 0 THEN 'Sales' WHEN 1 THEN 'DW' WHEN 2 THEN 'y' || c_nationkey ELSE 'Sales' END FROM customer""",
+    "procedure_names": f"SELECT * FROM {V([(0, 's', 'pkg.p'), (1, None, 'f'), (2, 'A b', 'c'), (3, None, 't1'), (4, None, None)], 'i', 'schema_name', 'name')}"
+    + """ UNION ALL SELECT c_custkey + 100, CASE c_custkey % 4 WHEN 0 THEN 'N' || c_nationkey WHEN 2 THEN 'a' || c_nationkey END, CASE c_custkey % 4 WHEN 0 THEN 'P' || c_custkey WHEN 1 THEN 'f' || c_custkey WHEN 2 THEN 'b.c' || c_custkey END FROM customer""",
+    "table_uses": f"SELECT * FROM {V([('s1', 'SALES', 'ORDERS', None, 'FROM'), ('s1', 'public', 'items', None, 'FROM'), ('s1', 'public', 'items', None, 'WRITES'), ('s2', 'x', 'y', 'link', 'DB_LINK'), ('s3', 'public', 'unknown', None, 'FROM')], 'src', 'schema_name', 'table_name', 'db_link', 'type')}"
+    + """ UNION ALL SELECT 'u' || s_suppkey, 'N' || s_nationkey, 'S' || s_suppkey, CASE WHEN s_suppkey % 3 = 1 THEN 'far' END, CASE WHEN s_suppkey % 3 = 1 THEN 'DB_LINK' ELSE 'FROM' END FROM supplier WHERE s_suppkey % 3 < 2 UNION ALL SELECT 'u' || s_suppkey, 'public', 'ghost' || s_suppkey, NULL, m FROM supplier, (VALUES ('FROM'), ('WRITES')) v(m) WHERE s_suppkey % 3 = 2""",
+    "provider_access": f"SELECT * FROM {V([('load.sql', 'dw.fact_sales', 'w'), ('load.sql', 'stg.orders', 'r'), ('load.sql', 'stg.items', 'r'), ('load.sql', 'stg.tmp', 'w'), ('load.sql', 'dw.dim_customer', 'w'), ('load.sql', 'stg.customers', 'r'), ('single.sql', 't', 'w'), ('two.sql', 'a', 'w'), ('two.sql', 'b', 'w'), ('two.sql', 'c', 'w')], 'unit_id', 'name', 'mode')}"
+    + """ UNION ALL SELECT 'o' || o_orderkey, 'dw.f' || o_custkey % 7, 'w' FROM orders UNION ALL SELECT 'o' || o_orderkey, 'stg.s' || o_orderkey % 11, 'r' FROM orders UNION ALL SELECT 'o' || o_orderkey, 'stg.c' || o_custkey % 5, 'r' FROM orders""",
 }

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as X
+from . import generated
 from .functions import similarity as S
 from .functions import text as N
 from .operators import batching, glossary, graph, reports, schema, search, trees, vectors
@@ -352,54 +353,59 @@ def range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("band", "l_returnflag").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 
-def _tree(spark: SparkSession) -> DataFrame:
-    return trees.flatten(spark.createDataFrame([("d", "f.sql", X.TREE)], "directory string, file string, content string"))
+def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = spark.createDataFrame([("d", "f.sql", X.TREE)], "directory string, file string, content string")
+    return trees.flatten(one.union(generated.trees(spark, sf_dir)))
 
 
 @query
 def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trees.by_depth(trees.flags(_tree(spark))).select("node_id", "parent_id", "kind", "unit_id", "depth", "analysable", "is_dml", "needs_context")
+    return trees.by_depth(trees.flags(_tree(spark, sf_dir))).select("file", "node_id", "parent_id", "kind", "unit_id", "depth", "analysable", "is_dml", "needs_context")
 
 
 @query
 def tree_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trees.edges(_tree(spark)).select("src", "dst", "type")
+    return trees.edges(_tree(spark, sf_dir)).select("file", "src", "dst", "type")
 
 
 @query
 def tree_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _tree(spark)
-    said = spark.createDataFrame([("d", "f.sql", 3, "adds a row ")], "directory string, file string, node_id int, summary string")
-    out = [trees.folded_code(n, s, summaries=said if s == "compact" else None).select(F.lit(s).alias("style"), "node_id", "code") for s in ("skeleton", "placeholder", "compact")]
+    n = _tree(spark, sf_dir)
+    said = n.where("node_id % 3 = 0").select("directory", "file", "node_id", F.concat(F.lit(" does "), "node_id", F.lit(" ")).alias("summary"))
+    out = [trees.folded_code(n, s, summaries=said if s == "compact" else None).select(F.lit(s).alias("style"), "file", "node_id", "code") for s in ("skeleton", "placeholder", "compact")]
     return out[0].union(out[1]).union(out[2])
 
 
 # Texts
 
 
+def _definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _files(spark, X.DDL).union(generated.definitions(spark, sf_dir))
+
+
 @query
 def ddl_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ddl.tables(_files(spark, X.DDL))
+    return ddl.tables(_definitions(spark, sf_dir))
 
 
 @query
 def ddl_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ddl.columns(_files(spark, X.DDL)).drop("ordinal")
+    return ddl.columns(_definitions(spark, sf_dir)).drop("ordinal")
 
 
 @query
 def ddl_foreign_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ddl.foreign_keys(_files(spark, X.DDL))
+    return ddl.foreign_keys(_definitions(spark, sf_dir))
 
 
 @query
 def ddl_primary_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ddl.primary_keys(_files(spark, X.DDL))
+    return ddl.primary_keys(_definitions(spark, sf_dir))
 
 
 @query
 def ddl_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ddl.statistics(_files(spark, X.DDL))
+    return ddl.statistics(_definitions(spark, sf_dir))
 
 
 @query
@@ -451,13 +457,13 @@ def detect_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame(list(enumerate(X.NAMES)), "i int, name string")
+    df = spark.createDataFrame(list(enumerate(X.NAMES)), "i long, name string").union(generated.names(spark, sf_dir))
     return df.select("i", N.table_identifier(F.col("name")).alias("t")).select("i", F.col("t.schema").alias("schema_name"), F.col("t.table").alias("table_name"), "t.db_link")
 
 
 @query
 def default_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame(list(enumerate(X.PATHS)), "i int, path string")
+    df = spark.createDataFrame(list(enumerate(X.PATHS)), "i long, path string").union(generated.paths(spark, sf_dir))
     return df.select("i", N.default_schema(F.col("path"), F.array(F.lit("Sales"), F.lit("DW"))).alias("schema_name"))
 
 
@@ -469,7 +475,8 @@ def fqns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def procedure_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(X.CODES)), "i int, code string").select("i", N.procedure_name(F.col("code")).alias("p")).select("i", F.col("p.schema").alias("schema_name"), F.col("p.name").alias("name"))
+    df = spark.createDataFrame(list(enumerate(X.CODES)), "i long, code string").union(generated.heads(spark, sf_dir))
+    return df.select("i", N.procedure_name(F.col("code")).alias("p")).select("i", F.col("p.schema").alias("schema_name"), F.col("p.name").alias("name"))
 
 
 @query
@@ -479,13 +486,13 @@ def domain_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def table_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = ddl.tables(_files(spark, X.DDL))
-    return schema.table_uses(spark.createDataFrame(X.DML, "src string, name string, mode string"), known)
+    known = ddl.tables(_definitions(spark, sf_dir))
+    return schema.table_uses(spark.createDataFrame(X.DML, "src string, name string, mode string").union(generated.uses(spark, sf_dir)), known)
 
 
 @query
 def provider_access(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return providers.table_access(_files(spark, X.SQL).withColumnsRenamed({"file": "unit_id", "content": "code"}))
+    return providers.table_access(_files(spark, X.SQL).withColumnsRenamed({"file": "unit_id", "content": "code"}).union(generated.statements(spark, sf_dir)))
 
 
 @query
