@@ -1,5 +1,8 @@
 from tracewright import fixtures as X
-from tracewright.plans.analyse import analyse, searchable
+from tracewright import queries
+from tracewright.operators import trees
+from tracewright.plans import metadata, summaries
+from tracewright.plans.analyse import analyse, analyse_classes, searchable
 from tracewright.sources import store
 
 
@@ -18,3 +21,37 @@ def test_a_whole_analysis(spark, tmp_path):
     assert all(r.src in ids for r in edges.collect()) and searchable(a).where("size(vector) = 64").count() == 3
     empty = analyse(files([]), trees.limit(0), files([]))
     assert {r.n for r in empty.statistics().collect()} == {0}
+
+
+def test_classes_and_what_links_them(spark):
+    parsed = spark.createDataFrame([("d", "A.java", X.CLASSES)], "directory string, file string, content string")
+    a = analyse_classes(parsed)
+    assert {r.type for r in a.tree.collect()} == {"CONTAINS", "HAS_METHOD", "HAS_FIELD"} and a.relations.count() == len(X.RELATIONS)
+    assert {r.name: r.summary for r in a.summaries.collect()}["OrderService"] == "fields count, customers, store; methods bill"
+    assert analyse_classes(parsed.limit(0)).relations.count() == 0
+
+
+def test_summaries_climb_and_failures_too(spark):
+    nodes = trees.flags(trees.flatten(spark.createDataFrame([("d", "f.sql", X.TREE)], "directory string, file string, content string")))
+    said = {r.node_id: r.summary for r in summaries.bottom_up(nodes).collect()}
+    assert said == {2: "writes T", 3: "writes T"}
+    units = summaries.of_units(nodes, summaries.bottom_up(nodes))
+    assert [(r.name, r.summary) for r in units.collect()] == [("P_LOAD", "writes T")]
+    failed = spark.createDataFrame([("d", "f.sql", 2)], "directory string, file string, node_id int")
+    broken = summaries.bottom_up(nodes, failed)
+    assert {(r.node_id, r.summary, r.ok) for r in broken.collect()} == {(2, None, False), (3, None, False)} and summaries.of_units(nodes, broken).count() == 0
+
+
+def test_profiles_fill_blanks_and_failures_are_named(spark):
+    columns = spark.createDataFrame([("t", "a", None, "ddl"), ("t", "b", "known", "ddl"), ("gone", "x", "", "ddl")], "table_name string, column_name string, description string, description_source string")
+    tables = {"t": spark.createDataFrame([(2, "y"), (1, None)], "a int, b string"), "gone": spark.createDataFrame([(1,)], "x int")}
+    out, failed = metadata.fill(columns, tables, {"gone": "no_such_column"})
+    assert {(r.column_name, r.description, r.description_source) for r in out.collect()} == {("a", "1 to 2, 2 different", "sample"), ("b", "known", "ddl"), ("x", "", "ddl")} and failed == ["gone"]
+
+
+def test_inferred_keys_of_the_smallest_tables(spark, sf):
+    got = {(r.from_table_name, r.from_column_name, r.to_table_name, r.to_column_name, r.total_samples, r.match_ratio) for r in queries.fk_inference(spark, sf).collect()}
+    assert got == {
+        ("lineitem", "l_suppkey", "supplier", "s_suppkey", 10, 1.0), ("nation", "n_regionkey", "region", "r_regionkey", 5, 1.0), ("lineitem", "l_orderkey", "orders", "o_orderkey", 25, 1.0),
+        ("lineitem", "l_partkey", "part", "p_partkey", 25, 1.0), ("customer", "c_nationkey", "nation", "n_nationkey", 25, 1.0), ("customer", "c_custkey", "orders", "o_custkey", 25, 1.0),
+    }

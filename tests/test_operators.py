@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import Row
@@ -9,7 +10,7 @@ from tracewright import fixtures as X
 from tracewright.functions import similarity as S
 from tracewright.functions import text as N
 from tracewright.operators import batching, glossary, graph, reports, schema, search, trees, vectors
-from tracewright.plans import ddl, detect, lineage, providers
+from tracewright.plans import ddl, detect, fk, lineage, providers
 
 ANY = st.text(alphabet="ab _c", max_size=8)
 
@@ -116,6 +117,68 @@ def test_closure_of_a_cycle_and_upsert_twice(spark):
     assert {r.k for r in graph.create_missing(old, new, ["k"]).collect()} == {1, 2, 3}
 
 
+def test_a_long_path_is_walked_in_few_rounds(spark):
+    n = 1500
+    e = spark.createDataFrame([(i, i + 1) for i in range(n)], "src long, dst long")
+    assert {(r.src, r.dst): r.distance for r in graph.closure(e.where("src < 60")).collect()} == {(a, b): b - a for a in range(60) for b in range(a + 1, 61)}
+    nodes = spark.range(n + 1).select(F.col("id").alias("node_id"), (F.col("id") != 700).alias("ok"))
+    assert {r.node_id: r.depth for r in graph.depths(nodes, e).collect()} == {i: i for i in range(n + 1)}
+    assert {r.node_id: r.subtree_ok for r in graph.all_descendants_ok(nodes, e).collect()} == {i: i > 700 for i in range(n + 1)}
+
+
+def test_walks_of_other_graphs(spark):
+    loop = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "src string, dst string")
+    for walk in (graph.closure, lambda e: graph.depths(nodes, e).collect()):
+        nodes = spark.createDataFrame([("a",)], "node_id string")
+        with pytest.raises(ValueError):
+            walk(loop)
+    two = spark.createDataFrame([("a", "c"), ("b", "c"), ("a", "b"), ("c", "d"), (None, "d"), ("d", "d")], "src string, dst string")
+    assert {tuple(r) for r in graph.closure(two.where("src <> dst")).collect()} == {("a", "c", 1), ("b", "c", 1), ("a", "b", 1), ("c", "d", 1), ("a", "d", 2), ("b", "d", 2)}
+    facts = spark.createDataFrame([("d", "x"), ("c", "y"), ("d", "x")], "node_id string, fact string")
+    assert {tuple(r) for r in graph.gather_up(facts, two).collect()} == {(n, f) for n in "abc" for f in "xy"} | {("d", "x")}
+    assert {tuple(r) for r in graph.gather_up(facts, loop).collect()} == {("d", "x")} | {(n, "y") for n in "abc"}
+
+
+def test_first_contexts_and_least_values(spark):
+    uses = spark.createDataFrame([("u", "t", o, i % 40, f"c{i % 40}") for i in range(400) for o in ("r", "w")] + [(None, "t", None, None, None)], "unit string, table_name string, operation string, line int, context string")
+    assert {tuple(r) for r in reports.table_usage(uses).collect()} == {("u", "t", "r,w", 800, "c0,c1,c2,c3,c4"), (None, "t", "", 1, "")}
+    df = spark.createDataFrame([(i % 90 - 5, f"v{i:03}", None, float(i)) for i in range(600)], "a int, b string, c int, d double").repartition(5)
+    got = {(r.column_name, r.family, r.value) for r in fk.least_values(df, ["a", "b", "c", "d"], 3).collect()}
+    assert got == {("a", "number", f"{x}.0") for x in (-5, -4, -3)} | {("b", "text", f"v00{x}") for x in range(3)} | {("d", "number", f"{x}.0") for x in range(3)}
+
+
+def test_what_patterns_need():
+    assert detect.needed(r"CREATE\s+(OR\s+REPLACE\s+)?VIEW\s+\w+") == [("create",), ("view",)] and detect.needed(r"\b(A|BC)\s*\(x?") == [("a", "bc"), ("(",)]
+    assert detect.describe(r"\bBEGIN\b[\s\S]*\bEND\s*;") == "begin end" and detect.describe(r":=\s*") == ":="
+
+
+def test_texts_as_tokens_and_as_json(spark):
+    import public_tokenizers
+
+    df = spark.createDataFrame([("select a",), ("",), (None,), ('{"a": [1]}',)], "t string")
+    count = N.token_counter(public_tokenizers.path("byte_bpe_50k.json"))
+    assert [r.n for r in df.select(count(F.col("t")).alias("n")).collect()][1:3] == [0, 0]
+    assert [r.j for r in df.select(F.to_json(N.parse_maybe(F.col("t"))).alias("j")).collect()] == ['"select a"', '""', None, '{"a":[1]}']
+
+
+def test_names_by_their_ends_and_columns_by_their_definitions(spark):
+    columns = spark.createDataFrame([("s", "Orders", "Id", 0), ("s", "my_orders", "x", 0), ("t", "Orders", "Id", 0)], "schema_name string, table_name string, column_name string, ordinal int")
+    at = lambda *x: {(r.schema_name, r.table_name) for r in schema.list_columns(columns, *x).collect()}
+    assert at("S.orders") == {("s", "Orders")} and at("orders") == {("s", "Orders"), ("s", "my_orders"), ("t", "Orders")} and at("Orders", "t") == {("t", "Orders")} and at("nothing") == set()
+    known = spark.createDataFrame([("S", "T", "ID"), ("S", "T", "id"), ("S", "T", "Name")], "schema_name string, table_name string, column_name string")
+    used = spark.createDataFrame([("s", "t", "ID"), ("s", "t", "id"), ("s", "t", "iD"), ("s", "t", "NAME"), ("s", "t", "other"), (None, "t", "ID")], "schema_name string, table_name string, column_name string")
+    assert [r.column_name for r in schema.column_uses(used, known).orderBy("column_name").collect()] == ["ID", "ID", "ID", "Name", "id", "other"]
+
+
+def test_spans_positions_and_last_lines(spark):
+    nodes = spark.createDataFrame([("d", "f", 1, 3, 1, 2), ("d", "f", 2, 3, 4, 9), ("d", "f", 3, None, 1, 9)], "directory string, file string, node_id int, parent_id int, start_line int, end_line int")
+    results = spark.createDataFrame([("d", "f", 4, 9, "x"), ("d", "f", 4, 8, "y")], "directory string, file string, start_line int, end_line int, text string")
+    assert [(r.node_id, r.text) for r in trees.by_span(nodes, results).collect()] == [(2, "x")]
+    assert [(r.node_id, r.last_line) for r in trees.last_lines(nodes).collect()] == [(3, 9)]
+    a, b = spark.createDataFrame([("g", 0, "a"), ("g", 1, "b")], "g string, pos int, x string"), spark.createDataFrame([("g", 0, "A"), ("g", 2, "C")], "g string, pos int, y string")
+    assert [(r.x, r.y) for r in trees.positional(a, b, ["g"]).collect()] == [("a", "A")]
+
+
 def test_views_have_stable_ids(spark):
     nodes = graph.nodes_view({"T": (spark.createDataFrame([(1, None)], "a int, b string"), ["a", "b"])})
     assert nodes.first().node_id == graph.nodes_view({"T": (spark.createDataFrame([(1, None)], "a int, b string"), ["a", "b"])}).first().node_id

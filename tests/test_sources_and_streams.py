@@ -1,9 +1,10 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.sources import files
+from tracewright.sources import files, tables
 from tracewright.streaming import events
 
 
@@ -57,3 +58,27 @@ def test_control(spark):
         c.check()
     with pytest.raises(RuntimeError):
         events.fail_fast(spark.createDataFrame([(1, False)], "b int, ok boolean"))
+
+
+def test_intermediate_tables_are_written_and_deleted(spark, tmp_path):
+    a = tables.cut(spark.range(5), "a")
+    b = tables.cut(a.where("id > 1"), "b", after=a)
+    assert b.count() == 3 and not tables._PATHS.get(a)
+    with tables.passing(spark):
+        c = tables.cut(spark.range(3), "c")
+        path = tables._PATHS[c]
+        c.write.parquet(str(tmp_path / "kept"))
+    assert not os.path.exists(path) and spark.read.parquet(str(tmp_path / "kept")).count() == 3 and b.count() == 3
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("Context", (), {"master": "spark://somewhere:7077"})()  # noqa: N815
+
+    with pytest.raises(ValueError):
+        tables.shared_dir(Session())

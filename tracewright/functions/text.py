@@ -128,7 +128,7 @@ def token_counter(vocabulary: str) -> Callable[[Column], Column]:
 
 def parse_maybe(c: Column) -> Column:
     """A text as JSON (a variant) if it is JSON, else as a text."""
-    return F.coalesce(F.try_parse_json(c), F.variant_get(F.to_variant_object(F.array(c)), "$[0]", "variant"))
+    return F.when(c.isNotNull(), F.coalesce(F.try_parse_json(c), F.variant_get(F.to_variant_object(F.array(c)), "$[0]", "variant")))
 
 
 def access_modes(mode: Column) -> Column:

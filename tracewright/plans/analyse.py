@@ -72,9 +72,9 @@ def analyse(definitions: DataFrame, parsed: DataFrame, sources: DataFrame, case:
     uses = schema.table_uses(providers.table_access(plain).select(F.col("unit_id").alias("src"), "name", "mode"), tables)
     called = providers.calls(units).join(units.select("unit_id", *_FILE), "unit_id").select(*_FILE, F.col("unit_id").alias("src"), "callee")
     named = nodes.where(F.col("kind").isin("PROCEDURE", "FUNCTION")).select(*_FILE, key().alias("node_id"), "name")
-    said = cut(summaries.bottom_up(nodes), "said")
-    whole = cut(summaries.of_units(nodes, said), "units")
     known = summaries.gathered_facts(nodes)
+    said = cut(summaries.bottom_up(nodes, known=known), "said")
+    whole = cut(summaries.of_units(nodes, said), "units")
     stories = providers.user_stories(known, whole.select(key().alias("unit_id"), "name"))
     of_unit = nodes.where("analysable AND NOT has_children").select(key().alias("src"), key("unit_id").alias("unit_id")).join(nodes.where("unit_id = node_id").select(key().alias("unit_id"), F.col("name").alias("unit")), "unit_id")
     described = providers.table_descriptions(uses.join(of_unit, "src").select("schema_name", "table_name", "unit", "type"))

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_SCOPES: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,6 +35,8 @@ def cut(df: DataFrame, name: str, after: DataFrame | None = None) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     if after is not None:
         drop(after)
     return out
@@ -41,6 +46,20 @@ def drop(df: DataFrame) -> None:
     """Deletes the files of a table that cut() returned."""
     path = _PATHS.pop(df, None)
     if path:
-        context = df.sparkSession.sparkContext
-        at = context._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables that cut() writes inside are deleted at the end, for work whose result is written elsewhere by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            _delete(spark, path)
