@@ -82,3 +82,10 @@ def test_a_cluster_must_name_its_shared_folder():
 
     with pytest.raises(ValueError):
         tables.shared_dir(Session())
+
+
+def test_prompt_rules(tmp_path):
+    (tmp_path / "r.yaml").write_text("name: r\nprompt: |\n  say {x}\n")
+    assert files.rule(tmp_path, "r").startswith("name: r")
+    pytest.importorskip("yaml")
+    assert files.parsed_rule(tmp_path, "r") == {"name": "r", "prompt": "say {x}\n"}

@@ -73,3 +73,18 @@ def html(usage: DataFrame) -> DataFrame:
     rows = usage.select("unit", F.concat(F.lit("<tr>"), cells, F.lit("</tr>")).alias("row"), "table_name")
     per = rows.groupBy("unit").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("table_name", "row"))), lambda x: x["row"]), "\n").alias("rows"))
     return per.select("unit", F.concat(F.lit("<h2>"), html_escape(F.col("unit").cast("string")), F.lit("</h2>\n<table>\n"), "rows", F.lit("\n</table>")).alias("html"))
+
+
+def report(usage: DataFrame, counted: DataFrame, statements: DataFrame, shown: int = 20) -> DataFrame:
+    """(section, unit, html) of a whole report, in order: the totals, how each unit uses its tables, and its first statements.
+
+    usage: of table_usage(); counted: the one row of totals(); statements: unit, line, kind, text. A section is rendered where
+    its rows are, so the report has as many rows as units, not one row with all.
+    """
+    line = lambda c: F.concat(F.lit("<li>"), html_escape(c), F.lit("</li>"))
+    head = counted.select(F.lit(0).alias("section"), F.lit(None).cast("string").alias("unit"), F.concat(F.lit("<h1>Analysis</h1>\n<ul>"), *(F.concat(F.lit(f"<li>{c}: "), F.coalesce(F.col(c).cast("string"), F.lit("-")), F.lit("</li>")) for c in counted.columns), F.lit("</ul>")).alias("html"))
+    tables = html(usage).select(F.lit(1).alias("section"), F.col("unit").cast("string").alias("unit"), "html")
+    first = statements.withColumn("_at", F.row_number().over(W.partitionBy("unit").orderBy("line", "text"))).where(F.col("_at") <= shown)
+    items = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", line(F.concat_ws(" ", F.col("line").cast("string"), "kind", "text")).alias("li")))), lambda x: x["li"]), "\n")
+    listed = first.groupBy("unit").agg(items.alias("items")).select(F.lit(2).alias("section"), F.col("unit").cast("string").alias("unit"), F.concat(F.lit("<h3>"), html_escape(F.col("unit").cast("string")), F.lit("</h3>\n<ol>\n"), "items", F.lit("\n</ol>")).alias("html"))
+    return head.unionByName(tables).unionByName(listed).orderBy("section", "unit")

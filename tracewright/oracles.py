@@ -154,6 +154,15 @@ r AS (SELECT unit, part, pos, 1 AS batch, k AS s, k FROM d WHERE pos = 1 UNION A
 SELECT unit, batch, CAST(count(*) AS INT) AS n, CAST(sum(k) AS BIGINT) AS tokens, md5(string_agg(part, chr(10) ORDER BY pos)) AS parts_md5 FROM r GROUP BY unit, batch""",
     "class_relations": f"SELECT * FROM {V(X.RELATIONS, 'from_class', 'to_class', 'type', 'detail')}",
     "temporary_tables": f"SELECT * FROM {V([('t1', 'WORK', 'TMP_A'), ('t2', '', 'b')], 'unit_id', 'schema_name', 'table_name')}",
+    "join_columns": "SELECT 'o' || o_orderkey AS unit_id, 'stg.s' || o_orderkey % 11 AS from_table, 'id' AS from_column, 'stg.c' || o_custkey % 5 AS to_table, 'id' AS to_column FROM orders",
+    "column_access": "SELECT 'o' || o_orderkey AS unit_id, 'stg.s' || o_orderkey % 11 AS table_name, 'id' AS column_name FROM orders UNION ALL SELECT 'o' || o_orderkey, 'stg.c' || o_custkey % 5, 'id' FROM orders",
+    "ancestor_contexts": f"""WITH {_TREES}, p AS (SELECT m, 'PROCEDURE P' || replace(file, '.sql', '') || ' 1~' || (2 * m + 2) || ': frame without tables and calls' AS c FROM t)
+SELECT '[CONTEXT]' || chr(10) || c || chr(10) || '[/CONTEXT]' || chr(10) AS context, CAST(sum(m) AS BIGINT) AS n FROM p GROUP BY c""",
+    "report_sections": """WITH o AS (SELECT o_custkey % 10 AS u, o_orderkey AS l, o_orderstatus AS k, '&lt;' || o_orderpriority || '&gt;' AS t, row_number() OVER (PARTITION BY o_custkey % 10 ORDER BY o_orderkey) AS i FROM orders),
+c AS (SELECT u, k, count(*) AS n FROM o GROUP BY u, k)
+SELECT 0 AS section, NULL AS unit, '<h1>Analysis</h1>' || chr(10) || '<ul><li>units: ' || count(DISTINCT u) || '</li><li>tables: ' || count(DISTINCT k) || '</li><li>statements: ' || count(*) || '</li><li>tokens: ' || count(*) || '</li></ul>' AS html FROM o
+UNION ALL SELECT 1, CAST(u AS VARCHAR), '<h2>' || u || '</h2>' || chr(10) || '<table>' || chr(10) || string_agg('<tr><td>' || u || '</td><td>' || k || '</td><td>r</td><td>' || n || '</td></tr>', chr(10) ORDER BY k) || chr(10) || '</table>' FROM c GROUP BY u
+UNION ALL SELECT 2, CAST(u AS VARCHAR), '<h3>' || u || '</h3>' || chr(10) || '<ol>' || chr(10) || string_agg('<li>' || l || ' ' || k || ' ' || t || '</li>', chr(10) ORDER BY i) || chr(10) || '</ol>' FROM o WHERE i <= 3 GROUP BY u""",
     "cyclic_closure": f"""WITH RECURSIVE e AS (SELECT from_table AS src, to_table AS dst FROM {_KEYS} UNION SELECT to_table, from_table FROM {_KEYS}), c AS (SELECT src, dst, 1 AS d FROM e UNION SELECT c.src, e.dst, d + 1 FROM c JOIN e ON c.dst = e.src WHERE d < 8) SELECT src, dst, min(d) AS distance FROM c GROUP BY ALL""",
     "references": "SELECT r_name AS unit, 'S' || s_suppkey AS statement, 'FROM' AS type FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_acctbal < 0",
     "co_referenced": "WITH u AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) SELECT CAST(b.l_partkey AS VARCHAR) AS other, count(*) AS n_units FROM u a JOIN u b USING (l_orderkey) WHERE a.l_partkey = 7 AND b.l_partkey <> 7 GROUP BY 1",

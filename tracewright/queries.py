@@ -330,6 +330,22 @@ def temporary_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return providers.temporary_tables(spark.createDataFrame(X.TEMPORARY, "unit_id string, kind string, code string"))
 
 
+@query
+def ancestor_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the procedures above the statements of generated trees say of themselves."""
+    nodes = trees.flags(trees.flatten(generated.trees(spark, sf_dir)))
+    return summaries.contexts(nodes).groupBy("context").agg(F.count("*").alias("n"))
+
+
+@query
+def report_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _t(spark, sf_dir, "orders").select((F.col("o_custkey") % 10).alias("unit"), F.col("o_orderkey").alias("line"), F.col("o_orderstatus").alias("kind"), F.concat(F.lit("<"), "o_orderpriority", F.lit(">")).alias("text"))
+    counted = reports.totals(o.select("unit", F.col("kind").alias("table_name"), F.col("line").alias("statement"), F.lit(1).alias("tokens")))
+    usage = reports.table_usage(o.select("unit", F.col("kind").alias("table_name"), F.lit("r").alias("operation"), "line", F.lit("c").alias("context")))
+    out = reports.report(usage, counted, o, 3)
+    return out.select("section", "unit", "html")
+
+
 # Statements, batches, code
 
 
@@ -495,6 +511,16 @@ def provider_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     return providers.table_access(_files(spark, X.SQL).withColumnsRenamed({"file": "unit_id", "content": "code"}).union(generated.statements(spark, sf_dir)))
 
 
+@query
+def join_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return providers.join_keys(generated.statements(spark, sf_dir))
+
+
+@query
+def column_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return providers.column_access(generated.statements(spark, sf_dir))
+
+
 @query
 def use_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What order lines say of each ship mode of a part size: sets, first and last by order."""

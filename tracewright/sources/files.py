@@ -77,6 +77,15 @@ def rule(folder: str | Path, name: str) -> str:
     return (Path(folder) / f"{name}.yaml").read_text()
 
 
+def parsed_rule(folder: str | Path, name: str) -> dict:
+    """The fields of a prompt rule; needs a YAML library, which isn't among this library's own needs."""
+    try:
+        import yaml
+    except ImportError as e:
+        raise RuntimeError("prompt rules are YAML; install a YAML library to parse them") from e
+    return yaml.safe_load(rule(folder, name)) or {}
+
+
 def cached_responses(prompts: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(prompts with the response known, prompts without). Keys are hashes of rule and prompt."""
     keyed = prompts.withColumn("prompt_hash", F.sha2(F.concat_ws("\u0001", "rule", "prompt"), 256))

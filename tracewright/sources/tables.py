@@ -46,10 +46,11 @@ def drop(df: DataFrame) -> None:
     """Deletes the files of a table that cut() returned."""
     path = _PATHS.pop(df, None)
     if path:
-        _delete(df.sparkSession, path)
+        delete(df.sparkSession, path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store it lies."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
@@ -62,4 +63,4 @@ def passing(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _SCOPES.pop():
-            _delete(spark, path)
+            delete(spark, path)
