@@ -10,9 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import cut, drop, shared_dir
+from ..sources.tables import cut, delete, drop, passing, shared_dir
 
-__all__ = ["components", "cut", "drop", "shared_dir", "slices", "slices_of_bytes", "table"]
+__all__ = ["components", "cut", "delete", "drop", "passing", "shared_dir", "slices", "slices_of_bytes", "table"]
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
