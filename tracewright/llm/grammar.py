@@ -46,14 +46,16 @@ END = 1
 SHARD_IDS = 1 << 19
 #: Occurrences that a pair needs: a rule takes the room of three symbols, so from four on it pays.
 LEAST_COUNT = 4
-#: Words, and parts of words, that a worker remembers; then only those used since are kept.
-CACHE = 1 << 18
+#: Words and parts of words that a worker remembers; then only those used since are kept.
+CACHE = 1 << 19
 #: Bytes of text that are encoded at a time.
 AT_ONCE = 4 << 20
 #: Symbols are expanded from a table of all rules' ids if that has at most 2^20, or so many for each symbol; else level by level.
 TABLE = 8
 #: Fixed by the vocabulary: the pattern that its pre-tokenizer finds parts of words with, after lower-casing.
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Marks that are a part of their own where one ends a word.
+_MARKS = frozenset(".,;:!?")
 _LOADED: dict[str, WordCoder] = {}
 
 
@@ -81,39 +83,46 @@ class WordCoder:
         # characters on which words are cut but the tokenizer doesn't, and the strings of added tokens
         self.odd = "|".join(["[\x1c-\x1f]", *(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())])
         self.from_byte = dict(enumerate(byte_letters()))
-        self.words, self.parts = Recent(CACHE), Recent(CACHE)
+        self.known = Recent(CACHE)  # words as they stand, and parts in lower case
 
     def _whole(self, text: str | None) -> np.ndarray:
         return np.array(self.tokenizer.encode(text or "", add_special_tokens=False).ids, np.uint32)
 
+    def _part(self, part: str) -> bytes:
+        key = part if part.isascii() else f" {part}"  # as a word, what isn't ASCII may be normalised to something else
+        ids = self.known.new.get(key)
+        if ids is None:
+            ids = self.known.get(key)
+            if ids is None:
+                letters = part if part.isascii() else part.encode().decode("latin-1").translate(self.from_byte)
+                ids = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+                self.known.put(key, ids)
+        return ids
+
     def _word(self, word: str) -> bytes:
         if word.isascii():
             lower = word.lower()
         else:
             word = unicodedata.normalize("NFC", word)
             lower = word.lower() if "\u03a3" not in word else "".join(c.lower() for c in word)
-        out = []
-        for part in (lower,) if lower.isalpha() else _PARTS.findall(lower):
-            ids = self.parts.new.get(part) or self.parts.get(part)
-            if ids is None:
-                letters = part if part.isascii() else part.encode().decode("latin-1").translate(self.from_byte)
-                ids = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
-                self.parts.put(part, ids)
-            out.append(ids)
-        return b"".join(out)
+        if lower.isalpha():
+            return self._part(lower)
+        if lower[-1:] in _MARKS and lower[:-1].isalpha():
+            return self._part(lower[:-1]) + self._part(lower[-1])
+        return b"".join(map(self._part, _PARTS.findall(lower)))
 
     def _by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends): the ids of all texts after each other, and where each text's end."""
         split = pc.utf8_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
-        known = []
+        known, cache = [], self.known
         for w in coded.dictionary.to_pylist():
-            ids = self.words.new.get(w)
-            if ids is None:
-                ids = self.words.get(w)
+            ids = cache.new.get(w)
             if ids is None:
-                ids = self._word(w)
-                self.words.put(w, ids)
+                ids = cache.get(w)
+                if ids is None:
+                    ids = self._word(w)
+                    cache.put(w, ids)
             known.append(ids)
         table, size = np.frombuffer(b"".join(known), "<u4"), np.array([len(x) // 4 for x in known], np.int64)
         n = size[coded.indices.to_numpy()] if len(known) else np.empty(0, np.int64)
