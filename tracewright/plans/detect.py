@@ -50,20 +50,21 @@ _ALL = list(dict.fromkeys([(p, _FLAGS[t]) for t, ps in P.TYPES.items() for p, _
 _WORDS = sorted({w for p, _ in _ALL for op in needed(p) for w in op})
 
 
-def _hit(pattern: str, flags: str) -> Column:
-    return F.col("hits")[_ALL.index((pattern, flags))]
+def _hits(patterns: tuple[str, ...], flags: str) -> Column:
+    """Whether each of the patterns matched, as an array."""
+    return F.transform(F.array(*(F.lit(_ALL.index((p, flags))) for p in patterns)), lambda i: F.get("hits", i))
 
 
 def _tested(pattern: str, flags: str) -> Column:
     """Whether content matches; the pattern is only tried where the words are that it needs."""
     found = F.col("content").rlike(f"(?{flags}){pattern}")
     for op in needed(pattern):
-        found = reduce(lambda a, b: a | b, (F.col("words")[_WORDS.index(w)] for w in op)) & found
+        found = reduce(lambda a, b: a | b, (F.get("words", F.lit(_WORDS.index(w))) for w in op)) & found
     return found
 
 
-def _count(signs: tuple[str, ...], flags: str) -> Column:
-    return reduce(lambda a, b: a + b, (_hit(p, flags).cast("int") for p in signs))
+def _number(hits: Column) -> Column:
+    return F.size(F.filter(hits, lambda x: x))
 
 
 def _up(c: Column, by: Column | float) -> Column:
@@ -83,17 +84,19 @@ def detect(files: DataFrame) -> DataFrame:
     df = files.select("file", F.coalesce("content", F.lit("")).alias("content")).withColumn("ext", ext)
     # Each text is lower-cased, searched for words and held against each pattern once: arrays that later columns index.
     low = F.lower("content")
-    df = df.withColumn("low", low).withColumn("words", F.array(*(F.contains("low", F.lit(w)) for w in _WORDS)))
-    df = df.select("file", "ext", (F.btrim("content", F.lit(" \t\r\n\x0b\x0c")) == "").alias("empty"), F.array(*(_tested(*x) for x in _ALL)).alias("hits"))
+    # transform() keeps the many expressions out of generated code, which they would make too long to compile.
+    df = df.withColumn("low", low).withColumn("words", F.transform(F.array(*(F.lit(w) for w in _WORDS)), lambda w: F.contains("low", w)))
+    df = df.select("file", "ext", (F.btrim("content", F.lit(" \t\r\n\x0b\x0c")) == "").alias("empty"), F.transform(F.array(*(_tested(*x) for x in _ALL)), lambda x: x).alias("hits"))
     for t, ps in P.TYPES.items():
-        weight = reduce(lambda a, b: a + b, (F.when(_hit(p, _FLAGS[t]), w).otherwise(0.0) for p, w in ps))
-        n = reduce(lambda a, b: a + b, (_hit(p, _FLAGS[t]).cast("int") for p, _ in ps))
-        df = df.withColumn(t, F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), (weight / n) * F.least(F.lit(1.0), n / 3))))
+        hits = _hits(tuple(p for p, _ in ps), _FLAGS[t])
+        weight = F.aggregate(F.zip_with(hits, F.array(*(F.lit(float(w)) for _, w in ps)), lambda h, w: F.when(h, w).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
+        df = df.withColumns({"w": weight, "n": _number(hits)})
+        df = df.withColumn(t, F.when(F.col("n") == 0, 0.0).otherwise(F.least(F.lit(1.0), (F.col("w") / F.col("n")) * F.least(F.lit(1.0), F.col("n") / 3))))
     for t, e in (("java", "java"), ("python", "py"), ("xml", "xml")):
         df = df.withColumn(t, F.when(F.col("ext") == e, _up(F.col(t), 0.3)).otherwise(F.col(t)))
     df = df.withColumns({t: F.when(F.col("ext").isin(*P.SQL_BONUS), _up(F.col(t), 0.1)).otherwise(F.col(t)) for t in SQL_TYPES})
 
-    df = df.withColumns({"n_oracle": _count(P.ORACLE_SIGNS, "id"), "n_pg": _count(P.POSTGRESQL_SIGNS, "id"), "n_sp": _count(P.SP_SIGNS, "imd"), "n_ddl": _count(P.DDL_SIGNS, "imd"), "block": _hit(P.BLOCK, "id")})
+    df = df.withColumns({"n_oracle": _number(_hits(P.ORACLE_SIGNS, "id")), "n_pg": _number(_hits(P.POSTGRESQL_SIGNS, "id")), "n_sp": _number(_hits(P.SP_SIGNS, "imd")), "n_ddl": _number(_hits(P.DDL_SIGNS, "imd")), "block": F.get("hits", F.lit(_ALL.index((P.BLOCK, "id"))))})
     dialect = F.least(F.lit(1.0), F.greatest("n_oracle", "n_pg") / 5) * 0.2
     up = lambda t: F.col("n_oracle") > F.col("n_pg") if t.startswith("oracle") else F.col("n_pg") > F.col("n_oracle")
     df = df.withColumn("by", dialect).withColumns({t: F.when(F.col("n_oracle") == F.col("n_pg"), F.col(t)).when(up(t), _up(F.col(t), F.col("by"))).otherwise(_down(F.col(t), F.col("by"))) for t in SQL_TYPES})
@@ -118,7 +121,8 @@ def detect(files: DataFrame) -> DataFrame:
 
 
 def _matched(t: str) -> Column:
-    return F.filter(F.array(*(F.when(_hit(p, _FLAGS[t]), F.lit(describe(p))) for p, _ in P.TYPES[t])), lambda x: x.isNotNull())
+    ps = tuple(p for p, _ in P.TYPES[t])
+    return F.array_compact(F.zip_with(_hits(ps, _FLAGS[t]), F.array(*(F.lit(describe(p)) for p in ps)), lambda h, x: F.when(h, x)))
 
 
 def votes(detected: DataFrame) -> DataFrame:
@@ -126,7 +130,8 @@ def votes(detected: DataFrame) -> DataFrame:
 
     Ties go to framework among strategies and else to the first name in order.
     """
-    parts = [detected.groupBy(F.lit(k).alias("kind"), F.col(c).alias("choice")).agg(F.count("*").alias("n"), F.sum(F.round("confidence", 4).cast("decimal(18,4)")).cast("double").alias("weight")) for k, c in (("type", "file_type"), ("strategy", "suggested_strategy"), ("target", "suggested_target"))]
-    every = reduce(DataFrame.unionByName, parts)
+    choices = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("choice")) for k, c in (("type", "file_type"), ("strategy", "suggested_strategy"), ("target", "suggested_target"))))
+    each = detected.select("confidence", F.explode(choices).alias("x")).select("x.kind", "x.choice", "confidence")
+    every = each.groupBy("kind", "choice").agg(F.count("*").alias("n"), F.sum(F.round("confidence", 4).cast("decimal(18,4)")).cast("double").alias("weight"))
     first = F.row_number().over(W.partitionBy("kind").orderBy(F.desc("weight"), F.when(F.col("choice") == "framework", 0).otherwise(1), "choice")) == 1
     return every.withColumn("is_first", first)
