@@ -24,9 +24,9 @@ def hashed_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
     """An embedding without a model: words and their character trigrams are counted by hash into signed dimensions."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     grams = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) - 2)), lambda i: F.substring(w, i, F.lit(3)))))
-    hashes = F.transform(F.concat(words, grams), lambda g: F.xxhash64(g))
-    place = lambda h: F.pmod(h, F.lit(dimensions))
-    return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.aggregate(hashes, F.lit(0.0), lambda s, h: s + F.when(place(h) == d, F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0)).otherwise(0.0)).cast("float"))
+    hashes = F.transform(F.concat(words, grams), lambda g: F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("long"))
+    sign = lambda h: F.when(F.floor(h / dimensions) % 2 == 0, 1.0).otherwise(-1.0)
+    return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.aggregate(hashes, F.lit(0.0), lambda s, h: s + F.when(h % dimensions == d, sign(h)).otherwise(0.0)).cast("float"))
 
 
 def search(tables: DataFrame, query: Column, limit: int = 10, name: str = "table_name", vector: str = "vector", candidates: int = CANDIDATES, least: float = LEAST) -> DataFrame:

@@ -163,6 +163,12 @@ c AS (SELECT u, k, count(*) AS n FROM o GROUP BY u, k)
 SELECT 0 AS section, NULL AS unit, '<h1>Analysis</h1>' || chr(10) || '<ul><li>units: ' || count(DISTINCT u) || '</li><li>tables: ' || count(DISTINCT k) || '</li><li>statements: ' || count(*) || '</li><li>tokens: ' || count(*) || '</li></ul>' AS html FROM o
 UNION ALL SELECT 1, CAST(u AS VARCHAR), '<h2>' || u || '</h2>' || chr(10) || '<table>' || chr(10) || string_agg('<tr><td>' || u || '</td><td>' || k || '</td><td>r</td><td>' || n || '</td></tr>', chr(10) ORDER BY k) || chr(10) || '</table>' FROM c GROUP BY u
 UNION ALL SELECT 2, CAST(u AS VARCHAR), '<h3>' || u || '</h3>' || chr(10) || '<ol>' || chr(10) || string_agg('<li>' || l || ' ' || k || ' ' || t || '</li>', chr(10) ORDER BY i) || chr(10) || '</ol>' FROM o WHERE i <= 3 GROUP BY u""",
+    "semantic_text": r"""WITH d AS (SELECT CAST(p_partkey AS VARCHAR) AS table_name, p_name || ' ' || p_type AS description FROM part ORDER BY 1 LIMIT 200),
+w AS (SELECT *, list_filter(string_split_regex(lower(substr(description, 1, 500)), '[^\pL\pN]+'), lambda x: x <> '') AS words FROM d),
+g AS (SELECT *, list_concat(words, flatten(list_transform(words, lambda x: list_transform(range(1, greatest(1, len(x) - 2) + 1), lambda i: substr(x, i, 3))))) AS gs FROM w),
+h AS (SELECT *, list_transform(gs, lambda x: CAST('0x' || substr(md5(x), 1, 8) AS BIGINT)) AS hs FROM g),
+v AS (SELECT *, list_transform(range(0, 64), lambda k: CAST(list_sum(list_transform(hs, lambda y: CASE WHEN y % 64 = k THEN CASE WHEN (y // 64) % 2 = 0 THEN 1.0 ELSE -1.0 END ELSE 0.0 END)) AS DOUBLE)) AS x FROM h),
+s AS (SELECT 'public' AS schema_name, table_name, substr(description, 1, 200) AS description, round(list_cosine_similarity(x, (SELECT x FROM v ORDER BY table_name LIMIT 1)), 4) AS similarity FROM v ORDER BY similarity DESC, table_name LIMIT 5) SELECT * FROM s WHERE similarity >= 0.3""",
     "cyclic_closure": f"""WITH RECURSIVE e AS (SELECT from_table AS src, to_table AS dst FROM {_KEYS} UNION SELECT to_table, from_table FROM {_KEYS}), c AS (SELECT src, dst, 1 AS d FROM e UNION SELECT c.src, e.dst, d + 1 FROM c JOIN e ON c.dst = e.src WHERE d < 8) SELECT src, dst, min(d) AS distance FROM c GROUP BY ALL""",
     "references": "SELECT r_name AS unit, 'S' || s_suppkey AS statement, 'FROM' AS type FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_acctbal < 0",
     "co_referenced": "WITH u AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) SELECT CAST(b.l_partkey AS VARCHAR) AS other, count(*) AS n_units FROM u a JOIN u b USING (l_orderkey) WHERE a.l_partkey = 7 AND b.l_partkey <> 7 GROUP BY 1",
