@@ -84,8 +84,9 @@ def detect(files: DataFrame) -> DataFrame:
     df = files.select("file", F.coalesce("content", F.lit("")).alias("content")).withColumn("ext", ext)
     # Each text is lower-cased, searched for words and held against each pattern once: arrays that later columns index.
     low = F.lower("content")
-    # transform() keeps the many expressions out of generated code, which they would make too long to compile.
-    df = df.withColumn("low", low).withColumn("words", F.transform(F.array(*(F.lit(w) for w in _WORDS)), lambda w: F.contains("low", w)))
+    # transform() keeps the patterns out of generated code, which they would make too long to compile; low and words are
+    # used more than once, so the optimizer doesn't fold them into what uses them.
+    df = df.withColumn("low", low).withColumn("words", F.array(*(F.contains("low", F.lit(w)) for w in _WORDS)))
     df = df.select("file", "ext", (F.btrim("content", F.lit(" \t\r\n\x0b\x0c")) == "").alias("empty"), F.transform(F.array(*(_tested(*x) for x in _ALL)), lambda x: x).alias("hits"))
     for t, ps in P.TYPES.items():
         hits = _hits(tuple(p for p, _ in ps), _FLAGS[t])
