@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, grammar, hosts, jaccard, lines, pii, sharding, toxicity, vectors
+from . import bpe, decontam, divergence, grammar, hosts, jaccard, lines, merkle, packing, pii, sharding, toxicity, vectors
 from .common import cut, table
 
 
@@ -66,7 +66,26 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_pii, op3_line_dedup, op4_decontamination, op5_url_filters, op6_embedding_near_dedup, op7_bpe_encoding, op8_toxicity, op9_token_files, op10_ngram_jaccard_join)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = merkle.audit(merkle.manifest(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A piece's ids are read back from the written pieces; only their numbers are packed and joined."""
+    rows = packing.placed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return rows.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+_ALL = (
+    op1_sharding, op2_pii, op3_line_dedup, op4_decontamination, op5_url_filters, op6_embedding_near_dedup, op7_bpe_encoding, op8_toxicity, op9_token_files, op10_ngram_jaccard_join,
+    op11_merkle_manifest, op12_best_fit_packing, op13_source_divergence,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL: dict[str, str] = {
     "op4_decontamination": r"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\pL\pN]+'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL),
@@ -110,5 +129,40 @@ p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS o FROM s a JOIN s b ON a.
 l AS (SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * o >= 80 * (a.n + b.n - o)),
 c AS (SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT c.u, l.v FROM c JOIN l ON c.v = l.u)
 SELECT c.u AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c.v) AS component_id FROM c LEFT JOIN n ON n.doc_id = c.u GROUP BY c.u
+""",
+    "op11_merkle_manifest": r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, lang, n_chars, text, CASE WHEN xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS cut FROM documents),
+f AS (SELECT doc_id, source, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head, text, cut FROM d),
+leaves AS (SELECT doc_id, coalesce('=' || source, '') AS g, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(cut) || ':' || cut, '-')) AS presented FROM f),
+l AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM leaves),
+t AS (SELECT 0 AS lvl, g, pos, leaf AS h, n FROM l
+  UNION ALL SELECT lvl + 1, g, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM t WHERE n > 1 GROUP BY lvl, g, pos // 3, n),
+s AS (SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS lvl, pos, h, n FROM s UNION ALL SELECT lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM u WHERE n > 1 GROUP BY lvl, pos // 3, n),
+st AS (SELECT a.lvl, a.g, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS lh, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS rh FROM t a JOIN t b ON a.lvl = b.lvl AND a.g = b.g AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY a.lvl, a.g, a.pos),
+su AS (SELECT a.lvl, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS lh, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS rh FROM u a JOIN u b ON a.lvl = b.lvl AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY a.lvl, a.pos),
+p AS (SELECT g, pos, 0 AS lvl, pos AS q, '' AS proof, presented AS now FROM l
+  UNION ALL SELECT p.g, p.pos, p.lvl + 1, p.q // 3, p.proof || st.lh || st.rh, sha256(st.lh || p.now || st.rh) FROM p JOIN st ON p.g = st.g AND p.lvl = st.lvl AND p.q = st.pos),
+pe AS (SELECT p.g, p.pos, p.proof, p.now, s.pos AS spos, s.h AS subroot FROM p JOIN s USING (g) WHERE p.lvl = (SELECT max(lvl) FROM t WHERE t.g = p.g)),
+v AS (SELECT g, pos, 0 AS lvl, spos AS q, proof, now, subroot FROM pe
+  UNION ALL SELECT v.g, v.pos, v.lvl + 1, v.q // 3, v.proof || su.lh || su.rh, sha256(su.lh || v.now || su.rh), v.subroot FROM v JOIN su ON v.lvl = su.lvl AND v.q = su.pos)
+SELECT l.doc_id, l.leaf, v.subroot, r.h AS root, sha256(v.proof) AS proof_sha256, v.now AS folded_root, v.now = r.h AS verified
+FROM v JOIN l USING (g, pos), (SELECT h FROM u WHERE n = 1) r WHERE v.lvl = (SELECT max(lvl) FROM u)
+""",
+    "op13_source_divergence": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+o AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= {divergence.LEAST_DOCS}),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM o JOIN k USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*)::HUGEINT AS v FROM k GROUP BY lang),
+n AS (SELECT lang, source, coalesce(sum(c.n), 0)::HUGEINT AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (n.total + 2 * v.v) AS p FROM g JOIN k USING (lang) JOIN v USING (lang) JOIN n USING (lang, source) LEFT JOIN c USING (lang, source, term)),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(c.n)::HUGEINT + 2)) // (any_value(t.total) + 2 * any_value(v.v)) AS q FROM c JOIN v USING (lang) JOIN (SELECT lang, sum(n)::HUGEINT AS total FROM c GROUP BY lang) t USING (lang) GROUP BY lang, term),
+x AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pr AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+tr AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INTEGER AS rank FROM (SELECT * FROM pr UNION ALL SELECT * FROM tr)) WHERE part = 'pair' OR rank <= {divergence.TOP}
 """,
 }
