@@ -161,17 +161,52 @@ def test_hosts_and_rules(spark):
     assert hosts.judge(pages.limit(0), spark.createDataFrame([], "page_id long, bad int")).count() == 0
 
 
-def shrink(units, prior):
-    """units: key -> (n, k, parent); prior: parent -> mean. The posterior of each by hand."""
+def strength(units):
+    """units: (labels of the unit, prior mean). The level's strength from pairs of labels."""
     off = most = 0.0
-    for n, k, p in units.values():
-        v = prior[p] * (1 - prior[p])
-        if n:
-            off += n * (k / n - prior[p]) ** 2 - v
-            most += v * (n - 1)
+    for x, m in units:
+        if len(x) > 1:
+            off += sum((a - m) * (b - m) for i, a in enumerate(x) for j, b in enumerate(x) if i != j) / (len(x) - 1)
+            most += len(x) * m * (1 - m)
     rho = max(hosts.LEAST_RHO, min(hosts.MOST_RHO, off / most if most else hosts.LEAST_RHO))
-    s = (1 - rho) / rho
-    return {u: (prior[p] * s + k, (1 - prior[p]) * s + n - k) for u, (n, k, p) in units.items()}
+    return (1 - rho) / rho
+
+
+def posteriors(labels, names):
+    """labels: (host, 0 or 1). Each host's beta by adding up labels level by level, none of them twice."""
+    cut = lambda h, level: (".".join(h.split(".")[-2:]) if level == 2 else h.split(".")[-1] if level == 1 else "" if level == 0 else h)
+    prior = {("", 0): (hosts.MOST_BAD / 2, 1.0)}  # what stands before the labels of a unit: mean and weight
+    for level in (1, 2, 3):
+        before = {}
+        for u in {cut(h, level) for h in names}:
+            up = cut(u, level - 1)
+            m, s = prior[up, level - 1]
+            around = [x for h, x in labels if cut(h, level - 1) == up and cut(h, level) != u]
+            before[u] = ((m * s + sum(around)) / (s + len(around)), s + len(around))
+        z = strength([([x for h, x in labels if cut(h, level) == u], m) for u, (m, _) in before.items()])
+        prior |= {(u, level): (m, min(z, held)) for u, (m, held) in before.items()}
+    out = {}
+    for h in names:
+        m, s = prior[h, 3]
+        own = [x for g, x in labels if g == h]
+        out[h] = (m * s + sum(own), (1 - m) * s + len(own) - sum(own))
+    return out
+
+
+def upper_tail(limit, a, b):
+    """The share of Beta(a, b) above limit, by adding up its density over the logits of the rate."""
+    t = np.linspace(-60, 60, 1_200_001)
+    log = a * -np.logaddexp(0, -t) + b * -np.logaddexp(0, t)
+    weight = np.exp(log - log.max())
+    return weight[t > math.log(limit / (1 - limit))].sum() / weight.sum()
+
+
+def test_beta_tail_is_exact(spark):
+    data = [(0.3, 9.0), (1.0, 1.0), (2.0, 8.0), (1.2, 1.8), (20.0, 80.0), (150.0, 500.0), (0.5, 0.5), (900.0, 4000.0), (3.0, 0.7), (0.11, 1.9)]
+    for x in spark.createDataFrame(data, "a double, b double").withColumn("p", hosts.exceeds(0.2)).collect():
+        assert x.p == pytest.approx(upper_tail(0.2, x.a, x.b), abs=2e-4)
+    exact = spark.createDataFrame([(1.0, 3.0), (2.0, 1.0), (400000.0, 1600000.0)], "a double, b double").withColumn("p", hosts.exceeds(0.2)).collect()
+    assert [x.p for x in exact[:2]] == pytest.approx([0.8**3, 1 - 0.2**2], abs=1e-11) and abs(exact[2].p - 0.5) < 1e-3
 
 
 def test_posterior_matches_hand_calculation(spark):
@@ -185,23 +220,24 @@ def test_posterior_matches_hand_calculation(spark):
         if i % 3:
             out.append((i, int(r.random() < rate[h])))
     got = {x.host: x for x in hosts.reputation(spark.createDataFrame(pages, "page_id long, host string"), spark.createDataFrame(out + [(1, 0), (None, 1)], "page_id long, bad int")).collect()}
-    bad, of = dict(out), dict(pages)
-    host = {h: [0, 0] for h in names}
-    for i, b in bad.items():
-        host[of[i]][0] += 1
-        host[of[i]][1] += b
-    dom = lambda h: ".".join(h.split(".")[-2:])
-    add = lambda d, key: {k: tuple(sum(v[j] for u, v in d.items() if key(u) == k) for j in (0, 1)) for k in {key(u) for u in d}}
-    d = add(host, dom)
-    s = add(d, lambda u: u.split(".")[-1])
-    n, k = (sum(v[j] for v in s.values()) for j in (0, 1))
-    ps = shrink({u: (*v, "") for u, v in s.items()}, {"": (k + hosts.MOST_BAD / 2) / (n + 1)})
-    mean = lambda ab: {u: a / (a + b) for u, (a, b) in ab.items()}
-    pd = shrink({u: (*v, u.split(".")[-1]) for u, v in d.items()}, mean(ps))
-    ph = shrink({u: (*v, dom(u)) for u, v in host.items()}, mean(pd))
-    for u, (a, b) in ph.items():
-        low = a / (a + b) - hosts.Z * math.sqrt(a * b / ((a + b) ** 2 * (a + b + 1)))
-        assert got[u].a == pytest.approx(a) and got[u].b == pytest.approx(b) and got[u].low == pytest.approx(low)
+    of = dict(pages)
+    for u, (a, b) in posteriors([(of[i], x) for i, x in dict(out).items()], names).items():
+        assert got[u].a == pytest.approx(a) and got[u].b == pytest.approx(b) and got[u].bad == pytest.approx(upper_tail(hosts.MOST_BAD, a, b), abs=2e-4)
+
+
+@pytest.mark.parametrize("around", ["good", "mixed", "none"])
+def test_little_evidence_blocks_no_host(spark, around):
+    """(labelled, bad) of planted hosts: what must come out whatever the other hosts are like."""
+    planted = {"one.example.com": (1, 1, "allow"), "two.example.org": (2, 1, "allow"), "twelve.example.net": (12, 12, "block"), "spam.shared.com": (15, 14, "block"), "fine.shared.com": (40, 1, "allow"), "new.example.com": (0, 0, "allow")}
+    r, labels, pages = random.Random(4), [], []
+    others = {"good": [(f"h{k}.g{k % 40}.com", 0) for k in range(1000)], "mixed": [(f"h{k % 60}.m{k % 12}.{('com', 'org', 'net')[k % 3]}", int(r.random() < 0.12)) for k in range(1500)], "none": []}[around]
+    for host, bad in others + [(h, int(i < k)) for h, (n, k, _) in planted.items() for i in range(n)]:
+        labels.append((len(pages), bad))
+        pages.append((len(pages), f"http://{host}/x"))
+    pages.append((len(pages), "http://new.example.com/x"))
+    got = {x.host: x.verdict for x in hosts.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int")).collect()}
+    assert {h: got[h] for h in planted} == {h: v for h, (_, _, v) in planted.items()}
+    assert all(v == "allow" for h, v in got.items() if h not in planted)
 
 
 def test_ports_and_users_share_a_hosts_labels(spark):

@@ -86,6 +86,8 @@ _ALL = (
     op11_merkle_manifest, op12_best_fit_packing, op13_source_divergence,
 )
 QUERIES = {f.__name__: f for f in _ALL}
+#: A level's strength from its units (n, k, m), in the bounds of a prior.
+_STRENGTH = f"""(1 - rho) / rho FROM (SELECT greatest({hosts.LEAST_RHO}, least({hosts.MOST_RHO}, coalesce(sum(((k - n * m) ** 2 - k * (1 - m) ** 2 - (n - k) * m ** 2) / (n - 1)) FILTER (n > 1) / nullif(sum(n * m * (1 - m)) FILTER (n > 1), 0), {hosts.LEAST_RHO}))) AS rho"""
 ORACLE_SQL: dict[str, str] = {
     "op4_decontamination": r"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\pL\pN]+'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL),
@@ -104,16 +106,18 @@ o AS (SELECT doc_id AS page_id, max(1 - quality) AS bad FROM labels WHERE qualit
 u AS (SELECT site, count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS k, array_to_string(string_split(site, '.')[-2:], '.') AS domain, string_split(site, '.')[-1] AS suffix FROM h LEFT JOIN o USING (page_id) GROUP BY site),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM u GROUP BY domain, suffix),
 s AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY suffix),
-m0 AS (SELECT (sum(k) + {hosts.MOST_BAD / 2}) / (sum(n) + 1.0) AS m FROM s),
-s1 AS (SELECT s.*, m AS prior FROM s, m0),
-s2 AS (SELECT suffix, (prior * z + k) / (z + n) AS m FROM s1, (SELECT (1 - rho) / rho AS z FROM (SELECT greatest({hosts.LEAST_RHO}, least({hosts.MOST_RHO}, coalesce(sum(CASE WHEN n > 0 THEN n * (k / n - prior) ** 2 - prior * (1 - prior) ELSE 0 END) / nullif(sum(CASE WHEN n > 0 THEN prior * (1 - prior) * (n - 1) ELSE 0 END), 0), {hosts.LEAST_RHO}))) AS rho FROM s1))),
-d1 AS (SELECT d.*, m AS prior FROM d JOIN s2 USING (suffix)),
-d2 AS (SELECT domain, (prior * z + k) / (z + n) AS m FROM d1, (SELECT (1 - rho) / rho AS z FROM (SELECT greatest({hosts.LEAST_RHO}, least({hosts.MOST_RHO}, coalesce(sum(CASE WHEN n > 0 THEN n * (k / n - prior) ** 2 - prior * (1 - prior) ELSE 0 END) / nullif(sum(CASE WHEN n > 0 THEN prior * (1 - prior) * (n - 1) ELSE 0 END), 0), {hosts.LEAST_RHO}))) AS rho FROM d1))),
-u1 AS (SELECT u.*, m AS prior FROM u JOIN d2 USING (domain)),
-u2 AS (SELECT site, n, k, prior * z + k AS a, (1 - prior) * z + n - k AS b FROM u1, (SELECT (1 - rho) / rho AS z FROM (SELECT greatest({hosts.LEAST_RHO}, least({hosts.MOST_RHO}, coalesce(sum(CASE WHEN n > 0 THEN n * (k / n - prior) ** 2 - prior * (1 - prior) ELSE 0 END) / nullif(sum(CASE WHEN n > 0 THEN prior * (1 - prior) * (n - 1) ELSE 0 END), 0), {hosts.LEAST_RHO}))) AS rho FROM u1)))
+t AS (SELECT sum(n) AS n, sum(k) AS k FROM s),
+s1 AS (SELECT s.*, ({hosts.MOST_BAD / 2} + t.k - s.k) / (1.0 + t.n - s.n) AS m, 1.0 + t.n - s.n AS held FROM s, t),
+s2 AS (SELECT *, least(held, (SELECT {_STRENGTH} FROM s1))) AS z FROM s1),
+d1 AS (SELECT d.*, (s2.m * z + s2.k - d.k) / (z + s2.n - d.n) AS m, z + s2.n - d.n AS held FROM d JOIN s2 USING (suffix)),
+d2 AS (SELECT *, least(held, (SELECT {_STRENGTH} FROM d1))) AS z FROM d1),
+u1 AS (SELECT u.*, (d2.m * z + d2.k - u.k) / (z + d2.n - u.n) AS m, z + d2.n - u.n AS held FROM u JOIN d2 USING (domain)),
+u2 AS (SELECT site, n, k, m * z + k AS a, (1 - m) * z + n - k AS b FROM (SELECT *, least(held, (SELECT {_STRENGTH} FROM u1))) AS z FROM u1)),
+u3 AS (SELECT site, n, k, 1 - exp(a * ln({hosts.MOST_BAD}) + b * ln(1 - {hosts.MOST_BAD}) + lgamma(a + b) - lgamma(a + 1) - lgamma(b)) * (1 + sum(exp(lgamma(a + 1) + lgamma(a + b + i + 1) - lgamma(a + i + 2) - lgamma(a + b) + (i + 1) * ln({hosts.MOST_BAD})))) AS bad
+  FROM u2, range(4000) r(i) GROUP BY site, n, k, a, b)
 SELECT page_id, host, path, (SELECT rule FROM rules WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) ORDER BY length(rule) DESC LIMIT 1) AS rule,
-  coalesce((SELECT verdict FROM rules WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) ORDER BY length(rule) DESC LIMIT 1), CASE WHEN a / (a + b) - {hosts.Z} * sqrt(a * b / ((a + b) ** 2 * (a + b + 1))) > {hosts.MOST_BAD} THEN 'block' ELSE 'allow' END) AS verdict, n AS n_labelled, k AS n_bad
-FROM h JOIN u2 USING (site)
+  coalesce((SELECT verdict FROM rules WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) ORDER BY length(rule) DESC LIMIT 1), CASE WHEN bad >= {hosts.SURE} THEN 'block' ELSE 'allow' END) AS verdict, n AS n_labelled, k AS n_bad, round(bad, 4) AS bad
+FROM h JOIN u3 USING (site)
 """,
     "op6_embedding_near_dedup": """
 WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND len(list_filter(embedding, lambda v: v <> 0)) > 0),
