@@ -98,8 +98,9 @@ def _descend(rounds: list[DataFrame], above: DataFrame) -> DataFrame:
     up = above.select(F.col("g").alias("up_g"), F.lit(0).cast("long").alias("up_block"), "up", F.col("root").alias("top"))
     for k in range(len(rounds) - 1, -1, -1):
         own = rounds[k].join(up, (F.col("g") == F.col("up_g")) & (F.col("block") == F.col("up_block")))
-        own = own.withColumn("nodes", F.expr("transform(items, x -> x.node)")).withColumn("levels", F.expr(_collapsed(_height())))
-        own = own.withColumn("each", F.expr(f"transform(items, (x, at) -> struct(x, {_steps('at')} AS steps))"))
+        # levels is a lambda's variable, so that it is made once for all items
+        each = f"transform(array({_collapsed(_height())}), levels -> transform(items, (x, at) -> struct(x, {_steps('at')} AS steps)))[0]"
+        own = own.withColumn("nodes", F.expr("transform(items, x -> x.node)")).withColumn("each", F.expr(each))
         each = own.select("g", "up", "top", F.explode("each").alias("e")).select("g", "e.x", F.concat("e.steps", "up").alias("steps"), "top")
         if k:
             up = each.select(F.col("g").alias("up_g"), F.col("x.pos").alias("up_block"), F.col("steps").alias("up"), "top")
