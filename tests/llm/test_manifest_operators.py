@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tracewright.llm import divergence, merkle, packing, queries
+from tracewright.llm.common import cut
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -100,19 +101,20 @@ def test_ids_are_those_of_the_library(spark):
     r = random.Random(3)
     more = ["".join(r.choice(["a", "B", " ", " ", "\n", "'s", "7", ".", " ", "\t", "ß", "word"]) for _ in range(r.randint(0, 40))) for _ in range(400)]
     c, t = packing.coder(open(public_tokenizers.path("byte_bpe_50k.json")).read()), library()
-    for _ in range(2):  # the second time from the cache
-        got = c.encode(pa.array(TEXTS + more))
-        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [t.encode(x or "", add_special_tokens=False).ids for x in TEXTS + more]
-    assert c.by_part
+    long = ["ab" * 200_000, " " * 300_000 + "x", "\n \t" * 100_000, "word " * 100_000]
+    for x in TEXTS + more + long:
+        assert np.frombuffer(c.encode(x or ""), "<u4").tolist() == t.encode(x or "", add_special_tokens=False).ids
+    assert c.fast
     other = packing.coder(open(public_tokenizers.path("word_bpe_49k.json")).read())
-    assert not other.by_part and len(other.encode(pa.array(["Some Words"]))) == 1
+    assert not other.fast and len(other.encode("Some Words")) == 8
 
 
 def test_pieces_and_sequences(spark):
     t = library()
     data = list(enumerate(TEXTS)) + [(100, "long text " * 3000), (101, "w " * 2047), (102, "w" + " w" * 2046), (None, "no id"), (3, "a"), (3, "a")]
     docs = spark.createDataFrame([(i, x, 5) for i, x in data], "doc_id long, text string, uid long")
-    rows = packing.placed(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()
+    parts = cut(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json")), "pieces")
+    rows = packing.placed(parts).collect()
     ids = {i: [*t.encode(x or "", add_special_tokens=False).ids, 0] for i, x in data}
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for x in rows:
@@ -132,7 +134,7 @@ def test_pieces_and_sequences(spark):
         assert at <= 2048
     total = sum(x.length for x in rows)
     assert len(by_sequence) <= -(-total // 2048) + 1
-    whole = packing.sequences(packing.placed(docs, public_tokenizers.path("byte_bpe_50k.json"))).collect()
+    whole = packing.sequences(packing.placed(parts)).collect()
     assert sum(x.length for x in whole) == total and all(4 * x.length == len(x.ids) for x in whole)
 
 
@@ -173,7 +175,7 @@ def test_packing_in_rounds(spark, sizes):
 
 def test_packing_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
-    assert packing.placed(docs, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
+    assert packing.placed(cut(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json")), "pieces")).count() == 0
 
 
 def plain_divergence(rows: list[tuple], least: int = 10, top: int = 10) -> list[tuple]:

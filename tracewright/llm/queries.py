@@ -72,9 +72,9 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A piece's ids are read back from the written pieces; only their numbers are packed and joined."""
-    rows = packing.placed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    return rows.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    """A piece's ids are read back from the written pieces."""
+    parts = cut(packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")), "pieces")
+    return packing.placed(parts.select("uid", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
