@@ -86,10 +86,6 @@ def disclosed_terms(docs: list[tuple], base) -> set[str]:
             # contexts reach from one match of the kind to the next, whether the matches count or not
             edges = [(m.start(), m.end()) for m in re.finditer(pii_patterns()[kind], t)]
             before, after = t[max((y for _, y in edges if y <= s), default=0) : s], t[e : min((x for x, _ in edges if x >= e), default=len(t))]
-            if len(before) > pii.NEAR:
-                before = regex.sub(r"^[\p{L}\p{M}]+", "", before[-pii.NEAR :])
-            if len(after) > pii.NEAR:
-                after = regex.sub(r"[\p{L}\p{M}]+$", "", after[: pii.NEAR])
             near, entity = before.split("\n")[-1] + " " + after.split("\n")[0], (kind, t[s:e].lower())
             having[entity].add(d)
             for w in letters(near):

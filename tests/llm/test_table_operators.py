@@ -111,6 +111,30 @@ def test_terms_that_disclose_are_spans(spark):
     assert pii.find(df.limit(0)).count() == 0
 
 
+def test_a_context_is_the_whole_line(spark):
+    r = random.Random(11)
+    fill = lambda n: " ".join("".join(r.choice("aeioulmnrst") for _ in range(6)) for _ in range(n))
+    data = [(i, f"{fill(40)} Zebulon {fill(400)} joe@x.com {fill(9)}") for i in range(5)] + [(10 + i, fill(60)) for i in range(1000)]
+    got = {x.doc_id: [m.v for m in x.term] for x in pii.find(spark.createDataFrame(data, DOC)).collect()}
+    assert all(("Zebulon" in v) == (i < 5) for i, v in got.items())
+
+
+def test_planted_names_are_found_and_little_else(spark):
+    """Names beside values, in lines of any length: recall and false spans of the method at its thresholds."""
+    r = random.Random(12)
+    common = ["".join(r.choice("aeioulmnrst") for _ in range(r.randint(2, 8))) for _ in range(400)]
+    fill = lambda n: " ".join(r.choice(common) for _ in range(n))
+    names, data = {f"Name{chr(97 + k // 26)}{chr(97 + k % 26)}": f"u{k}@mail{k}.org" for k in range(60)}, []
+    for name, mail in names.items():
+        for _ in range(r.randint(3, 8)):  # as often beside the value as alone, at most
+            data.append(f"{fill(r.randint(3, 60))} {name} {fill(r.choice((0, 3, 50)))} {mail} {fill(r.randint(3, 60))}\n{fill(30)}")
+        data += [f"{fill(20)} {name} {fill(20)}" for _ in range(r.randint(0, 3))]
+    data += [fill(r.randint(20, 200)) for _ in range(2000)]
+    found = pii.find(spark.createDataFrame(list(enumerate(data)), DOC)).collect()
+    spans = [m.v for x in found for m in x.term]
+    assert {v for v in spans if v in names} == set(names) and sum(v not in names for v in spans) == 0
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_terms_match_brute_force(spark, seed):
     r = random.Random(seed)

@@ -185,6 +185,30 @@ def test_line_dedup_edge_rows(spark):
     assert lines.dedup_lines(rows(spark, [])).count() == 0
 
 
+def test_fingerprints_are_few_and_only_shared_ones_have_candidates(spark):
+    r = random.Random(8)
+    line = lambda: " ".join(r.choice(WORDS) + str(r.randrange(50)) for _ in range(r.randint(3, 12)))
+    passage = [line() for _ in range(12)]
+    docs = [(i, "\n".join([line() for _ in range(40)] + (passage if i in (3, 17) else []) + [line() for _ in range(5)])) for i in range(30)]
+    selected = cut(lines.fingerprints(lines.line_table(rows(spark, docs)), 50), "selected")
+    places, windows = selected.count(), selected.agg(F.sum(F.size("windows"))).first()[0]
+    assert places * 3 < windows  # neighbouring windows select the same line
+    for x in selected.collect():  # the place that is selected is the least line hash of each of its windows
+        assert all(w.s <= x.at <= w.e for w in x.windows)
+    found = lines.candidates(selected)
+    assert 0 < found.count() * 5 < windows and {x.doc_id for x in found.collect()} == {3, 17}
+    every = selected.select("doc_id", "th", F.explode("windows").alias("x")).count()
+    assert every == windows > found.count()  # without the minimum, every window would be a candidate
+
+
+def test_a_match_goes_on_as_far_as_the_texts_agree(spark):
+    text = [f"line {i} " + " ".join(f"w{i}x{k}" for k in range(18)) for i in range(30)]
+    # the tail of the run stands first elsewhere, together with its last windows
+    docs = [(1, "\n".join(text[20:])), (2, "\n".join(["own start of two"] + text + ["own end of two"])), (3, "\n".join(["other start"] + text[3:29] + ["other end"]))]
+    got = {x.doc_id: x.text for x in lines.dedup_lines(rows(spark, docs)).collect()}
+    assert got == brute.cut_runs(docs) and got[3] == "other start\nother end" and got[2].endswith("line 19 " + " ".join(f"w19x{k}" for k in range(18)) + "\nown end of two")
+
+
 def test_contained_items_match_brute_force(spark):
     r = random.Random(5)
     items = [(i, " ".join(r.choice(WORDS) for _ in range(n))) for i, n in enumerate((4, 5, 6, 9, 17, 33, 64, 80))]

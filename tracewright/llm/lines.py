@@ -2,22 +2,24 @@
 
 1. Each non-blank line gets a hash of its lower-cased text with white space folded, and its number of words.
 2. Windows: each line that has MIN_WORDS words alone; from each line on, the fewest lines, two or more, that reach
-   MIN_WORDS words; and the same backwards from each line. A window's minimum, its least line hash, is its fingerprint:
-   two equal windows have the same one for certain.
-3. Positions of a fingerprint are joined with its first one. A frequent line is the minimum of many different windows,
-   and pairs of all its places would be their square, while its first place alone may lie in another context. So the
-   fingerprint goes with a hash of the window's whole sequence, and only equal windows meet.
-4. Matches are extended both ways by merging: windows that match and overlap are one run, which is deleted.
+   MIN_WORDS words; and the same backwards from each line. The place of a window's least line hash is selected. Neighbouring
+   windows mostly select the same place, so few places are: they are the fingerprints, and each is kept with its windows.
+3. Fingerprints that stand at one place only are dropped with their windows. The positions of the others are joined: each
+   with the first one that agrees with it in a whole window. A frequent line is the minimum of many different windows;
+   without the window, pairs of all its places would be their square, and its first place alone may lie in another context.
+4. Matches of two texts on one diagonal are put together and extended both ways, line hash by line hash, as far as the
+   texts agree. What a text repeats of an earlier place is deleted.
 
 This is all of every run of MIN_WORDS words or more that equals an earlier one: any two neighbours in such a run lie in a
-window inside it, the first line's forward window, their own, or the last line's backward one, and whatever the place
-where that window stood first, it stood earlier. The work is linear in lines.
+window inside it, the first line's forward window, their own, or the last line's backward one, and equal windows select
+the same place, so they meet the first of their kind, which stood earlier. The work is linear in lines, but for the
+extension, which reads a text's lines once for each run it shares with another.
 Every line's first place stays, since a line is only deleted where an equal one stands earlier.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -35,41 +37,75 @@ _LINES = """
     x -> x.w > 0)
 """
 
+
 def line_table(docs: DataFrame) -> DataFrame:
     """(doc_id, th, lines): one row per different (doc_id, text); lines are non-blank: hash h, words w, place i in the text."""
     return docs.select("doc_id", F.xxhash64("text").alias("th"), F.expr(_LINES).alias("lines")).where("size(lines) > 0").dropDuplicates(["doc_id", "th"])
 
 
-def windows(lines: DataFrame, min_words: int) -> DataFrame:
-    """(k, m, doc_id, th, s, e): every window of the texts, the hash of its sequence and its least line hash; s and e are its first and last place."""
-    each = lines.select("doc_id", "th", F.posexplode("lines").alias("p", "x")).select("doc_id", "th", "p", "x.h", F.col("x.w").cast("long").alias("w"), "x.i")
+def fingerprints(lines: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, th, at, h, windows): the selected places of the texts, the line hash there, and the windows that select them.
+
+    windows: struct(k, s, e), the hash of a window's whole sequence and its first and last line, counted among the non-blank ones.
+    """
+    each = lines.select("doc_id", "th", F.posexplode("lines").alias("p", "x")).select("doc_id", "th", "p", "x.h", F.col("x.w").cast("long").alias("w"))
     doc = W.partitionBy("doc_id", "th")
     each = each.withColumn("upto", F.sum("w").over(doc.orderBy("p"))).withColumn("before", F.col("upto") - F.col("w"))
     order = doc.orderBy("before")
     ahead, back = order.rangeBetween(0, min_words - 1), doc.orderBy("upto").rangeBetween(1 - min_words, 0)
-    following = {"hs": F.collect_list("h").over(ahead), "last": F.max("i").over(ahead), "words": F.sum("w").over(ahead), "next_h": F.lead("h").over(order), "next_i": F.lead("i").over(order)}
-    each = each.withColumns(following).withColumns({"back_hs": F.collect_list("h").over(back), "first": F.min("i").over(back), "back_words": F.sum("w").over(back)})
-    window = lambda hs, s, e: F.struct(F.xxhash64(hs).alias("k"), F.array_min(hs).alias("m"), F.col(s).alias("s"), F.col(e).alias("e"))
-    long = F.col("w") >= min_words
-    alone = F.when(long, window(F.array("h"), "i", "i"))
-    forward = F.when(long & F.col("next_i").isNotNull(), window(F.array("h", "next_h"), "i", "next_i")).when(~long & (F.col("words") >= min_words), window(F.col("hs"), "i", "last"))
+    following = {"hs": F.collect_list("h").over(ahead), "words": F.sum("w").over(ahead), "next_h": F.lead("h").over(order)}
+    each = each.withColumns(following).withColumns({"back_hs": F.collect_list("h").over(back), "back_words": F.sum("w").over(back)})
+
+    def window(hs: Column, s: Column) -> Column:
+        least = s + F.array_position(hs, F.array_min(hs)).cast("int") - 1
+        return F.struct(least.alias("at"), F.array_min(hs).alias("h"), F.struct(F.xxhash64(hs).alias("k"), s.alias("s"), (s + F.size(hs) - 1).alias("e")).alias("x"))
+
+    long, p = F.col("w") >= min_words, F.col("p")
+    alone = F.when(long, window(F.array("h"), p))
+    forward = F.when(long & F.col("next_h").isNotNull(), window(F.array("h", "next_h"), p)).when(~long & (F.col("words") >= min_words), window(F.col("hs"), p))
     # where the lines before the last one don't reach min_words, or it does alone, the window is its first line's forward one
-    backward = F.when(~long & (F.col("back_words") - F.col("w") >= min_words), window(F.col("back_hs"), "first", "i"))
-    found = each.select("doc_id", "th", F.explode(F.filter(F.array(alone, forward, backward), lambda x: x.isNotNull())).alias("x"))
-    return found.select("x.k", "x.m", "doc_id", "th", "x.s", "x.e")
+    backward = F.when(~long & (F.col("back_words") - F.col("w") >= min_words), window(F.col("back_hs"), p - F.size("back_hs") + 1))
+    found = each.select("doc_id", "th", F.explode(F.filter(F.array(alone, forward, backward), lambda x: x.isNotNull())).alias("y"))
+    # still dealt by text; a line is the minimum of windows that hold it, of which there are few
+    return found.groupBy("doc_id", "th", "y.at").agg(F.first("y.h").alias("h"), F.collect_list("y.x").alias("windows"))
+
+
+def candidates(selected: DataFrame) -> DataFrame:
+    """(h, k, doc_id, th, s, e): the windows of fingerprints that stand at two places or more."""
+    shared = selected.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("shared"))
+    return selected.join(shared, F.col("h") == F.col("shared")).select("h", "doc_id", "th", F.explode("windows").alias("x")).select("h", "x.k", "doc_id", "th", "x.s", "x.e")
+
+
+def _merged(found: DataFrame, *key: str) -> DataFrame:
+    """(key, s, e): stretches that overlap, put together."""
+    order = W.partitionBy(*key).orderBy("s")
+    opens = F.coalesce(F.col("s") > F.max("e").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(True))
+    runs = found.withColumn("opens", opens.cast("int")).withColumn("run", F.sum("opens").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return runs.groupBy(*key, "run").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("run")
+
+
+def _equal(a: str, b: str) -> str:
+    """SQL for the number of elements in which two arrays agree from their starts on."""
+    return f"cast(array_position(concat(zip_with({a}, {b}, (x, y) -> x <=> y AND x IS NOT NULL), array(false)), false) - 1 AS int)"
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, th, runs): for texts with runs to delete, runs as struct(s, e), first and last place among the text's lines."""
-    found = cut(windows(line_table(docs), min_words), "windows")
-    first = found.groupBy("k", "m").agg(F.min(F.struct("doc_id", "th", "s")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("k").alias("fk"), F.col("m").alias("fm"), "first")
-    gone = found.join(first, (found.k == first.fk) & (found.m == first.fm)).where("NOT (doc_id <=> first.doc_id AND th = first.th AND s = first.s)").select("doc_id", "th", "s", "e")
-    doc = W.partitionBy("doc_id", "th").orderBy("s")
-    # windows that overlap are merged into runs
-    opens = F.coalesce(F.col("s") > F.max("e").over(doc.rowsBetween(W.unboundedPreceding, -1)), F.lit(True))
-    runs = gone.withColumn("opens", opens.cast("int")).withColumn("run", F.sum("opens").over(doc.rowsBetween(W.unboundedPreceding, 0)))
-    runs = runs.groupBy("doc_id", "th", "run").agg(F.min("s").alias("s"), F.max("e").alias("e"))
-    return runs.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("runs"))
+    lines = cut(line_table(docs), "lines")
+    found = cut(candidates(cut(fingerprints(lines, min_words), "fingerprints")), "candidates")
+    first = found.groupBy("h", "k").agg(F.min(F.struct("doc_id", "th", "s")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("fh"), F.col("k").alias("fk"), "first")
+    met = found.join(first, (found.h == first.fh) & (found.k == first.fk)).where("NOT (doc_id <=> first.doc_id AND th = first.th AND s = first.s)")
+    met = met.select("doc_id", "th", "s", "e", F.col("first.doc_id").alias("from_id"), F.col("first.th").alias("from_th"), (F.col("first.s") - F.col("s")).alias("shift"))
+    runs = _merged(met, "doc_id", "th", "from_id", "from_th", "shift").groupBy("doc_id", "th", "from_id", "from_th").agg(F.collect_list(F.struct("s", "e", "shift")).alias("met"))
+    runs = cut(runs, "met")  # one row for two texts
+    hashes = lambda to: lines.select(F.col("doc_id").alias(f"{to}_i"), F.col("th").alias(f"{to}_t"), F.expr("transform(lines, x -> x.h)").alias(to), *([F.expr("transform(lines, x -> x.i)").alias("places")] if to == "own" else []))
+    own, source = hashes("own"), hashes("source")
+    both = runs.join(own, F.col("doc_id").eqNullSafe(F.col("own_i")) & (F.col("th") == F.col("own_t"))).join(source, F.col("from_id").eqNullSafe(F.col("source_i")) & (F.col("from_th") == F.col("source_t")))
+    back = _equal("reverse(slice(own, 1, m.s))", "reverse(slice(source, 1, m.s + m.shift))")
+    on = _equal("slice(own, m.e + 2, size(own))", "slice(source, m.e + m.shift + 2, size(source))")
+    extended = f"transform(met, m -> struct(places[m.s - {back}] AS s, places[m.e + {on}] AS e))"
+    gone = both.select("doc_id", "th", F.explode(F.expr(extended)).alias("x")).select("doc_id", "th", "x.s", "x.e")
+    return _merged(gone, "doc_id", "th").groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("runs"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

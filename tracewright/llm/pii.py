@@ -1,7 +1,7 @@
 """Personal data: pattern spans, and terms that give protected entities away, with DataFrame functions only.
 
-Patterns find the base spans. Each found value (an address, a number) is a protected entity; its context are the NEAR
-characters on either side, within the line and up to the next value of its kind. Over the whole corpus, the co-occurrence
+Patterns find the base spans. Each found value (an address, a number) is a protected entity; its context is the rest of
+its line, on either side up to the next value of its kind. Over the whole corpus, the co-occurrence
 of terms and entities estimates what a term discloses: the share of documents with the term that hold the entity in its
 context, and the pointwise mutual information of both in bits. Terms over both thresholds, seen in enough different
 contexts, are themselves spans wherever they occur. In sanitised texts base spans are generalised to their kind; terms
@@ -25,8 +25,6 @@ KINDS = ("email", "ip", "card", "phone", "term")
 #: A term is disclosed if, of documents that hold it, such a share holds one entity in its context, with so many bits of
 #: mutual information, in so many different contexts.
 LEAST_SHARE, LEAST_BITS, LEAST_CONTEXTS = 0.5, 4.0, 3
-#: Characters of context on either side of a value; a word that an edge cuts isn't part of it.
-NEAR = 160
 #: Marked parts that are added up at a time, so that the work on a text with very many values isn't the square of them.
 CHUNK = 256
 
@@ -63,8 +61,6 @@ def valid(kind: str, v: str = "v") -> str:
 
 def _near(before: str, after: str) -> str:
     """SQL for the context between two texts: their ends, within the line."""
-    before = f"if(length({before}) > {NEAR}, regexp_replace(right({before}, {NEAR}), '^{_TERM}', ''), {before})"
-    after = f"if(length({after}) > {NEAR}, regexp_replace(left({after}, {NEAR}), '{_TERM}$', ''), {after})"
     return f"concat(substring_index({before}, '\\n', -1), ' ', substring_index({after}, '\\n', 1))"
 
 
