@@ -60,3 +60,19 @@ def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = f"named_struct('type', 'PROCEDURE', 'name', concat('P', l_orderkey), 'startLine', 1, 'endLine', 2 * m + 2, 'code', concat('1: CREATE PROCEDURE P', '\\r\\n', array_join(transform(sequence(1, m), i -> concat(2 * i, ': UPDATE T', i, '\\r\\n', 2 * i + 1, ': SET x')), '\\r\\n'), '\\r\\n', 2 * m + 2, ': END;'), 'children', transform(sequence(1, m), i -> {child}))"
     content = f"to_json(named_struct('type', 'FILE', 'startLine', 1, 'endLine', 2 * m + 2, 'code', '', 'children', array({unit})))"
     return m.select(F.lit("d").alias("directory"), F.expr("concat(l_orderkey, '.sql')").alias("file"), F.expr(content).alias("content"))
+
+
+def deep_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(directory, file, content): a parsed file for each order, with a loop, in it a branch for each of its lines, in each an update and a query."""
+    m = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").cast("int").alias("m"))
+    inner = "concat(6 * i - 2, ': UPDATE T', l_orderkey % 50, '\\n', 6 * i - 1, ': SET x = ', i), concat(6 * i, ': SELECT ', i, '\\n', 6 * i + 1, ': FROM S', i % 3)"
+    leaf = lambda kind, start, code: f"named_struct('type', '{kind}', 'startLine', {start}, 'endLine', {start} + 1, 'code', {code}, 'children', cast(array() AS array<string>))"
+    update, select = inner.split("), concat(")
+    branch = f"concat(6 * i - 3, ': IF ', i, ' THEN\\n', {update}), '\\n', concat({select}, '\\n', 6 * i + 2, ': END IF;')"
+    children = f"array({leaf('UPDATE', '6 * i - 2', update + ')')}, {leaf('SELECT', '6 * i', 'concat(' + select)})"
+    branches = f"transform(sequence(1, m), i -> named_struct('type', 'IF', 'startLine', 6 * i - 3, 'endLine', 6 * i + 2, 'code', {branch}, 'children', {children}))"
+    lines = f"array_join(transform(sequence(1, m), i -> {branch}), '\\n')"
+    loop = f"named_struct('type', 'LOOP', 'startLine', 2, 'endLine', 6 * m + 3, 'code', concat('2: LOOP\\n', {lines}, '\\n', 6 * m + 3, ': END LOOP;'), 'children', {branches})"
+    unit = f"named_struct('type', 'PROCEDURE', 'name', concat('P', l_orderkey), 'startLine', 1, 'endLine', 6 * m + 4, 'code', concat('1: PROCEDURE P\\n2: LOOP\\n', {lines}, '\\n', 6 * m + 3, ': END LOOP;\\n', 6 * m + 4, ': END;'), 'children', array({loop}))"
+    content = f"to_json(named_struct('type', 'FILE', 'startLine', 1, 'endLine', 6 * m + 4, 'code', '', 'children', array({unit})))"
+    return m.select(F.lit("d").alias("directory"), F.expr("concat(l_orderkey, '.sql')").alias("file"), F.expr(content).alias("content"))

@@ -121,6 +121,25 @@ def depths(nodes: DataFrame, edges: DataFrame, key: str = "node_id") -> DataFram
     return nodes.join(at.select(F.col("node").alias("_n"), F.col("d").alias("_d")), F.col(key) == F.col("_n"), "left").withColumn("depth", F.coalesce("_d", F.lit(0))).drop("_n", "_d")
 
 
+def heights(nodes: DataFrame, edges: DataFrame, key: str = "node_id") -> DataFrame:
+    """nodes with height: the longest way from each down to a node without children, in a tree of edges (src parent, dst child).
+
+    What stands 2^k below a node tells it the height that it has found so far, then what stands 2^(k+1) below; there are
+    as many rows as nodes, never pairs. Of several parents the least counts; a node in or below a cycle is an error.
+    """
+    jump = cut(_jumps(edges).groupBy("node").agg(F.min("up").alias("up")), "jump")
+    high, span = cut(nodes.select(F.col(key).alias("node")).where("node IS NOT NULL").distinct().withColumn("h", F.lit(0)), "height"), 1
+    rounds = max(jump.count(), 1).bit_length() + 1
+    while not jump.isEmpty():
+        if not rounds:
+            raise ValueError("the edges have a cycle")
+        told = jump.join(high.select(F.col("node").alias("_n"), "h"), F.col("node") == F.col("_n")).groupBy("up").agg((F.max("h") + span).alias("_h"))
+        high = cut(high.join(told, F.col("node") == F.col("up"), "left").select("node", F.greatest("h", F.coalesce("_h", F.lit(0))).alias("h")), "height", after=high)
+        jump = cut(jump.join(jump.select(F.col("node").alias("_m"), F.col("up").alias("_u")), F.col("up") == F.col("_m")).select("node", F.col("_u").alias("up")), "jump", after=jump)
+        span, rounds = 2 * span, rounds - 1
+    return nodes.join(high.select(F.col("node").alias("_n"), F.col("h").alias("height")), F.col(key) == F.col("_n"), "left").drop("_n")
+
+
 def gather_up(facts: DataFrame, edges: DataFrame, key: str = "node_id") -> DataFrame:
     """The different facts (key and other columns) of each node and of all nodes below it. edges: src (above), dst (below).
 

@@ -256,4 +256,11 @@ UNION ALL SELECT style, file, m + 1, '1: CREATE PROCEDURE P' || chr(10) || CASE
     + """ UNION ALL SELECT 'u' || s_suppkey, 'N' || s_nationkey, 'S' || s_suppkey, CASE WHEN s_suppkey % 3 = 1 THEN 'far' END, CASE WHEN s_suppkey % 3 = 1 THEN 'DB_LINK' ELSE 'FROM' END FROM supplier WHERE s_suppkey % 3 < 2 UNION ALL SELECT 'u' || s_suppkey, 'public', 'ghost' || s_suppkey, NULL, m FROM supplier, (VALUES ('FROM'), ('WRITES')) v(m) WHERE s_suppkey % 3 = 2""",
     "provider_access": f"SELECT * FROM {V([('load.sql', 'dw.fact_sales', 'w'), ('load.sql', 'stg.orders', 'r'), ('load.sql', 'stg.items', 'r'), ('load.sql', 'stg.tmp', 'w'), ('load.sql', 'dw.dim_customer', 'w'), ('load.sql', 'stg.customers', 'r'), ('single.sql', 't', 'w'), ('two.sql', 'a', 'w'), ('two.sql', 'b', 'w'), ('two.sql', 'c', 'w')], 'unit_id', 'name', 'mode')}"
     + """ UNION ALL SELECT 'o' || o_orderkey, 'dw.f' || o_custkey % 7, 'w' FROM orders UNION ALL SELECT 'o' || o_orderkey, 'stg.s' || o_orderkey % 11, 'r' FROM orders UNION ALL SELECT 'o' || o_orderkey, 'stg.c' || o_custkey % 5, 'r' FROM orders""",
+    "wave_summaries": """
+WITH m AS (SELECT l_orderkey AS o, count(*)::INT AS m FROM lineitem GROUP BY 1), b AS (SELECT o, m, unnest(range(1, m + 1))::INT AS i FROM m),
+u AS (SELECT *, '2 lines ' || md5((6 * i - 2) || ': UPDATE T' || (o % 50) || chr(10) || (6 * i - 1) || ': SET x = ' || i) AS us, '2 lines ' || md5((6 * i) || ': SELECT ' || i || chr(10) || (6 * i + 1) || ': FROM S' || (i % 3)) AS ss FROM b),
+f AS (SELECT *, '4 lines ' || md5((6 * i - 3) || ': IF ' || i || ' THEN' || chr(10) || (6 * i - 2) || '~' || (6 * i - 1) || ': ' || us || chr(10) || (6 * i) || '~' || (6 * i + 1) || ': ' || ss || chr(10) || (6 * i + 2) || ': END IF;') AS fs FROM u),
+l AS (SELECT o, m, (m + 2) || ' lines ' || md5('2: LOOP' || chr(10) || string_agg((6 * i - 3) || '~' || (6 * i + 2) || ': ' || fs, chr(10) ORDER BY i) || chr(10) || (6 * m + 3) || ': END LOOP;') AS ls FROM f GROUP BY o, m)
+SELECT o || '.sql' AS file, 3 * i - 2 AS node_id, us AS summary, true AS ok FROM f UNION ALL SELECT o || '.sql', 3 * i - 1, ss, true FROM f UNION ALL SELECT o || '.sql', 3 * i, fs, true FROM f UNION ALL SELECT o || '.sql', 3 * m + 1, ls, true FROM l
+""",
 }

@@ -13,7 +13,7 @@ from . import generated
 from .functions import similarity as S
 from .functions import text as N
 from .operators import batching, glossary, graph, reports, schema, search, trees, vectors
-from .plans import analyse, catalog, ddl, detect, fk, lineage, metadata, providers, summaries
+from .plans import analyse, catalog, ddl, detect, fk, lineage, metadata, providers, summaries, waves
 from .sources.tables import shared_dir
 from .streaming import events
 
@@ -261,6 +261,14 @@ def graph_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Analysis phases
 
 
+@query
+def wave_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated trees, four levels deep, analysed from the leaves up: each parent is asked about with its children's results."""
+    nodes = trees.flags(trees.flatten(generated.deep_trees(spark, sf_dir)))
+    done = waves.analyse(nodes, waves.digest_rule, f"{shared_dir(spark)}/waves-{uuid.uuid4().hex}")
+    return done.select("file", "node_id", "summary", "ok")
+
+
 @query
 def qualified_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema.list_columns(catalog.columns(catalog.load(spark, sf_dir)), "PUBLIC.Orders").select("table_name", "column_name")
