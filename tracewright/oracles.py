@@ -262,5 +262,16 @@ u AS (SELECT *, '2 lines ' || md5((6 * i - 2) || ': UPDATE T' || (o % 50) || chr
 f AS (SELECT *, '4 lines ' || md5((6 * i - 3) || ': IF ' || i || ' THEN' || chr(10) || (6 * i - 2) || '~' || (6 * i - 1) || ': ' || us || chr(10) || (6 * i) || '~' || (6 * i + 1) || ': ' || ss || chr(10) || (6 * i + 2) || ': END IF;') AS fs FROM u),
 l AS (SELECT o, m, (m + 2) || ' lines ' || md5('2: LOOP' || chr(10) || string_agg((6 * i - 3) || '~' || (6 * i + 2) || ': ' || fs, chr(10) ORDER BY i) || chr(10) || (6 * m + 3) || ': END LOOP;') AS ls FROM f GROUP BY o, m)
 SELECT o || '.sql' AS file, 3 * i - 2 AS node_id, us AS summary, true AS ok FROM f UNION ALL SELECT o || '.sql', 3 * i - 1, ss, true FROM f UNION ALL SELECT o || '.sql', 3 * i, fs, true FROM f UNION ALL SELECT o || '.sql', 3 * m + 1, ls, true FROM l
+""",
+    "run_stream": """
+WITH e AS (SELECT user_id || '/' || strftime(ts, '%Y-%m-%d') AS run_id, event_id AS seq, CASE WHEN event_type = 'error' AND value > 50 THEN 'error' WHEN event_type = 'purchase' AND value > 80 THEN 'complete' WHEN event_type = 'signup' THEN 'phase_event' ELSE 'message' END AS type, event_type AS content, event_type = 'signup' AS asks, epoch_ms(ts) AS ms FROM events),
+a AS (SELECT *, CASE WHEN coalesce(bool_or(asks) OVER (PARTITION BY run_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) THEN 32400 ELSE 21600 END AS own, CASE WHEN bool_or(asks) OVER (PARTITION BY run_id ORDER BY seq) THEN 32400 ELSE 21600 END AS later, lag(ms) OVER (PARTITION BY run_id ORDER BY seq) AS before FROM e),
+b AS (SELECT *, coalesce(ms - before > 1000 * own, false) AS slow FROM a),
+c AS (SELECT * FROM (SELECT *, coalesce(bool_or(slow OR type IN ('error', 'complete')) OVER (PARTITION BY run_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS gone FROM b) WHERE NOT gone),
+p AS (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS no, seq, type, content FROM c WHERE NOT slow AND type <> 'complete'),
+l AS (SELECT run_id, max_by(type, seq) AS type, max_by(slow, seq) AS slow, max_by(own, seq) AS own, max_by(later, seq) AS later, max(ms) AS ms, count(*) FILTER (NOT slow AND type <> 'complete') AS n FROM c GROUP BY run_id),
+d AS (SELECT *, CASE WHEN slow THEN own WHEN type NOT IN ('error', 'complete') AND ms + 1000 * later < (SELECT max(ms) - 3600000 FROM e) THEN later END AS idle FROM l)
+SELECT run_id, no, seq, type, content FROM p UNION ALL SELECT run_id, n + 1, NULL, 'error', 'TimeoutError: ' || idle || ' s' FROM d WHERE idle IS NOT NULL
+UNION ALL SELECT run_id, n + CASE WHEN idle IS NULL THEN 1 ELSE 2 END, NULL, 'complete', NULL FROM d WHERE idle IS NOT NULL OR type IN ('error', 'complete')
 """,
 }

@@ -15,7 +15,7 @@ from .functions import text as N
 from .operators import batching, glossary, graph, reports, schema, search, trees, vectors
 from .plans import analyse, catalog, ddl, detect, fk, lineage, metadata, providers, summaries, waves
 from .sources.tables import shared_dir
-from .streaming import events
+from .streaming import events, runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -646,3 +646,14 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counts.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(written).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query
+def run_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's day as a run: its events in a stream, ended by large errors and purchases or by idle hours, each run once."""
+    kind = "CASE WHEN event_type = 'error' AND value > 50 THEN 'error' WHEN event_type = 'purchase' AND value > 80 THEN 'complete' WHEN event_type = 'signup' THEN 'phase_event' ELSE 'message' END"
+    e = _t(spark, sf_dir, "events").select(F.expr("concat(user_id, '/', date_format(ts, 'yyyy-MM-dd'))").alias("run_id"), F.col("event_id").alias("seq"), F.expr(kind).alias("type"), F.col("event_type").alias("content"), F.expr("CASE WHEN event_type = 'signup' THEN 2.0D END").alias("phase"), F.col("ts").cast("timestamp").alias("ts"))
+    folder = f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
+    e.write.parquet(f"{folder}/in")
+    runs.follow(spark.readStream.schema(e.schema).parquet(f"{folder}/in"), f"{folder}/out", f"{folder}/state", late="1 hour", idle=6 * 3600, idle_asking=9 * 3600).awaitTermination()
+    return spark.read.schema(runs.OUT).parquet(f"{folder}/out")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import threading
+import uuid
 from enum import Enum
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,21 +67,34 @@ class Stopped(Exception):
 
 
 class Control:
-    """Pause, resume and stop of a run on the driver; check() is called between phases and batches."""
+    """Pause, resume and stop of a run on the driver; check() is called between phases and batches.
+
+    Jobs that carry the tag (SparkContext.addJobTag) belong to the run: stop() ends them where a session is given.
+    """
 
     def __init__(self) -> None:
         self._go, self._stop, self.phase, self._progress = threading.Event(), False, Phase.IDLE, 0
+        self.tag = f"run-{uuid.uuid4().hex}"
         self._go.set()
 
+    @property
+    def stopped(self) -> bool:
+        return self._stop
+
+    def end_jobs(self, spark: SparkSession) -> None:
+        spark.sparkContext.cancelJobsWithTag(self.tag)
+
     def pause(self) -> None:
         self._go.clear()
 
     def resume(self) -> None:
         self._go.set()
 
-    def stop(self, query: StreamingQuery | None = None) -> None:
+    def stop(self, query: StreamingQuery | None = None, spark: SparkSession | None = None) -> None:
         self._stop = True
         self._go.set()
+        if spark is not None:
+            self.end_jobs(spark)
         if query is not None:
             query.stop()
 
