@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,15 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import cut, delete, drop, passing, shared_dir
 
-__all__ = ["components", "cut", "delete", "drop", "passing", "shared_dir", "slices", "slices_of_bytes", "table"]
+__all__ = ["components", "cut", "delete", "drop", "give_back", "passing", "shared_dir", "slices", "slices_of_bytes", "table"]
+
+
+def give_back() -> None:
+    """Gives freed memory of a Python worker back to the system: workers outlive their tasks, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
@@ -20,6 +29,8 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
+        del b
+        give_back()
 
 
 def slices_of_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
@@ -31,6 +42,8 @@ def slices_of_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int) -
             end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
             yield b.slice(at, end - at)
             at = end
+        del b
+        give_back()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
