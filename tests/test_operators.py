@@ -1,4 +1,5 @@
 import random
+from difflib import SequenceMatcher
 
 import pytest
 from hypothesis import given, settings
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from tracewright import fixtures as X
 from tracewright.functions import similarity as S
 from tracewright.functions import text as N
-from tracewright.operators import batching, glossary, graph, reports, schema, search, trees, vectors
+from tracewright.operators import batching, glossary, graph, reports, schema, search, similar, trees, vectors
 from tracewright.plans import ddl, detect, fk, lineage, providers
 
 ANY = st.text(alphabet="ab _c", max_size=8)
@@ -318,20 +319,72 @@ def test_search_hints(spark):
     values = spark.createDataFrame([("Seoul",), ("Busan",), (None,)], "v string")
     assert [tuple(r) for r in search.by_prefix(values, "seoulxyz", "v").collect()] == [("Seoul", "seoul")] and search.by_prefix(values, "zz", "v").count() == 0
     terms = spark.createDataFrame([("SEOUL",), ("Buzan",), ("x",)], "term string")
-    assert {tuple(r) for r in search.map_values(terms, values.select(F.col("v").alias("value"))).collect()} == {("SEOUL", "Seoul", "EXACT"), ("Buzan", "Busan", "SIMILAR")}
+    assert {tuple(r) for r in search.map_values(terms, values.select(F.col("v").alias("value"))).collect()} == {("SEOUL", "Seoul", "SIMILAR"), ("Buzan", "Busan", "SIMILAR")}
 
 
 def test_values_are_mapped_whatever_their_first_letter(spark):
     values = ["standard anodized tin", "small plated brass", "Xenon", "orders", "total_amount", "amount_total", "b", None]
     terms = ["xstandard anodized tin", "mall plated brass", "xtandard anodized tin", "rders", "Zenon", "amount total", "b", "c", ""]
     v, t = spark.createDataFrame([(x,) for x in values], "value string"), spark.createDataFrame([(x,) for x in terms], "term string")
-    got = {tuple(r) for r in search.map_values(t, v, S.levenshtein_similarity(F.col("term"), F.col("value"))).collect()}
+    got = {tuple(r) for r in search.map_values(t, v, measure=S.levenshtein_similarity(F.col("a"), F.col("b"))).collect()}
     similar = {("xstandard anodized tin", "standard anodized tin"), ("xtandard anodized tin", "standard anodized tin"), ("mall plated brass", "small plated brass"), ("rders", "orders"), ("Zenon", "Xenon"), ("amount total", "amount_total")}
     assert got == {(*x, "SIMILAR") for x in similar} | {("b", "b", "EXACT")}
-    # the other similarity against every pair
+    # matching blocks against every pair
+    ratio = lambda x, y: SequenceMatcher(None, x.lower(), y.lower()).ratio()
     want = {}
     for x in terms:
-        s = [(0.5 * S.indel(x.lower(), y.lower()) + 0.5 * S.weighted(x.lower(), y.lower()), y) for y in values if y]
-        if x != "b" and max(s)[0] >= search.VALUE:
-            want[x] = max(s)[1]
-    assert {(r.term, r.value) for r in search.map_values(t, v).where("kind = 'SIMILAR'").collect()} == set(want.items()) >= similar - {("Zenon", "Xenon")}
+        best = min((-ratio(x, y), y) for y in values if y)
+        if x != "b" and -best[0] >= search.VALUE:
+            want[x] = best[1]
+    assert {(r.term, r.value) for r in search.map_values(t, v).where("kind = 'SIMILAR'").collect()} == set(want.items()) >= {("Zenon", "Xenon"), ("rders", "orders")}
+
+
+def test_only_values_that_exist_are_kept(spark):
+    mapped = spark.createDataFrame([("t", "c", "x", 1), ("t", "c", "y", 2), ("t", "d", "x", 3)], "table_name string, column_name string, value string, i int")
+    stored = spark.createDataFrame([("t", "c", "x")] * 50 + [("t", "d", "z")], "table_name string, column_name string, value string")
+    kept, gone = search.existing(mapped, stored)
+    assert [r.i for r in kept.collect()] == [1] and sorted(r.i for r in gone.collect()) == [2, 3]
+
+
+@pytest.mark.parametrize(("t", "seed"), [(0.8, 1), (0.65, 2), (0.9, 3), (0.7, 4), (0.5, 5)])
+def test_similar_pairs_are_all_found(spark, t, seed):
+    r = random.Random(seed)
+    base = ["".join(r.choice("abcdé_1") for _ in range(r.choice((1, 1, 2, 2, 3, 4, 5, 8, 13, 30)))) for _ in range(60)]
+
+    def altered(x):
+        x = list(x)
+        for _ in range(r.choice((0, 1, 1, 2, 4))):
+            k = r.randrange(len(x) + 1)
+            x[k : k + r.randint(0, 1)] = r.choice(["", "a", "bb", "Z"])
+        return "".join(x)
+
+    left = sorted({altered(r.choice(base)) for _ in range(150)} | {"", "aaaaaaaaaaaaaaaa", "AB"})
+    right = sorted({altered(r.choice(base)).upper() for _ in range(150)} | {"", "aaaaaaaaaaaa", "ab"})
+    a, b = spark.createDataFrame([(x,) for x in [*left, None, left[5]]], "a string"), spark.createDataFrame([(x,) for x in [*right, None]], "b string")
+    ratio = lambda x, y: SequenceMatcher(None, x.lower(), y.lower()).ratio()
+    want = {(x, y) for x in left for y in right if x and y and ratio(x, y) >= t}
+    assert {(p.a, p.b) for p in similar.similar(a, b, t).collect()} == want and want
+    near = {(p.a, p.b) for p in similar.candidates(a, b, t).collect()}
+    assert {(x, y) for x in left for y in right if x and y and S.indel(x.lower(), y.lower()) >= t} <= near
+
+
+def test_candidates_of_part_names_are_few(spark, sf):
+    names = spark.read.parquet(f"{sf}/part.parquet").select("p_name").distinct()
+    texts = [x.p_name for x in names.collect() if x.p_name]
+    terms = [x[1:] + "x" for x in texts]
+    a, b = spark.createDataFrame([(x,) for x in terms], "a string"), names.withColumnRenamed("p_name", "b")
+    ratio = lambda x, y: SequenceMatcher(None, x.lower(), y.lower()).ratio()
+    want = {(x, y) for x in terms for y in texts if ratio(x, y) >= 0.8}
+    assert {(p.a, p.b) for p in similar.similar(a, b, 0.8).collect()} == want
+    assert len(want) <= similar.candidates(a, b, 0.8).count() < len(terms) * len(texts) / 4
+
+
+def test_similar_column_names_are_those_of_all_pairs(spark):
+    names = ["id", "ID", "user_id", "userid", "user id", "created_at", "created", "updated_at", "o_custkey", "c_custkey", "custkey", "customer_key", "x", "xy", "name", "full name", "name full", "amount_total", "total_amount", ""]
+    columns = spark.createDataFrame([("s", f"t{i % 5}", n, "int") for i, n in enumerate(names)] + [("s", "t9", "id", "bigint")], "schema_name string, table_name string, column_name string, data_type string")
+    rows = [tuple(x) for x in columns.collect()]
+    score = lambda x, y: 0.5 * S.indel(x.lower(), y.lower()) + 0.5 * S.weighted(x.lower(), y.lower())
+    for threshold in (0.8, 0.7, 0.6):
+        want = {(x[1], x[2], y[1], y[2]) for x in rows for y in rows if x[1] < y[1] and x[2] and y[2] and score(x[2], y[2]) >= threshold}
+        got = {(x.from_table_name, x.from_column_name, x.to_table_name, x.to_column_name) for x in fk.candidates(columns, threshold=threshold).collect()}
+        assert got == want

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.similarity import name_similarity
+from . import similar
 
 #: Shortest prefix tried, weights of past questions, and the scores that reuse or adapt one.
 SHORTEST, WEIGHTS, REUSE, ADAPT = 2, (0.5, 0.3, 0.2), 0.9, 0.7
@@ -51,22 +51,25 @@ def error_hints(message: Column) -> Column:
     return F.filter(F.array(missing, F.when(meant != "", F.concat(meant, F.lit("."), column)).otherwise("")), lambda x: x != "")
 
 
-def map_values(terms: DataFrame, values: DataFrame, similarity: Column | None = None, least: float = VALUE) -> DataFrame:
-    """(term, value, kind): each term's stored value: an equal one (case ignored), else the most similar of all.
+def map_values(terms: DataFrame, values: DataFrame, least: float = VALUE, measure: Column | None = None, bound: float | None = None) -> DataFrame:
+    """(term, value, kind): each term's stored value: the equal one, else the most similar of all, the least of several.
 
-    Half of name_similarity is at most 0.5 and its other half the insert-delete similarity, so that one is 2 * least - 1 or
-    more; this bounds the shorter length, and levenshtein_similarity is bounded closer. Terms meet the values whose lengths
-    are within the bound, no others; least must be over 0.5. Work grows with the pairs of distinct terms and values of like length.
+    Similarity is the share of letters in matching blocks, case ignored, unless measure (over a, the term, and b, the value)
+    and its bound are given, see similar.similar(). Terms without a similar value have no row.
     """
-    if least <= 0.5:
-        raise ValueError("least must be over 0.5")
     v = values.select("value").where(F.col("value").isNotNull()).distinct()
-    exact = terms.join(v, F.lower("term") == F.lower("value")).groupBy("term").agg(F.min("value").alias("value")).withColumn("kind", F.lit("EXACT"))
-    rest = terms.select("term").distinct().join(exact, "term", "left_anti")
-    share = (2 * least - 1) / (3 - 2 * least)  # of the longer length
-    n = F.length(F.lower("term"))
-    near = rest.withColumn("n", F.explode(F.sequence(F.floor(n * share - 1e-9), F.ceil(n / share + 1e-9))))
-    near = near.join(v.withColumn("size", F.length(F.lower("value"))), F.col("n") == F.col("size"))
-    score = similarity if similarity is not None else name_similarity("term", "value")
-    near = near.withColumn("s", score).where(F.col("s") >= least).groupBy("term").agg(F.max(F.struct("s", "value")).alias("b")).select("term", F.col("b.value").alias("value"), F.lit("SIMILAR").alias("kind"))
-    return exact.unionByName(near)
+    exact = terms.select("term").distinct().join(v, F.col("term") == F.col("value")).select("term", "value", F.lit("EXACT").alias("kind"))
+    rest = terms.select("term").where("term IS NOT NULL").distinct().join(exact, "term", "left_anti")
+    near = similar.similar(rest.select(F.col("term").alias("a")), v.select(F.col("value").alias("b")), least, measure, bound)
+    best = near.groupBy("a").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "b")).alias("x"))
+    return exact.unionByName(best.select(F.col("a").alias("term"), F.col("x.b").alias("value"), F.lit("SIMILAR").alias("kind")))
+
+
+def existing(mapped: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(mappings whose value stands in its column, the others). mapped: table_name, column_name, value and more; stored: those three.
+
+    A column has any number of equal values; a mapping is checked against the different ones.
+    """
+    at = ["table_name", "column_name", "value"]
+    have = stored.select(*at).distinct()
+    return mapped.join(have, at, "left_semi"), mapped.join(have, at, "left_anti")

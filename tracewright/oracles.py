@@ -214,8 +214,8 @@ s AS (SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), C
     "ranked_tables": f"WITH i AS (SELECT t, ln(1 + 2 * sum(i) + sum(o)) AS imp FROM (SELECT from_table AS t, 1 AS o, 0 AS i FROM {_KEYS} UNION ALL SELECT to_table, 0, 1 FROM {_KEYS}) GROUP BY t), n AS (SELECT DISTINCT from_table AS t FROM {_KEYS} UNION SELECT 'alone') SELECT n.t AS table_name, round(2 * (length(n.t) / 10 * coalesce(imp, 0)) / (length(n.t) / 10 + coalesce(imp, 0) + 1e-9), 4) AS score FROM n LEFT JOIN i ON i.t = n.t",
     "past_questions": "WITH c AS (SELECT p_partkey, 0.5::DOUBLE * (p_size / 50) + 0.3::DOUBLE * (p_partkey % 11 / 10) + 0.2::DOUBLE * (p_partkey % 3 / 2) AS s FROM part ORDER BY p_size DESC NULLS LAST, p_partkey LIMIT 50) SELECT p_partkey, round(s, 4) AS final_score, CAST(rank() OVER (ORDER BY s DESC) AS INT) AS rank, CASE WHEN s > 0.9 THEN 'IMMEDIATE_TEMPLATE_REUSE' WHEN s > 0.7 THEN 'ADAPT_TEMPLATE' ELSE 'GENERATE_NEW' END AS action FROM c",
     "mapped_values": """WITH t AS (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN upper(p_type) ELSE p_type || 'x' END AS term FROM part), v AS (SELECT DISTINCT p_type AS value FROM part WHERE p_type IS NOT NULL),
-e AS (SELECT term, min(value) AS value, 'EXACT' AS kind FROM t JOIN v ON lower(term) = lower(value) GROUP BY term), n AS (SELECT term, value, 1 - levenshtein(lower(term), lower(value)) / greatest(length(term), length(value)) AS s FROM t JOIN v ON lower(term[1]) = lower(value[1]) WHERE term NOT IN (SELECT term FROM e))
-SELECT * FROM e UNION ALL SELECT term, max({'s': s, 'value': value}).value, 'SIMILAR' FROM n WHERE s >= 0.8 GROUP BY term""",
+e AS (SELECT term, value, 'EXACT' AS kind FROM t JOIN v ON term = value), n AS (SELECT term, value, 1 - levenshtein(lower(term), lower(value)) / greatest(length(term), length(value)) AS s FROM t, v WHERE term NOT IN (SELECT term FROM e))
+SELECT * FROM e UNION ALL SELECT term, min({'s': -s, 'value': value}).value, 'SIMILAR' FROM n WHERE s >= 0.8 GROUP BY term""",
     "glossary_list": f"SELECT glossary_id, name, coalesce(type, 'Business') AS type, (SELECT count(*) FROM {_TERMS} WHERE t.glossary_id = g.glossary_id) AS term_count FROM {V(X.GLOSSARIES, 'glossary_id', 'name', 'type')} g",
     "glossary_terms": f"SELECT term_id, name, coalesce(status, 'Draft') AS status, {_linked('BELONGS_TO_DOMAIN')} AS domains, {_linked('OWNED_BY')} AS owners, {_linked('HAS_TAG')} AS tags FROM {_TERMS}",
     "star_register": f"SELECT 'sales' AS cube_name, from_table, from_column, to_table, to_column FROM {_KEYS}",

@@ -13,32 +13,38 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions.similarity import name_similarity, types_compatible
+from ..operators import similar
 from ..sources.tables import cut
 
 THRESHOLD, SAMPLE, MATCH = 0.8, 25, 0.8
 _KEY = ("schema_name", "table_name", "column_name")
 
 
-def _pairs(columns: DataFrame, both_ways: bool) -> DataFrame:
-    a = columns.select(*(F.col(c).alias(f"from_{c}") for c in (*_KEY, "data_type")))
-    b = columns.select(*(F.col(c).alias(f"to_{c}") for c in (*_KEY, "data_type")))
-    earlier = F.struct("from_schema_name", "from_table_name") < F.struct("to_schema_name", "to_table_name")
-    other = (F.col("from_schema_name") != F.col("to_schema_name")) | (F.col("from_table_name") != F.col("to_table_name"))
-    # A catalogue has as many rows as columns exist, not as data; pairs of its rows are what is asked for.
-    return a.join(b, (other if both_ways else earlier) & types_compatible(F.col("from_data_type"), F.col("to_data_type")))
+#: Least insert-delete similarity of names that have the threshold: the other half of the measure is at most 0.95 unless
+#: the names are all but equal, and less where their lengths differ much.
+_BOUND = lambda threshold: max(0.05, min(2 * threshold - 0.95, threshold))
 
 
 def candidates(columns: DataFrame, existing: DataFrame | None = None, threshold: float = THRESHOLD, similarity: Column | None = None, both_ways: bool = False) -> DataFrame:
     """Column pairs of different tables with compatible types and similar names, the best first.
 
-    existing: known keys with the same from_/to_ columns, which are left out.
+    existing: known keys with the same from_/to_ columns, which are left out. similarity: a measure over a and b, two names; it
+    may not be above the insert-delete similarity. Different names are compared, each pair once, then columns are
+    looked up by name. Names that are empty have no pairs.
     """
-    pairs = _pairs(columns, both_ways)
-    score = similarity if similarity is not None else name_similarity("from_column_name", "to_column_name")
-    found = pairs.withColumn("similarity", score).where(F.col("similarity") >= threshold)
+    names = columns.select(F.col("column_name").alias("a")).distinct()
+    bound, score = (_BOUND(threshold), name_similarity("a", "b")) if similarity is None else (threshold, similarity)
+    near = cut(similar.similar(names, names.withColumnRenamed("a", "b"), threshold, score, bound), "names")
+    a = columns.select(*(F.col(c).alias(f"from_{c}") for c in (*_KEY, "data_type")))
+    b = columns.select(*(F.col(c).alias(f"to_{c}") for c in (*_KEY, "data_type")))
+    earlier = F.struct("from_schema_name", "from_table_name") < F.struct("to_schema_name", "to_table_name")
+    other = (F.col("from_schema_name") != F.col("to_schema_name")) | (F.col("from_table_name") != F.col("to_table_name"))
+    found = a.join(near, F.col("from_column_name") == F.col("a")).join(b, (F.col("to_column_name") == F.col("b")) & (other if both_ways else earlier))
+    found = found.where(types_compatible(F.col("from_data_type"), F.col("to_data_type"))).drop("a", "b")
     if existing is not None:
         found = found.join(existing, [f"{side}_{c}" for side in ("from", "to") for c in _KEY], "left_anti")
-    return found.orderBy(F.desc("similarity"), *(f"{side}_{c}" for side in ("from", "to") for c in _KEY))
+    rest = [f"{side}_{c}" for side in ("from", "to") for c in (*_KEY, "data_type")]
+    return found.select(*rest, "similarity").orderBy(F.desc("similarity"), *(f"{side}_{c}" for side in ("from", "to") for c in _KEY))
 
 
 def _is_number(df: DataFrame, column: str) -> bool:
@@ -80,11 +86,40 @@ def _by_table(wanted: list[tuple[str, str]]) -> list[tuple[str, list[str]]]:
     return list(names.items())
 
 
-def values(tables: dict[str, DataFrame], wanted: list[tuple[str, str]]) -> DataFrame:
-    """(table_name, column_name, family, value): the non-null values of each wanted column, repeated ones too; one scan a table."""
-    value = lambda df, c: F.struct(F.lit(c).alias("column_name"), F.lit("number" if _is_number(df, c) else "text").alias("family"), _comparable(df, c).cast("string").alias("value"))
-    parts = [tables[t].select(F.lit(t).alias("table_name"), F.explode(F.array(*(value(tables[t], c) for c in cs))).alias("v")).select("table_name", "v.*") for t, cs in _by_table(wanted)]
-    return reduce(DataFrame.unionByName, parts).where(F.col("value").isNotNull())
+#: Asked values of a column up to which its rows are filtered by a set of them; beyond, a join alone does it.
+IN_SET = 10_000
+
+
+def values(tables: dict[str, DataFrame], asked: dict[tuple[str, str], tuple[list[float], list[str]] | None]) -> DataFrame:
+    """(table_name, column_name, family, value): the different non-null values of each column that are among the asked ones.
+
+    asked: per (table, column) the numbers and texts in question, None for any. One scan a table; a row gives only the
+    values that are asked for, so hardly any row leaves the scan.
+    """
+
+    def value(df: DataFrame, t: str, c: str) -> Column:
+        number, want = _is_number(df, c), asked[t, c]
+        v = _comparable(df, c)
+        some = F.lit(True) if want is None else v.isin(*want[0 if number else 1]) if want[0 if number else 1] else F.lit(False)
+        return F.when(v.isNotNull() & some, F.struct(F.lit(c).alias("column_name"), F.lit("number" if number else "text").alias("family"), v.cast("string").alias("value")))
+
+    parts = []
+    for t, cs in _by_table(list(asked)):
+        each = F.filter(F.array(*(value(tables[t], t, c) for c in cs)), lambda x: x.isNotNull())
+        parts.append(tables[t].select(F.lit(t).alias("table_name"), F.explode(each).alias("v")).select("table_name", "v.*"))
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
+def _asked(asked: DataFrame, targets: list[tuple[str, str]]) -> dict[tuple[str, str], tuple[list[float], list[str]] | None]:
+    """What values() filters each target column by: the asked values if they are few. asked has a sample's values a pair of columns."""
+    few = asked.groupBy("at", "ac").agg(F.when(F.count("*") <= IN_SET, F.lit(True)).alias("few")).where("few")
+    held: dict[tuple[str, str], tuple[list[float], list[str]] | None] = dict.fromkeys(targets)
+    rows = asked.join(few, ["at", "ac"]).toLocalIterator()  # at most columns in question times the sample
+    for k in few.collect():
+        held[k.at, k.ac] = ([], [])
+    for r in rows:
+        held[r.at, r.ac][0 if r.af == "number" else 1].append(float(r.av) if r.af == "number" else r.av)
+    return held
 
 
 def verify(found: DataFrame, tables: dict[str, DataFrame], sample: int = SAMPLE, least: float = MATCH) -> DataFrame:
@@ -105,7 +140,7 @@ def verify(found: DataFrame, tables: dict[str, DataFrame], sample: int = SAMPLE,
     # As many rows as pairs of columns times the sample; written, so that the planner knows its size. The target side
     # keeps only rows that are asked for, before it is shuffled.
     asked = cut(probe.select(F.col("to_table_name").alias("at"), F.col("to_column_name").alias("ac"), F.col("family").alias("af"), F.col("value").alias("av")).distinct(), "asked")
-    target = values(tables, targets)
+    target = values(tables, {k: v for k, v in _asked(asked, targets).items() if k in set(targets)})
     target = target.join(asked, (F.col("table_name") == F.col("at")) & (F.col("column_name") == F.col("ac")) & (F.col("family") == F.col("af")) & (F.col("value") == F.col("av")), "left_semi").distinct()
     target = target.select(F.col("table_name").alias("tt"), F.col("column_name").alias("tc"), F.col("family").alias("tf"), F.col("value").alias("tv"))
     hit = probe.join(target, (F.col("to_table_name") == F.col("tt")) & (F.col("to_column_name") == F.col("tc")) & (F.col("family") == F.col("tf")) & (F.col("value") == F.col("tv")), "left")

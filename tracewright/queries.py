@@ -54,14 +54,14 @@ def fk_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def fk_candidates_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = catalog.columns(catalog.load(spark, sf_dir, STAR))
-    found = fk.candidates(columns, similarity=S.levenshtein_similarity(F.col("from_column_name"), F.col("to_column_name")))
+    found = fk.candidates(columns, similarity=S.levenshtein_similarity(F.col("a"), F.col("b")))
     return found.select("from_table_name", "from_column_name", "to_table_name", "to_column_name", F.round("similarity", 4).alias("similarity"))
 
 
 def _verified(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = catalog.load(spark, sf_dir, (*STAR, "documents", "labels"))
     columns = catalog.columns(tables).where("column_name LIKE '%key' OR column_name = 'doc_id'")
-    return fk.verify(fk.candidates(columns, similarity=S.levenshtein_similarity(F.col("from_column_name"), F.col("to_column_name")), threshold=0.7, both_ways=True), tables)
+    return fk.verify(fk.candidates(columns, similarity=S.levenshtein_similarity(F.col("a"), F.col("b")), threshold=0.7, both_ways=True), tables)
 
 
 @query
@@ -73,7 +73,7 @@ def fk_verify_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fk_existing_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = catalog.columns(catalog.load(spark, sf_dir, STAR))
     known = _keys(spark).select(F.lit("public").alias("from_schema_name"), F.col("from_table").alias("from_table_name"), F.col("from_column").alias("from_column_name"), F.lit("public").alias("to_schema_name"), F.col("to_table").alias("to_table_name"), F.col("to_column").alias("to_column_name"))
-    found = fk.candidates(columns, known, similarity=S.levenshtein_similarity(F.col("from_column_name"), F.col("to_column_name")), both_ways=True)
+    found = fk.candidates(columns, known, similarity=S.levenshtein_similarity(F.col("a"), F.col("b")), both_ways=True)
     return found.select("from_table_name", "from_column_name", "to_table_name", "to_column_name")
 
 
@@ -577,7 +577,17 @@ def past_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mapped_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = _t(spark, sf_dir, "part").select(F.when(F.col("p_partkey") % 2 == 0, F.upper("p_type")).otherwise(F.concat("p_type", F.lit("x"))).alias("term")).distinct()
     values = _t(spark, sf_dir, "part").select(F.col("p_type").alias("value"))
-    return search.map_values(terms, values, S.levenshtein_similarity(F.col("term"), F.col("value")))
+    return search.map_values(terms, values, measure=S.levenshtein_similarity(F.col("a"), F.col("b")))
+
+
+@query
+def mapped_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Misspelt names of parts, mapped by letters in matching blocks, and only those whose value stands in the column."""
+    part = _t(spark, sf_dir, "part")
+    terms = part.select(F.expr("CASE p_partkey % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN concat(p_name, 'x') WHEN 2 THEN substring(p_name, 2) ELSE reverse(p_name) END").alias("term"))
+    found = search.map_values(terms, part.select(F.col("p_name").alias("value")))
+    at = lambda df: df.withColumns({"table_name": F.lit("part"), "column_name": F.lit("p_name")})
+    return search.existing(at(found), at(part.where("p_size > 5").select(F.col("p_name").alias("value"))))[0].select("term", "value", "kind")
 
 
 # Glossary, stars, reports, events
