@@ -321,3 +321,25 @@ def test_the_quantisation_bound_holds():
     y /= np.linalg.norm(y, axis=1, keepdims=True)
     i, j, again = vectors.tile_links(x, y)
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(*(k.tolist() for k in np.nonzero(x @ y.T >= 0.98)), strict=True)) and 0 < again < x.shape[0] * 20
+
+
+def test_what_meets_other_blocks_is_int8(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 20)
+    seen = []
+    keep = vectors.cut
+    monkeypatch.setattr(vectors, "cut", lambda df, name, **k: (seen.append((name, dict(df.dtypes))), keep(df, name, **k))[1])
+    r = np.random.default_rng(5)
+    base = r.normal(size=(6, 40))
+    rows = [(i, [float(x) for x in base[i % 6] + r.normal(size=40) * r.choice([0.02, 0.1, 0.14])], i % 2) for i in range(160)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {(x.vec_id, x.n_links, x.component_id) for x in vectors.near_duplicates(df).collect()}
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v, _ in rows}
+    links = {i: [j for j, _, m in rows if j != i and m == k and unit[i] @ unit[j] >= 0.98] for i, _, k in rows}
+    parent = {i: i for i in links}
+    for i, js in links.items():
+        for j in js:
+            a, b = brute.find(parent, i), brute.find(parent, j)
+            parent[max(a, b)] = min(a, b)
+    assert got == {(i, len(js), brute.find(parent, i)) for i, js in links.items()} and sum(map(len, links.values())) > 100
+    small = dict(seen)["quantised"]
+    assert small["q"] == "binary" and "vectors" not in small and "vectors" not in dict(seen)["tiles"]

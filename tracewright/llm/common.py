@@ -42,8 +42,6 @@ def slices_of_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int) -
             end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
             yield b.slice(at, end - at)
             at = end
-        del b
-        give_back()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

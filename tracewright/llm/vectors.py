@@ -1,9 +1,11 @@
 """Embedding near-dedup: int8 tile products with rigorous quantisation error bounds.
 
-Vectors of one label are dealt into blocks, equal ones collapsed before. Each pair of blocks is a tile: the product of
-the int8 vectors (exact, as sums of small integers in float32) plus a bound made from the true norms of both quantisation
-errors tells which pairs may reach the threshold; only those are recomputed in double precision. A tile returns counts of
-links and a spanning forest of its links, so its output is no larger than its blocks however many pairs link.
+Vectors of one label are dealt into blocks, equal ones collapsed before. A block is quantised once, when it is made: what
+meets other blocks are int8 vectors, a scale and the true norm of the quantisation error of each, an eighth of the vectors
+themselves. Each pair of blocks is a tile: the product of the int8 vectors (exact, as sums of small integers in float32)
+plus a bound made from both errors tells which pairs may reach the threshold. Pairs that surely do are links; a tile
+returns counts of them and a spanning forest, no larger than its blocks however many pairs link. Doubtful pairs alone
+get the full vectors of their tile's blocks, a second time over the tiles that have any, and are recomputed in double precision.
 """
 
 from __future__ import annotations
@@ -25,20 +27,22 @@ AT_ONCE, EXACT_DIMS = 1 << 18, 1040
 ROUNDING = 1e-9
 
 
-def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+Quantised = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def quantised(x: np.ndarray) -> Quantised:
     """(q, scale, error): unit vectors as scale * q, q of int8 range, and the norm of what that leaves out."""
     scale = np.abs(x).max(1) / 127
     q = np.rint(x / scale[:, None])
-    return q.astype(np.float32), scale, np.linalg.norm(x - q * scale[:, None], axis=1)
+    return q.astype(np.int8), scale, np.linalg.norm(x - q * scale[:, None], axis=1)
 
 
-def tile_links(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, int]:
-    """(i, j, recomputed): the pairs of rows of a and b with a cosine of at least threshold. Rows are unit vectors."""
-    if not len(a) or not len(b):
-        return np.empty(0, np.int64), np.empty(0, np.int64), 0
-    qa, sa, ea = quantised(a)
-    qb, sb, eb = quantised(b)
-    product = sum((qa[:, k : k + EXACT_DIMS] @ qb[:, k : k + EXACT_DIMS].T for k in range(EXACT_DIMS, a.shape[1], EXACT_DIMS)), (qa[:, :EXACT_DIMS] @ qb[:, :EXACT_DIMS].T).astype(np.float64 if a.shape[1] > EXACT_DIMS else np.float32))
+def judged(a: Quantised, b: Quantised, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, sure): the pairs of rows of a and b that may reach the threshold, and whether they surely do."""
+    (qa, sa, ea), (qb, sb, eb) = ((x[0].astype(np.float32), *x[1:]) for x in (a, b))
+    if not len(qa) or not len(qb):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+    product = sum((qa[:, k : k + EXACT_DIMS] @ qb[:, k : k + EXACT_DIMS].T for k in range(EXACT_DIMS, qa.shape[1], EXACT_DIMS)), (qa[:, :EXACT_DIMS] @ qb[:, :EXACT_DIMS].T).astype(np.float64 if qa.shape[1] > EXACT_DIMS else np.float32))
     # |u.v - su sv qu.qv| <= eu (1 + ev) + ev (1 + eu) + eu ev, as |s q| <= 1 + e. First a cheap test by row, then the pair's own.
     most = float(eb.max())
     least = (threshold - ROUNDING - (ea * (1 + most) + most * (1 + ea) + ea * most)) / (sa * float(sb.max()))
@@ -46,12 +50,24 @@ def tile_links(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> tu
     about = product[i, j].astype(np.float64) * sa[i] * sb[j]
     slack = ea[i] * (1 + eb[j]) + eb[j] * (1 + ea[i]) + ea[i] * eb[j] + ROUNDING
     at = about + slack >= threshold
-    i, j, sure = i[at], j[at], (about - slack >= threshold)[at]
-    keep = sure.copy()
-    doubtful = np.flatnonzero(~sure)
-    for k in range(0, len(doubtful), AT_ONCE):
-        d = doubtful[k : k + AT_ONCE]
-        keep[d] = np.einsum("nd,nd->n", a[i[d]], b[j[d]]) >= threshold
+    return i[at], j[at], (about - slack >= threshold)[at]
+
+
+def exact(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """Which of the pairs of unit vectors a[i], b[j] reach the threshold, in double precision."""
+    out = np.zeros(len(i), bool)
+    for k in range(0, len(i), AT_ONCE):
+        out[k : k + AT_ONCE] = np.einsum("nd,nd->n", a[i[k : k + AT_ONCE]], b[j[k : k + AT_ONCE]]) >= threshold
+    return out
+
+
+def tile_links(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, int]:
+    """(i, j, recomputed): the pairs of rows of a and b with a cosine of at least threshold. Rows are unit vectors."""
+    if not len(a) or not len(b):
+        return np.empty(0, np.int64), np.empty(0, np.int64), 0
+    i, j, sure = judged(quantised(a), quantised(b), threshold)
+    keep, doubtful = sure.copy(), np.flatnonzero(~sure)
+    keep[doubtful] = exact(a, b, i[doubtful], j[doubtful], threshold)
     return i[keep], j[keep], len(doubtful)
 
 
@@ -72,25 +88,61 @@ def forest(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return label
 
 
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def block(ids, copies, vectors):
-        x = np.array(vectors, np.float64).reshape(len(ids), -1)
-        return np.array(ids, np.int64), np.array(copies, np.int64), x / np.linalg.norm(x / np.abs(x).max(1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(1, keepdims=True)
+def unit(vectors: np.ndarray) -> np.ndarray:
+    """The vectors with length 1, whatever their range."""
+    x = vectors / np.abs(vectors).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _quantised_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in batches:
+        for r in range(rows.num_rows):
+            n = len(rows.column("ids")[r])
+            q, scale, error = quantised(unit(rows.column("vectors")[r].values.to_numpy().reshape(n, -1)))
+            made = [pa.array([q.tobytes()], pa.binary()), *(pa.array([x], pa.list_(pa.float64())) for x in (scale, error))]
+            yield pa.RecordBatch.from_arrays([*(rows.column(c).slice(r, 1) for c in ("label", "dim", "blocks", "block", "ids", "copies")), *made], names=["label", "dim", "blocks", "block", "ids", "copies", "q", "scale", "error"])
+
 
+def _linked(ia: np.ndarray, ca: np.ndarray, ib: np.ndarray, cb: np.ndarray, u: np.ndarray, v: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(at, links, root) of the rows that links between u of a and v of b give: their number for each node, and a forest."""
+    n_a, n_b = np.bincount(u, cb[v], len(ia)).astype(np.int64), np.bincount(v, ca[u], len(ib)).astype(np.int64)
+    ids, links = (ia, n_a + n_b) if same else (np.concatenate([ia, ib]), np.concatenate([n_a, n_b]))
+    root = forest(len(ids), u, v if same else v + len(ia))
+    at = links > 0
+    return ids[at], links[at], ids[root[at]]
+
+
+_FOUND = "label string, dim int, i int, j int, at array<long>, links array<long>, root array<long>, u array<int>, v array<int>"
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each tile: what its sure links give, and its doubtful pairs."""
+    schema = pa.schema([("label", pa.string()), ("dim", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), *((c, pa.list_(pa.int64())) for c in ("at", "links", "root")), *((c, pa.list_(pa.int32())) for c in ("u", "v"))])
+    for rows in batches:
+        for r in range(rows.num_rows):
+            get = lambda c: np.asarray(rows.column(c)[r].values)  # noqa: B023, E731
+            i, j = rows.column("i")[r].as_py(), rows.column("j")[r].as_py()
+            a, b = ((np.frombuffer(rows.column(f"{x}_q")[r].as_buffer(), np.int8).reshape(len(get(f"{x}_ids")), -1), get(f"{x}_scale"), get(f"{x}_error")) for x in "ab")
+            u, v, sure = judged(a, b)
+            if i == j:
+                once = u < v
+                u, v, sure = u[once], v[once], sure[once]
+            at, links, root = _linked(get("a_ids"), get("a_copies"), get("b_ids"), get("b_copies"), u[sure], v[sure], i == j)
+            values = [rows.column("label")[r].as_py(), rows.column("dim")[r].as_py(), i, j, at, links, root, u[~sure], v[~sure]]
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(values, schema, strict=True)], schema=schema)
+
+
+def _recomputed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the doubtful pairs of tiles give, from the full vectors."""
     for rows in batches:
-        for r in rows.to_pylist():
-            ia, ca, xa = block(r["a_ids"], r["a_copies"], r["a_vectors"])
-            same = r["i"] == r["j"]
-            ib, cb, xb = (ia, ca, xa) if same else block(r["b_ids"], r["b_copies"], r["b_vectors"])
-            u, v, _ = tile_links(xa, xb)
-            if same:
-                u, v = u[u < v], v[u < v]
-            n_a = np.bincount(u, cb[v], len(ia)).astype(np.int64)
-            n_b = np.bincount(v, ca[u], len(ib)).astype(np.int64)
-            ids, links = (ia, n_a + n_b) if same else (np.concatenate([ia, ib]), np.concatenate([n_a, n_b]))
-            root = forest(len(ids), u, v if same else v + len(ia))
-            at = links > 0
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(links[at]), pa.array(ids[root[at]])], names=["at", "links", "root"])
+        for r in range(rows.num_rows):
+            get = lambda c: np.asarray(rows.column(c)[r].values)  # noqa: B023, E731
+            a, b = (unit(get(f"{x}_vectors").reshape(len(get(f"{x}_ids")), -1)) for x in "ab")
+            u, v = get("u"), get("v")
+            keep = exact(a, b, u, v)
+            same = rows.column("i")[r].as_py() == rows.column("j")[r].as_py()
+            found = _linked(get("a_ids"), get("a_copies"), get("b_ids"), get("b_copies"), u[keep], v[keep], same)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["at", "links", "root"])
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
@@ -112,11 +164,18 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     dealt = different.join(blocks, ["label", "dim"]).withColumn("block", F.pmod("node", F.col("blocks")).cast("int"))
     # a block holds about BLOCK vectors, whatever the label's share
     packed = dealt.groupBy("label", "dim", "blocks", "block").agg(F.sort_array(F.collect_list(F.struct("node", "copies", "embedding"))).alias("x"))
-    packed = cut(packed.select("label", "dim", "blocks", "block", F.col("x.node").alias("ids"), F.col("x.copies").alias("copies"), F.flatten("x.embedding").alias("vectors")), "blocks")
-    left = packed.select("label", "dim", F.col("block").alias("i"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("j"), *(F.col(c).alias(f"a_{c}") for c in ("ids", "copies", "vectors")))
-    right = packed.select("label", "dim", F.col("block").alias("j"), *(F.col(c).alias(f"b_{c}") for c in ("ids", "copies", "vectors")))
-    tiles = left.join(right, ["label", "dim", "j"]).select("i", "j", "a_ids", "a_copies", "a_vectors", "b_ids", "b_copies", "b_vectors")
-    found = cut(tiles.mapInArrow(_tiles, "at long, links long, root long"), "links")
+    packed = cut(packed.select(F.to_json(F.struct("label")).alias("label"), "dim", "blocks", "block", F.col("x.node").alias("ids"), F.col("x.copies").alias("copies"), F.flatten("x.embedding").alias("vectors")), "blocks")
+    small = packed.mapInArrow(_quantised_blocks, "label string, dim int, blocks int, block int, ids array<long>, copies array<long>, q binary, scale array<double>, error array<double>")
+    small = cut(small, "quantised")
+    part = ("ids", "copies", "q", "scale", "error")
+    left = small.select("label", "dim", F.col("block").alias("i"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("j"), *(F.col(c).alias(f"a_{c}") for c in part))
+    right = small.select("label", "dim", F.col("block").alias("j"), *(F.col(c).alias(f"b_{c}") for c in part))
+    tiles = cut(left.join(right, ["label", "dim", "j"]).mapInArrow(_tiles, _FOUND), "tiles")
+    sure = tiles.select(F.explode(F.arrays_zip("at", "links", "root")).alias("x")).select("x.at", "x.links", "x.root")
+    doubtful = tiles.where("size(u) > 0").select("label", "dim", "i", "j", "u", "v")
+    full = lambda x, c: packed.select("label", "dim", F.col("block").alias(c), *(F.col(y).alias(f"{x}_{y}") for y in ("ids", "copies", "vectors")))
+    both = doubtful.join(full("a", "i"), ["label", "dim", "i"]).join(full("b", "j"), ["label", "dim", "j"])
+    found = cut(sure.union(both.mapInArrow(_recomputed, "at long, links long, root long")), "links")
     links = found.groupBy("at").agg(F.sum("links").alias("links"))
     named = components(found.select("at", "root"), "at", "root").select(F.col("node").alias("of"), "component")
     reps = different.select("label", "eh", "rep", "copies", "node").join(links, F.col("node") == F.col("at"), "left").join(named, F.col("node") == F.col("of"), "left")
