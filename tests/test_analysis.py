@@ -55,3 +55,14 @@ def test_inferred_keys_of_the_smallest_tables(spark, sf):
         ("lineitem", "l_suppkey", "supplier", "s_suppkey", 10, 1.0), ("nation", "n_regionkey", "region", "r_regionkey", 5, 1.0), ("lineitem", "l_orderkey", "orders", "o_orderkey", 25, 1.0),
         ("lineitem", "l_partkey", "part", "p_partkey", 25, 1.0), ("customer", "c_nationkey", "nation", "n_nationkey", 25, 1.0), ("customer", "c_custkey", "orders", "o_custkey", 25, 1.0),
     }
+
+
+def test_a_table_whose_file_is_gone_is_named_and_the_rest_filled(spark, tmp_path):
+    for name in ("good", "lost"):
+        spark.createDataFrame([(1,), (3,)], "x int").coalesce(1).write.parquet(str(tmp_path / name))
+    read = {name: spark.read.schema("x int").parquet(str(tmp_path / name)) for name in ("good", "lost")}
+    for f in (tmp_path / "lost").glob("*.parquet"):
+        f.unlink()
+    columns = spark.createDataFrame([("good", "x", "", "ddl"), ("lost", "x", "", "ddl")], "table_name string, column_name string, description string, description_source string")
+    out, failed = metadata.fill(columns, read)
+    assert failed == ["lost"] and {(r.table_name, r.description) for r in out.collect()} == {("good", "1 to 3, 2 different"), ("lost", "")}

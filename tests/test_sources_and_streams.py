@@ -1,5 +1,6 @@
 import json
 import os
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,9 +16,9 @@ def test_source_folders(spark, tmp_path):
     (tmp_path / "a" / "p.sql.json").write_text("{}")
     (tmp_path / "a" / "q.json").write_text("{}")
     folder = str(tmp_path)
-    assert [(r.directory, r.file) for r in files.sql_files(spark, folder).collect()] == [("", "x.sql"), ("a/b", "y.SQL")]
-    assert files.sql_files(spark, folder).first().content.startswith("SELECT")
-    assert [(r.directory, r.file) for r in files.parsed_files(spark, folder).collect()] == [("a", "p.sql"), ("a", "q.sql")]
+    assert sorted((r.directory, r.file) for r in files.sql_files(spark, folder).collect()) == [("", "x.sql"), ("a/b", "y.SQL")]
+    assert files.sql_files(spark, folder).where("file = 'x.sql'").first().content.startswith("SELECT")
+    assert sorted((r.directory, r.file) for r in files.parsed_files(spark, folder).collect()) == [("a", "p.sql"), ("a", "q.sql")]
     assert [r.file for r in files.ddl_files(spark, folder).collect()] == ["x.sql"]
     assert files.ddl_files(spark, folder + "/none").count() == 0 and not files.has_files(spark, folder + "/none") and files.has_files(spark, folder)
 
@@ -89,3 +90,25 @@ def test_prompt_rules(tmp_path):
     assert files.rule(tmp_path, "r").startswith("name: r")
     pytest.importorskip("yaml")
     assert files.parsed_rule(tmp_path, "r") == {"name": "r", "prompt": "say {x}\n"}
+
+
+def test_scopes_of_threads_keep_apart(spark):
+    kept, deleted = [], []
+
+    def outer():
+        with tables.passing(spark):
+            a = tables.cut(spark.range(3), "a")
+            inside.set()
+            done.wait(60)
+            kept.append(a.count())
+        deleted.append(True)
+
+    inside, done = threading.Event(), threading.Event()
+    t = threading.Thread(target=outer)
+    t.start()
+    assert inside.wait(60)
+    with tables.passing(spark):
+        tables.cut(spark.range(5), "b")
+    done.set()
+    t.join()
+    assert kept == [3] and deleted == [True]

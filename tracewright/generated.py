@@ -72,7 +72,64 @@ def deep_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     children = f"array({leaf('UPDATE', '6 * i - 2', update + ')')}, {leaf('SELECT', '6 * i', 'concat(' + select)})"
     branches = f"transform(sequence(1, m), i -> named_struct('type', 'IF', 'startLine', 6 * i - 3, 'endLine', 6 * i + 2, 'code', {branch}, 'children', {children}))"
     lines = f"array_join(transform(sequence(1, m), i -> {branch}), '\\n')"
-    loop = f"named_struct('type', 'LOOP', 'startLine', 2, 'endLine', 6 * m + 3, 'code', concat('2: LOOP\\n', {lines}, '\\n', 6 * m + 3, ': END LOOP;'), 'children', {branches})"
-    unit = f"named_struct('type', 'PROCEDURE', 'name', concat('P', l_orderkey), 'startLine', 1, 'endLine', 6 * m + 4, 'code', concat('1: PROCEDURE P\\n2: LOOP\\n', {lines}, '\\n', 6 * m + 3, ': END LOOP;\\n', 6 * m + 4, ': END;'), 'children', array({loop}))"
+    loop = f"named_struct('type', 'LOOP', 'startLine', 2, 'endLine', 6 * m + 3, 'code', concat('2: FOR r IN (SELECT * FROM F', l_orderkey % 4, ') LOOP\\n', {lines}, '\\n', 6 * m + 3, ': END LOOP;'), 'children', {branches})"
+    unit = f"named_struct('type', 'PROCEDURE', 'name', concat('P', l_orderkey), 'startLine', 1, 'endLine', 6 * m + 4, 'code', concat('1: PROCEDURE P\\n2: FOR r IN (SELECT * FROM F', l_orderkey % 4, ') LOOP\\n', {lines}, '\\n', 6 * m + 3, ': END LOOP;\\n', 6 * m + 4, ': END;'), 'children', array({loop}))"
     content = f"to_json(named_struct('type', 'FILE', 'startLine', 1, 'endLine', 6 * m + 4, 'code', '', 'children', array({unit})))"
     return m.select(F.lit("d").alias("directory"), F.expr("concat(l_orderkey, '.sql')").alias("file"), F.expr(content).alias("content"))
+
+
+def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(directory, file, content): a parsed file for each supplier, with a class that extends its nation's, has a field, a method and a variable of other classes; and those."""
+    code = r"concat('1: public class S', k, ' extends B', n, ' {\n2:   private P', k % 7, ' part = new P', k % 7, '();\n3:   public Q', k % 5, ' make(R', k % 3, ' r, int n) {\n4:     T', k % 4, ' t = new T', k % 4, '();\n5:     part.run(n);\n6:     return null;\n7:   }\n8: }')"
+    method = r"concat('3:   public Q', k % 5, ' make(R', k % 3, ' r, int n) {\n4:     T', k % 4, ' t = new T', k % 4, '();\n5:     part.run(n);\n6:     return null;\n7:   }')"
+    none = "cast(array() AS array<string>)"
+    field = f"named_struct('type', 'FIELD', 'name', 'part', 'startLine', 2, 'endLine', 2, 'code', concat('2:   private P', k % 7, ' part = new P', k % 7, '();'), 'children', {none})"
+    body = f"named_struct('type', 'METHOD', 'name', 'make', 'startLine', 3, 'endLine', 7, 'code', {method}, 'children', {none})"
+    unit = f"named_struct('type', 'CLASS', 'name', concat('S', k), 'startLine', 1, 'endLine', 8, 'code', {code}, 'children', array({field}, {body}))"
+    plain = f"named_struct('type', 'CLASS', 'name', c, 'startLine', 1, 'endLine', 2, 'code', concat('1: class ', c, ' {{\\n2: }}'), 'children', {none})"
+    file = "to_json(named_struct('type', 'FILE', 'startLine', 1, 'endLine', 8, 'code', '', 'children', array({})))"
+    own = _t(spark, sf_dir, "supplier").selectExpr("s_suppkey AS k", "s_nationkey AS n")
+    # those which all suppliers together name
+    others = own.selectExpr("explode(array(concat('B', n), concat('P', k % 7), concat('Q', k % 5), concat('R', k % 3), concat('T', k % 4))) AS c").distinct()
+    at = lambda df, name, x: df.select(F.lit("d").alias("directory"), F.expr(f"concat({name}, '.java')").alias("file"), F.expr(file.format(x)).alias("content"))
+    return at(own, "concat('S', k)", unit).unionByName(at(others, "c", plain))
+
+
+def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(from_table, from_column, to_table, to_column, source): a table for each supplier that refers to its nation's, and those to their region's."""
+    own = _t(spark, sf_dir, "supplier").selectExpr("concat('S', s_suppkey) AS from_table", "'nation_id' AS from_column", "concat('N', s_nationkey) AS to_table", "'id' AS to_column", "if(s_suppkey % 2 = 0, 'user', 'ddl') AS source")
+    return own.union(_t(spark, sf_dir, "nation").selectExpr("concat('N', n_nationkey)", "'region_id'", "concat('R', n_regionkey)", "'id'", "'ddl'"))
+
+
+def unit_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(unit, table_name, type): an order as a unit that reads the tables of its suppliers and their nations."""
+    at = _t(spark, sf_dir, "lineitem").join(_t(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    both = F.explode(F.array(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")), F.concat(F.lit("N"), F.col("s_nationkey").cast("string"))))
+    return at.select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("unit"), both.alias("table_name"), F.lit("FROM").alias("type"))
+
+
+def procedures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, content): a file for each supplier with a procedure that fills a table from two and empties a third, and one that only writes."""
+    text = r"concat('CREATE OR REPLACE PROCEDURE p', s_suppkey, ' AS\nBEGIN\n INSERT INTO dw.f', s_suppkey % 7, '\n SELECT * FROM stg.s', s_suppkey, ' s JOIN ref.n', s_nationkey, ' r ON r.id = s.n;\n DELETE FROM log.l', s_suppkey % 3, ';\nEND;\nCREATE PROCEDURE q', s_suppkey, ' IS\nBEGIN\n UPDATE dw.g', s_suppkey % 5, ' SET x = 1;\nEND;')"
+    return _t(spark, sf_dir, "supplier").select(F.expr("concat('p', s_suppkey, '.sql')").alias("file"), F.expr(text).alias("content"))
+
+
+def temporaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(unit_id, kind, code): statements that make temporary tables, one of three of another kind."""
+    code = "CASE s_suppkey % 3 WHEN 0 THEN concat('1: create global temporary table W', s_nationkey, '.T', s_suppkey, ' (x int);') WHEN 1 THEN concat('CREATE TEMP TABLE IF NOT EXISTS t', s_suppkey, ' AS SELECT 1') ELSE concat('create temp table u', s_suppkey, ' (x int)') END"
+    return _t(spark, sf_dir, "supplier").select(F.expr("concat('s', s_suppkey)").alias("unit_id"), F.expr("if(s_suppkey % 3 = 2, 'INSERT', 'CREATE_TEMP_TABLE')").alias("kind"), F.expr(code).alias("code"))
+
+
+def class_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(i, name): names of classes: of the data, of a few letters, of the platform."""
+    name = "CASE c_custkey % 6 WHEN 0 THEN concat('Order', c_custkey) WHEN 1 THEN concat('x', c_custkey % 50) WHEN 2 THEN 'List' WHEN 3 THEN concat('order', c_custkey) WHEN 4 THEN concat('aB', c_custkey % 100) ELSE 'Logger' END"
+    return _t(spark, sf_dir, "customer").select((F.col("c_custkey") + 100).cast("int").alias("i"), F.expr(name).alias("name"))
+
+
+def glossary(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(glossaries, terms, links): a glossary for each nation, a term for each supplier in its nation's, with a domain and an owner, some with tags."""
+    nation, supplier = _t(spark, sf_dir, "nation"), _t(spark, sf_dir, "supplier")
+    glossaries = nation.selectExpr("cast(n_nationkey AS int) AS glossary_id", "n_name AS name", "if(n_nationkey % 3 = 0, 'Technical', NULL) AS type")
+    terms = supplier.selectExpr("cast(s_suppkey AS int) AS term_id", "cast(s_nationkey AS int) AS glossary_id", "s_name AS name", "cast(NULL AS string) AS description", "if(s_suppkey % 4 = 0, 'Approved', NULL) AS status")
+    link = "explode(array_compact(array(struct('BELONGS_TO_DOMAIN' AS type, concat('D', s_suppkey % 5) AS target), struct('OWNED_BY' AS type, concat('O', s_suppkey % 7) AS target), if(s_suppkey % 2 = 0, struct('HAS_TAG' AS type, concat('t', s_suppkey % 3) AS target), NULL), if(s_suppkey % 2 = 0, struct('HAS_TAG' AS type, 'even' AS target), NULL)))) AS x"
+    return glossaries, terms, supplier.selectExpr("cast(s_suppkey AS int) AS term_id", link).select("term_id", "x.type", "x.target")

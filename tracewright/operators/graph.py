@@ -144,7 +144,8 @@ def gather_up(facts: DataFrame, edges: DataFrame, key: str = "node_id") -> DataF
     """The different facts (key and other columns) of each node and of all nodes below it. edges: src (above), dst (below).
 
     Facts climb one step, then two more, then four: those gathered so far are joined each round with a table of who stands
-    so far above whom. Nodes may have several parents; in a cycle all have the facts of all.
+    so far above whom. That has a row for each node in a tree. Nodes may have several parents, and in a cycle all have the
+    facts of all, but then the table holds all pairs at such a distance, the square of the nodes in a dense graph.
     """
     held, jump = cut(facts.distinct(), "facts"), cut(_jumps(edges), "jump")
     rounds = max(jump.count(), 1).bit_length()
@@ -157,6 +158,65 @@ def gather_up(facts: DataFrame, edges: DataFrame, key: str = "node_id") -> DataF
     return held
 
 
+def reached(edges: DataFrame, start: DataFrame, key: str = "node_id", up: bool = True) -> DataFrame:
+    """(start, node): what stands above each of the start nodes, or below. edges: src (above), dst (below), of a tree.
+
+    Only what is asked for is walked: pairs begin with the start nodes and reach twice as far each round, over a table of
+    who stands so far above whom, which has a row for each node. Of a node with several parents all are followed.
+    """
+    own = start.select(F.col(key).alias("start")).where("start IS NOT NULL").distinct()
+    found, jump = cut(own.withColumn("node", F.col("start")), "reached"), cut(_jumps(edges), "jump")
+    rounds = max(jump.count(), 1).bit_length() + 1
+    a, b = ("node", "up") if up else ("up", "node")
+    while rounds and not jump.isEmpty():
+        step = jump.select(F.col(a).alias("_a"), F.col(b).alias("_b"))
+        far = found.join(step, F.col("node") == F.col("_a")).select("start", F.col("_b").alias("node"))
+        found = cut(found.union(far).distinct(), "reached", after=found)
+        jump = cut(jump.select("node", F.col("up").alias("_m")).join(jump.select(F.col("node").alias("_m"), "up"), "_m").select("node", "up").distinct(), "jump", after=jump)
+        rounds -= 1
+    return found.where("start <> node")
+
+
+def nearest(edges: DataFrame, marked: DataFrame, key: str = "node_id") -> DataFrame:
+    """(node, up): the nearest marked node above each node of a tree that has one. edges: src (above), dst (below).
+
+    Each node points to its parent, then past it as long as what it points to isn't marked, twice as far each round.
+    """
+    known = marked.select(F.col(key).alias("_m")).distinct()
+    least = _jumps(edges).groupBy("node").agg(F.min("up").alias("up"))
+    at = cut(least.join(known, F.col("up") == F.col("_m"), "left").select("node", "up", F.col("_m").isNotNull().alias("there")), "nearest")
+    rounds = max(at.count(), 1).bit_length() + 1
+    while not at.where("NOT there").isEmpty():
+        if not rounds:
+            raise ValueError("the edges have a cycle")
+        above = at.select(F.col("node").alias("_n"), F.col("up").alias("_u"), F.col("there").alias("_t"))
+        past = at.where("NOT there").join(above, F.col("up") == F.col("_n")).select("node", F.col("_u").alias("up"), F.col("_t").alias("there"))
+        at = cut(at.where("there").union(past), "nearest", after=at)
+        rounds -= 1
+    return at.select("node", "up")
+
+
+def within(links: DataFrame, costs: DataFrame, limit: int) -> DataFrame:
+    """(node, up, distance, total): what each node reaches by its links (node, up: one each) while the sum of costs fits the limit.
+
+    costs: node, cost (0 or more) of each node that is reached. Nothing beyond a limit is looked at: pairs reach twice as
+    far each round, from the farthest that a node could still pay for.
+    """
+    priced = costs.select(F.col("node").alias("_c"), F.col("cost").cast("long").alias("total"))
+    step = links.join(priced, F.col("up") == F.col("_c")).where(F.col("total") <= limit).select("node", "up", F.lit(1).alias("distance"), "total")
+    every, span = [cut(step, "within")], 1
+    while True:
+        known = reduce(DataFrame.unionByName, every)
+        far = every[-1].where(F.col("distance") == span).select("node", F.col("up").alias("_via"), F.col("total").alias("_t"))
+        on = known.select(F.col("node").alias("_via"), "up", (F.col("distance") + span).alias("distance"), F.col("total").alias("_on"))
+        new = cut(far.join(on, "_via").select("node", "up", "distance", (F.col("_t") + F.col("_on")).alias("total")).where(F.col("total") <= limit), "within")
+        if new.isEmpty():
+            drop(new)
+            return known
+        every.append(new)
+        span *= 2
+
+
 def all_descendants_ok(nodes: DataFrame, edges: DataFrame, key: str = "node_id") -> DataFrame:
     """nodes (with ok) with subtree_ok: false as soon as the node or anything below it failed; a null ok has failed."""
     failed = nodes.where(~F.coalesce("ok", F.lit(False))).select(F.col(key).alias("_bad")).where("_bad IS NOT NULL")

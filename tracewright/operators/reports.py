@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import html_escape
+from .bounded import first_rows
 
 
 def stories(units: DataFrame, found: DataFrame, criteria: DataFrame) -> DataFrame:
@@ -51,13 +52,12 @@ def totals(uses: DataFrame) -> DataFrame:
 def table_usage(uses: DataFrame, contexts: int = 5) -> DataFrame:
     """(unit, table_name, operations, occurrences, contexts): how each unit uses each table, with the first contexts.
 
-    The first contexts are cut off before the shuffle, so a unit's use of a table may be of any size.
+    Each task keeps the first contexts of what it reads, so a unit's use of a table may be of any size.
     """
     key = ["unit", "table_name"]
     counted = uses.groupBy(*key, "operation").agg(F.count("*").alias("n")).groupBy(*key).agg(F.array_join(F.sort_array(F.collect_list("operation")), ",").alias("operations"), F.sum("n").alias("occurrences"))
-    first = uses.where("line IS NOT NULL OR context IS NOT NULL").select(*key, "line", "context").distinct()
-    first = first.withColumn("_at", F.row_number().over(W.partitionBy(*key).orderBy("line", "context"))).where(F.col("_at") <= contexts)
-    first = first.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "context"))), lambda x: x["context"]), ",").alias("contexts"))
+    first = first_rows(uses.where("line IS NOT NULL OR context IS NOT NULL"), key, ["line", "context"], contexts)
+    first = first.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "context"))), lambda x: x["context"]), ",").alias("contexts"))
     same = reduce(lambda a, b: a & b, (F.col(f"c.{k}").eqNullSafe(F.col(f"f.{k}")) for k in key))
     return counted.alias("c").join(first.alias("f"), same, "left").select(*(f"c.{k}" for k in key), "operations", "occurrences", F.coalesce("contexts", F.lit("")).alias("contexts"))
 

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import graph
+from .bounded import first_rows
+
+#: Different descriptions and examples of a column that its uses are summed up with.
+DESCRIPTIONS, EXAMPLES = 100, 5
+
 
 def matching(search: str | None, *columns: str) -> Column:
     """Whether one of the columns contains the text, case ignored; no text fits all."""
@@ -50,21 +58,22 @@ def add_relationship(fks: DataFrame, from_table: str, from_column: str, to_table
     return upsert(fks.select("from_table", "from_column", "to_table", "to_column", "source"), row, ["from_table", "from_column", "to_table", "to_column"])
 
 
-def references(uses: DataFrame, nodes: DataFrame, closure: DataFrame, table: str) -> DataFrame:
+def references(uses: DataFrame, nodes: DataFrame, edges: DataFrame, table: str) -> DataFrame:
     """(unit, statement, type) of statements that use a table, with the procedure above them.
 
-    uses: src, table_name, type; nodes: node_id, kind, name; closure: src, dst of the tree.
+    uses: src, table_name, type; nodes: node_id, kind, name; edges: src, dst of the tree, of which only what stands above the
+    statements is walked.
     """
     units = nodes.where(F.col("kind").isin("PROCEDURE", "FUNCTION", "TRIGGER")).select(F.col("node_id").alias("src"), F.col("name").alias("unit"))
-    above = closure.select("src", "dst").join(units, "src").select(F.col("dst").alias("node"), "unit")
     at = uses.where((F.col("table_name") == table) & F.col("type").isin("FROM", "WRITES")).select(F.col("src").alias("node"), "type")
+    above = graph.reached(edges, at, "node").withColumnRenamed("node", "src").join(units, "src").select(F.col("start").alias("node"), "unit")
     return at.join(above, "node", "left").select("unit", F.col("node").alias("statement"), "type").distinct().orderBy("unit", "statement")
 
 
-def statements(nodes: DataFrame, closure: DataFrame, procedure: str) -> DataFrame:
-    """All statements below a procedure by start line."""
-    root = nodes.where(F.col("name") == procedure).select(F.col("node_id").alias("src"))
-    return closure.join(root, "src", "left_semi").select(F.col("dst").alias("node_id")).distinct().join(nodes, "node_id").orderBy("start_line", "node_id")
+def statements(nodes: DataFrame, edges: DataFrame, procedure: str) -> DataFrame:
+    """All statements below a procedure by start line; only what stands below it is walked."""
+    below = graph.reached(edges, nodes.where(F.col("name") == procedure), up=False)
+    return below.select(F.col("node").alias("node_id")).distinct().join(nodes, "node_id").orderBy("start_line", "node_id")
 
 
 def describe(df: DataFrame, key: dict[str, str], text: str) -> tuple[DataFrame, int]:
@@ -141,14 +150,17 @@ def column_uses(uses: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def summarise_uses(rows: DataFrame) -> DataFrame:
-    """Per column what its uses say: descriptions (a set), first type, last nullability, up to five examples.
+    """Per column what its uses say: the first descriptions, the first type, the last nullability, up to five examples.
 
-    rows: schema_name, table_name, column_name, seq, description, dtype, nullable, example.
+    rows: schema_name, table_name, column_name, seq, description, dtype, nullable, example. Descriptions are the first
+    DESCRIPTIONS different ones in order. Each task cuts both lists off before anything is shuffled.
     """
+    at = ["schema_name", "table_name", "column_name"]
     text = lambda c: F.when(F.coalesce(F.trim(c), F.lit("")) != "", F.trim(c))
-    return rows.groupBy("schema_name", "table_name", "column_name").agg(
-        F.sort_array(F.collect_set(text("description"))).alias("descriptions"),
-        F.min_by(text("dtype"), F.when(text("dtype").isNotNull(), F.col("seq"))).alias("dtype"),
-        F.max_by("nullable", F.when(F.col("nullable").isNotNull(), F.col("seq"))).alias("nullable"),
-        F.slice(F.sort_array(F.collect_set(text("example"))), 1, 5).alias("examples"),
-    )
+    one = rows.groupBy(*at).agg(F.min_by(text("dtype"), F.when(text("dtype").isNotNull(), F.col("seq"))).alias("dtype"), F.max_by("nullable", F.when(F.col("nullable").isNotNull(), F.col("seq"))).alias("nullable"))
+    for name, c, n in (("descriptions", "description", DESCRIPTIONS), ("examples", "example", EXAMPLES)):
+        first = first_rows(rows.select(*at, text(c).alias("x")).where("x IS NOT NULL"), at, ["x"], n).groupBy(*at).agg(F.sort_array(F.collect_list("x")).alias(name))
+        first = first.select(*(F.col(k).alias(f"_{k}") for k in at), name)
+        one = one.join(first, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in at)), "left").drop(*(f"_{k}" for k in at))
+        one = one.withColumn(name, F.coalesce(name, F.expr("cast(array() AS array<string>)")))
+    return one.select(*at, "descriptions", "dtype", "nullable", "examples")

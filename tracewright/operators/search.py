@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from . import similar
+from . import similar, vectors
 
 #: Shortest prefix tried, weights of past questions, and the scores that reuse or adapt one.
 SHORTEST, WEIGHTS, REUSE, ADAPT = 2, (0.5, 0.3, 0.2), 0.9, 0.7
@@ -43,6 +43,19 @@ def past_questions(found: DataFrame, key: str, limit: int = 50) -> DataFrame:
     return out.withColumns({"rank": F.rank().over(W.orderBy(F.desc("final_score"))), "action": action})  # over the few that are left
 
 
+def recalled(questions: DataFrame, stored: DataFrame, k: int = 50, **names: str) -> DataFrame:
+    """(question_id, key, final_score, rank, action): the k stored questions nearest to each question by their vectors, re-ranked.
+
+    questions: question_id, vector; stored: key, vector, success_rate, usage. See vectors.top_k().
+    """
+    a, b, c = WEIGHTS
+    near = vectors.top_k(questions, stored, k, **names)
+    scored = near.join(stored.select("key", "success_rate", "usage"), "key").withColumn("final_score", F.round(a * F.col("similarity") + b * F.col("success_rate") + c * F.col("usage"), 9))
+    action = F.when(F.col("final_score") > REUSE, "IMMEDIATE_TEMPLATE_REUSE").when(F.col("final_score") > ADAPT, "ADAPT_TEMPLATE").otherwise("GENERATE_NEW")
+    rank = F.row_number().over(W.partitionBy("question_id").orderBy(F.desc("final_score"), "key"))  # over k rows
+    return scored.select("question_id", "key", "final_score", rank.alias("rank"), action.alias("action"))
+
+
 def error_hints(message: Column) -> Column:
     """Columns that a database error names: the missing one and the one it proposes."""
     missing = F.regexp_extract(message, r'column "(\w+)" does not exist', 1)

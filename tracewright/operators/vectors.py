@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 #: Candidates ranked, least similarity, and characters of a description that are embedded and shown.
 CANDIDATES, LEAST, EMBEDDED, SHOWN = 200, 0.3, 500, 200
 DIMENSIONS = 64
+#: Vectors of a block of a matrix product.
+BLOCK = 2048
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -36,6 +42,42 @@ def search(tables: DataFrame, query: Column, limit: int = 10, name: str = "table
     return some.withColumn("similarity", F.round(cosine(F.col(vector), query), 4)).orderBy(F.desc("similarity"), name).limit(limit).where(F.col("similarity") >= least)
 
 
+def _blocks(df: DataFrame, key: str, vector: str, name: str) -> DataFrame:
+    """(name_keys, name_rows): vectors in blocks of about BLOCK, by a hash of the key; those without a length are left out."""
+    at = df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).where("k IS NOT NULL AND size(v) > 0 AND NOT exists(v, x -> x IS NULL OR isnan(x)) AND exists(v, x -> x <> 0)")
+    n = max(1, -(-at.count() // BLOCK))
+    return at.groupBy(F.pmod(F.xxhash64("k"), F.lit(n)).alias("b")).agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("x")).select(F.col("x.k").alias(f"{name}_keys"), F.col("x.v").alias(f"{name}_rows"))
+
+
+def top_k(questions: DataFrame, stored: DataFrame, k: int, question: str = "question_id", key: str = "key", vector: str = "vector", places: int = 9) -> DataFrame:
+    """(question, key, similarity): the k stored vectors nearest to each question by cosine, of equal ones those with the least key.
+
+    Blocks of questions meet blocks of stored vectors; a pair of blocks is one matrix product that leaves k rows a question,
+    which are then ranked. Keys and question ids are numbers, each once; similarities are rounded to so many places. Vectors
+    that are null, zero, of another length, or hold nulls or NaN match nothing.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                q, s = ([(kk, np.asarray(v)) for kk, v in zip(b.column(f"{x}_keys")[i].values.to_pylist(), (r.values.to_numpy() for r in b.column(f"{x}_rows")[i].values), strict=True)] for x in ("q", "s"))
+                for size in {len(v) for _, v in q}:
+                    ask, have = [x for x in q if len(x[1]) == size], [x for x in s if len(x[1]) == size]
+                    if not have:
+                        continue
+                    unit = [np.stack([v for _, v in x]) / np.linalg.norm(np.stack([v for _, v in x]), axis=1, keepdims=True) for x in (ask, have)]
+                    close = np.round(unit[0] @ unit[1].T, places)
+                    best = np.argsort(-close, axis=1, kind="stable")[:, :k]  # keys ascend, so equal ones stay in their order
+                    keys = np.array([x[0] for x in have], np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat([x[0] for x in ask], best.shape[1]), pa.int64()), pa.array(keys[best].ravel()), pa.array(np.take_along_axis(close, best, 1).ravel())], names=[question, key, "similarity"])
+
+    # the questions are asked of all rows, block by block
+    tiles = _blocks(stored, key, vector, "s").crossJoin(_blocks(questions, question, vector, "q"))
+    near = tiles.mapInArrow(run, f"{question} long, {key} long, similarity double")
+    order = W.partitionBy(question).orderBy(F.desc("similarity"), key)
+    return near.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= k).drop("_at")
+
+
 def search_text(tables: DataFrame, text: str, limit: int = 10) -> DataFrame:
     """search() for a text over tables (schema_name, table_name, description), embedded without a model."""
     described = tables.where(F.coalesce("description", F.lit("")) != "").withColumn("vector", hashed_embedding(F.substring("description", 1, EMBEDDED)))

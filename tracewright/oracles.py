@@ -10,6 +10,8 @@ from .plans import detect
 from .plans import patterns as P
 
 V = X.values
+#: Foreign keys of the tables made from suppliers and nations.
+_MANY = "(SELECT 'S' || s_suppkey AS from_table, 'nation_id' AS from_column, 'N' || s_nationkey AS to_table, 'id' AS to_column, CASE WHEN s_suppkey % 2 = 0 THEN 'user' ELSE 'ddl' END AS source FROM supplier UNION ALL SELECT 'N' || n_nationkey, 'region_id', 'R' || n_regionkey, 'id', 'ddl' FROM nation)"
 _KEYS = V(X.KEYS, "from_table", "from_column", "to_table", "to_column", "source")
 _DDL, _SQL = V(X.DDL, "file", "content"), V(X.SQL, "file", "content")
 
@@ -107,6 +109,12 @@ x AS (SELECT etl_name AS src, unnest(ss) AS dst, 'ETL_READS' AS type, etl_name A
   UNION ALL SELECT etl_name, unnest(t), 'ETL_WRITES', etl_name, op, file FROM l WHERE is_etl
   UNION ALL SELECT src, unnest(t), 'DATA_FLOWS_TO', etl_name, op, file FROM (SELECT unnest(ss) AS src, t, etl_name, op, file FROM l WHERE is_etl))
 """.replace("\\\\", "\\")
+#: What the procedures made from suppliers must give.
+_UNITS = _UNITS.rstrip() + """,
+p AS (SELECT s_suppkey AS k, s_nationkey AS n FROM supplier),
+px AS (SELECT 'p' || k AS src, e.d AS dst, e.y AS type, 'p' || k AS via_etl, 'ETL' AS operation, 'p' || k || '.sql' AS file FROM (SELECT k, unnest([{'d': 'REF.N' || n, 'y': 'ETL_READS'}, {'d': 'STG.S' || k, 'y': 'ETL_READS'}, {'d': 'DW.F' || k % 7, 'y': 'ETL_WRITES'}, {'d': 'LOG.L' || k % 3, 'y': 'ETL_WRITES'}]) AS e FROM p)
+  UNION ALL SELECT s, t, 'DATA_FLOWS_TO', 'p' || k, 'ETL', 'p' || k || '.sql' FROM (SELECT k, s, unnest(['DW.F' || k % 7, 'LOG.L' || k % 3]) AS t FROM (SELECT k, unnest(['REF.N' || n, 'STG.S' || k]) AS s FROM p)))
+"""
 
 _TERMS = f"{V(X.TERMS, 'term_id', 'glossary_id', 'name', 'description', 'status')} t"
 _LINKS = V(X.LINKS, "term_id", "type", "target")
@@ -124,7 +132,8 @@ ORACLE_SQL: dict[str, str] = {
     "table_list": f"SELECT 'public' AS schema_name, t AS table_name, CAST(NULL AS VARCHAR) AS description, count(*) AS column_count FROM ({_COLUMNS.format(_ALL)}) GROUP BY t UNION ALL SELECT 'public', 'empty', NULL, 0",
     "column_list": f"SELECT t AS table_name, c AS column_name, CAST(o AS INT) AS ordinal FROM ({_COLUMNS.format('(' + repr('orders') + ')')})",
     "table_search": "SELECT p_partkey, p_name, p_type FROM part WHERE contains(lower(p_type), 'econ') OR contains(lower(p_name), 'bolt') ORDER BY p_name, p_partkey LIMIT 100",
-    "relationship_list": f"SELECT * REPLACE (CASE WHEN from_column = 'l_orderkey' THEN 'user' ELSE source END AS source) FROM {_KEYS} WHERE from_table = 'lineitem' OR to_table = 'lineitem' UNION ALL SELECT 'lineitem', 'l_linenumber', 'orders', 'o_custkey', 'user'",
+    "relationship_list": f"""WITH a AS (SELECT * FROM {_MANY} UNION ALL SELECT 'S1', 'other_id', 'N7', 'id', 'user' UNION ALL SELECT 'N7', 'region_id', 'R1', 'id', 'user')
+SELECT from_table, from_column, to_table, to_column, max(source) AS source FROM a WHERE from_table = 'N7' OR to_table = 'N7' GROUP BY ALL""",
     "description_update": "SELECT n_nationkey, CASE WHEN n_nationkey = 3 THEN 'set by hand' ELSE n_name END AS description, CASE WHEN n_nationkey = 3 THEN 'user' ELSE 'ddl' END AS description_source FROM nation",
     "tree_closure": f"WITH RECURSIVE {_EDGES}, c AS (SELECT src, dst, 1 AS distance FROM e UNION ALL SELECT c.src, e.dst, distance + 1 FROM c JOIN e ON c.dst = e.src) SELECT * FROM c",
     "next_edges": f"WITH {_CHAIN} SELECT a.node_id AS src, b.node_id AS dst FROM n a JOIN n b ON a.conv_id = b.conv_id AND b.pos = a.pos + 1",
@@ -142,7 +151,9 @@ SELECT node_id, md5('[CONTEXT]' || chr(10) || string_agg(text, chr(10) || '---'
 o AS (SELECT 'public.' || from_table AS src, 'public.' || to_table AS dst, from_column AS source_column, to_column AS target_column, source FROM {_KEYS})
 SELECT src, dst, source_column, target_column, CASE WHEN o.source = 'ddl' THEN 'ddl' ELSE coalesce(n.source, o.source) END AS source, match_ratio FROM o FULL JOIN n USING (src, dst, source_column, target_column)""",
     "described_tables": """WITH u AS (SELECT CASE WHEN s_acctbal < 0 THEN 'debt' ELSE 'credit' END AS t, n_name, s_suppkey % 2 = 0 AS r FROM supplier JOIN nation ON s_nationkey = n_nationkey),
-d AS (SELECT t, concat_ws('; ', 'read by ' || string_agg(DISTINCT n_name, ', ' ORDER BY n_name) FILTER (r), 'written by ' || string_agg(DISTINCT n_name, ', ' ORDER BY n_name) FILTER (NOT r)) AS x FROM u GROUP BY t),
+n AS (SELECT *, row_number() OVER (PARTITION BY t, r ORDER BY n_name) AS i FROM (SELECT DISTINCT t, r, n_name FROM u)),
+g AS (SELECT t, r, string_agg(n_name, ', ' ORDER BY n_name) FILTER (i <= 20) || CASE WHEN count(*) > 20 THEN ' and ' || (count(*) - 20) || ' more' ELSE '' END AS x FROM n GROUP BY t, r),
+d AS (SELECT t, concat_ws('; ', 'read by ' || max(x) FILTER (r), 'written by ' || max(x) FILTER (NOT r)) AS x FROM g GROUP BY t),
 k AS (SELECT * FROM (VALUES ('debt', NULL), ('credit', 'known'), ('unused', '')) v(table_name, description))
 SELECT table_name, CASE WHEN coalesce(description, '') = '' AND x IS NOT NULL THEN x ELSE description END AS description, CASE WHEN coalesce(description, '') = '' AND x IS NOT NULL THEN 'procedure' END AS description_source, x AS analysed_description FROM k LEFT JOIN d ON t = table_name""",
     "story_rows": """WITH f AS (SELECT DISTINCT s_nationkey AS u, s_acctbal < 0 AS w, 't' || s_suppkey % 5 AS name FROM supplier), r AS (SELECT u, string_agg(name, ', ' ORDER BY name) FILTER (NOT w) AS reads, count(*) FILTER (w) AS n FROM f GROUP BY u),
@@ -152,12 +163,15 @@ SELECT CAST(u AS VARCHAR) AS unit_id, 'US-' || i AS story_id, 'user of ' || n_na
 d AS (SELECT *, greatest(1, len(regexp_extract_all(part, '[A-Za-z]{1,6}|[0-9]{1,3}|[^\sA-Za-z0-9]'))) AS k, row_number() OVER (PARTITION BY unit ORDER BY conv_id, turn) AS pos FROM t),
 r AS (SELECT unit, part, pos, 1 AS batch, k AS s, k FROM d WHERE pos = 1 UNION ALL SELECT d.unit, d.part, d.pos, CASE WHEN r.s + d.k > 400 THEN r.batch + 1 ELSE r.batch END, CASE WHEN r.s + d.k > 400 THEN d.k ELSE r.s + d.k END, d.k FROM r JOIN d ON d.unit = r.unit AND d.pos = r.pos + 1)
 SELECT unit, batch, CAST(count(*) AS INT) AS n, CAST(sum(k) AS BIGINT) AS tokens, md5(string_agg(part, chr(10) ORDER BY pos)) AS parts_md5 FROM r GROUP BY unit, batch""",
-    "class_relations": f"SELECT * FROM {V(X.RELATIONS, 'from_class', 'to_class', 'type', 'detail')}",
-    "temporary_tables": f"SELECT * FROM {V([('t1', 'WORK', 'TMP_A'), ('t2', '', 'b')], 'unit_id', 'schema_name', 'table_name')}",
+    "class_relations": f"""SELECT * FROM {V(X.RELATIONS, 'from_class', 'to_class', 'type', 'detail')} UNION ALL SELECT 'S' || k, e.c, e.t, e.d FROM (SELECT k, unnest([{{'c': 'B' || n, 't': 'EXTENDS', 'd': ''}}, {{'c': 'P' || k % 7, 't': 'COMPOSITION', 'd': 'part 1'}}, {{'c': 'Q' || k % 5, 't': 'DEPENDENCY', 'd': 'return'}}, {{'c': 'R' || k % 3, 't': 'DEPENDENCY', 'd': 'parameter'}}, {{'c': 'T' || k % 4, 't': 'DEPENDENCY', 'd': 'local'}}, {{'c': 'P' || k % 7, 't': 'CALLS', 'd': 'run'}}]) AS e FROM (SELECT s_suppkey AS k, s_nationkey AS n FROM supplier))""",
+    "temporary_tables": f"""SELECT * FROM {V([('t1', 'WORK', 'TMP_A'), ('t2', '', 'b')], 'unit_id', 'schema_name', 'table_name')}
+UNION ALL SELECT 's' || s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'W' || s_nationkey ELSE '' END, CASE s_suppkey % 3 WHEN 0 THEN 'T' ELSE 't' END || s_suppkey FROM supplier WHERE s_suppkey % 3 < 2""",
     "join_columns": "SELECT 'o' || o_orderkey AS unit_id, 'stg.s' || o_orderkey % 11 AS from_table, 'id' AS from_column, 'stg.c' || o_custkey % 5 AS to_table, 'id' AS to_column FROM orders",
     "column_access": "SELECT 'o' || o_orderkey AS unit_id, 'stg.s' || o_orderkey % 11 AS table_name, 'id' AS column_name FROM orders UNION ALL SELECT 'o' || o_orderkey, 'stg.c' || o_custkey % 5, 'id' FROM orders",
-    "ancestor_contexts": f"""WITH {_TREES}, p AS (SELECT m, 'PROCEDURE P' || replace(file, '.sql', '') || ' 1~' || (2 * m + 2) || ': frame without tables and calls' AS c FROM t)
-SELECT '[CONTEXT]' || chr(10) || c || chr(10) || '[/CONTEXT]' || chr(10) AS context, CAST(sum(m) AS BIGINT) AS n FROM p GROUP BY c""",
+    "ancestor_contexts": """WITH m AS (SELECT l_orderkey AS o, count(*)::INT AS m FROM lineitem GROUP BY 1), b AS (SELECT o, m, unnest(range(1, m + 1))::INT AS i FROM m),
+t AS (SELECT *, 'PROCEDURE P' || o || ' 1~' || (6 * m + 4) || ': frame without tables and calls' AS p, 'LOOP 2~' || (6 * m + 3) || ': reads F' || o % 4 AS l, 'IF ' || (6 * i - 3) || '~' || (6 * i + 2) || ': frame without tables and calls' AS f, chr(10) || '---' || chr(10) AS s FROM b),
+c AS (SELECT o || '.sql' AS file, unnest([3 * i - 2, 3 * i - 1]) AS node_id, p || s || l || s || f AS c FROM t UNION ALL SELECT o || '.sql', 3 * i, p || s || l FROM t UNION ALL SELECT DISTINCT o || '.sql', 3 * m + 1, p FROM t)
+SELECT file, node_id, '[CONTEXT]' || chr(10) || c || chr(10) || '[/CONTEXT]' || chr(10) AS context FROM c""",
     "report_sections": """WITH o AS (SELECT o_custkey % 10 AS u, o_orderkey AS l, o_orderstatus AS k, '&lt;' || o_orderpriority || '&gt;' AS t, row_number() OVER (PARTITION BY o_custkey % 10 ORDER BY o_orderkey) AS i FROM orders),
 c AS (SELECT u, k, count(*) AS n FROM o GROUP BY u, k)
 SELECT 0 AS section, NULL AS unit, '<h1>Analysis</h1>' || chr(10) || '<ul><li>units: ' || count(DISTINCT u) || '</li><li>tables: ' || count(DISTINCT k) || '</li><li>statements: ' || count(*) || '</li><li>tokens: ' || count(*) || '</li></ul>' AS html FROM o
@@ -169,13 +183,15 @@ g AS (SELECT *, list_concat(words, flatten(list_transform(words, lambda x: list_
 h AS (SELECT *, list_transform(gs, lambda x: CAST('0x' || substr(md5(x), 1, 8) AS BIGINT)) AS hs FROM g),
 v AS (SELECT *, list_transform(range(0, 64), lambda k: CAST(list_sum(list_transform(hs, lambda y: CASE WHEN y % 64 = k THEN CASE WHEN (y // 64) % 2 = 0 THEN 1.0 ELSE -1.0 END ELSE 0.0 END)) AS DOUBLE)) AS x FROM h),
 s AS (SELECT 'public' AS schema_name, table_name, substr(description, 1, 200) AS description, round(list_cosine_similarity(x, (SELECT x FROM v ORDER BY table_name LIMIT 1)), 4) AS similarity FROM v ORDER BY similarity DESC, table_name LIMIT 5) SELECT * FROM s WHERE similarity >= 0.3""",
-    "cyclic_closure": f"""WITH RECURSIVE e AS (SELECT from_table AS src, to_table AS dst FROM {_KEYS} UNION SELECT to_table, from_table FROM {_KEYS}), c AS (SELECT src, dst, 1 AS d FROM e UNION SELECT c.src, e.dst, d + 1 FROM c JOIN e ON c.dst = e.src WHERE d < 8) SELECT src, dst, min(d) AS distance FROM c GROUP BY ALL""",
+    "cyclic_closure": """WITH c AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+SELECT a.conv_id || ':' || a.turn AS src, b.conv_id || ':' || b.turn AS dst, (CASE WHEN b.i > a.i THEN b.i - a.i ELSE a.n - a.i + b.i END)::INTEGER AS distance FROM c a JOIN c b USING (conv_id)""",
     "references": "SELECT r_name AS unit, 'S' || s_suppkey AS statement, 'FROM' AS type FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_acctbal < 0",
     "co_referenced": "WITH u AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) SELECT CAST(b.l_partkey AS VARCHAR) AS other, count(*) AS n_units FROM u a JOIN u b USING (l_orderkey) WHERE a.l_partkey = 7 AND b.l_partkey <> 7 GROUP BY 1",
-    "related_by_key": f"SELECT CASE WHEN from_table = 'nation' THEN to_table ELSE from_table END AS other, CASE WHEN from_table = 'nation' THEN 'out' ELSE 'in' END AS direction, string_agg(DISTINCT from_column || '=' || to_column, ',') AS pairs, min(source) AS source FROM {_KEYS} WHERE from_table = 'nation' OR to_table = 'nation' GROUP BY 1, 2",
-    "related_tables": f"""WITH f AS (SELECT DISTINCT CASE WHEN from_table = 'orders' THEN to_table ELSE from_table END AS other FROM {_KEYS} WHERE from_table = 'orders' OR to_table = 'orders'), u AS (SELECT * FROM {V(X.USES, 'unit', 'table_name', 'type')})
-SELECT other, 'FK' AS kind FROM f UNION SELECT DISTINCT b.table_name, 'CO_REFERENCED' FROM u a JOIN u b USING (unit) WHERE a.table_name = 'orders' AND b.table_name <> 'orders' AND b.table_name NOT IN (SELECT other FROM f)""",
-    "importance_rank": f"SELECT t AS table_name, CAST(sum(o) AS BIGINT) AS n_out, CAST(sum(i) AS BIGINT) AS n_in, round(ln(1 + 2 * sum(i) + sum(o)), 4) AS importance FROM (SELECT from_table AS t, 1 AS o, 0 AS i FROM {_KEYS} UNION ALL SELECT to_table, 0, 1 FROM {_KEYS}) GROUP BY t",
+    "related_by_key": f"SELECT CASE WHEN from_table = 'N7' THEN to_table ELSE from_table END AS other, CASE WHEN from_table = 'N7' THEN 'out' ELSE 'in' END AS direction, string_agg(DISTINCT from_column || '=' || to_column, ',') AS pairs, min(source) AS source FROM {_MANY} WHERE from_table = 'N7' OR to_table = 'N7' GROUP BY 1, 2",
+    "related_tables": f"""WITH f AS (SELECT DISTINCT CASE WHEN from_table = 'N7' THEN to_table ELSE from_table END AS other FROM {_MANY} WHERE from_table = 'N7' OR to_table = 'N7'),
+l AS (SELECT l_orderkey AS o, s_suppkey, s_nationkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey), u AS (SELECT o, 'S' || s_suppkey AS t FROM l UNION SELECT o, 'N' || s_nationkey FROM l)
+SELECT other, 'FK' AS kind FROM f UNION SELECT DISTINCT b.t, 'CO_REFERENCED' FROM u a JOIN u b USING (o) WHERE a.t = 'N7' AND b.t <> 'N7' AND b.t NOT IN (SELECT other FROM f)""",
+    "importance_rank": f"SELECT t AS table_name, CAST(sum(o) AS BIGINT) AS n_out, CAST(sum(i) AS BIGINT) AS n_in, round(ln(1 + 2 * sum(i) + sum(o)), 4) AS importance FROM (SELECT from_table AS t, 1 AS o, 0 AS i FROM {_MANY} UNION ALL SELECT to_table, 0, 1 FROM {_MANY}) GROUP BY t",
     "upsert_priority": """WITH s AS (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE s_name END AS description, CASE WHEN s_suppkey % 2 = 0 THEN 'ddl' ELSE 'user' END AS source, s_acctbal FROM supplier),
 o AS (SELECT * FROM s WHERE s_suppkey % 5 < 3), n AS (SELECT s_suppkey, 'new ' || s_suppkey AS description, 'inferred' AS source, CASE WHEN s_suppkey % 7 <> 0 THEN s_acctbal + 1 END AS s_acctbal FROM s WHERE s_suppkey % 5 > 1)
 SELECT s_suppkey, CASE WHEN coalesce(trim(o.description), '') IN ('', 'N/A') THEN coalesce(n.description, o.description) ELSE o.description END AS description, CASE WHEN o.source = 'ddl' THEN 'ddl' ELSE coalesce(n.source, o.source) END AS source, coalesce(n.s_acctbal, o.s_acctbal) AS s_acctbal FROM o FULL JOIN n USING (s_suppkey)""",
@@ -195,29 +211,32 @@ SELECT source, doc_id, batch FROM r""",
 r AS (SELECT unit, o_orderkey, pos, 1 AS batch, tokens AS t, tokens, dml FROM d WHERE pos = 1 UNION ALL SELECT d.unit, d.o_orderkey, d.pos, CASE WHEN r.t + d.tokens > 1000 THEN r.batch + 1 ELSE r.batch END, CASE WHEN r.t + d.tokens > 1000 THEN d.tokens ELSE r.t + d.tokens END, d.tokens, d.dml FROM r JOIN d ON d.unit = r.unit AND d.pos = r.pos + 1)
 SELECT unit, batch, CAST(count(*) AS INT) AS n_ranges, CAST(count(*) FILTER (dml) AS INT) AS n_dml, CAST(sum(tokens) AS BIGINT) AS tokens, max(o_orderkey) + 1 AS progress_line FROM r GROUP BY unit, batch""",
     "range_join": "SELECT CAST(band AS INT) AS band, l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem JOIN (VALUES (1, 1, 10), (2, 5, 25), (3, 24, 50)) v(band, low, high) ON l_quantity BETWEEN low AND high GROUP BY 1, 2",
-    "lineage_units": _UNITS + "SELECT file, etl_name, array_to_string(ss, ',') AS sources, array_to_string(t, ',') AS targets, op AS operation_type, is_etl FROM l",
-    "lineage_edges": _UNITS + "SELECT * FROM x",
-    "lineage_nodes": _UNITS + "SELECT dst AS name, string_agg(DISTINCT CASE type WHEN 'ETL_READS' THEN 'SOURCE' ELSE 'TARGET' END, '+' ORDER BY CASE type WHEN 'ETL_READS' THEN 'SOURCE' ELSE 'TARGET' END) AS node_type FROM x WHERE type <> 'DATA_FLOWS_TO' GROUP BY dst UNION ALL SELECT DISTINCT src, 'ETL' FROM x WHERE type <> 'DATA_FLOWS_TO'",
-    "lineage_statistics": _UNITS + "SELECT file, count(*) AS lineages, count(*) FILTER (is_etl) AS etl_count, CAST(len(list_distinct(flatten(list(ss)))) AS BIGINT) AS sources, CAST(len(list_distinct(flatten(list(t)))) AS BIGINT) AS targets, CAST(sum(CASE WHEN is_etl THEN len(ss) * len(t) ELSE 0 END) AS BIGINT) AS flows FROM l GROUP BY file",
+    "lineage_units": _UNITS + """SELECT file, etl_name, array_to_string(ss, ',') AS sources, array_to_string(t, ',') AS targets, op AS operation_type, is_etl FROM l
+UNION ALL SELECT 'p' || k || '.sql', 'p' || k, 'REF.N' || n || ',STG.S' || k, 'DW.F' || k % 7 || ',LOG.L' || k % 3, 'ETL', true FROM p UNION ALL SELECT 'p' || k || '.sql', 'q' || k, '', 'DW.G' || k % 5, 'UPDATE', false FROM p""",
+    "lineage_edges": _UNITS + "SELECT * FROM x UNION ALL SELECT * FROM px",
+    "lineage_nodes": _UNITS + "SELECT dst AS name, string_agg(DISTINCT CASE type WHEN 'ETL_READS' THEN 'SOURCE' ELSE 'TARGET' END, '+' ORDER BY CASE type WHEN 'ETL_READS' THEN 'SOURCE' ELSE 'TARGET' END) AS node_type FROM (SELECT * FROM x UNION ALL SELECT * FROM px) WHERE type <> 'DATA_FLOWS_TO' GROUP BY dst UNION ALL SELECT DISTINCT src, 'ETL' FROM (SELECT * FROM x UNION ALL SELECT * FROM px) WHERE type <> 'DATA_FLOWS_TO'",
+    "lineage_statistics": _UNITS + """SELECT file, count(*) AS lineages, count(*) FILTER (is_etl) AS etl_count, CAST(len(list_distinct(flatten(list(ss)))) AS BIGINT) AS sources, CAST(len(list_distinct(flatten(list(t)))) AS BIGINT) AS targets, CAST(sum(CASE WHEN is_etl THEN len(ss) * len(t) ELSE 0 END) AS BIGINT) AS flows FROM l GROUP BY file
+UNION ALL SELECT 'p' || k || '.sql', 2, 1, 2, 3, 4 FROM p""",
     "lineage_of_texts": rf"""WITH c AS (SELECT 'doc' || doc_id AS file, text FROM documents UNION ALL SELECT 'page' || page_id, html FROM pages),
 d AS (SELECT file, list_sort(list_distinct(list_filter(list_transform(list_concat(regexp_extract_all(text, '(?i)FROM\s+(\w+(?:\.\w+)?)', 1), regexp_extract_all(text, '(?i)JOIN\s+(\w+(?:\.\w+)?)', 1)), lambda x: upper(x)), lambda x: lower(x) NOT IN ({', '.join(map(X.literal, fixed.SYSTEM_NAMES))})))) AS s FROM c WHERE text IS NOT NULL) SELECT file, array_to_string(s, ',') AS sources FROM d WHERE len(s) > 0""",
     "detect_types": _DETECT + "SELECT file, file_type, round(confidence, 4) AS confidence, details, suggested_strategy, suggested_target FROM d JOIN m USING (file_type)",
     "detect_votes": _DETECT + """, v AS (SELECT 'type' AS kind, file_type AS choice, count(*) AS n, sum(CAST(round(confidence, 4) AS DECIMAL(18,4))) AS w FROM d GROUP BY 2 UNION ALL SELECT 'strategy', suggested_strategy, count(*), sum(CAST(round(confidence, 4) AS DECIMAL(18,4))) FROM d JOIN m USING (file_type) GROUP BY 2 UNION ALL SELECT 'target', suggested_target, count(*), sum(CAST(round(confidence, 4) AS DECIMAL(18,4))) FROM d JOIN m USING (file_type) GROUP BY 2)
 SELECT kind, choice, n, CAST(w AS DOUBLE) AS weight, row_number() OVER (PARTITION BY kind ORDER BY w DESC, choice <> 'framework', choice) = 1 AS is_first FROM v""",
     "fqns": "SELECT n_nationkey, lower(r_name || '.' || n_name) AS fqn, trim(regexp_replace(' ' || r_name || '/' || n_name, '[^A-Za-z0-9._-]+', '_', 'g'), '_') AS safe, '&lt;&amp;&#39;&quot;&gt;' || n_name AS html FROM nation JOIN region ON n_regionkey = r_regionkey",
-    "domain_classes": f"SELECT i, coalesce(name <> '' AND name NOT IN ({', '.join(map(X.literal, dict.fromkeys(fixed.BUILTIN_TYPES + fixed.UTILITY_CLASSES)))}) AND length(name) > 1 AND NOT (regexp_matches(name, '^[a-z]') AND length(name) <= 3) AND NOT (name = lower(name) AND length(name) <= 6), false) AS is_domain FROM {V(list(enumerate(X.CLASS_NAMES)), 'i', 'name')}",
+    "domain_classes": f"""SELECT i, coalesce(name <> '' AND name NOT IN ({', '.join(map(X.literal, dict.fromkeys(fixed.BUILTIN_TYPES + fixed.UTILITY_CLASSES)))}) AND length(name) > 1 AND NOT (regexp_matches(name, '^[a-z]') AND length(name) <= 3) AND NOT (name = lower(name) AND length(name) <= 6), false) AS is_domain FROM {V(list(enumerate(X.CLASS_NAMES)), 'i', 'name')}
+UNION ALL SELECT c_custkey + 100, CASE c_custkey % 6 WHEN 0 THEN true WHEN 3 THEN length('order' || c_custkey) > 6 WHEN 4 THEN c_custkey % 100 > 9 ELSE false END FROM customer""",
     "use_summary": """SELECT o_orderpriority AS table_name, o_orderstatus AS column_name, coalesce(string_agg(DISTINCT CASE WHEN o_orderkey % 3 = 0 THEN 'd' || o_custkey % 4 END, '|' ORDER BY CASE WHEN o_orderkey % 3 = 0 THEN 'd' || o_custkey % 4 END), '') AS descriptions, arg_min(CAST(o_orderkey % 10 AS VARCHAR), o_orderkey) FILTER (o_orderkey % 2 = 0) AS dtype, arg_max(o_custkey % 2 = 0, o_orderkey) AS nullable,
 array_to_string(list_sort(list_distinct(list(CAST(o_custkey % 9 AS VARCHAR))))[1:5], '|') AS examples FROM orders GROUP BY 1, 2""",
     "semantic_top": """WITH c AS (SELECT vec_id, embedding FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 ORDER BY vec_id LIMIT 400), p AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0),
 s AS (SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])), 4) AS similarity FROM c, p ORDER BY similarity DESC, vec_id LIMIT 20) SELECT * FROM s WHERE similarity >= 0.05""",
     "prefix_search": "WITH p AS (SELECT substr('nation_1x9', 1, n) AS p, n FROM range(2, 11) r(n)), h AS (SELECT n_name, max(n) AS n FROM nation JOIN p ON contains(lower(n_name), p) GROUP BY n_name) SELECT DISTINCT n_name AS value, substr('nation_1x9', 1, n) AS used FROM h WHERE n = (SELECT max(n) FROM h) ORDER BY value LIMIT 20",
-    "ranked_tables": f"WITH i AS (SELECT t, ln(1 + 2 * sum(i) + sum(o)) AS imp FROM (SELECT from_table AS t, 1 AS o, 0 AS i FROM {_KEYS} UNION ALL SELECT to_table, 0, 1 FROM {_KEYS}) GROUP BY t), n AS (SELECT DISTINCT from_table AS t FROM {_KEYS} UNION SELECT 'alone') SELECT n.t AS table_name, round(2 * (length(n.t) / 10 * coalesce(imp, 0)) / (length(n.t) / 10 + coalesce(imp, 0) + 1e-9), 4) AS score FROM n LEFT JOIN i ON i.t = n.t",
+    "ranked_tables": f"WITH i AS (SELECT t, ln(1 + 2 * sum(i) + sum(o)) AS imp FROM (SELECT from_table AS t, 1 AS o, 0 AS i FROM {_MANY} UNION ALL SELECT to_table, 0, 1 FROM {_MANY}) GROUP BY t), n AS (SELECT DISTINCT from_table AS t FROM {_MANY} UNION SELECT 'alone') SELECT n.t AS table_name, round(2 * (length(n.t) / 10 * coalesce(imp, 0)) / (length(n.t) / 10 + coalesce(imp, 0) + 1e-9), 4) AS score FROM n LEFT JOIN i ON i.t = n.t",
     "past_questions": "WITH c AS (SELECT p_partkey, 0.5::DOUBLE * (p_size / 50) + 0.3::DOUBLE * (p_partkey % 11 / 10) + 0.2::DOUBLE * (p_partkey % 3 / 2) AS s FROM part ORDER BY p_size DESC NULLS LAST, p_partkey LIMIT 50) SELECT p_partkey, round(s, 4) AS final_score, CAST(rank() OVER (ORDER BY s DESC) AS INT) AS rank, CASE WHEN s > 0.9 THEN 'IMMEDIATE_TEMPLATE_REUSE' WHEN s > 0.7 THEN 'ADAPT_TEMPLATE' ELSE 'GENERATE_NEW' END AS action FROM c",
     "mapped_values": """WITH t AS (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN upper(p_type) ELSE p_type || 'x' END AS term FROM part), v AS (SELECT DISTINCT p_type AS value FROM part WHERE p_type IS NOT NULL),
 e AS (SELECT term, value, 'EXACT' AS kind FROM t JOIN v ON term = value), n AS (SELECT term, value, 1 - levenshtein(lower(term), lower(value)) / greatest(length(term), length(value)) AS s FROM t, v WHERE term NOT IN (SELECT term FROM e))
 SELECT * FROM e UNION ALL SELECT term, min({'s': -s, 'value': value}).value, 'SIMILAR' FROM n WHERE s >= 0.8 GROUP BY term""",
-    "glossary_list": f"SELECT glossary_id, name, coalesce(type, 'Business') AS type, (SELECT count(*) FROM {_TERMS} WHERE t.glossary_id = g.glossary_id) AS term_count FROM {V(X.GLOSSARIES, 'glossary_id', 'name', 'type')} g",
-    "glossary_terms": f"SELECT term_id, name, coalesce(status, 'Draft') AS status, {_linked('BELONGS_TO_DOMAIN')} AS domains, {_linked('OWNED_BY')} AS owners, {_linked('HAS_TAG')} AS tags FROM {_TERMS}",
+    "glossary_list": "SELECT n_nationkey::INTEGER AS glossary_id, n_name AS name, CASE WHEN n_nationkey % 3 = 0 THEN 'Technical' ELSE 'Business' END AS type, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS term_count FROM nation",
+    "glossary_terms": "SELECT s_suppkey::INTEGER AS term_id, s_name AS name, CASE WHEN s_suppkey % 4 = 0 THEN 'Approved' ELSE 'Draft' END AS status, 'D' || s_suppkey % 5 AS domains, 'O' || s_suppkey % 7 AS owners, CASE WHEN s_suppkey % 2 = 0 THEN 'even,t' || s_suppkey % 3 ELSE '' END AS tags FROM supplier",
     "star_register": f"SELECT 'sales' AS cube_name, from_table, from_column, to_table, to_column FROM {_KEYS}",
     "report_totals": "SELECT count(DISTINCT l_suppkey) AS units, count(DISTINCT l_partkey) AS tables, (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)) AS statements, (SELECT CAST(sum(q) AS BIGINT) FROM (SELECT max(trunc(l_quantity)) AS q FROM lineitem GROUP BY l_orderkey, l_linenumber)) AS tokens FROM lineitem",
     "table_usage": "WITH l AS (SELECT l_suppkey % 10 AS unit, l_linestatus AS table_name, l_returnflag, l_orderkey FROM lineitem) SELECT unit, table_name, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS operations, count(*) AS occurrences, array_to_string(list_sort(list_distinct(list(l_orderkey)))[1:5], ',') AS contexts FROM l GROUP BY unit, table_name",
@@ -260,7 +279,7 @@ UNION ALL SELECT style, file, m + 1, '1: CREATE PROCEDURE P' || chr(10) || CASE
 WITH m AS (SELECT l_orderkey AS o, count(*)::INT AS m FROM lineitem GROUP BY 1), b AS (SELECT o, m, unnest(range(1, m + 1))::INT AS i FROM m),
 u AS (SELECT *, '2 lines ' || md5((6 * i - 2) || ': UPDATE T' || (o % 50) || chr(10) || (6 * i - 1) || ': SET x = ' || i) AS us, '2 lines ' || md5((6 * i) || ': SELECT ' || i || chr(10) || (6 * i + 1) || ': FROM S' || (i % 3)) AS ss FROM b),
 f AS (SELECT *, '4 lines ' || md5((6 * i - 3) || ': IF ' || i || ' THEN' || chr(10) || (6 * i - 2) || '~' || (6 * i - 1) || ': ' || us || chr(10) || (6 * i) || '~' || (6 * i + 1) || ': ' || ss || chr(10) || (6 * i + 2) || ': END IF;') AS fs FROM u),
-l AS (SELECT o, m, (m + 2) || ' lines ' || md5('2: LOOP' || chr(10) || string_agg((6 * i - 3) || '~' || (6 * i + 2) || ': ' || fs, chr(10) ORDER BY i) || chr(10) || (6 * m + 3) || ': END LOOP;') AS ls FROM f GROUP BY o, m)
+l AS (SELECT o, m, (m + 2) || ' lines ' || md5('2: FOR r IN (SELECT * FROM F' || o % 4 || ') LOOP' || chr(10) || string_agg((6 * i - 3) || '~' || (6 * i + 2) || ': ' || fs, chr(10) ORDER BY i) || chr(10) || (6 * m + 3) || ': END LOOP;') AS ls FROM f GROUP BY o, m)
 SELECT o || '.sql' AS file, 3 * i - 2 AS node_id, us AS summary, true AS ok FROM f UNION ALL SELECT o || '.sql', 3 * i - 1, ss, true FROM f UNION ALL SELECT o || '.sql', 3 * i, fs, true FROM f UNION ALL SELECT o || '.sql', 3 * m + 1, ls, true FROM l
 """,
     "run_stream": """
@@ -274,4 +293,19 @@ d AS (SELECT *, CASE WHEN slow THEN own WHEN type NOT IN ('error', 'complete') A
 SELECT run_id, no, seq, type, content FROM p UNION ALL SELECT run_id, n + 1, NULL, 'error', 'TimeoutError: ' || idle || ' s' FROM d WHERE idle IS NOT NULL
 UNION ALL SELECT run_id, n + CASE WHEN idle IS NULL THEN 1 ELSE 2 END, NULL, 'complete', NULL FROM d WHERE idle IS NOT NULL OR type IN ('error', 'complete')
 """,
+    "recalled_questions": """
+WITH e AS (SELECT vec_id AS key, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL),
+n AS (SELECT q.key AS question_id, s.key, round(list_cosine_similarity(q.v, s.v), 9) AS similarity FROM e q JOIN e s ON q.key % 100 = 0 AND s.key % 100 <> 0),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY similarity DESC, key) AS r FROM n) WHERE r <= 10),
+f AS (SELECT question_id, key, round(0.5::DOUBLE * similarity + 0.3::DOUBLE * (key % 11 / 10) + 0.2::DOUBLE * (key % 3 / 2), 9) AS final_score FROM t)
+SELECT question_id, key, round(final_score, 6) AS final_score, row_number() OVER (PARTITION BY question_id ORDER BY final_score DESC, key)::INTEGER AS rank, CASE WHEN final_score > 0.9 THEN 'IMMEDIATE_TEMPLATE_REUSE' WHEN final_score > 0.7 THEN 'ADAPT_TEMPLATE' ELSE 'GENERATE_NEW' END AS action FROM f
+""",
+    "class_summaries": """WITH k AS (SELECT s_suppkey AS k, s_nationkey AS n FROM supplier) SELECT 'OrderService' AS name, 'fields count, customers, store' || chr(10) || 'bill takes Customer, int; returns Invoice; calls store.save' AS summary
+UNION ALL SELECT unnest(['BaseService', 'OrderStore', 'Auditable', 'Customer', 'Invoice']), 'class without fields and methods'
+UNION ALL SELECT 'S' || k, 'fields part' || chr(10) || 'make takes R' || k % 3 || ', int; returns Q' || k % 5 || '; calls part.run; makes T' || k % 4 FROM k
+UNION ALL SELECT DISTINCT unnest(['B' || n, 'P' || k % 7, 'Q' || k % 5, 'R' || k % 3, 'T' || k % 4]), 'class without fields and methods' FROM k""",
+    "class_stories": """SELECT c AS name, 'US-1' AS story_id, 'user of ' || c AS role, m AS goal, 'get ' || r AS benefit, 'AC-1-1' AS criterion_id, c || '.' || m AS title FROM (SELECT 'OrderService' AS c, 'bill' AS m, 'Invoice' AS r UNION ALL SELECT 'S' || s_suppkey, 'make', 'Q' || s_suppkey % 5 FROM supplier)""",
+    "class_contexts": """SELECT f AS file, m AS name, '[CONTEXT]' || chr(10) || 'CLASS ' || c || ' 1~' || e || ': ' || s || chr(10) || '[/CONTEXT]' || chr(10) AS context
+FROM (SELECT 'A.java' AS f, 'bill' AS m, 'OrderService' AS c, 12 AS e, 'fields count, customers, store' || chr(10) || 'bill takes Customer, int; returns Invoice; calls store.save' AS s
+  UNION ALL SELECT 'S' || s_suppkey || '.java', 'make', 'S' || s_suppkey, 8, 'fields part' || chr(10) || 'make takes R' || s_suppkey % 3 || ', int; returns Q' || s_suppkey % 5 || '; calls part.run; makes T' || s_suppkey % 4 FROM supplier)""",
 }

@@ -77,7 +77,9 @@ def analyse(definitions: DataFrame, parsed: DataFrame, sources: DataFrame, case:
     whole = cut(summaries.of_units(nodes, said), "units")
     stories = providers.user_stories(known, whole.select(key().alias("unit_id"), "name"))
     of_unit = nodes.where("analysable AND NOT has_children").select(key().alias("src"), key("unit_id").alias("unit_id")).join(nodes.where("unit_id = node_id").select(key().alias("unit_id"), F.col("name").alias("unit")), "unit_id")
-    described = providers.table_descriptions(uses.join(of_unit, "src").select("schema_name", "table_name", "unit", "type"))
+    named_columns = schema.table_uses(providers.column_access(plain).select(F.concat_ws("\u0001", "unit_id", "column_name").alias("src"), F.col("table_name").alias("name"), F.lit("r").alias("mode")), tables)
+    named_columns = named_columns.select("schema_name", "table_name", F.element_at(F.split("src", "\u0001"), -1).alias("column_name"))
+    described = providers.table_descriptions(uses.join(of_unit, "src").select("schema_name", "table_name", "unit", "type"), named_columns)
     control.enter(Phase.LINEAGE)
     return Analysis(
         summaries.described(tables, described), columns, keys, nodes, tree, batches, uses, schema.resolve_calls(called, named), said, whole, reports.numbered_stories(stories),
@@ -95,22 +97,28 @@ class ClassAnalysis:
     methods: DataFrame
     relations: DataFrame
     summaries: DataFrame
+    stories: DataFrame
+    contexts: DataFrame
 
 
 def analyse_classes(parsed: DataFrame) -> ClassAnalysis:
     """parsed: directory, file, content (JSON trees of classes). Relations: src, dst, type, detail.
 
-    EXTENDS and IMPLEMENTS from declarations, ASSOCIATION and COMPOSITION from fields, DEPENDENCY from what methods take
-    and return unless a field has it already, CALLS from variable.method calls by the types of the fields. Targets are found by
+    EXTENDS and IMPLEMENTS from declarations, ASSOCIATION and COMPOSITION from fields, DEPENDENCY from what methods take,
+    return and use locally unless a field has it already, CALLS from variable.method calls by the types of the fields. Targets are found by
     name, case ignored; the least node of several.
     """
     nodes = cut(trees.flags(trees.flatten(parsed, "framework"), "framework"), "nodes")
     units = nodes.where(F.col("kind").isin(*fixed.CLASS_TYPES)).select(key().alias("unit_id"), "name", "code")
-    fields, methods = cut(providers.fields(units), "fields"), cut(providers.methods(units), "methods")
+    # without the lines of methods and inner classes, whose variables are no fields
+    held = trees.folded_code(nodes, "placeholder", ("FIELD",)).select(key().alias("unit_id"), "code")
+    fields, methods = cut(providers.fields(units.select("unit_id").join(held, "unit_id")), "fields"), cut(providers.methods(units), "methods")
     classes = units.groupBy(F.lower("name").alias("name")).agg(F.min("unit_id").alias("node_id"))
     links = fields.where("target_class IS NOT NULL")
     names = units.select("unit_id", F.col("name").alias("own"))
-    taken = providers.dependencies(methods).join(names, "unit_id").where(F.lower("own") != F.lower("target_class")).drop("own")
+    body = nodes.where(F.col("kind").isin(*fixed.METHOD_TYPES) & F.col("unit_id").isNotNull())
+    bodies = cut(body.select(key("unit_id").alias("unit_id"), key().alias("method_id"), "name", "start_line", "code"), "bodies")
+    taken = providers.dependencies(methods).unionByName(providers.local_dependencies(bodies)).join(names, "unit_id").where(F.lower("own") != F.lower("target_class")).drop("own")
     found = (
         providers.inheritance(units).select("unit_id", F.col("to_type").alias("target_class"), F.col("relation").alias("type"), F.lit("").alias("detail"))
         .unionByName(links.select("unit_id", "target_class", F.col("relation").alias("type"), F.concat_ws(" ", "name", "multiplicity").alias("detail")))
@@ -118,11 +126,17 @@ def analyse_classes(parsed: DataFrame) -> ClassAnalysis:
         .unionByName(providers.method_calls(units, fields).select("unit_id", "target_class", F.lit("CALLS").alias("type"), F.col("method").alias("detail")))
     )
     relations = providers.resolve_classes(found, classes).select(F.col("unit_id").alias("src"), "dst", "type", "detail").distinct()
-    parts = fields.select("unit_id", F.lit("fields").alias("part"), "name").unionByName(methods.select("unit_id", F.lit("methods").alias("part"), "name")).distinct()
-    per = parts.groupBy("unit_id").agg(*(F.array_join(F.sort_array(F.collect_list(F.when(F.col("part") == x, F.col("name")))), ", ").alias(x) for x in ("fields", "methods")))
-    text = F.concat_ws("; ", *(F.when(F.length(x) > 0, F.concat(F.lit(f"{x} "), x)) for x in ("fields", "methods")))
-    said = units.join(per, "unit_id", "left").select("unit_id", "name", F.when(text == "", "class without fields and methods").otherwise(text).alias("summary"))
-    return ClassAnalysis(nodes, trees.edges(nodes, "framework"), fields, methods, relations, said)
+    # a class is summed up by its fields and by what is said of its methods, in chunks, in their order
+    known = cut(providers.method_facts(bodies.select(F.col("method_id").alias("unit_id"), "code")), "facts")
+    of_methods = providers.say(known, bodies.select(F.col("method_id").alias("unit_id")), "method", ("takes", "returns", "calls", "makes"), "that takes, returns and calls nothing")
+    spoken = bodies.join(of_methods.withColumnRenamed("unit_id", "method_id"), "method_id")
+    whole = summaries.condensed(summaries.chunks(spoken.withColumn("summary", F.concat("name", F.lit(" "), "summary")), ["unit_id"], ["start_line", "method_id"]), ["unit_id"]).withColumnRenamed("summary", "methods")
+    named = fields.select("unit_id", "name").distinct().groupBy("unit_id").agg(F.array_join(F.sort_array(F.collect_list("name")), ", ").alias("fields"))
+    text = F.concat_ws("\n", F.when(F.length("fields") > 0, F.concat(F.lit("fields "), "fields")), "methods")
+    said = units.join(named, "unit_id", "left").join(whole, "unit_id", "left").select("unit_id", "name", F.when(text == "", "class without fields and methods").otherwise(text).alias("summary"))
+    said = cut(said, "classes")
+    stories = reports.numbered_stories(providers.class_stories(bodies.join(names, "unit_id").withColumnRenamed("own", "class_name"), known))
+    return ClassAnalysis(nodes, trees.edges(nodes, "framework"), fields, methods, relations, said, stories, summaries.contexts(nodes, said))
 
 
 def searchable(a: Analysis) -> DataFrame:

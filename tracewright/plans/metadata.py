@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graph
+from ..sources.tables import cut
 from . import fk, providers
 
 #: Rows of a table that are looked at.
@@ -23,13 +25,15 @@ def sample(df: DataFrame, rows: int = SAMPLE, order: str | None = None) -> DataF
 def fill(columns: DataFrame, tables: dict[str, DataFrame], order: dict[str, str] | None = None) -> tuple[DataFrame, list[str]]:
     """columns (table_name, column_name, description, description_source, ...) with blank descriptions filled by profiles, and the tables that failed.
 
-    Only tables that can be read are filled; one that fails is named and left as it is.
+    Each table's profile, a row for each of its columns, is made and written by itself; one that can't be read then is named
+    and left as it is, and the others are filled.
     """
     found, failed = [], []
     for name, df in sorted(tables.items()):
         try:
-            found.append(providers.profile(df, SAMPLE, (order or {}).get(name)).select(F.lit(name).alias("table_name"), "column_name", F.col("profile").alias("text")))
-        except PySparkException:
+            profile = providers.profile(df, SAMPLE, (order or {}).get(name))
+            found.append(cut(profile.select(F.lit(name).alias("table_name"), "column_name", F.col("profile").alias("text")), "profile"))
+        except (PySparkException, Py4JJavaError):
             failed.append(name)
     if not found:
         return columns, failed

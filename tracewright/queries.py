@@ -104,7 +104,7 @@ def table_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def relationship_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schema.list_relationships(schema.add_relationship(schema.add_relationship(_keys(spark), "lineitem", "l_linenumber", "orders", "o_custkey"), "lineitem", "l_orderkey", "orders", "o_orderkey"), "lineitem")
+    return schema.list_relationships(schema.add_relationship(schema.add_relationship(generated.keys(spark, sf_dir), "S1", "other_id", "N7", "id"), "N7", "region_id", "R1", "id"), "N7")
 
 
 @query
@@ -151,9 +151,8 @@ def subtree_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def ancestor_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = _turns(spark, sf_dir)
-    above = nodes.select(F.col("node_id").alias("src"), F.col("text").alias("context"), F.length("text").alias("tokens"))
-    pairs = graph.closure(edges).join(above, "src").select(F.col("dst").alias("node_id"), "distance", "context", "tokens")
-    return batching.ancestor_context(pairs).select("node_id", F.md5("context").alias("context_md5"))
+    above = nodes.select("node_id", F.col("text").alias("context"), F.length("text").alias("tokens"))
+    return batching.contexts_above(edges, above).select("node_id", F.md5("context").alias("context_md5"))
 
 
 @query
@@ -165,9 +164,10 @@ def gathered_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cyclic_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tables reachable over foreign keys in both directions: cycles everywhere."""
-    k = _keys(spark)
-    return graph.closure(k.selectExpr("from_table AS src", "to_table AS dst").union(k.selectExpr("to_table", "from_table")), cycles=True)
+    """Turns of conversations, each of which goes on from its last turn to its first: a cycle for each conversation."""
+    nodes, edges = _turns(spark, sf_dir)
+    ends = nodes.groupBy("conv_id").agg(F.max_by("node_id", "turn").alias("src"), F.min_by("node_id", "turn").alias("dst")).select("src", "dst")
+    return graph.closure(edges.union(ends), cycles=True)
 
 
 @query
@@ -177,7 +177,7 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = _t(spark, sf_dir, "region")
     nodes = region.select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("node_id"), F.lit("PROCEDURE").alias("kind"), F.col("r_name").alias("name"))
     uses = _t(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("src"), F.when(F.col("s_acctbal") < 0, "debt").otherwise("credit").alias("table_name"), F.lit("FROM").alias("type"))
-    return schema.references(uses, nodes, graph.closure(edges), "debt")
+    return schema.references(uses, nodes, edges, "debt")
 
 
 @query
@@ -188,17 +188,17 @@ def co_referenced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def related_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.foreign_related(_keys(spark), "nation")
+    return graph.foreign_related(generated.keys(spark, sf_dir), "N7")
 
 
 @query
 def related_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.related(_keys(spark), spark.createDataFrame(X.USES, "unit string, table_name string, type string"), "orders")
+    return graph.related(generated.keys(spark, sf_dir), generated.unit_uses(spark, sf_dir), "N7")
 
 
 @query
 def importance_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.importance(_keys(spark)).withColumn("importance", F.round("importance", 4))
+    return graph.importance(generated.keys(spark, sf_dir)).withColumn("importance", F.round("importance", 4))
 
 
 @query
@@ -325,24 +325,53 @@ def summary_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("unit", "batch", F.size("parts").alias("n"), "tokens", F.md5(F.array_join("parts", "\n")).alias("parts_md5"))
 
 
+def _classes(spark: SparkSession, sf_dir: str) -> analyse.ClassAnalysis:
+    one = spark.createDataFrame([("d", "A.java", X.CLASSES)], "directory string, file string, content string")
+    return analyse.analyse_classes(one.union(generated.classes(spark, sf_dir)))
+
+
 @query
 def class_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = analyse.analyse_classes(spark.createDataFrame([("d", "A.java", X.CLASSES)], "directory string, file string, content string"))
+    """Relations of classes made from suppliers, and of some written by hand."""
+    a = _classes(spark, sf_dir)
     names = a.summaries.select("unit_id", "name")
     at = a.relations.join(names.withColumnsRenamed({"unit_id": "src", "name": "from_class"}), "src").join(names.withColumnsRenamed({"unit_id": "dst", "name": "to_class"}), "dst")
     return at.select("from_class", "to_class", "type", "detail")
 
 
+@query
+def class_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is said of classes, from their fields and from what is said of their methods."""
+    return _classes(spark, sf_dir).summaries.select("name", "summary")
+
+
+@query
+def class_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A story for each method of a class, with its criterion."""
+    a = _classes(spark, sf_dir)
+    out = a.stories.join(a.summaries.select("unit_id", "name"), "unit_id")
+    return out.select("name", "story_id", "role", "goal", "benefit", F.get("criteria", F.lit(0))["criterion_id"].alias("criterion_id"), F.get("criteria", F.lit(0))["title"].alias("title"))
+
+
+@query
+def class_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the classes above methods say of themselves."""
+    a = _classes(spark, sf_dir)
+    at = a.nodes.where("kind = 'METHOD'").select(summaries.key().alias("unit_id"), "file", "name")
+    return a.contexts.join(at, "unit_id").select("file", "name", "context")
+
+
 @query
 def temporary_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return providers.temporary_tables(spark.createDataFrame(X.TEMPORARY, "unit_id string, kind string, code string"))
+    return providers.temporary_tables(spark.createDataFrame(X.TEMPORARY, "unit_id string, kind string, code string").union(generated.temporaries(spark, sf_dir)))
 
 
 @query
 def ancestor_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the procedures above the statements of generated trees say of themselves."""
-    nodes = trees.flags(trees.flatten(generated.trees(spark, sf_dir)))
-    return summaries.contexts(nodes).groupBy("context").agg(F.count("*").alias("n"))
+    """What the procedures, loops and branches above the statements of generated trees say of themselves."""
+    nodes = trees.flags(trees.flatten(generated.deep_trees(spark, sf_dir)))
+    at = nodes.select(summaries.key().alias("unit_id"), "file", "node_id")
+    return summaries.contexts(nodes).join(at, "unit_id").select("file", "node_id", "context")
 
 
 @query
@@ -434,23 +463,23 @@ def ddl_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def lineage_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lineage.analyse(lineage.procedures(_files(spark, X.SQL)))
+    out = lineage.analyse(lineage.procedures(_files(spark, X.SQL).union(generated.procedures(spark, sf_dir))))
     return out.select("file", "etl_name", F.array_join("source_tables", ",").alias("sources"), F.array_join("target_tables", ",").alias("targets"), "operation_type", "is_etl")
 
 
 @query
 def lineage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineage.edges(lineage.analyse(lineage.procedures(_files(spark, X.SQL))))
+    return lineage.edges(lineage.analyse(lineage.procedures(_files(spark, X.SQL).union(generated.procedures(spark, sf_dir)))))
 
 
 @query
 def lineage_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineage.graph(lineage.analyse(lineage.procedures(_files(spark, X.SQL))))[0]
+    return lineage.graph(lineage.analyse(lineage.procedures(_files(spark, X.SQL).union(generated.procedures(spark, sf_dir)))))[0]
 
 
 @query
 def lineage_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineage.statistics(lineage.analyse(lineage.procedures(_files(spark, X.SQL))))
+    return lineage.statistics(lineage.analyse(lineage.procedures(_files(spark, X.SQL).union(generated.procedures(spark, sf_dir)))))
 
 
 @query
@@ -505,7 +534,7 @@ def procedure_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def domain_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(X.CLASS_NAMES)), "i int, name string").select("i", N.is_domain_class(F.col("name")).alias("is_domain"))
+    return spark.createDataFrame(list(enumerate(X.CLASS_NAMES)), "i int, name string").union(generated.class_names(spark, sf_dir)).select("i", N.is_domain_class(F.col("name")).alias("is_domain"))
 
 
 @query
@@ -562,8 +591,9 @@ def prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ranked_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = _keys(spark).select(F.col("from_table").alias("table_name")).union(spark.createDataFrame([("alone",)], "table_name string")).distinct()
-    out = search.ranked(names.withColumn("similarity", F.length("table_name") / 10), graph.importance(_keys(spark)))
+    known = generated.keys(spark, sf_dir)
+    names = known.select(F.col("from_table").alias("table_name")).union(spark.createDataFrame([("alone",)], "table_name string")).distinct()
+    out = search.ranked(names.withColumn("similarity", F.length("table_name") / 10), graph.importance(known))
     return out.select("table_name", F.round("score", 4).alias("score"))
 
 
@@ -573,6 +603,15 @@ def past_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.past_questions(c, "p_partkey").select("p_partkey", F.round("final_score", 4).alias("final_score"), "rank", "action")
 
 
+@query
+def recalled_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector as a question, all others as past questions, the nearest ten of each re-ranked."""
+    e = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
+    asked = e.where("key % 100 = 0").select(F.col("key").alias("question_id"), "vector")
+    stored = e.where("key % 100 <> 0").withColumns({"success_rate": F.col("key") % 11 / 10, "usage": F.col("key") % 3 / 2})
+    return search.recalled(asked, stored, 10).withColumn("final_score", F.round("final_score", 6))
+
+
 @query
 def mapped_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = _t(spark, sf_dir, "part").select(F.when(F.col("p_partkey") % 2 == 0, F.upper("p_type")).otherwise(F.concat("p_type", F.lit("x"))).alias("term")).distinct()
@@ -593,19 +632,15 @@ def mapped_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Glossary, stars, reports, events
 
 
-def _glossary(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return spark.createDataFrame(X.GLOSSARIES, "glossary_id int, name string, type string"), spark.createDataFrame(X.TERMS, "term_id int, glossary_id int, name string, description string, status string"), spark.createDataFrame(X.LINKS, "term_id int, type string, target string")
-
-
 @query
 def glossary_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g, t, _ = _glossary(spark)
+    g, t, _ = generated.glossary(spark, sf_dir)
     return glossary.list_glossaries(g, t)
 
 
 @query
 def glossary_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, t, links = _glossary(spark)
+    _, t, links = generated.glossary(spark, sf_dir)
     out = glossary.list_terms(t, links)
     return out.select("term_id", "name", "status", *(F.array_join(c, ",").alias(c) for c in ("domains", "owners", "tags")))
 

@@ -24,7 +24,7 @@ def _read(spark: SparkSession, folder: str, glob: str, recursive: bool) -> DataF
     directory = F.when(F.instr(relative, "/") > 0, F.regexp_replace(relative, "/[^/]*$", "")).otherwise(F.lit(""))
     # decode() replaces what is malformed only for lenient decoding; is_valid_utf8 guards strict sessions
     text = F.expr("CASE WHEN is_valid_utf8(cast(content AS string)) THEN cast(content AS string) ELSE make_valid_utf8(cast(content AS string)) END")
-    return raw.select(F.element_at(F.split(relative, "/"), -1).alias("file"), directory.alias("directory"), F.regexp_replace(text, "^﻿", "").alias("content")).orderBy("directory", "file")
+    return raw.select(F.element_at(F.split(relative, "/"), -1).alias("file"), directory.alias("directory"), F.regexp_replace(text, "^﻿", "").alias("content"))
 
 
 def _quote(text: str) -> str:

@@ -6,12 +6,14 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
-_SCOPES: list[list[str]] = []
+#: Lists of paths, the innermost scope's last; each thread and task of a driver has its own.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,8 +37,8 @@ def cut(df: DataFrame, name: str, after: DataFrame | None = None) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
-    if _SCOPES:
-        _SCOPES[-1].append(path)
+    if _SCOPES.get():
+        _SCOPES.get()[-1].append(path)
     if after is not None:
         drop(after)
     return out
@@ -96,10 +98,15 @@ def write_new(spark: SparkSession, path: str, text: str) -> bool:
 
 @contextmanager
 def passing(spark: SparkSession) -> Iterator[None]:
-    """Tables that cut() writes inside are deleted at the end, for work whose result is written elsewhere by then."""
-    _SCOPES.append([])
+    """Tables that cut() writes inside are deleted at the end, for work whose result is written elsewhere by then.
+
+    Scopes of different threads don't see each other's tables.
+    """
+    mine: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), mine))
     try:
         yield
     finally:
-        for path in _SCOPES.pop():
+        _SCOPES.reset(token)
+        for path in mine:
             delete(spark, path)
