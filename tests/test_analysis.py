@@ -1,3 +1,5 @@
+import json
+
 from tracewright import fixtures as X
 from tracewright import queries
 from tracewright.operators import trees
@@ -27,8 +29,27 @@ def test_classes_and_what_links_them(spark):
     parsed = spark.createDataFrame([("d", "A.java", X.CLASSES)], "directory string, file string, content string")
     a = analyse_classes(parsed)
     assert {r.type for r in a.tree.collect()} == {"CONTAINS", "HAS_METHOD", "HAS_FIELD"} and a.relations.count() == len(X.RELATIONS)
-    assert {r.name: r.summary for r in a.summaries.collect()}["OrderService"] == "fields count, customers, store; methods bill"
-    assert analyse_classes(parsed.limit(0)).relations.count() == 0
+    assert {r.name: r.summary for r in a.summaries.collect()}["OrderService"] == "fields count, customers, store\nbill takes Customer, int; returns Invoice; calls store.save"
+    (story,) = a.stories.collect()
+    assert (story.story_id, story.role, story.goal, story.benefit, story.criteria[0].criterion_id) == ("US-1", "user of OrderService", "bill", "get Invoice", "AC-1-1")
+    (context,) = a.contexts.collect()
+    assert context.context.startswith("[CONTEXT]\nCLASS OrderService 1~12: fields count, customers, store\nbill takes")
+    empty = analyse_classes(parsed.limit(0))
+    assert empty.relations.count() == empty.stories.count() == empty.contexts.count() == 0
+
+
+def test_local_variables_are_dependencies_and_no_fields(spark):
+    code = "1: class A {\n2:   private B b;\n3:   void run(int n) {\n4:     final C c = new D();\n5:     Map<String, E> m = null;\n6:     B other;\n7:   }\n8: }"
+    method = "3:   void run(int n) {\n4:     final C c = new Dee();\n5:     B other = b;\n6:     return;\n7:   }"
+    unit = {"type": "CLASS", "name": "A", "startLine": 1, "endLine": 8, "code": code, "children": [{"type": "METHOD", "name": "run", "startLine": 3, "endLine": 7, "code": method, "children": []}]}
+    others = [{"type": "CLASS", "name": n, "startLine": 20 + i, "endLine": 20 + i, "code": f"{20 + i}: class {n} {{ }}", "children": []} for i, n in enumerate(("B", "C", "Dee"))]
+    content = json.dumps({"type": "FILE", "startLine": 1, "endLine": 30, "code": "", "children": [unit, *others]})
+    a = analyse_classes(spark.createDataFrame([("d", "A.java", content)], "directory string, file string, content string"))
+    names = {r.unit_id: r.name for r in a.summaries.collect()}
+    got = {(names[r.src], names[r.dst], r.type, r.detail) for r in a.relations.collect()}
+    # one letter is no class worth a link when it is called, B is known as a field
+    assert ("A", "Dee", "DEPENDENCY", "local") in got and not any(r[2:] == ("DEPENDENCY", "local") and r[1] == "B" for r in got)
+    assert [r.name for r in a.fields.collect()] == ["b"]
 
 
 def test_summaries_climb_and_failures_too(spark):

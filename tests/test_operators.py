@@ -12,6 +12,7 @@ from tracewright.functions import similarity as S
 from tracewright.functions import text as N
 from tracewright.operators import batching, glossary, graph, reports, schema, search, similar, trees, vectors
 from tracewright.plans import ddl, detect, fk, lineage, providers
+from tracewright.plans.needed import NEEDED
 
 ANY = st.text(alphabet="ab _c", max_size=8)
 
@@ -149,7 +150,6 @@ def test_first_contexts_and_least_values(spark):
 
 
 def test_what_patterns_need():
-    assert detect.needed(r"CREATE\s+(OR\s+REPLACE\s+)?VIEW\s+\w+") == [("create",), ("view",)] and detect.needed(r"\b(A|BC)\s*\(x?") == [("a", "bc"), ("(",)]
     assert detect.describe(r"\bBEGIN\b[\s\S]*\bEND\s*;") == "begin end" and detect.describe(r":=\s*") == ":="
 
 
@@ -388,3 +388,27 @@ def test_similar_column_names_are_those_of_all_pairs(spark):
         want = {(x[1], x[2], y[1], y[2]) for x in rows for y in rows if x[1] < y[1] and x[2] and y[2] and score(x[2], y[2]) >= threshold}
         got = {(x.from_table_name, x.from_column_name, x.to_table_name, x.to_column_name) for x in fk.candidates(columns, threshold=threshold).collect()}
         assert got == want
+
+
+def test_needed_words_are_those_of_the_patterns():
+    sre, parser = pytest.importorskip("re._constants"), pytest.importorskip("re._parser")
+
+    def walk(ops):
+        out, run = [], ""
+        for op, value in ops:
+            if op is sre.LITERAL:
+                run += chr(value)
+                continue
+            if run:
+                out, run = [*out, (run.lower(),)], ""
+            if op is sre.SUBPATTERN:
+                out += walk(value[3])
+            elif op is sre.MAX_REPEAT and value[0]:
+                out += walk(value[2])
+            elif op is sre.BRANCH:
+                each = [max((x for x in walk(w) if len(x) == 1), key=lambda x: len(x[0]), default=None) for w in value[1]]
+                out += [tuple(x[0] for x in each)] if all(each) else []
+        return [*out, (run.lower(),)] if run else out
+
+    assert walk(parser.parse(r"CREATE\s+(OR\s+REPLACE\s+)?VIEW\s+\w+")) == [("create",), ("view",)] and walk(parser.parse(r"\b(A|BC)\s*\(x?")) == [("a", "bc"), ("(",)]
+    assert NEEDED == {p: walk(parser.parse(p)) for p, _ in detect._ALL}

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re._constants as sre
-import re._parser as parser
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,43 +9,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import patterns as P
+from .needed import NEEDED
 
 SQL_TYPES = ("oracle_sp", "oracle_ddl", "postgresql_sp", "postgresql_ddl")
 
 
-def needed(pattern: str) -> list[tuple[str, ...]]:
-    """What a match of the pattern must hold: of each tuple one text, lower-cased."""
-
-    def walk(ops: object) -> list[tuple[str, ...]]:
-        out, run = [], ""
-        for op, value in ops:
-            if op is sre.LITERAL:
-                run += chr(value)
-                continue
-            if run:
-                out, run = [*out, (run.lower(),)], ""
-            if op is sre.SUBPATTERN:
-                out += walk(value[3])
-            elif op is sre.MAX_REPEAT and value[0]:
-                out += walk(value[2])
-            elif op is sre.BRANCH:
-                each = [max((x for x in walk(w) if len(x) == 1), key=lambda x: len(x[0]), default=None) for w in value[1]]
-                out += [tuple(x[0] for x in each)] if all(each) else []
-        return [*out, (run.lower(),)] if run else out
-
-    return walk(parser.parse(pattern))
-
-
 def describe(pattern: str) -> str:
     """A pattern in words: what it always holds, in order."""
-    held = [w for op in needed(pattern) if len(op) == 1 for w in op if any(c.isalnum() for c in w)]
-    return " ".join(held).strip() or "/".join(x for op in needed(pattern) for x in op)
+    held = [w for op in NEEDED[pattern] if len(op) == 1 for w in op if any(c.isalnum() for c in w)]
+    return " ".join(held).strip() or "/".join(x for op in NEEDED[pattern] for x in op)
 
 
 #: Every pattern that a file is held against, with its flags: types' patterns, then the signs of dialect and kind.
 _FLAGS = {t: "md" if t == "xml" else "imd" for t in P.TYPES}
 _ALL = list(dict.fromkeys([(p, _FLAGS[t]) for t, ps in P.TYPES.items() for p, _ in ps] + [(p, "id") for p in (*P.ORACLE_SIGNS, *P.POSTGRESQL_SIGNS, P.BLOCK)] + [(p, "imd") for p in (*P.SP_SIGNS, *P.DDL_SIGNS)]))
-_WORDS = sorted({w for p, _ in _ALL for op in needed(p) for w in op})
+_WORDS = sorted({w for p, _ in _ALL for op in NEEDED[p] for w in op})
 
 
 def _hits(patterns: tuple[str, ...], flags: str) -> Column:
@@ -58,7 +34,7 @@ def _hits(patterns: tuple[str, ...], flags: str) -> Column:
 def _tested(pattern: str, flags: str) -> Column:
     """Whether content matches; the pattern is only tried where the words are that it needs."""
     found = F.col("content").rlike(f"(?{flags}){pattern}")
-    for op in needed(pattern):
+    for op in NEEDED[pattern]:
         found = reduce(lambda a, b: a | b, (F.get("words", F.lit(_WORDS.index(w))) for w in op)) & found
     return found
 
