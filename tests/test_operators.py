@@ -412,3 +412,17 @@ def test_needed_words_are_those_of_the_patterns():
 
     assert walk(parser.parse(r"CREATE\s+(OR\s+REPLACE\s+)?VIEW\s+\w+")) == [("create",), ("view",)] and walk(parser.parse(r"\b(A|BC)\s*\(x?")) == [("a", "bc"), ("(",)]
     assert NEEDED == {p: walk(parser.parse(p)) for p, _ in detect._ALL}
+
+
+def test_fields_made_with_new_and_assignments_below(spark):
+    fields = spark.createDataFrame([("new", None), (None, "ASSOCIATION"), ("call", None)], "value_source string, association_type string")
+    assert [r[0] for r in fields.select(trees.composition(fields)).collect()] == ["COMPOSITION", "ASSOCIATION", "ASSOCIATION"]
+    nodes = spark.createDataFrame([("d", "f", 1, "ASSIGNMENT"), ("d", "f", 2, "IF"), ("d", "f", 3, "NEW_INSTANCE"), ("d", "g", 1, "IF")], "directory string, file string, node_id int, kind string")
+    pairs = spark.createDataFrame([("d", "f", 2, 1), ("d", "f", 4, 1), ("d", "f", 4, 3), ("d", "g", 4, 1), ("d", "f", 4, 2)], "directory string, file string, src int, dst int")
+    assert {(r.node_id, r.found) for r in trees.assignments_below(nodes, pairs).collect()} == {(2, 1), (4, 1), (4, 3)}
+
+
+def test_tags_have_a_colour(spark):
+    tags = spark.createDataFrame([("b", None), ("a", "red")], "name string, color string")
+    assert [(r.name, r.color) for r in glossary.named(tags).collect()] == [("a", "red"), ("b", glossary.COLOR)]
+    assert [r.name for r in glossary.named(tags.drop("color")).collect()] == ["a", "b"]

@@ -308,4 +308,14 @@ UNION ALL SELECT DISTINCT unnest(['B' || n, 'P' || k % 7, 'Q' || k % 5, 'R' || k
     "class_contexts": """SELECT f AS file, m AS name, '[CONTEXT]' || chr(10) || 'CLASS ' || c || ' 1~' || e || ': ' || s || chr(10) || '[/CONTEXT]' || chr(10) AS context
 FROM (SELECT 'A.java' AS f, 'bill' AS m, 'OrderService' AS c, 12 AS e, 'fields count, customers, store' || chr(10) || 'bill takes Customer, int; returns Invoice; calls store.save' AS s
   UNION ALL SELECT 'S' || s_suppkey || '.java', 'make', 'S' || s_suppkey, 8, 'fields part' || chr(10) || 'make takes R' || s_suppkey % 3 || ', int; returns Q' || s_suppkey % 5 || '; calls part.run; makes T' || s_suppkey % 4 FROM supplier)""",
+    "store_merge": """WITH s AS (SELECT s_suppkey AS k, sha256('Supplier' || chr(1) || s_suppkey) AS id FROM supplier)
+SELECT 'node' AS kind, id AS node_id, CASE WHEN k % 5 < 2 THEN '{"k":' || k || ',"n":"old"}' ELSE '{"d":' || k % 7 || ',"k":' || k || ',"n":"new"}' END AS props, NULL AS holder FROM s
+UNION ALL SELECT 'rejected', 'second-' || k, '{"k":' || k || '}', id FROM s WHERE k % 10 = 0""",
+    "ledger_state": """SELECT o_orderstatus AS directory, o_orderkey::VARCHAR AS file, CASE WHEN o_orderkey % 5 = 3 THEN 'PH2_OK' WHEN o_orderkey % 15 = 4 THEN 'PH2_FAIL' WHEN o_orderkey % 5 > 1 OR o_orderkey % 10 = 0 THEN 'PH1_OK' WHEN o_orderkey % 5 = 0 THEN 'PH1_FAIL' ELSE 'PENDING' END AS status,
+  CASE WHEN o_orderkey % 15 = 4 THEN 'later' WHEN o_orderkey % 5 = 0 AND o_orderkey % 10 <> 0 THEN 'broken' END AS message, o_orderkey % 5 IN (2, 4) OR o_orderkey % 10 = 0 AS pending FROM orders""",
+    "tree_heights": "SELECT conv_id, turn, (count(*) OVER (PARTITION BY conv_id) - row_number() OVER (PARTITION BY conv_id ORDER BY turn))::INTEGER AS height FROM conversations",
+    "node_names": """WITH m AS (SELECT l_orderkey AS o, count(*)::INT AS m FROM lineitem GROUP BY 1), b AS (SELECT o, unnest(range(1, m + 1))::INT AS i FROM m)
+SELECT o || '.sql' AS file, unnest([3 * i - 2, 3 * i - 1, 3 * i]) AS node_id, unnest(['UPDATE[' || (6 * i - 2) || ']', 'SELECT[' || (6 * i) || ']', 'IF[' || (6 * i - 3) || ']']) AS name FROM b
+UNION ALL SELECT o || '.sql', unnest([3 * m + 1, 3 * m + 2, 3 * m + 3]), unnest(['LOOP[2]', 'P' || o, o || '.sql']) FROM m""",
+    "first_of_each": """SELECT s_nationkey, arg_min(s_suppkey, {'b': s_acctbal, 'k': s_suppkey}) AS s_suppkey, array_to_string(list_sort(list(s_name))[:2], ', ') || CASE WHEN count(*) > 2 THEN ' … ' || (count(*) - 2) || ' more' ELSE '' END AS preview FROM supplier GROUP BY s_nationkey""",
 }

@@ -14,8 +14,9 @@ from .functions import similarity as S
 from .functions import text as N
 from .operators import batching, glossary, graph, reports, schema, search, trees, vectors
 from .plans import analyse, catalog, ddl, detect, fk, lineage, metadata, providers, summaries, waves
+from .sources import store
 from .sources.tables import shared_dir
-from .streaming import events, runs
+from .streaming import events, ledger, runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -702,3 +703,51 @@ def run_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     e.write.parquet(f"{folder}/in")
     runs.follow(spark.readStream.schema(e.schema).parquet(f"{folder}/in"), f"{folder}/out", f"{folder}/state", late="1 hour", idle=6 * 3600, idle_asking=9 * 3600).awaitTermination()
     return spark.read.schema(runs.OUT).parquet(f"{folder}/out")
+
+
+@query
+def store_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers in a stored graph after two merges that overlap; second nodes with the key of another one are turned away."""
+    s = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
+    node = lambda df, props: df.select(graph.node_id("Supplier", "k").alias("node_id"), F.array(F.lit("Supplier")).alias("labels"), F.expr(f"to_json({props})").alias("props"))
+    none = spark.createDataFrame([], store.EDGES)
+    kept = store.Store(spark, f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}", buckets=4, unique={"Supplier": ["k"]})
+    kept.merge(node(s.where("k % 5 < 3"), "named_struct('k', k, 'n', 'old')"), none)
+    second = node(s.where("k % 10 = 0"), "named_struct('k', k)").withColumn("node_id", F.concat(F.lit("second-"), F.get_json_object("props", "$.k")))
+    kept.merge(node(s.where("k % 5 > 1"), "named_struct('d', k % 7, 'k', k, 'n', 'new')").union(second), none)
+    out = kept.read()[0].select(F.lit("node").alias("kind"), "node_id", "props", F.lit(None).cast("string").alias("holder"))
+    return out.unionByName(kept.rejected().select(F.lit("rejected").alias("kind"), "node_id", "props", "holder"))
+
+
+@query
+def ledger_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as files: what two phases came to, and whether each is pending for the second one."""
+    o = _t(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("directory"), F.col("o_orderkey").cast("string").alias("file"), F.col("o_orderkey").alias("k"))
+    book = ledger.Ledger(spark, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}")
+    book.append(o.where("k % 5 = 0"), 1, ledger.failed(1), "broken")
+    book.append(o.where("k % 5 > 1"), 1, ledger.ok(1))
+    book.append(o.where("k % 10 = 0"), 1, ledger.ok(1))  # went well the second time
+    book.append(o.where("k % 5 = 3"), 2, ledger.ok(2))
+    book.append(o.where("k % 15 = 4"), 2, ledger.failed(2), "later")
+    open_files = book.pending(o, 2).withColumn("pending", F.lit(True))
+    return book.state(o).join(open_files, ["directory", "file"], "left").select("directory", "file", "status", "message", F.coalesce("pending", F.lit(False)).alias("pending"))
+
+
+@query
+def tree_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.heights(*_turns(spark, sf_dir)).select("conv_id", "turn", "height")
+
+
+@query
+def node_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the nodes of generated trees are called."""
+    n = trees.flatten(generated.deep_trees(spark, sf_dir))
+    return n.select("file", "node_id", N.node_name(F.col("kind"), F.col("name"), F.col("file"), F.col("start_line")).alias("name"))
+
+
+@query
+def first_of_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The supplier with the least balance of each nation, and the first names of its suppliers."""
+    s = _t(spark, sf_dir, "supplier")
+    names = s.groupBy("s_nationkey").agg(F.sort_array(F.collect_list("s_name")).alias("names")).select("s_nationkey", reports.preview("names", 2).alias("preview"))
+    return ddl.ranked_duplicates(s, ["s_nationkey"], ["s_acctbal", "s_suppkey"]).select("s_nationkey", "s_suppkey").join(names, "s_nationkey")
