@@ -38,4 +38,4 @@ def test_stages_return_documents_and_take_odd_rows(spark, sf):
 
 def test_every_operator_is_registered():
     names = list(queries.QUERIES)
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)] and set(queries.ORACLE_SQL) <= set(names)
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)] and set(queries.ORACLE_SQL) <= set(names)
