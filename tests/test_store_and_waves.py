@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright import generated
-from tracewright.operators import graph, trees
+from tracewright.operators import graph, trees, vectors
 from tracewright.plans import waves
 from tracewright.sources import answers, store, tables
 
@@ -233,3 +233,23 @@ def test_stores_do_not_mix(spark, tmp_path):
     for t in threads:
         t.join()
     assert done == [True] * 3
+
+
+def test_vectors_come_from_a_provider_once(spark, tmp_path):
+    (tmp_path / "seen").mkdir()
+    note = counted(str(tmp_path / "seen"))
+
+    def provider(texts):
+        if "bad" in texts:
+            raise OSError("no vector")
+        note(texts)
+        return [f"[{len(t)}, 0.5]" for t in texts]
+
+    rows = spark.createDataFrame([(1, "one", None, 7), (2, "one", None, 7), (3, "two", [9.0], 7), (4, " ", None, 7), (5, None, None, 7), (6, "three", [], 7)], "i int, t string, vector array<float>, prompt int")
+    got = {r.i: r.vector for r in vectors.vectorise_by(rows, F.col("t"), provider, str(tmp_path / "store")).collect()}
+    assert {r.prompt for r in vectors.vectorise_by(rows, F.col("t"), provider, str(tmp_path / "store")).collect()} == {7}
+    assert got == {1: [3.0, 0.5], 2: [3.0, 0.5], 3: [9.0], 4: None, 5: None, 6: [5.0, 0.5]}
+    assert list(asked(tmp_path / "seen").values()) == [1, 1]
+    more = rows.union(spark.createDataFrame([(7, "bad", None, 7)], rows.schema))
+    again = {r.i: (r.vector, r.error) for r in vectors.vectorise_by(more, F.col("t"), provider, str(tmp_path / "store")).collect()}
+    assert again[1] == ([3.0, 0.5], None) and again[7] == (None, "OSError: no vector") and list(asked(tmp_path / "seen").values()) == [1, 1]

@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.answers import Provider, ask
+
+#: Texts that a provider of embeddings gets at a time.
+BATCH = 50
 #: Candidates ranked, least similarity, and characters of a description that are embedded and shown.
 CANDIDATES, LEAST, EMBEDDED, SHOWN = 200, 0.3, 500, 200
 DIMENSIONS = 64
@@ -85,6 +89,19 @@ def search_text(tables: DataFrame, text: str, limit: int = 10) -> DataFrame:
     return found.select(F.coalesce(F.nullif("schema_name", F.lit("")), F.lit("public")).alias("schema_name"), "table_name", F.substring("description", 1, SHOWN).alias("description"), "similarity")
 
 
+def vectorise_by(df: DataFrame, text: Column, provider: Provider, store: str, vector: str = "vector", batch: int = BATCH) -> DataFrame:
+    """df with vectors from a provider for the rows that have none, and error where it failed.
+
+    The provider gets texts, BATCH at a time, and returns a JSON array of numbers for each; see answers.ask(). Texts are
+    asked for once, by this run and by later ones on the same store; null and blank ones aren't and have no vector.
+    """
+    lacks = F.col(vector).isNull() | (F.size(vector) == 0)
+    prompt = F.when(lacks & (F.trim(F.coalesce(text, F.lit(""))) != ""), text)
+    asked = ask(df.select(F.struct("*").alias("row"), lacks.alias("lacks"), prompt.alias("prompt")), provider, store, batch)
+    made = F.when(F.col("lacks"), F.from_json("answer", "array<float>")).otherwise(F.col("row")[vector])
+    return asked.select(*(made.alias(c) if c == vector else F.col("row")[c].alias(c) for c in df.columns if c != "error"), "error")
+
+
 def vectorise(df: DataFrame, text: Column, vector: str = "vector", missing_only: bool = True, limit: int | None = None) -> DataFrame:
     """df with vectors filled in: of the rows without one, or all; limit: so many of them, by the order of the rows' keys."""
     lacks = F.col(vector).isNull() | (F.size(vector) == 0)

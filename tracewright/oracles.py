@@ -318,4 +318,5 @@ UNION ALL SELECT 'rejected', 'second-' || k, '{"k":' || k || '}', id FROM s WHER
 SELECT o || '.sql' AS file, unnest([3 * i - 2, 3 * i - 1, 3 * i]) AS node_id, unnest(['UPDATE[' || (6 * i - 2) || ']', 'SELECT[' || (6 * i) || ']', 'IF[' || (6 * i - 3) || ']']) AS name FROM b
 UNION ALL SELECT o || '.sql', unnest([3 * m + 1, 3 * m + 2, 3 * m + 3]), unnest(['LOOP[2]', 'P' || o, o || '.sql']) FROM m""",
     "first_of_each": """SELECT s_nationkey, arg_min(s_suppkey, {'b': s_acctbal, 'k': s_suppkey}) AS s_suppkey, array_to_string(list_sort(list(s_name))[:2], ', ') || CASE WHEN count(*) > 2 THEN ' … ' || (count(*) - 2) || ' more' ELSE '' END AS preview FROM supplier GROUP BY s_nationkey""",
+    "provided_vectors": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '1' ELSE concat_ws(',', length(p_name), length(p_name) - length(regexp_replace(p_name, '[aeiou]', '', 'g')), length(p_name) - length(regexp_replace(p_name, '[0-9]', '', 'g'))) END AS vector FROM part",
 }

@@ -604,6 +604,19 @@ def past_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.past_questions(c, "p_partkey").select("p_partkey", F.round("final_score", 4).alias("final_score"), "rank", "action")
 
 
+def _letters(texts: list[str]) -> list[str]:
+    """A provider of vectors without a model: length, vowels and digits of a text."""
+    return [f"[{len(t)}, {sum(c in 'aeiou' for c in t)}, {sum(c.isdigit() for c in t)}]" for t in texts]
+
+
+@query
+def provided_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of part names from a provider, each different name asked for once; every third part has one already."""
+    part = _t(spark, sf_dir, "part").select("p_partkey", "p_name", F.when(F.col("p_partkey") % 3 == 0, F.array(F.lit(1.0).cast("float"))).alias("vector"))
+    out = vectors.vectorise_by(part, F.col("p_name"), _letters, f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}")
+    return out.select("p_partkey", F.array_join(F.transform("vector", lambda x: x.cast("int").cast("string")), ",").alias("vector"))
+
+
 @query
 def recalled_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every hundredth vector as a question, all others as past questions, the nearest ten of each re-ranked."""
