@@ -346,7 +346,7 @@ def test_only_values_that_exist_are_kept(spark):
     assert [r.i for r in kept.collect()] == [1] and sorted(r.i for r in gone.collect()) == [2, 3]
 
 
-@pytest.mark.parametrize(("t", "seed"), [(0.8, 1), (0.65, 2), (0.9, 3), (0.7, 4), (0.5, 5)])
+@pytest.mark.parametrize(("t", "seed"), [(0.8, 1), (0.65, 2), (0.9, 3)])
 def test_similar_pairs_are_all_found(spark, t, seed):
     r = random.Random(seed)
     base = ["".join(r.choice("abcdé_1") for _ in range(r.choice((1, 1, 2, 2, 3, 4, 5, 8, 13, 30)))) for _ in range(60)]

@@ -58,7 +58,7 @@ def collected(df):
     return sorted((tuple(r) for r in df.select("run_id", "no", "seq", "type", "content").collect()), key=str)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_replay_equals_batch_and_plain(spark, tmp_path, seed):
     rows = made(seed)
     want = plain_runs(rows, 60, 300, 600)
