@@ -23,8 +23,8 @@ def _linked(terms: DataFrame, links: DataFrame, kind: str, name: str) -> DataFra
     return terms.join(at, "term_id", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
 
 
-def list_terms(terms: DataFrame, links: DataFrame, glossary: object = None, search: str | None = None, status: str | None = None, limit: int = 100) -> DataFrame:
-    """terms with domains, owners and tags (arrays of names). links: term_id, type, target."""
+def list_terms(terms: DataFrame, links: DataFrame, glossary: object = None, search: str | None = None, status: str | None = None, limit: int | None = 100) -> DataFrame:
+    """terms with domains, owners and tags (arrays of names), a page of so many by name, or all. links: term_id, type, target."""
     at = terms.where(matching(search, "name", "description"))
     if glossary is not None:
         at = at.where(F.col("glossary_id") == glossary)
@@ -32,7 +32,8 @@ def list_terms(terms: DataFrame, links: DataFrame, glossary: object = None, sear
         at = at.where(F.coalesce("status", F.lit(STATUS)) == status)
     for kind, name in (("BELONGS_TO_DOMAIN", "domains"), ("OWNED_BY", "owners"), ("HAS_TAG", "tags")):
         at = _linked(at, links, kind, name)
-    return at.withColumn("status", F.coalesce("status", F.lit(STATUS))).orderBy("name", "term_id").limit(limit)
+    at = at.withColumn("status", F.coalesce("status", F.lit(STATUS)))
+    return at if limit is None else at.orderBy("name", "term_id").limit(limit)
 
 
 def put(df: DataFrame, row: dict, key: str) -> DataFrame:
