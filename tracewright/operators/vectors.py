@@ -33,10 +33,12 @@ def cosine(a: Column, b: Column) -> Column:
 def hashed_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
     """An embedding without a model: words and their character trigrams are counted by hash into signed dimensions."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    grams = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) - 2)), lambda i: F.substring(w, i, F.lit(3)))))
-    hashes = F.transform(F.concat(words, grams), lambda g: F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("long"))
+    grams = lambda ws: F.flatten(F.transform(ws, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) - 2)), lambda i: F.substring(w, i, F.lit(3)))))
+    hashed = lambda ws: F.transform(F.concat(ws, grams(ws)), lambda g: F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("long"))
     sign = lambda h: F.when(F.floor(h / dimensions) % 2 == 0, 1.0).otherwise(-1.0)
-    return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.aggregate(hashes, F.lit(0.0), lambda s, h: s + F.when(h % dimensions == d, sign(h)).otherwise(0.0)).cast("float"))
+    counted = lambda hs: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.aggregate(hs, F.lit(0.0), lambda s, h: s + F.when(h % dimensions == d, sign(h)).otherwise(0.0)).cast("float"))
+    once = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))  # noqa: E731 - a text is hashed once, not for each dimension
+    return once(words, lambda ws: once(hashed(ws), counted))
 
 
 def search(tables: DataFrame, query: Column, limit: int = 10, name: str = "table_name", vector: str = "vector", candidates: int = CANDIDATES, least: float = LEAST) -> DataFrame:
@@ -84,8 +86,11 @@ def top_k(questions: DataFrame, stored: DataFrame, k: int, question: str = "ques
 
 def search_text(tables: DataFrame, text: str, limit: int = 10) -> DataFrame:
     """search() for a text over tables (schema_name, table_name, description), embedded without a model."""
-    described = tables.where(F.coalesce("description", F.lit("")) != "").withColumn("vector", hashed_embedding(F.substring("description", 1, EMBEDDED)))
-    found = search(described, hashed_embedding(F.lit(text[:EMBEDDED])), limit)
+    # every text has a vector, so search() ranks the first candidates by name: only those are embedded
+    described = tables.where(F.coalesce("description", F.lit("")) != "").orderBy("table_name").limit(CANDIDATES)
+    described = described.withColumn("vector", hashed_embedding(F.substring("description", 1, EMBEDDED)))
+    asked = tables.sparkSession.range(1).select(hashed_embedding(F.lit(text[:EMBEDDED])).alias("vector")).first().vector
+    found = search(described, F.array(*(F.lit(float(x)) for x in asked)), limit)
     return found.select(F.coalesce(F.nullif("schema_name", F.lit("")), F.lit("public")).alias("schema_name"), "table_name", F.substring("description", 1, SHOWN).alias("description"), "similarity")
 
 
