@@ -11,8 +11,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -25,6 +24,12 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 OUT = "run_id string, no long, seq long, type string, content string"
 _STATE = "no long, last long, idle long, closed boolean, timer long"
+_OUT = Row("run_id", "no", "seq", "type", "content")
+
+
+def _seq(r: Row) -> tuple:
+    """In the order of seq, rows without one last."""
+    return (r.seq is None, r.seq or 0)
 
 
 class Ending(StatefulProcessor):
@@ -43,43 +48,41 @@ class Ending(StatefulProcessor):
         out.append((run_id, no + 1, None, "complete", None))
         return no + 1
 
-    def _frame(self, out: list[tuple]) -> pd.DataFrame:
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
-        return frame.astype({"no": "Int64", "seq": "Int64"})
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        no, last, idle, closed, timer = self.run.get() if self.run.exists() else (0, None, self.idle, False, None)
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
+        state = self.run.get()
+        no, last, idle, closed, timer = state if state is not None else (0, None, self.idle, False, None)
+        if closed:
+            return
+        mark = timerValues.getCurrentWatermarkInMs()
+        every = sorted((r for r in rows if r.ms >= mark), key=_seq)  # Spark itself drops late rows one batch later
+        if not every:
+            return
         out: list[tuple] = []
-        if not closed:
-            every = pd.concat(list(rows)).sort_values("seq", kind="stable")
-            every = every[every.ms >= timerValues.getCurrentWatermarkInMs()]  # Spark itself drops late rows one batch later
-            if not len(every):
-                return
-            for seq, kind, content, phase, ms in zip(every.seq, every.type, every.content, every.phase, every.ms, strict=True):
-                if last is not None and ms - last > 1000 * idle:
-                    no, closed = self._end(out, key[0], no, f"TimeoutError: {idle} s"), True
-                    break
-                last = int(ms) if last is None else max(last, int(ms))
-                if kind == "complete":
-                    no, closed = self._end(out, key[0], no, None), True
-                    break
-                no += 1
-                out.append((key[0], no, int(seq), kind, content))
-                if phase is not None and phase == phase and phase >= 2:
-                    idle = self.idle_asking
-                if kind == "error":
-                    no, closed = self._end(out, key[0], no, None), True
-                    break
-            if timer is not None:
-                self.handle.deleteTimer(timer)
-            # a run that has ended is forgotten later; one that goes on is looked at again when it has been idle too long
-            timer = last + 1000 * (self.keep if closed else idle) + 1
-            self.handle.registerTimer(timer)
-            self.run.update((no, last, idle, closed, timer))
-        if out:
-            yield self._frame(out)
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for r in every:
+            ms = r.ms
+            if last is not None and ms - last > 1000 * idle:
+                no, closed = self._end(out, key[0], no, f"TimeoutError: {idle} s"), True
+                break
+            last = ms if last is None else max(last, ms)
+            if r.type == "complete":
+                no, closed = self._end(out, key[0], no, None), True
+                break
+            no += 1
+            out.append((key[0], no, r.seq, r.type, r.content))
+            if r.phase is not None and r.phase >= 2:
+                idle = self.idle_asking
+            if r.type == "error":
+                no, closed = self._end(out, key[0], no, None), True
+                break
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        # a run that has ended is forgotten later; one that goes on is looked at again when it has been idle too long
+        timer = last + 1000 * (self.keep if closed else idle) + 1
+        self.handle.registerTimer(timer)
+        self.run.update((no, last, idle, closed, timer))
+        yield from (_OUT(*x) for x in out)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802, N803
         no, last, idle, closed, timer = self.run.get()
         if closed:
             self.run.clear()
@@ -89,7 +92,7 @@ class Ending(StatefulProcessor):
         timer = last + 1000 * self.keep + 1
         self.handle.registerTimer(timer)
         self.run.update((no, last, idle, True, timer))
-        yield self._frame(out)
+        yield from (_OUT(*x) for x in out)
 
     def close(self) -> None:
         pass
@@ -104,7 +107,7 @@ def ended(events: DataFrame, late: str, idle: int = IDLE, idle_asking: int = IDL
     """
     rows = events.where("run_id IS NOT NULL AND ts IS NOT NULL").withColumn("ms", F.unix_millis("ts")).withWatermark("ts", late)
     rows = rows.select(F.col("run_id").cast("string"), F.col("seq").cast("long"), "type", "content", F.col("phase").cast("double"), "ms", "ts")
-    return rows.groupBy("run_id").transformWithStateInPandas(Ending(idle, idle_asking, keep), OUT, "Append", "EventTime")
+    return rows.groupBy("run_id").transformWithState(Ending(idle, idle_asking, keep), OUT, "Append", "EventTime")
 
 
 @contextmanager
