@@ -41,11 +41,13 @@ def hashed_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
     return once(words, lambda ws: once(hashed(ws), counted))
 
 
-def search(tables: DataFrame, query: Column, limit: int = 10, name: str = "table_name", vector: str = "vector", candidates: int = CANDIDATES, least: float = LEAST) -> DataFrame:
-    """tables nearest to the query vector, with similarity: the first candidates by name are ranked, the best `limit`
-    taken, and of those the ones that reach the least similarity (rounded to 4 places) returned."""
-    some = tables.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).orderBy(name).limit(candidates)
-    return some.withColumn("similarity", F.round(cosine(F.col(vector), query), 4)).orderBy(F.desc("similarity"), name).limit(limit).where(F.col("similarity") >= least)
+def search(tables: DataFrame, query: Column, limit: int = 10, name: str = "table_name", vector: str = "vector", candidates: int | None = CANDIDATES, least: float = LEAST) -> DataFrame:
+    """tables nearest to the query vector, with similarity: the first candidates by name (None: all) are ranked, the best
+    `limit` taken, and of those the ones that reach the least similarity (rounded to 4 places) returned."""
+    there = F.col(vector).isNotNull() & (F.size(vector) > 0)
+    some = tables if candidates is None else tables.where(there).orderBy(name).limit(candidates)
+    # rows without a vector rank last and reach nothing: a filter on the vector would have it made twice
+    return some.withColumn("similarity", F.when(there, F.round(cosine(F.col(vector), query), 4))).orderBy(F.desc("similarity"), name).limit(limit).where(F.col("similarity") >= least)
 
 
 def _blocks(df: DataFrame, key: str, vector: str, name: str) -> DataFrame:
@@ -84,13 +86,19 @@ def top_k(questions: DataFrame, stored: DataFrame, k: int, question: str = "ques
     return near.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= k).drop("_at")
 
 
-def search_text(tables: DataFrame, text: str, limit: int = 10) -> DataFrame:
-    """search() for a text over tables (schema_name, table_name, description), embedded without a model."""
-    # every text has a vector, so search() ranks the first candidates by name: only those are embedded
-    described = tables.where(F.coalesce("description", F.lit("")) != "").orderBy("table_name").limit(CANDIDATES)
+def search_text(tables: DataFrame, text: str, limit: int = 10, candidates: int | None = CANDIDATES) -> DataFrame:
+    """search() for a text over tables (schema_name, table_name, description), embedded without a model.
+
+    candidates: so many described tables, the first by name, are embedded and ranked; None: all of them.
+    """
+    described = tables.where(F.coalesce("description", F.lit("")) != "")
+    if candidates is not None:  # every text has a vector, so these are the ones that search() ranks
+        described = described.orderBy("table_name").limit(candidates)
+    else:  # the rows are small, their vectors take time: dealt anew, or one task would embed a whole file
+        described = described.repartition(4 * tables.sparkSession.sparkContext.defaultParallelism)
     described = described.withColumn("vector", hashed_embedding(F.substring("description", 1, EMBEDDED)))
     asked = tables.sparkSession.range(1).select(hashed_embedding(F.lit(text[:EMBEDDED])).alias("vector")).first().vector
-    found = search(described, F.array(*(F.lit(float(x)) for x in asked)), limit)
+    found = search(described, F.array(*(F.lit(float(x)) for x in asked)), limit, candidates=candidates)
     return found.select(F.coalesce(F.nullif("schema_name", F.lit("")), F.lit("public")).alias("schema_name"), "table_name", F.substring("description", 1, SHOWN).alias("description"), "similarity")
 
 

@@ -175,7 +175,7 @@ c AS (SELECT u, k, count(*) AS n FROM o GROUP BY u, k)
 SELECT 0 AS section, NULL AS unit, '<h1>Analysis</h1>' || chr(10) || '<ul><li>units: ' || count(DISTINCT u) || '</li><li>tables: ' || count(DISTINCT k) || '</li><li>statements: ' || count(*) || '</li><li>tokens: ' || count(*) || '</li></ul>' AS html FROM o
 UNION ALL SELECT 1, CAST(u AS VARCHAR), '<h2>' || u || '</h2>' || chr(10) || '<table>' || chr(10) || string_agg('<tr><td>' || u || '</td><td>' || k || '</td><td>r</td><td>' || n || '</td></tr>', chr(10) ORDER BY k) || chr(10) || '</table>' FROM c GROUP BY u
 UNION ALL SELECT 2, CAST(u AS VARCHAR), '<h3>' || u || '</h3>' || chr(10) || '<ol>' || chr(10) || string_agg('<li>' || l || ' ' || k || ' ' || t || '</li>', chr(10) ORDER BY i) || chr(10) || '</ol>' FROM o WHERE i <= 3 GROUP BY u""",
-    "semantic_text": r"""WITH d AS (SELECT CAST(p_partkey AS VARCHAR) AS table_name, p_name || ' ' || p_type AS description FROM part ORDER BY 1 LIMIT 200),
+    "semantic_text": r"""WITH d AS (SELECT CAST(p_partkey AS VARCHAR) AS table_name, p_name || ' ' || p_type AS description FROM part),
 w AS (SELECT *, list_filter(string_split_regex(lower(substr(description, 1, 500)), '[^\pL\pN]+'), lambda x: x <> '') AS words FROM d),
 g AS (SELECT *, list_concat(words, flatten(list_transform(words, lambda x: list_transform(range(1, greatest(1, len(x) - 2) + 1), lambda i: substr(x, i, 3))))) AS gs FROM w),
 h AS (SELECT *, list_transform(gs, lambda x: CAST('0x' || substr(md5(x), 1, 8) AS BIGINT)) AS hs FROM g),

@@ -581,7 +581,7 @@ def semantic_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 def semantic_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _t(spark, sf_dir, "part").select(F.lit("").alias("schema_name"), F.col("p_partkey").cast("string").alias("table_name"), F.concat_ws(" ", "p_name", "p_type").alias("description"))
     first = part.orderBy("table_name").first()
-    return vectors.search_text(part, first.description if first else "", 5)
+    return vectors.search_text(part, first.description if first else "", 5, candidates=None)
 
 
 @query
