@@ -24,6 +24,9 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 OUT = "run_id string, no long, seq long, type string, content string"
 _STATE = "no long, last long, idle long, closed boolean, timer long"
+_STATES = "run_id array<string>, no array<long>, last array<long>, idle array<long>, closed array<boolean>, timer array<long>"
+#: Keys that share the states of all runs.
+SHARED = 4096
 _OUT = Row("run_id", "no", "seq", "type", "content")
 
 
@@ -32,6 +35,36 @@ def _seq(r: Row) -> tuple:
     return (r.seq is None, r.seq or 0)
 
 
+def _ending(out: list[tuple], run_id: str, no: int, error: str | None) -> int:
+    """Appends what ends a run; its last number."""
+    if error:
+        no += 1
+        out.append((run_id, no, None, "error", error))
+    out.append((run_id, no + 1, None, "complete", None))
+    return no + 1
+
+
+def _passed(out: list[tuple], run_id: str, state: tuple, events: list[tuple], asking: int) -> tuple:
+    """Appends what a run that hasn't ended passes on of events (seq, type, content, phase, ms), in order; its state without the timer."""
+    no, last, idle, closed = state
+    for seq, kind, content, phase, ms in events:
+        if last is not None and ms - last > 1000 * idle:
+            no, closed = _ending(out, run_id, no, f"TimeoutError: {idle} s"), True
+            break
+        last = ms if last is None else max(last, ms)
+        if kind == "complete":
+            no, closed = _ending(out, run_id, no, None), True
+            break
+        no += 1
+        out.append((run_id, no, seq, kind, content))
+        if phase is not None and phase >= 2:
+            idle = asking
+        if kind == "error":
+            no, closed = _ending(out, run_id, no, None), True
+            break
+    return no, last, idle, closed
+
+
 class Ending(StatefulProcessor):
     """The state of a run: events passed on, time of the last one in ms, seconds that it may be idle, whether it ended, its timer."""
 
@@ -41,13 +74,6 @@ class Ending(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.run = handle, handle.getValueState("run", _STATE)
 
-    def _end(self, out: list[tuple], run_id: str, no: int, error: str | None) -> int:
-        if error:
-            no += 1
-            out.append((run_id, no, None, "error", error))
-        out.append((run_id, no + 1, None, "complete", None))
-        return no + 1
-
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
         state = self.run.get()
         no, last, idle, closed, timer = state if state is not None else (0, None, self.idle, False, None)
@@ -58,22 +84,7 @@ class Ending(StatefulProcessor):
         if not every:
             return
         out: list[tuple] = []
-        for r in every:
-            ms = r.ms
-            if last is not None and ms - last > 1000 * idle:
-                no, closed = self._end(out, key[0], no, f"TimeoutError: {idle} s"), True
-                break
-            last = ms if last is None else max(last, ms)
-            if r.type == "complete":
-                no, closed = self._end(out, key[0], no, None), True
-                break
-            no += 1
-            out.append((key[0], no, r.seq, r.type, r.content))
-            if r.phase is not None and r.phase >= 2:
-                idle = self.idle_asking
-            if r.type == "error":
-                no, closed = self._end(out, key[0], no, None), True
-                break
+        no, last, idle, closed = _passed(out, key[0], (no, last, idle, closed), [(r.seq, r.type, r.content, r.phase, r.ms) for r in every], self.idle_asking)
         if timer is not None:
             self.handle.deleteTimer(timer)
         # a run that has ended is forgotten later; one that goes on is looked at again when it has been idle too long
@@ -88,7 +99,7 @@ class Ending(StatefulProcessor):
             self.run.clear()
             return
         out: list[tuple] = []
-        no = self._end(out, key[0], no, f"TimeoutError: {idle} s")
+        no = _ending(out, key[0], no, f"TimeoutError: {idle} s")
         timer = last + 1000 * self.keep + 1
         self.handle.registerTimer(timer)
         self.run.update((no, last, idle, True, timer))
@@ -98,16 +109,75 @@ class Ending(StatefulProcessor):
         pass
 
 
-def ended(events: DataFrame, late: str, idle: int = IDLE, idle_asking: int = IDLE_ASKING, keep: int = KEEP) -> DataFrame:
+class Endings(Ending):
+    """Ending for the runs that share a key: their states are read and written together, with one timer, the first that any of them has."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.runs = handle, handle.getValueState("runs", _STATES)
+
+    def _read(self) -> dict[str, tuple]:
+        held = self.runs.get()
+        return {} if held is None else {x[0]: tuple(x[1:]) for x in zip(*held, strict=True)}
+
+    def _write(self, states: dict[str, tuple], before: int | None) -> None:
+        first = min((x[-1] for x in states.values()), default=None)
+        if before is not None and before != first:
+            self.handle.deleteTimer(before)
+        if first is not None and before != first:
+            self.handle.registerTimer(first)
+        if states:
+            self.runs.update((list(states), *map(list, zip(*states.values(), strict=True))))
+        else:
+            self.runs.clear()
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
+        mark = timerValues.getCurrentWatermarkInMs()
+        given: dict[str, list[tuple]] = {}
+        for r in rows:
+            _, run_id, *event, _ = r  # key, run_id, seq, type, content, phase, ms, ts
+            if event[4] >= mark:
+                given.setdefault(run_id, []).append(tuple(event))
+        if not given:
+            return
+        states = self._read()
+        before = min((x[-1] for x in states.values()), default=None)
+        out: list[tuple] = []
+        for run_id, events in given.items():
+            state = states.get(run_id, (0, None, self.idle, False, None))[:4]
+            if not state[3]:
+                events.sort(key=lambda x: (x[0] is None, x[0] or 0))
+                no, last, idle, closed = _passed(out, run_id, state, events, self.idle_asking)
+                states[run_id] = (no, last, idle, closed, last + 1000 * (self.keep if closed else idle) + 1)
+        self._write(states, before)
+        yield from (_OUT(*x) for x in out)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802, N803
+        mark, out, states = timerValues.getCurrentWatermarkInMs(), [], {}
+        for run_id, (no, last, idle, closed, timer) in self._read().items():
+            if timer > mark:
+                states[run_id] = (no, last, idle, closed, timer)
+            elif not closed:  # one that has ended is forgotten
+                no = _ending(out, run_id, no, f"TimeoutError: {idle} s")
+                states[run_id] = (no, last, idle, True, last + 1000 * self.keep + 1)
+        self._write(states, None)  # the timer that has expired goes by itself
+        yield from (_OUT(*x) for x in out)
+
+
+def ended(events: DataFrame, late: str, idle: int = IDLE, idle_asking: int = IDLE_ASKING, keep: int = KEEP, shared: int | None = SHARED) -> DataFrame:
     """A streaming frame of OUT rows from streaming events (run_id, seq, type, content, phase, ts).
 
     no counts a run's rows. Events of a run within a batch are taken in the order of seq, batches as they come; events
     that are `late` behind the newest one are dropped, as are those of a run that has ended. Rows without run_id are
-    dropped. phase is that of a phase event, else null. Other columns aren't carried.
+    dropped. phase is that of a phase event, else null. Other columns aren't carried. shared: so many keys, by a hash of
+    run_id, hold the states of all runs, so a batch asks for states once a key and not once a run; None: each run is a key.
+    A checkpoint goes with the number it was begun with.
     """
     rows = events.where("run_id IS NOT NULL AND ts IS NOT NULL").withColumn("ms", F.unix_millis("ts")).withWatermark("ts", late)
     rows = rows.select(F.col("run_id").cast("string"), F.col("seq").cast("long"), "type", "content", F.col("phase").cast("double"), "ms", "ts")
-    return rows.groupBy("run_id").transformWithState(Ending(idle, idle_asking, keep), OUT, "Append", "EventTime")
+    if shared is None:
+        return rows.groupBy("run_id").transformWithState(Ending(idle, idle_asking, keep), OUT, "Append", "EventTime")
+    rows = rows.select(F.pmod(F.xxhash64("run_id"), F.lit(shared)).alias("key"), "*")
+    return rows.groupBy("key").transformWithState(Endings(idle, idle_asking, keep), OUT, "Append", "EventTime")
 
 
 @contextmanager
@@ -125,7 +195,7 @@ def rocks(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(name, before)
 
 
-def follow(events: DataFrame, target: str, checkpoint: str, late: str, once: bool = True, **limits: int):
+def follow(events: DataFrame, target: str, checkpoint: str, late: str, once: bool = True, **limits: int | None):
     """Starts a query that appends ended() rows to a folder of Parquet files; once: until all that is there now is read."""
     with rocks(events.sparkSession):
         writer = ended(events, late, **limits).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append")
