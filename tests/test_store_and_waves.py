@@ -304,3 +304,5 @@ def test_waves_of_runs_fold_nothing(spark, sf, tmp_path, monkeypatch):
     with pytest.raises(Exception):  # noqa: B017, PT011
         waves.analyse(of("runs"), lambda p: 1 / 0, str(tmp_path / "ended"), strict=True)
     assert left() == before
+    again = waves.analyse(of(), rule, str(tmp_path / "ended"))  # begun with runs
+    assert {tuple(r) for r in again.collect()} == want
